@@ -220,3 +220,115 @@ FROM complaints
 WHERE complaint_type LIKE 'Noise%' AND {COORDS} AND created_date >= TIMESTAMP '2024-01-24 00:00:00'
 ORDER BY created_date DESC NULLS FIRST, unique_key""",
 }
+
+# --- ingest, upsert, offsets, ledger ------------------------------------------
+
+STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+PUBLISH_FILTER = (
+    "contains(" + STRIP.format(c="COALESCE(complaint_type, '')") + ", 'Noise')"
+    " AND unique_key IS NOT NULL AND unique_key <> '' AND latitude IS NOT NULL AND latitude <> ''"
+    " AND longitude IS NOT NULL AND longitude <> ''"
+)
+NULL_TEXT = ("agency", "agency_name", "descriptor", "status", "borough", "city", "incident_zip", "incident_address",
+             "street_name", "cross_street_1", "cross_street_2", "location_type")
+
+
+def _record_select(created: str, complaint_type: str, lat: str, lon: str, source: str) -> str:
+    nulls = {c: f"CAST(NULL AS VARCHAR) AS {c}" for c in NULL_TEXT}
+    cols = [
+        "unique_key",
+        f"{created} AS created_date",
+        "CAST(NULL AS TIMESTAMP) AS closed_date",
+        nulls["agency"],
+        nulls["agency_name"],
+        f"{complaint_type} AS complaint_type",
+        *[nulls[c] for c in NULL_TEXT[2:]],
+        f"{lat} AS latitude",
+        f"{lon} AS longitude",
+        f"{source} AS source",
+    ]
+    return ",\n  ".join(cols)
+
+
+PARSED_CTE = """parsed AS (
+  SELECT *, TRY_CAST(NULLIF(created_date, '') AS TIMESTAMP) AS created_ts,
+    TRY_CAST(NULLIF(latitude, '') AS DOUBLE) AS lat, TRY_CAST(NULLIF(longitude, '') AS DOUBLE) AS lon
+  FROM messages)"""
+REASON = """CASE WHEN unique_key IS NULL THEN 'missing_key'
+    WHEN created_date IS NOT NULL AND created_date <> '' AND created_ts IS NULL THEN 'bad_created_date'
+    WHEN latitude IS NOT NULL AND latitude <> '' AND lat IS NULL THEN 'bad_latitude'
+    WHEN longitude IS NOT NULL AND longitude <> '' AND lon IS NULL THEN 'bad_longitude' END"""
+VALID_CTE = f"""valid AS (
+  SELECT msg_offset, partition_id, msg_ts,
+  {_record_select("created_ts", "complaint_type", "lat", "lon", "'kafka'")}
+  FROM parsed WHERE ({REASON}) IS NULL)"""
+RECORD_COLS_SQL = """unique_key, created_date, closed_date, agency, agency_name, complaint_type, descriptor, status, borough,
+  city, incident_zip, incident_address, street_name, cross_street_1, cross_street_2, location_type, latitude, longitude, source"""
+UPSERT_SQL = with_ctes(MESSAGES_CTE, PARSED_CTE, VALID_CTE) + f"""SELECT {RECORD_COLS_SQL}
+FROM valid
+QUALIFY ROW_NUMBER() OVER (PARTITION BY unique_key ORDER BY msg_offset DESC) = 1"""
+
+_LAST = "QUALIFY ROW_NUMBER() OVER (PARTITION BY job_name ORDER BY run_seq DESC) = 1"
+LEDGER_CTE = f"""firsts AS (SELECT job_name, MIN(run_seq) AS first_start FROM runs WHERE status = 'running' GROUP BY job_name),
+ev AS (SELECT r.* FROM runs r JOIN firsts f ON r.job_name = f.job_name AND r.run_seq >= f.first_start),
+latest AS (SELECT job_name, status AS last_status, error AS last_error, event_at AS updated_at FROM ev {_LAST}),
+started AS (SELECT job_name, event_at AS last_started_at FROM ev WHERE status = 'running' {_LAST}),
+fin AS (SELECT job_name, event_at AS last_finished_at, rows_processed FROM ev WHERE status <> 'running' {_LAST}),
+ok AS (SELECT job_name, event_at AS last_successful_at FROM ev WHERE status = 'success' {_LAST}),
+ledger AS (
+  SELECT l.job_name, s.last_started_at, f.last_finished_at, o.last_successful_at, l.last_status, l.last_error,
+    CAST(COALESCE(f.rows_processed, 0) AS INTEGER) AS rows_processed, l.updated_at
+  FROM latest l JOIN started s ON l.job_name = s.job_name
+  LEFT JOIN fin f ON l.job_name = f.job_name
+  LEFT JOIN ok o ON l.job_name = o.job_name)"""
+
+ORACLE_SQL.update(
+    {
+        "grid_summary": with_ctes(COMPLAINTS_CTE, GRID_ROLLUPS_CTE)
+        + f"""{GRID_SELECT}
+WHERE zoom_level = 14 AND complaint_count >= 1 AND borough = 'BROOKLYN' AND complaint_type = 'Noise - Residential'
+ORDER BY complaint_count DESC""",
+        "timeseries_day": with_ctes(COMPLAINTS_CTE, TIME_ROLLUPS_CTE)
+        + """SELECT bucket_type, bucket_start, borough, complaint_type, complaint_count
+FROM time_rollups
+WHERE bucket_type = 'day' AND borough = 'BROOKLYN'
+ORDER BY bucket_start DESC NULLS FIRST, borough NULLS FIRST, complaint_type NULLS FIRST
+LIMIT 90""",
+        "csv_roundtrip": with_ctes(COMPLAINTS_CTE, GRID_ROLLUPS_CTE) + "SELECT * FROM grid_rollups",
+        "normalize_sync": with_ctes(EXTRACT_CTE)
+        + f"""SELECT {_record_select("CAST(NULLIF(created_date, '') AS TIMESTAMP)", STRIP.format(c="complaint_type"),
+                                   "CAST(latitude AS DOUBLE)", "CAST(longitude AS DOUBLE)", "'socrata'")}
+FROM extract
+WHERE {PUBLISH_FILTER}""",
+        "message_encode": with_ctes(EXTRACT_CTE)
+        + f"""SELECT msg_offset, to_json(struct_pack(unique_key := unique_key, created_date := created_date,
+  closed_date := CAST(NULL AS VARCHAR), agency := CAST(NULL AS VARCHAR), agency_name := CAST(NULL AS VARCHAR),
+  complaint_type := {STRIP.format(c="complaint_type")}, descriptor := CAST(NULL AS VARCHAR),
+  status := CAST(NULL AS VARCHAR), borough := CAST(NULL AS VARCHAR), city := CAST(NULL AS VARCHAR),
+  incident_zip := CAST(NULL AS VARCHAR), incident_address := CAST(NULL AS VARCHAR), street_name := CAST(NULL AS VARCHAR),
+  cross_street_1 := CAST(NULL AS VARCHAR), cross_street_2 := CAST(NULL AS VARCHAR), location_type := CAST(NULL AS VARCHAR),
+  latitude := latitude, longitude := longitude, source := 'csv')) AS value
+FROM extract
+WHERE {PUBLISH_FILTER}""",
+        "normalize_stream": with_ctes(MESSAGES_CTE, PARSED_CTE, VALID_CTE)
+        + f"SELECT msg_offset, partition_id, {RECORD_COLS_SQL} FROM valid",
+        "stream_rejects": with_ctes(MESSAGES_CTE, PARSED_CTE)
+        + f"""SELECT msg_offset, partition_id, unique_key, created_date, CAST(NULL AS VARCHAR) AS closed_date, latitude, longitude,
+  {REASON} AS reject_reason
+FROM parsed
+WHERE ({REASON}) IS NOT NULL""",
+        "upsert_latest": UPSERT_SQL,
+        "stream_replay": UPSERT_SQL,
+        "stream_offsets": with_ctes(MESSAGES_CTE, PARSED_CTE, VALID_CTE)
+        + f"""SELECT 'noise-complaints-postgres' AS consumer_name, 'noise-complaints' AS topic_name, partition_id,
+  msg_offset AS last_offset, created_date AS last_created_date, msg_ts AS last_message_at, {AS_OF} AS updated_at
+FROM valid
+QUALIFY ROW_NUMBER() OVER (PARTITION BY partition_id ORDER BY msg_offset DESC) = 1
+ORDER BY consumer_name, partition_id""",
+        "run_ledger": with_ctes(RUNS_CTE, LEDGER_CTE) + "SELECT * FROM ledger ORDER BY job_name",
+        "due_jobs": with_ctes(RUNS_CTE, LEDGER_CTE)
+        + """SELECT job_name, last_successful_at,
+  (last_successful_at IS NULL OR last_successful_at <= TIMESTAMP '2024-01-26 00:00:00') AS due
+FROM ledger""",
+    }
+)

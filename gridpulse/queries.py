@@ -16,8 +16,15 @@ from gridpulse import schema as S
 from gridpulse.functions import noise_rule
 from gridpulse.operators import rollups as R
 from gridpulse.operators.filters import ComplaintFilter, coords_present, lookback
+from gridpulse.operators import ingest as I
+from gridpulse.operators import ledger as L
+from gridpulse.operators.upsert import ChangeLogTable, current_records, latest_by_key
 from gridpulse.plans import serving as V
+from gridpulse.session import scratch_path
+from gridpulse.sources import connectors as C
 from gridpulse.sources import fixtures as X
+from gridpulse.sources.store import VersionedStore
+from gridpulse.streaming import ingest as STR
 
 AS_OF = S.FIXTURE_AS_OF
 
@@ -174,6 +181,104 @@ def q_lookback_extract(spark, sf_dir):
     )
 
 
+# --- published rollups (write a version, then serve from it) --------------
+
+
+def q_grid_summary(spark, sf_dir):
+    store = VersionedStore(spark, scratch_path(spark, "grid-rollups"), S.GRID_ROLLUP_SCHEMA)
+    store.publish(
+        _grid_rollups(spark, sf_dir),
+        partition_by="zoom_level",
+        sort_within=["lat_bucket", "lon_bucket"],
+        published_at=AS_OF,
+    )
+    return V.grid_summary(store.resolver(), _complaints(spark, sf_dir), SUMMARY_QUERY)
+
+
+def q_timeseries_day(spark, sf_dir):
+    store = VersionedStore(spark, scratch_path(spark, "time-rollups"), S.TIME_ROLLUP_SCHEMA)
+    store.publish(_time_rollups(spark, sf_dir), partition_by="bucket_type", sort_within=["bucket_start"], published_at=AS_OF)
+    return V.timeseries(store.read(), "day", borough="brooklyn", limit=90)
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "csv-rollups")
+    C.write_csv(_grid_rollups(spark, sf_dir), path)
+    return C.read_csv(spark, path, S.GRID_ROLLUP_SCHEMA)
+
+
+# --- ingest ---------------------------------------------------------------
+
+MSG_META = ("msg_offset", "partition_id")
+
+
+def q_normalize_sync(spark, sf_dir):
+    return I.normalize_sync(_extract(spark, sf_dir))
+
+
+def q_message_encode(spark, sf_dir):
+    return I.encode_messages(_extract(spark, sf_dir), source="csv", keep=("msg_offset",))
+
+
+def q_normalize_stream(spark, sf_dir):
+    return I.valid_rows(I.normalize_stream(_messages(spark, sf_dir), keep=MSG_META))
+
+
+def q_stream_rejects(spark, sf_dir):
+    return I.raw_rejects(_messages(spark, sf_dir), keep=MSG_META)
+
+
+def _valid_changes(spark, sf_dir):
+    return I.valid_rows(I.normalize_stream(_messages(spark, sf_dir), keep=("msg_offset", "partition_id", "msg_ts")))
+
+
+def q_upsert_latest(spark, sf_dir):
+    changes = _valid_changes(spark, sf_dir).withColumn("batch_id", F.lit(0).cast("long"))
+    return latest_by_key(changes, value_cols=S.RECORD_COLUMNS[1:]).select(*S.RECORD_COLUMNS)
+
+
+def q_stream_offsets(spark, sf_dir):
+    return STR.partition_progress(_valid_changes(spark, sf_dir), updated_at=AS_OF).orderBy("consumer_name", "partition_id")
+
+
+def land_envelopes(envelopes: DataFrame, path: str, batches: int = 3) -> str:
+    """Write envelopes as ``batches`` JSON files in offset order, one after
+    the other, so a file source with maxFilesPerTrigger=1 replays them in
+    arrival order. Returns the glob to stream from."""
+    lo, hi = envelopes.agg(F.min("offset"), F.max("offset")).first()
+    width = (hi - lo) // batches + 1
+    for k in range(batches):
+        chunk = envelopes.where((F.col("offset") >= lo + k * width) & (F.col("offset") < lo + (k + 1) * width))
+        chunk.coalesce(1).write.mode("overwrite").json(f"{path}/chunk-{k:05d}")
+    return f"{path}/chunk-*/*.json"
+
+
+def q_stream_replay(spark, sf_dir):
+    root = scratch_path(spark, "stream-replay")
+    glob = land_envelopes(X.to_envelopes(_messages(spark, sf_dir)), f"{root}/landing")
+    table = ChangeLogTable(spark, f"{root}/table")
+    query = STR.start_ingest(
+        STR.read_envelope_files(spark, glob, max_files_per_trigger=1), STR.StreamIngest(table), f"{root}/checkpoint"
+    )
+    query.awaitTermination()
+    return current_records(table.current_view())
+
+
+# --- ledger ---------------------------------------------------------------
+
+
+def _runs(spark, sf_dir):
+    return X.runs_from_events(X.read_events(spark, sf_dir))
+
+
+def q_run_ledger(spark, sf_dir):
+    return L.fold_runs(_runs(spark, sf_dir))
+
+
+def q_due_jobs(spark, sf_dir):
+    return L.gate(L.fold_runs(_runs(spark, sf_dir)), AS_OF, S.SYNC_INTERVAL_DAYS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "points_page": q_points_page,
     "points_filtered": q_points_filtered,
@@ -195,4 +300,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "density_classes": q_density_classes,
     "viewport_counts": q_viewport_counts,
     "lookback_extract": q_lookback_extract,
+    "grid_summary": q_grid_summary,
+    "timeseries_day": q_timeseries_day,
+    "csv_roundtrip": q_csv_roundtrip,
+    "normalize_sync": q_normalize_sync,
+    "normalize_stream": q_normalize_stream,
+    "stream_rejects": q_stream_rejects,
+    "message_encode": q_message_encode,
+    "upsert_latest": q_upsert_latest,
+    "stream_replay": q_stream_replay,
+    "stream_offsets": q_stream_offsets,
+    "run_ledger": q_run_ledger,
+    "due_jobs": q_due_jobs,
 }
