@@ -1,0 +1,74 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridpulse.operators import ingest as I
+from gridpulse.streaming.ingest import decode_envelopes
+from helpers import messages_df, message
+
+
+def test_stream_empty_latitude_kept_as_null(spark):
+    out = I.normalize_stream(messages_df(spark, [message(lat="")])).collect()
+    assert out[0].reject_reason is None and out[0].latitude is None
+
+
+@pytest.mark.parametrize(
+    "msg,reason",
+    [
+        (message(lat="abc"), "bad_latitude"),
+        (message(created="not-a-date"), "bad_created_date"),
+        (message(key=None), "missing_key"),
+        (message(lon="x1"), "bad_longitude"),
+    ],
+)
+def test_stream_rejects_with_reason(spark, msg, reason):
+    rows = [message(key="good"), msg]
+    norm = I.normalize_stream(messages_df(spark, rows), keep=("msg_offset",))
+    assert [r.unique_key for r in I.valid_rows(norm).collect()] == ["good"]
+    rej = I.raw_rejects(messages_df(spark, rows), keep=("msg_offset",)).collect()
+    assert [(r.msg_offset, r.reject_reason) for r in rej] == [(1, reason)]
+
+
+def test_stream_no_trim_no_noise_filter_source_default(spark):
+    out = I.valid_rows(I.normalize_stream(messages_df(spark, [message(ctype=" Illegal Parking ")]))).first()
+    assert out.complaint_type == " Illegal Parking " and out.source == "kafka"
+
+
+def test_broken_json_is_rejected_not_fatal(spark):
+    env = spark.createDataFrame(
+        [("t", 0, 1, dt.datetime(2024, 1, 1), '{"unique_key": "1", "latitude": "40.5", "longitude": "-74.1"}'),
+         ("t", 0, 2, dt.datetime(2024, 1, 1), '{"unique_key": "2", "lati')],
+        "topic string, partition int, offset long, timestamp timestamp_ntz, value string",
+    )
+    dec = decode_envelopes(env)
+    norm = I.normalize_stream(dec, keep=("msg_offset",), decoded=F.col("decoded"))
+    got = sorted((r.msg_offset, r.reject_reason) for r in norm.collect())
+    assert got == [(1, None), (2, "undecodable")]
+
+
+def test_sync_drops_invalid_rows(spark):
+    rows = [message(key="1", lat=""), message(key="", lat="40.5"), message(key="3", ctype="noise - x"),
+            message(key="4", ctype="  Noise - Street/Sidewalk  ")]
+    out = I.normalize_sync(messages_df(spark, rows, meta=False)).collect()
+    assert [(r.unique_key, r.complaint_type, r.source) for r in out] == [("4", "Noise - Street/Sidewalk", "socrata")]
+
+
+def test_sync_fails_on_bad_number(spark):
+    df = I.normalize_sync(messages_df(spark, [message(lat="abc")], meta=False))
+    with pytest.raises(Exception, match="cannot parse latitude"):
+        df.collect()
+
+
+def test_sync_zone_handling(spark):
+    rows = [message(key="1", created="2024-06-09T10:00:00Z"), message(key="2", created="2024-06-09T10:00:00+05:00")]
+    out = sorted((r.unique_key, r.created_date) for r in I.normalize_sync(messages_df(spark, rows, meta=False)).collect())
+    assert out == [("1", dt.datetime(2024, 6, 9, 10, 0)), ("2", dt.datetime(2024, 6, 9, 5, 0))]
+
+
+def test_encode_messages_json(spark):
+    rows = [message(key="7", ctype=" Noise - X "), message(key="8", ctype="Parking")]
+    out = I.encode_messages(messages_df(spark, rows, meta=False), source="csv").collect()
+    assert len(out) == 1
+    assert out[0].value.startswith('{"unique_key":"7","created_date":"2024-01-05T10:00:00.000","closed_date":null')
+    assert '"complaint_type":"Noise - X"' in out[0].value and out[0].value.endswith('"source":"csv"}')
