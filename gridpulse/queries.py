@@ -30,7 +30,7 @@ AS_OF = S.FIXTURE_AS_OF
 
 
 def _complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.complaints_from_events(X.read_events(spark, sf_dir))
+    return X.complaints_table(spark, sf_dir)
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ and therefore averages, are exact in any summation order.
 from __future__ import annotations
 
 import datetime as _dt
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,3 +148,37 @@ def to_envelopes(messages: DataFrame, topic: str = S.TOPIC) -> DataFrame:
         F.col("msg_ts").alias("timestamp"),
         F.to_json(F.struct(*[F.col(c) for c in S.RECORD_COLUMNS])).alias("value"),
     )
+
+
+# ---------------------------------------------------------------------------
+# The complaint table as stored data
+# ---------------------------------------------------------------------------
+
+_landed: dict[tuple[str, str], str] = {}
+_landed_lock = threading.Lock()
+
+
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        return str(id(spark))
+
+
+def complaints_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw complaint table of ``sf_dir`` as parquet, landed once per session.
+
+    Rows are sorted by created_date inside each file, so parquet min/max
+    statistics let date-bounded scans skip row groups; filters on stored
+    columns reach the scan as pushed filters.
+    """
+    from gridpulse.session import scratch_path
+
+    key = (_session_key(spark), sf_dir.rstrip("/"))
+    with _landed_lock:
+        path = _landed.get(key)
+        if path is None:
+            path = scratch_path(spark, "complaints-table")
+            complaints_from_events(read_events(spark, sf_dir)).sortWithinPartitions("created_date").write.parquet(path)
+            _landed[key] = path
+    return spark.read.schema(S.COMPLAINT_SCHEMA).parquet(path)
