@@ -62,7 +62,7 @@ def _typed_columns(dates: dict[str, Column], coords: dict[str, Column], complain
     return out
 
 
-def normalize_sync(extract: DataFrame, source: str = "socrata", keep: tuple[str, ...] = ()) -> DataFrame:
+def normalize_sync(extract: DataFrame, source: str = S.SYNC_SOURCE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scheduled-sync normalisation: validate, strip the type, parse strictly."""
     dates = {c: _strict(F.col(c), iso_timestamp(F.col(c)), c) for c in S.DATE_COLUMNS}
     coords = {c: _strict(F.col(c), text_to_double(F.col(c)), c) for c in S.COORD_COLUMNS}
@@ -73,7 +73,7 @@ def normalize_sync(extract: DataFrame, source: str = "socrata", keep: tuple[str,
     )
 
 
-def encode_messages(extract: DataFrame, source: str = "csv", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_messages(extract: DataFrame, source: str = S.PRODUCER_SOURCE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Producer: validate, strip the type, emit one JSON text per record.
 
     Values stay text (coordinates too); absent fields are written as null.
@@ -114,7 +114,7 @@ def normalize_stream(messages: DataFrame, keep: tuple[str, ...] = (), decoded: C
     return messages.select(
         *keep,
         *_typed_columns(dates, coords, F.col("complaint_type")),
-        F.coalesce(F.col("source"), F.lit("kafka")).alias("source"),
+        F.coalesce(F.col("source"), F.lit(S.STREAM_DEFAULT_SOURCE)).alias("source"),
         reject_reason(decoded).alias(REJECT_COLUMN),
     )
 

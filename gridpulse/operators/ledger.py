@@ -14,8 +14,10 @@ with a third of all events costs nothing special).
 from __future__ import annotations
 
 import datetime as _dt
+import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,29 +72,42 @@ def should_run(last_successful_at: _dt.datetime | None, as_of: _dt.datetime, int
 
 
 class RunLog:
-    """Append-only run events in a parquet folder; one tiny file per event."""
+    """Append-only run events in a parquet folder; one tiny file per event.
+
+    Events get a sequence from the wall clock in nanoseconds, kept strictly
+    increasing within the process; the fold orders by it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._seq = 0
+
+    def _next_seq(self) -> int:
+        self._seq = max(self._seq + 1, time.time_ns())
+        return self._seq
 
     def record(
         self,
         job_name: str,
-        run_seq: int,
         status: str,
         at: _dt.datetime,
         error: str | None = None,
         rows_processed: int | None = None,
+        run_seq: int | None = None,
     ) -> None:
         if status not in (RUNNING, SUCCESS, FAILED):
             raise ValueError(f"status must be running, success or failed; got {status!r}")
         error = None if error is None else error[: S.ERROR_TEXT_MAX]
-        row = [(job_name, int(run_seq), at, status, error, rows_processed)]
+        seq = self._next_seq() if run_seq is None else int(run_seq)
+        row = [(job_name, seq, at, status, error, rows_processed)]
         self.spark.createDataFrame(row, S.RUN_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
     def events(self) -> DataFrame:
-        return self.spark.read.schema(S.RUN_EVENT_SCHEMA).parquet(self.path)
+        try:
+            return self.spark.read.schema(S.RUN_EVENT_SCHEMA).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], S.RUN_EVENT_SCHEMA)
 
     def ledger(self, with_rows: bool = True) -> DataFrame:
         return fold_runs(self.events(), with_rows=with_rows)
@@ -100,17 +115,16 @@ class RunLog:
     def run(
         self,
         job_name: str,
-        run_seq: int,
         body: Callable[[], int | None],
         clock: Callable[[], _dt.datetime] = _dt.datetime.now,
     ) -> int | None:
         """Mark started, run ``body``; mark success (with its row count) or
         failed (with the error text cut to 1000 characters) and re-raise."""
-        self.record(job_name, run_seq, RUNNING, clock())
+        self.record(job_name, RUNNING, clock())
         try:
             rows = body()
         except Exception as exc:
-            self.record(job_name, run_seq + 1, FAILED, clock(), error=str(exc), rows_processed=0)
+            self.record(job_name, FAILED, clock(), error=str(exc), rows_processed=0)
             raise
-        self.record(job_name, run_seq + 1, SUCCESS, clock(), rows_processed=rows)
+        self.record(job_name, SUCCESS, clock(), rows_processed=rows)
         return rows

@@ -217,7 +217,7 @@ def q_normalize_sync(spark, sf_dir):
 
 
 def q_message_encode(spark, sf_dir):
-    return I.encode_messages(_extract(spark, sf_dir), source="csv", keep=("msg_offset",))
+    return I.encode_messages(_extract(spark, sf_dir), source=S.PRODUCER_SOURCE, keep=("msg_offset",))
 
 
 def q_normalize_stream(spark, sf_dir):

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 #   boroughs: BRONX, BROOKLYN, MANHATTAN, QUEENS, STATEN ISLAND
 #   stream consumer name / topic: noise-complaints-postgres / noise-complaints
 #   error text kept in ledgers: 1000 characters
+#   source tags: scheduled sync "socrata", producer "csv", consumer default "kafka", table default "unknown"
 # ---------------------------------------------------------------------------
 ZOOM_GRID_SIZES: dict[int, float] = {10: 0.0200, 12: 0.0100, 14: 0.0045}
 LIVE_GRID_SIZE = 0.0045
@@ -43,6 +44,10 @@ BOROUGHS = ("BRONX", "BROOKLYN", "MANHATTAN", "QUEENS", "STATEN ISLAND")
 CONSUMER_NAME = "noise-complaints-postgres"
 TOPIC = "noise-complaints"
 ERROR_TEXT_MAX = 1000
+SYNC_SOURCE = "socrata"
+PRODUCER_SOURCE = "csv"
+STREAM_DEFAULT_SOURCE = "kafka"
+TABLE_DEFAULT_SOURCE = "unknown"
 
 # Fixed "now" of the fixtures: the events cover 2024-01-01 .. 2024-01-30.
 FIXTURE_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)

@@ -142,7 +142,7 @@ def typed_from_text(records: DataFrame) -> DataFrame:
             cols.append(text_to_double(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
-    return records.select(*cols, F.coalesce(F.col("source"), F.lit("unknown")).alias("source"))
+    return records.select(*cols, F.coalesce(F.col("source"), F.lit(S.TABLE_DEFAULT_SOURCE)).alias("source"))
 
 
 def read_complaints(

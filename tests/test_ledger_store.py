@@ -53,9 +53,9 @@ def test_interval_gate(spark):
 def test_run_log_wraps_a_job(spark, scratch):
     log = L.RunLog(spark, scratch("runs"))
     clock = iter([T0 + dt.timedelta(minutes=i) for i in range(10)])
-    assert log.run("rebuild", 1, lambda: 42, clock=lambda: next(clock)) == 42
+    assert log.run("rebuild", lambda: 42, clock=lambda: next(clock)) == 42
     with pytest.raises(RuntimeError):
-        log.run("rebuild", 3, lambda: (_ for _ in ()).throw(RuntimeError("x" * 2000)), clock=lambda: next(clock))
+        log.run("rebuild", lambda: (_ for _ in ()).throw(RuntimeError("x" * 2000)), clock=lambda: next(clock))
     r = log.ledger().first()
     assert r.last_status == "failed" and len(r.last_error) == 1000 and r.last_successful_at == T0 + dt.timedelta(minutes=1)
 
