@@ -13,8 +13,8 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# <wall clock>(<zone>)? where zone is Z or +hh[[:]mm]; the wall clock must end in a time.
-_ISO_WITH_ZONE = r"^(.*[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?)([Zz]|[+-][0-9]{2}(?::?[0-9]{2})?)$"
+# A zone suffix after the time of day: Z, or +hh / +hhmm / +hh:mm (or -).
+_ZONE_SUFFIX = r"(?<=[0-9])([Zz]|[+-][0-9]{2}(?::?[0-9]{2})?)$"
 
 
 def empty_to_null(c: Column) -> Column:
@@ -22,18 +22,22 @@ def empty_to_null(c: Column) -> Column:
 
 
 def iso_timestamp(c: Column) -> Column:
-    """ISO-8601 text -> TIMESTAMP_NTZ in UTC wall time; '' and junk -> NULL."""
+    """ISO-8601 text -> TIMESTAMP_NTZ in UTC wall time; '' and junk -> NULL.
+
+    Text without a zone suffix (the common case) costs one cast; only text
+    whose time part carries Z/+/- runs the regex path, which strips the
+    suffix and subtracts the offset.
+    """
     s = empty_to_null(c)
-    zoned = s.rlike(_ISO_WITH_ZONE)
-    wall_text = F.when(zoned, F.regexp_extract(s, _ISO_WITH_ZONE, 1)).otherwise(s)
-    zone = F.when(zoned, F.regexp_extract(s, _ISO_WITH_ZONE, 2)).otherwise(F.lit(""))
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    hours = F.substring(digits, 1, 2).try_cast("int")
-    minutes = F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("int"), F.lit(0))
+    time_part = F.substring(s, 11, 64)  # after YYYY-MM-DD
+    zoned = time_part.rlike("[Zz+-]")
+    zone = F.regexp_extract(s, _ZONE_SUFFIX, 1)
     sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    offset_minutes = F.when(F.length(digits) > 0, sign * (hours * 60 + minutes)).otherwise(F.lit(0))
-    wall = wall_text.try_cast("timestamp_ntz")
-    return F.timestamp_add("MINUTE", -offset_minutes, wall)
+    hours = F.coalesce(F.substring(zone, 2, 2).try_cast("int"), F.lit(0))
+    minutes = F.coalesce(F.substring(F.regexp_replace(zone, ":", ""), 4, 2).try_cast("int"), F.lit(0))
+    wall = F.regexp_replace(s, _ZONE_SUFFIX, "").try_cast("timestamp_ntz")
+    shifted = F.timestamp_add("MINUTE", -sign * (hours * 60 + minutes), wall)
+    return F.when(zoned, shifted).otherwise(s.try_cast("timestamp_ntz"))
 
 
 def text_to_double(c: Column) -> Column:

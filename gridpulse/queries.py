@@ -34,11 +34,11 @@ def _complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.messages_from_events(X.read_events(spark, sf_dir))
+    return X.messages_table(spark, sf_dir)
 
 
 def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.extract_from_events(X.read_events(spark, sf_dir))
+    return X.extract_table(spark, sf_dir)
 
 
 def _grid_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +268,7 @@ def q_stream_replay(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    return X.runs_from_events(X.read_events(spark, sf_dir))
+    return X.runs_table(spark, sf_dir)
 
 
 def q_run_ledger(spark, sf_dir):
