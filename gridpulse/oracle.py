@@ -309,6 +309,14 @@ WHERE {PUBLISH_FILTER}""",
   cross_street_1 := CAST(NULL AS VARCHAR), cross_street_2 := CAST(NULL AS VARCHAR), location_type := CAST(NULL AS VARCHAR),
   latitude := latitude, longitude := longitude, source := 'csv')) AS value
 FROM extract
+WHERE {PUBLISH_FILTER}""",
+        "csv_stream_publish": with_ctes(EXTRACT_CTE)
+        + f"""SELECT to_json(struct_pack(unique_key := COALESCE(unique_key, ''), created_date := COALESCE(created_date, ''),
+  closed_date := '', agency := '', agency_name := '', complaint_type := {STRIP.format(c="complaint_type")},
+  descriptor := '', status := '', borough := '', city := '', incident_zip := '', incident_address := '',
+  street_name := '', cross_street_1 := '', cross_street_2 := '', location_type := '',
+  latitude := COALESCE(latitude, ''), longitude := COALESCE(longitude, ''), source := 'csv')) AS value
+FROM extract
 WHERE {PUBLISH_FILTER}""",
         "normalize_stream": with_ctes(MESSAGES_CTE, PARSED_CTE, VALID_CTE)
         + f"SELECT msg_offset, partition_id, {RECORD_COLS_SQL} FROM valid",

@@ -25,6 +25,7 @@ from gridpulse.sources import connectors as C
 from gridpulse.sources import fixtures as X
 from gridpulse.sources.store import VersionedStore
 from gridpulse.streaming import ingest as STR
+from gridpulse.streaming import producer as PUB
 
 AS_OF = S.FIXTURE_AS_OF
 
@@ -241,29 +242,49 @@ def q_stream_offsets(spark, sf_dir):
     return STR.partition_progress(_valid_changes(spark, sf_dir), updated_at=AS_OF).orderBy("consumer_name", "partition_id")
 
 
-def land_envelopes(envelopes: DataFrame, path: str, batches: int = 3) -> str:
-    """Write envelopes as ``batches`` JSON files in offset order, one after
-    the other, so a file source with maxFilesPerTrigger=1 replays them in
-    arrival order. Returns the glob to stream from."""
+def land_envelopes(envelopes: DataFrame, path: str, batches: int = 3, files_per_batch: int = 1) -> str:
+    """Land envelopes as ``batches`` consecutive offset ranges, written one
+    after the other, each as ``files_per_batch`` files (fewer for tiny ranges).
+
+    Returns the glob to stream from. Read with maxFilesPerTrigger equal to
+    ``files_per_batch``, the file source replays the ranges in arrival order,
+    one range per micro-batch.
+    """
     lo, hi = envelopes.agg(F.min("offset"), F.max("offset")).first()
     width = (hi - lo) // batches + 1
     for k in range(batches):
         chunk = envelopes.where((F.col("offset") >= lo + k * width) & (F.col("offset") < lo + (k + 1) * width))
-        chunk.coalesce(1).write.mode("overwrite").json(f"{path}/chunk-{k:05d}")
+        n = min(files_per_batch, width)
+        chunk.repartitionByRange(n, "offset").write.mode("overwrite").json(f"{path}/chunk-{k:05d}")
     return f"{path}/chunk-*/*.json"
 
 
+REPLAY_BATCHES = 3
+REPLAY_FILES_PER_BATCH = 8
+
+
 def q_stream_replay(spark, sf_dir):
     root = scratch_path(spark, "stream-replay")
-    glob = land_envelopes(X.to_envelopes(_messages(spark, sf_dir)), f"{root}/landing")
+    files = REPLAY_FILES_PER_BATCH
+    glob = land_envelopes(X.to_envelopes(_messages(spark, sf_dir)), f"{root}/landing", REPLAY_BATCHES, files)
     table = ChangeLogTable(spark, f"{root}/table")
     query = STR.start_ingest(
-        STR.read_envelope_files(spark, glob, max_files_per_trigger=1), STR.StreamIngest(table), f"{root}/checkpoint"
+        STR.read_envelope_files(spark, glob, max_files_per_trigger=files), STR.StreamIngest(table), f"{root}/checkpoint"
     )
     query.awaitTermination()
     return current_records(table.current_view())
 
 
+def q_csv_stream_publish(spark, sf_dir):
+    """CSV snapshot of the extract -> streaming producer -> published JSON values."""
+    root = scratch_path(spark, "csv-publish")
+    C.write_csv(_extract(spark, sf_dir).select(*S.BUSINESS_COLUMNS), f"{root}/snapshot")
+    publisher = PUB.FilePublisher(f"{root}/topic")
+    query = PUB.start_file_publisher(PUB.read_csv_stream(spark, f"{root}/snapshot"), publisher, f"{root}/checkpoint")
+    query.awaitTermination()
+    return publisher.published(spark).select("value")
+
+
 # --- ledger ---------------------------------------------------------------
 
 
@@ -309,6 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "message_encode": q_message_encode,
     "upsert_latest": q_upsert_latest,
     "stream_replay": q_stream_replay,
+    "csv_stream_publish": q_csv_stream_publish,
     "stream_offsets": q_stream_offsets,
     "run_ledger": q_run_ledger,
     "due_jobs": q_due_jobs,

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gridpulse import schema as S
-from gridpulse.operators.ingest import REJECT_COLUMN, normalize_stream, raw_rejects
+from gridpulse.operators.ingest import RAW_REJECT_COLUMNS, REJECT_COLUMN, normalize_stream
 from gridpulse.operators.upsert import ChangeLogTable
 
 ENVELOPE_SCHEMA = T.StructType(
@@ -79,20 +79,24 @@ def read_kafka(
     )
 
 
-def decoded_flag() -> Column:
-    """True when ``value`` is a readable JSON object."""
-    return F.json_object_keys(F.col("value")).isNotNull()
+_CORRUPT = "_corrupt_record"
+_DECODE_SCHEMA = T.StructType(list(S.MESSAGE_SCHEMA.fields) + [T.StructField(_CORRUPT, T.StringType(), True)])
 
 
 def decode_envelopes(envelopes: DataFrame) -> DataFrame:
-    """Envelope -> message columns (all text) + metadata + ``decoded`` flag."""
-    msg = F.from_json(F.col("value"), S.MESSAGE_SCHEMA)
-    return envelopes.select(
+    """Envelope -> message columns (all text) + metadata + ``decoded`` flag.
+
+    One JSON parse per message: text that is not a JSON object lands in the
+    corrupt-record field instead of failing the batch, and marks the
+    message undecodable.
+    """
+    msg = F.from_json(F.col("value"), _DECODE_SCHEMA, {"columnNameOfCorruptRecord": _CORRUPT})
+    return envelopes.select("offset", "partition", "timestamp", "value", msg.alias("_m")).select(
         F.col("offset").alias("msg_offset"),
         F.col("partition").alias("partition_id"),
         F.col("timestamp").alias("msg_ts"),
-        decoded_flag().alias("decoded"),
-        *[msg[c].alias(c) for c in S.RECORD_COLUMNS],
+        (F.col("value").isNotNull() & F.col(f"_m.{_CORRUPT}").isNull()).alias("decoded"),
+        *[F.col(f"_m.{c}").alias(c) for c in S.RECORD_COLUMNS],
     )
 
 
@@ -143,18 +147,26 @@ class StreamIngest:
         self.topic = topic
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_envelopes(batch).persist()
+        # Parse each message once: the normalised batch (typed values, reject
+        # reason, and the raw text the rejects report) is cached, and the
+        # three outputs are filters over the cache.
+        decoded = decode_envelopes(batch)
+        raw = [F.col(c).alias(f"raw_{c}") for c in RAW_REJECT_COLUMNS]
+        normalized = normalize_stream(
+            decoded.select("*", *raw), keep=_META + tuple(f"raw_{c}" for c in RAW_REJECT_COLUMNS), decoded=F.col("decoded")
+        ).persist()
         try:
-            stamp = F.localtimestamp()
-            normalized = normalize_stream(decoded, keep=_META, decoded=F.col("decoded"))
-            valid = normalized.where(F.col(REJECT_COLUMN).isNull()).drop(REJECT_COLUMN)
+            reason = F.col(REJECT_COLUMN)
+            valid = normalized.where(reason.isNull()).drop(REJECT_COLUMN, *[f"raw_{c}" for c in RAW_REJECT_COLUMNS])
             self.table.append_batch(valid, batch_id)
-            rejects = raw_rejects(decoded, keep=_META, decoded=F.col("decoded"))
+            rejects = normalized.where(reason.isNotNull()).select(
+                *_META, *[F.col(f"raw_{c}").alias(c) for c in RAW_REJECT_COLUMNS], REJECT_COLUMN
+            )
             rejects.write.mode("overwrite").parquet(f"{self.table.root}/rejects/batch_id={batch_id}")
-            progress = partition_progress(valid, self.consumer_name, self.topic, stamp)
+            progress = partition_progress(valid, self.consumer_name, self.topic, F.localtimestamp())
             progress.write.mode("overwrite").parquet(f"{self.table.root}/offsets/batch_id={batch_id}")
         finally:
-            decoded.unpersist()
+            normalized.unpersist()
 
     def rejects(self) -> DataFrame:
         return self.table.spark.read.parquet(f"{self.table.root}/rejects")

@@ -72,3 +72,19 @@ def test_offsets_skip_malformed(spark):
     valid = _valid(spark, rows)
     out = STR.partition_progress(valid, updated_at=dt.datetime(2024, 1, 31)).collect()
     assert [(r.partition_id, r.last_offset) for r in out] == [(0, 5)]
+
+
+def test_csv_producer_stream(spark, scratch):
+    from gridpulse.sources import connectors as C
+    from gridpulse.streaming import producer as PUB
+
+    root = scratch("producer")
+    rows = [message(key="1", ctype=" Noise - X "), message(key="2", lat=""), message(key="3", ctype="Parking"),
+            message(key="4", created="")]
+    C.write_csv(messages_df(spark, rows, meta=False).select(*S.BUSINESS_COLUMNS), f"{root}/snap")
+    pub = PUB.FilePublisher(f"{root}/topic")
+    PUB.start_file_publisher(PUB.read_csv_stream(spark, f"{root}/snap"), pub, f"{root}/ckpt").awaitTermination()
+    values = sorted(r.value for r in pub.published(spark).collect())
+    assert len(values) == 2
+    assert '"complaint_type":"Noise - X"' in values[0] and '"closed_date":""' in values[0]
+    assert '"unique_key":"4","created_date":""' in values[1] and values[1].endswith('"source":"csv"}')
