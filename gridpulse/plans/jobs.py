@@ -27,7 +27,7 @@ from gridpulse.operators import rollups as R
 from gridpulse.operators.ingest import normalize_sync
 from gridpulse.operators.ledger import RunLog, should_run
 from gridpulse.operators.upsert import ChangeLogTable
-from gridpulse.sources.connectors import write_csv, write_single_csv
+from gridpulse.sources.connectors import JdbcConfig, read_csv, write_csv, write_jdbc, write_single_csv
 from gridpulse.sources.store import VersionedStore
 
 # Job names in the ledgers.
@@ -107,6 +107,16 @@ def scheduled_sync(
     return run_log.run(SYNC_JOB, body, clock=clock)
 
 
+def jdbc_sink(cfg: JdbcConfig, table: str, batch_size: int = 500) -> Callable[[DataFrame], None]:
+    """Overwrite a database table in place (``truncate``), in batches."""
+    return lambda df: write_jdbc(df, cfg, table, mode="overwrite", batch_size=batch_size, truncate=True)
+
+
+def store_sink(store: VersionedStore, partition_by: str | None = None, published_at: _dt.datetime | None = None):
+    """Publish a new version of a parquet store."""
+    return lambda df: store.publish(df, partition_by=partition_by, published_at=published_at)
+
+
 def offline_grid_job(complaints: DataFrame, write: Callable[[DataFrame], None]) -> None:
     """Offline grid layers (contains_ci rule, no refreshed_at) to any sink."""
     write(R.grid_rollups(complaints, noise="contains_ci"))
@@ -122,6 +132,13 @@ def type_counts_report(complaints: DataFrame, path: str) -> None:
     write_single_csv(R.type_counts(complaints), path, sort_by=[F.desc("count"), F.asc_nulls_first("complaint_type")])
 
 
-def grid_500m_report(complaints: DataFrame, path: str) -> None:
-    """The unfiltered 0.0045-degree cell report as multi-part CSV."""
-    write_csv(R.grid_500m(complaints), path)
+def grid_500m_report(
+    complaints: DataFrame, path: str, jdbc: JdbcConfig | None = None, table: str = "grid_summary_500m"
+) -> None:
+    """The unfiltered 0.0045-degree cell report as multi-part CSV, and
+    optionally the same cells overwriting a database table (read back from
+    the CSV just written, so the aggregation runs once)."""
+    cells = R.grid_500m(complaints)
+    write_csv(cells, path)
+    if jdbc is not None:
+        jdbc_sink(jdbc, table)(read_csv(complaints.sparkSession, path, cells.schema))

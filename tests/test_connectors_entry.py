@@ -63,3 +63,12 @@ def test_oracle_agrees_at_sf0001(spark, key):
     cols = sorted(got.columns)
     norm = lambda pdf: sorted(map(repr, pdf[cols].astype(object).where(pdf[cols].notna(), None).itertuples(index=False)))
     assert norm(got) == norm(want)
+
+
+def test_cluster_conf_sizes_partitions():
+    from gridpulse.session import cluster_conf
+
+    big = cluster_conf(100 * 10**12, 8000)
+    assert big["spark.sql.shuffle.partitions"] == "100000" and big["spark.sql.adaptive.enabled"] == "true"
+    small = cluster_conf(10**9, 64)
+    assert small["spark.sql.shuffle.partitions"] == "128"
