@@ -51,6 +51,40 @@ def latest_by_key(
     )
 
 
+# A tail's distinct keys are broadcast only below this many bytes (measured).
+BROADCAST_KEY_BYTES = 256 << 20
+
+
+def merge_latest(
+    base: DataFrame,
+    tail: DataFrame,
+    key: str = "unique_key",
+    order_cols: tuple[str, ...] = ORDER_COLUMNS,
+    broadcast_key_bytes: int = BROADCAST_KEY_BYTES,
+) -> DataFrame:
+    """Current view of a compacted ``base`` (one row per key) plus newer changes.
+
+    Only keys present in ``tail`` can change. Their distinct set is measured
+    first (count and total key bytes, one small job); if it fits under
+    ``broadcast_key_bytes`` it is broadcast, base rows of untouched keys pass
+    through a map-side anti join (no shuffle of the base), and only the tail
+    plus the touched base rows are shuffled into ``max_by``. Otherwise the
+    whole union is merged by key, which shuffles the base too.
+    """
+    value_cols = tuple(c for c in base.columns if c != key)
+    keys = tail.select(key).distinct()
+    n_keys, key_bytes = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(key)), F.lit(0))).first()
+    if n_keys == 0:
+        return base
+    # per-key overhead of a broadcast hash relation, on top of the key bytes
+    if key_bytes + 64 * n_keys > broadcast_key_bytes:
+        return latest_by_key(base.unionByName(tail), key, order_cols, value_cols).select(*base.columns)
+    touched = F.broadcast(keys)
+    unchanged = base.join(touched, key, "left_anti")
+    changed = latest_by_key(base.join(touched, key, "left_semi").unionByName(tail), key, order_cols, value_cols)
+    return unchanged.unionByName(changed.select(*base.columns))
+
+
 LOG_SCHEMA = T.StructType(
     [
         T.StructField("msg_offset", T.LongType(), True),
@@ -102,9 +136,17 @@ class ChangeLogTable:
         version, watermark = current
         return self.base.read(version).unionByName(self.log(after_batch=watermark))
 
-    def current_view(self) -> DataFrame:
-        view = latest_by_key(self.changes(), value_cols=tuple(c for c in _LOG_COLUMNS if c != "unique_key"))
-        return view.select(*_LOG_COLUMNS)
+    def current_view(self, broadcast_key_bytes: int = BROADCAST_KEY_BYTES) -> DataFrame:
+        """Latest row per key: the log alone, or the compacted base merged
+        with the log tail after its watermark (see ``merge_latest``)."""
+        current = self.base.latest()
+        if current is None:
+            view = latest_by_key(self.log(), value_cols=tuple(c for c in _LOG_COLUMNS if c != "unique_key"))
+            return view.select(*_LOG_COLUMNS)
+        version, watermark = current
+        base = self.base.read(version).select(*_LOG_COLUMNS)
+        tail = self.log(after_batch=watermark).select(*_LOG_COLUMNS)
+        return merge_latest(base, tail, broadcast_key_bytes=broadcast_key_bytes)
 
     def compact(self) -> int:
         """Fold the log into a new published base version."""

@@ -242,20 +242,28 @@ def q_stream_offsets(spark, sf_dir):
     return STR.partition_progress(_valid_changes(spark, sf_dir), updated_at=AS_OF).orderBy("consumer_name", "partition_id")
 
 
-def land_envelopes(envelopes: DataFrame, path: str, batches: int = 3, files_per_batch: int = 1) -> str:
-    """Land envelopes as ``batches`` consecutive offset ranges, written one
-    after the other, each as ``files_per_batch`` files (fewer for tiny ranges).
-
-    Returns the glob to stream from. Read with maxFilesPerTrigger equal to
-    ``files_per_batch``, the file source replays the ranges in arrival order,
-    one range per micro-batch.
-    """
+def offset_chunks(envelopes: DataFrame, batches: int) -> list[DataFrame]:
+    """Split envelopes into ``batches`` consecutive offset ranges."""
     lo, hi = envelopes.agg(F.min("offset"), F.max("offset")).first()
     width = (hi - lo) // batches + 1
-    for k in range(batches):
-        chunk = envelopes.where((F.col("offset") >= lo + k * width) & (F.col("offset") < lo + (k + 1) * width))
-        n = min(files_per_batch, width)
-        chunk.repartitionByRange(n, "offset").write.mode("overwrite").json(f"{path}/chunk-{k:05d}")
+    return [
+        envelopes.where((F.col("offset") >= lo + k * width) & (F.col("offset") < lo + (k + 1) * width))
+        for k in range(batches)
+    ]
+
+
+def land_chunk(chunk: DataFrame, path: str, k: int, files: int = 1) -> None:
+    """Land one offset range as ``files`` JSON files under ``chunk-<k>``."""
+    chunk.repartitionByRange(files, "offset").write.mode("overwrite").json(f"{path}/chunk-{k:05d}")
+
+
+def land_envelopes(envelopes: DataFrame, path: str, batches: int = 3, files_per_batch: int = 1) -> str:
+    """Land envelopes as ``batches`` consecutive offset ranges, written one
+    after the other. Returns the glob to stream from; read with
+    maxFilesPerTrigger = ``files_per_batch``, the file source replays the
+    ranges in arrival order, one range per micro-batch."""
+    for k, chunk in enumerate(offset_chunks(envelopes, batches)):
+        land_chunk(chunk, path, k, files_per_batch)
     return f"{path}/chunk-*/*.json"
 
 
@@ -264,14 +272,25 @@ REPLAY_FILES_PER_BATCH = 8
 
 
 def q_stream_replay(spark, sf_dir):
+    """Replay a captured topic through the consumer stream, with a restart:
+    the first ranges are streamed, the log is compacted into a base, the
+    last range arrives, and the stream resumes from its checkpoint. The
+    answer is the current view (compacted base merged with the log tail)."""
     root = scratch_path(spark, "stream-replay")
-    files = REPLAY_FILES_PER_BATCH
-    glob = land_envelopes(X.to_envelopes(_messages(spark, sf_dir)), f"{root}/landing", REPLAY_BATCHES, files)
+    landing, files = f"{root}/landing", REPLAY_FILES_PER_BATCH
+    chunks = offset_chunks(X.to_envelopes(_messages(spark, sf_dir)), REPLAY_BATCHES)
     table = ChangeLogTable(spark, f"{root}/table")
-    query = STR.start_ingest(
-        STR.read_envelope_files(spark, glob, max_files_per_trigger=files), STR.StreamIngest(table), f"{root}/checkpoint"
-    )
-    query.awaitTermination()
+
+    def drain() -> None:
+        stream = STR.read_envelope_files(spark, f"{landing}/chunk-*/*.json", max_files_per_trigger=files)
+        STR.start_ingest(stream, STR.StreamIngest(table), f"{root}/checkpoint").awaitTermination()
+
+    for k, chunk in enumerate(chunks[:-1]):
+        land_chunk(chunk, landing, k, files)
+    drain()
+    table.compact()
+    land_chunk(chunks[-1], landing, len(chunks) - 1, files)
+    drain()
     return current_records(table.current_view())
 
 

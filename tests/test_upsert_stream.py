@@ -88,3 +88,23 @@ def test_csv_producer_stream(spark, scratch):
     assert len(values) == 2
     assert '"complaint_type":"Noise - X"' in values[0] and '"closed_date":""' in values[0]
     assert '"unique_key":"4","created_date":""' in values[1] and values[1].endswith('"source":"csv"}')
+
+
+def test_merge_latest_broadcast_and_fallback_agree(spark, scratch):
+    import contextlib
+    import io
+
+    from gridpulse.operators.upsert import merge_latest
+
+    table = ChangeLogTable(spark, scratch("merge"))
+    table.append_batch(_valid(spark, [message(key=str(i), lat=f"40.{i}") for i in range(1, 9)]), 0)
+    table.compact()
+    table.append_batch(_valid(spark, [message(key="3", lat=""), message(key="42", lat="40.42")]), 1)
+    fast = {r.unique_key: r.latitude for r in table.current_view().collect()}
+    slow = {r.unique_key: r.latitude for r in table.current_view(broadcast_key_bytes=0).collect()}
+    assert fast == slow and fast["3"] is None and fast["42"] == 40.42 and len(fast) == 9
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        table.current_view().explain()
+    plan = buf.getvalue()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
