@@ -2,7 +2,7 @@
 
 from gridpulse.functions.geo import grid_bucket, is_finite
 from gridpulse.functions.noise import NOISE_RULES, noise_rule, py_strip
-from gridpulse.functions.parse import empty_to_null, iso_timestamp, parse_iso_param, text_to_double
+from gridpulse.functions.parse import empty_to_null, iso_timestamp, ntz_lit, parse_iso_param, text_to_double
 from gridpulse.functions.timebuckets import time_bucket
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "is_finite",
     "iso_timestamp",
     "noise_rule",
+    "ntz_lit",
     "parse_iso_param",
     "py_strip",
     "text_to_double",

@@ -40,6 +40,18 @@ def iso_timestamp(c: Column) -> Column:
     return F.when(zoned, shifted).otherwise(s.try_cast("timestamp_ntz"))
 
 
+def ntz_lit(value: _dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal with exactly this wall-clock time.
+
+    ``F.lit(datetime)`` makes a session-zone TIMESTAMP from the Python
+    process's zone; casting it shifts the value whenever the two zones
+    differ. Going through ISO text is zone-free.
+    """
+    if value.tzinfo is not None:
+        value = value.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def text_to_double(c: Column) -> Column:
     """Decimal text -> double; '' -> NULL; junk -> NULL (callers decide skip/fail)."""
     return empty_to_null(c).try_cast("double")

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridpulse import schema as S
-from gridpulse.functions import is_finite, parse_iso_param
+from gridpulse.functions import is_finite, ntz_lit, parse_iso_param
 
 
 @dataclass(frozen=True)
@@ -97,9 +97,9 @@ def date_predicates(start: _dt.datetime | None, end: _dt.datetime | None, col: s
     """Inclusive at both ends; NULL dates drop out once a bound is given."""
     preds = []
     if start is not None:
-        preds.append(F.col(col) >= F.lit(start).cast("timestamp_ntz"))
+        preds.append(F.col(col) >= ntz_lit(start))
     if end is not None:
-        preds.append(F.col(col) <= F.lit(end).cast("timestamp_ntz"))
+        preds.append(F.col(col) <= ntz_lit(end))
     return preds
 
 
@@ -132,7 +132,7 @@ def finite_coords(lat: str = "lat", lon: str = "lon") -> Column:
 
 def lookback(as_of: _dt.datetime, days: int = S.LOOKBACK_DAYS, col: str = "created_date") -> Column:
     """``created_date >= as_of - days``; ``as_of`` is an argument, never the clock."""
-    return F.col(col) >= F.lit(as_of - _dt.timedelta(days=days)).cast("timestamp_ntz")
+    return F.col(col) >= ntz_lit(as_of - _dt.timedelta(days=days))
 
 
 # ---------------------------------------------------------------------------

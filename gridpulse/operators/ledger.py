@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse import schema as S
+from gridpulse.functions import ntz_lit
 
 RUNNING, SUCCESS, FAILED = "running", "success", "failed"
 
@@ -56,7 +57,7 @@ def fold_runs(events: DataFrame, with_rows: bool = True) -> DataFrame:
 
 def gate(ledger: DataFrame, as_of: _dt.datetime, interval_days: int = S.SYNC_INTERVAL_DAYS) -> DataFrame:
     """Every job with its gate: due if never succeeded or last success <= as_of - interval."""
-    threshold = F.lit(as_of - _dt.timedelta(days=interval_days)).cast("timestamp_ntz")
+    threshold = ntz_lit(as_of - _dt.timedelta(days=interval_days))
     last = F.col("last_successful_at")
     return ledger.select("job_name", "last_successful_at", (last.isNull() | (last <= threshold)).alias("due"))
 

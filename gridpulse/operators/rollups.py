@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse import schema as S
-from gridpulse.functions import grid_bucket, noise_rule, time_bucket
+from gridpulse.functions import grid_bucket, noise_rule, ntz_lit, time_bucket
 from gridpulse.operators.filters import all_of, coords_present
 
 
 def _ts(value: _dt.datetime) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
+    return ntz_lit(value)
 
 
 def _zoom_levels(zooms: dict[int, float]) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse import schema as S
+from gridpulse.functions import ntz_lit
 from gridpulse.sources.store import VersionedStore
 
 # Total order of changes: later batch, then message time, partition, offset.
@@ -111,7 +112,7 @@ class ChangeLogTable:
 
     def append_batch(self, changes: DataFrame, batch_id: int, ingested_at: _dt.datetime | None = None) -> None:
         """Write one micro-batch of normalised changes (idempotent per id)."""
-        stamp = F.lit(ingested_at).cast("timestamp_ntz") if ingested_at else F.localtimestamp()
+        stamp = ntz_lit(ingested_at) if ingested_at else F.localtimestamp()
         present = set(changes.columns)
         cols = [
             F.col(c) if c in present else F.lit(None).cast(LOG_SCHEMA[c].dataType).alias(c)

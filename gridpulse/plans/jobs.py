@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridpulse import schema as S
-from gridpulse.functions import iso_timestamp, noise_rule
+from gridpulse.functions import iso_timestamp, noise_rule, ntz_lit
 from gridpulse.operators import rollups as R
 from gridpulse.operators.ingest import normalize_sync
 from gridpulse.operators.ledger import RunLog, should_run
@@ -68,7 +68,7 @@ def rebuild_rollups(
 def extract_since(extract: DataFrame, as_of: _dt.datetime, days: int = S.LOOKBACK_DAYS) -> DataFrame:
     """The sync's source predicate on landed text rows: type like 'Noise%',
     coordinates present, created_date >= as_of - days."""
-    since = F.lit(as_of - _dt.timedelta(days=days)).cast("timestamp_ntz")
+    since = ntz_lit(as_of - _dt.timedelta(days=days))
     return extract.where(
         noise_rule("like_prefix")
         & F.col("latitude").isNotNull()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse import schema as S
+from gridpulse.functions import ntz_lit
 
 _EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "props"]
 
@@ -76,7 +77,7 @@ def complaints_from_events(events: DataFrame, as_of: _dt.datetime = S.FIXTURE_AS
         F.when(eid % 97 == 0, _null("double")).otherwise(lat).alias("latitude"),
         F.when(eid % 89 == 0, _null("double")).otherwise(lon).alias("longitude"),
         F.lit("csv").alias("source"),
-        F.lit(as_of).cast("timestamp_ntz").alias("ingested_at"),
+        ntz_lit(as_of).alias("ingested_at"),
     )
 
 
@@ -165,6 +166,13 @@ def _session_key(spark: SparkSession) -> str:
         return str(id(spark))
 
 
+def _parallelism(spark: SparkSession) -> int:
+    try:
+        return max(1, spark.sparkContext.defaultParallelism)
+    except Exception:  # Spark Connect: no SparkContext
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+
+
 def _landed_table(spark: SparkSession, sf_dir: str, name: str, build, sort_col: str, schema=None) -> DataFrame:
     """Write the adapter output of ``name`` once per session; read it back."""
     from gridpulse.session import scratch_path
@@ -174,7 +182,7 @@ def _landed_table(spark: SparkSession, sf_dir: str, name: str, build, sort_col:
         path = _landed.get(key)
         if path is None:
             path = scratch_path(spark, f"{name}-table")
-            files = max(1, spark.sparkContext.defaultParallelism)
+            files = _parallelism(spark)
             # range-partitioned on the sort column: disjoint ranges per file,
             # so min/max statistics skip whole files for range predicates
             rows = build(read_events(spark, sf_dir)).repartitionByRange(files, sort_col).sortWithinPartitions(sort_col)

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gridpulse import schema as S
+from gridpulse.functions import ntz_lit
 from gridpulse.operators.ingest import RAW_REJECT_COLUMNS, REJECT_COLUMN, normalize_stream
 from gridpulse.operators.upsert import ChangeLogTable
 
@@ -109,7 +110,7 @@ def partition_progress(
     """Per partition: last offset of a VALID message and that message's
     created_date (not the max); skipped messages do not advance it."""
     stamp = updated_at if isinstance(updated_at, Column) else (
-        F.lit(updated_at).cast("timestamp_ntz") if updated_at else F.localtimestamp()
+        ntz_lit(updated_at) if updated_at else F.localtimestamp()
     )
     last = F.max_by(F.struct("msg_offset", "created_date", "msg_ts"), "msg_offset")
     return (

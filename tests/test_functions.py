@@ -96,3 +96,15 @@ def test_parse_iso_param():
     assert parse_iso_param("2024-06-09T10:00:00+05:00") == dt.datetime(2024, 6, 9, 5, 0)
     with pytest.raises(ValueError):
         parse_iso_param("yesterday")
+
+
+def test_ntz_literals_ignore_session_zone(spark):
+    from gridpulse.functions import ntz_lit
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        got = spark.range(1).select(ntz_lit(dt.datetime(2024, 1, 31, 0, 0, 0)).alias("t")).first().t
+        assert got == dt.datetime(2024, 1, 31, 0, 0, 0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
