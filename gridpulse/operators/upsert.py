@@ -5,7 +5,8 @@ column (a newer NULL overwrites an older value) with no timestamp
 comparison, so the last write wins. Here the table is
 
 * an append-only change log, one directory per micro-batch
-  (``log/batch=<id>``, rewritten whole on retry, hence idempotent), plus
+  (``log/batch_id=<id>``, rewritten whole on retry, hence idempotent,
+  visible once its commit marker is written), plus
 * an optional compacted base (a published version of the current view,
   with the last batch it folded in as watermark).
 
@@ -110,8 +111,25 @@ class ChangeLogTable:
     def batch_path(self, batch_id: int) -> str:
         return f"{self.root}/log/batch_id={batch_id}"
 
-    def append_batch(self, changes: DataFrame, batch_id: int, ingested_at: _dt.datetime | None = None) -> None:
-        """Write one micro-batch of normalised changes (idempotent per id)."""
+    def commit_batch(self, batch_id: int) -> None:
+        """Make batches up to ``batch_id`` visible (written after all outputs)."""
+        marker = self.spark.createDataFrame([(int(batch_id),)], "batch_id long")
+        marker.coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
+
+    def committed_through(self) -> int | None:
+        """Highest committed batch id (batches commit in order), or None."""
+        try:
+            return self.spark.read.schema("batch_id long").parquet(f"{self.root}/_commits").agg(F.max("batch_id")).first()[0]
+        except AnalysisException:
+            return None
+
+    def append_batch(
+        self, changes: DataFrame, batch_id: int, ingested_at: _dt.datetime | None = None, commit: bool = True
+    ) -> None:
+        """Write one micro-batch of normalised changes (idempotent per id).
+
+        With ``commit`` the batch becomes visible at once; a caller with more
+        outputs per batch commits after writing all of them."""
         stamp = ntz_lit(ingested_at) if ingested_at else F.localtimestamp()
         present = set(changes.columns)
         cols = [
@@ -121,12 +139,16 @@ class ChangeLogTable:
         ]
         out = changes.select(*cols, stamp.alias("ingested_at"))
         out.write.mode("overwrite").parquet(self.batch_path(batch_id))
+        if commit:
+            self.commit_batch(batch_id)
 
     def log(self, after_batch: int | None = None) -> DataFrame:
-        try:
-            df = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log")
-        except AnalysisException:
+        """Committed log batches (optionally only those after ``after_batch``);
+        a batch folder without its commit marker is not read."""
+        committed = self.committed_through()
+        if committed is None:
             return self.spark.createDataFrame([], LOG_SCHEMA)
+        df = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log").where(F.col("batch_id") <= F.lit(committed))
         return df if after_batch is None else df.where(F.col("batch_id") > F.lit(after_batch))
 
     def changes(self) -> DataFrame:
@@ -151,8 +173,7 @@ class ChangeLogTable:
 
     def compact(self) -> int:
         """Fold the log into a new published base version."""
-        log = self.log()
-        top = log.agg(F.max("batch_id")).first()[0]
+        top = self.committed_through()
         if top is None:
             current = self.base.latest()
             return current[0] if current else 0

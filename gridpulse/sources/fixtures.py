@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from gridpulse import schema as S
 from gridpulse.functions import ntz_lit
 
-_EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "props"]
-
-
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
@@ -173,7 +170,9 @@ def _parallelism(spark: SparkSession) -> int:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def _landed_table(spark: SparkSession, sf_dir: str, name: str, build, sort_col: str, schema=None) -> DataFrame:
+def _landed_table(
+    spark: SparkSession, sf_dir: str, name: str, build, sort_col: str, tie_break: str, schema=None
+) -> DataFrame:
     """Write the adapter output of ``name`` once per session; read it back."""
     from gridpulse.session import scratch_path
 
@@ -183,9 +182,12 @@ def _landed_table(spark: SparkSession, sf_dir: str, name: str, build, sort_col:
         if path is None:
             path = scratch_path(spark, f"{name}-table")
             files = _parallelism(spark)
-            # range-partitioned on the sort column: disjoint ranges per file,
-            # so min/max statistics skip whole files for range predicates
-            rows = build(read_events(spark, sf_dir)).repartitionByRange(files, sort_col).sortWithinPartitions(sort_col)
+            # range-partitioned on the sort column: disjoint ranges per file, so
+            # min/max statistics skip whole files for range predicates; the
+            # unique tie-break lets a value held by a third of all rows span
+            # several files instead of landing in one task
+            rows = build(read_events(spark, sf_dir))
+            rows = rows.repartitionByRange(files, sort_col, tie_break).sortWithinPartitions(sort_col, tie_break)
             rows.write.parquet(path)
             _landed[key] = path
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -199,19 +201,19 @@ def complaints_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     min/max statistics let date-bounded scans skip files and row groups;
     filters on stored columns reach the scan as pushed filters.
     """
-    return _landed_table(spark, sf_dir, "complaints", complaints_from_events, "created_date", S.COMPLAINT_SCHEMA)
+    return _landed_table(spark, sf_dir, "complaints", complaints_from_events, "created_date", "unique_key", S.COMPLAINT_SCHEMA)
 
 
 def messages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The captured message topic (text fields + offsets), landed once per session."""
-    return _landed_table(spark, sf_dir, "messages", messages_from_events, "msg_offset")
+    return _landed_table(spark, sf_dir, "messages", messages_from_events, "msg_offset", "partition_id")
 
 
 def extract_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landed API extract (text rows), landed once per session."""
-    return _landed_table(spark, sf_dir, "extract", extract_from_events, "msg_offset")
+    return _landed_table(spark, sf_dir, "extract", extract_from_events, "msg_offset", "partition_id")
 
 
 def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run-event log, landed once per session."""
-    return _landed_table(spark, sf_dir, "runs", runs_from_events, "run_seq", S.RUN_EVENT_SCHEMA)
+    return _landed_table(spark, sf_dir, "runs", runs_from_events, "run_seq", "job_name", S.RUN_EVENT_SCHEMA)

@@ -159,22 +159,28 @@ class StreamIngest:
         try:
             reason = F.col(REJECT_COLUMN)
             valid = normalized.where(reason.isNull()).drop(REJECT_COLUMN, *[f"raw_{c}" for c in RAW_REJECT_COLUMNS])
-            self.table.append_batch(valid, batch_id)
+            self.table.append_batch(valid, batch_id, commit=False)
             rejects = normalized.where(reason.isNotNull()).select(
                 *_META, *[F.col(f"raw_{c}").alias(c) for c in RAW_REJECT_COLUMNS], REJECT_COLUMN
             )
             rejects.write.mode("overwrite").parquet(f"{self.table.root}/rejects/batch_id={batch_id}")
             progress = partition_progress(valid, self.consumer_name, self.topic, F.localtimestamp())
             progress.write.mode("overwrite").parquet(f"{self.table.root}/offsets/batch_id={batch_id}")
+            self.table.commit_batch(batch_id)
         finally:
             normalized.unpersist()
 
+    def _committed(self, name: str) -> DataFrame:
+        top = self.table.committed_through()
+        df = self.table.spark.read.parquet(f"{self.table.root}/{name}")
+        return df.where(F.col("batch_id") <= F.lit(-1 if top is None else top))
+
     def rejects(self) -> DataFrame:
-        return self.table.spark.read.parquet(f"{self.table.root}/rejects")
+        return self._committed("rejects")
 
     def offsets(self) -> DataFrame:
         try:
-            return latest_offsets(self.table.spark.read.parquet(f"{self.table.root}/offsets"))
+            return latest_offsets(self._committed("offsets"))
         except AnalysisException:
             return self.table.spark.createDataFrame([], "consumer_name string")
 

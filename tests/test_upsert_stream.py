@@ -108,3 +108,12 @@ def test_merge_latest_broadcast_and_fallback_agree(spark, scratch):
         table.current_view().explain()
     plan = buf.getvalue()
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+
+
+def test_uncommitted_batch_is_invisible(spark, scratch):
+    table = ChangeLogTable(spark, scratch("commit"))
+    table.append_batch(_valid(spark, [message(key="a", lat="40.1")]), 0)
+    table.append_batch(_valid(spark, [message(key="a", lat="40.2")]), 1, commit=False)  # crashed before its marker
+    assert {r.unique_key: r.latitude for r in table.current_view().collect()} == {"a": 40.1}
+    table.commit_batch(1)
+    assert {r.unique_key: r.latitude for r in table.current_view().collect()} == {"a": 40.2}
