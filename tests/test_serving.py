@@ -90,3 +90,32 @@ def test_viewport_points_from_zoom_15(spark):
     assert vp.points is not None and not vp.show_grid
     row = V.viewport_counts(vp).first()
     assert (row.visible_points, row.visible_cells) == (2, 0)
+
+
+@pytest.mark.parametrize("limit,offset", [(1, 0), (3, 0), (2, 3), (5, 1), (10, 0)])
+def test_pruned_page_equals_full_sort(spark, limit, offset):
+    rows = [complaint(i, created=BASE_TS + dt.timedelta(days=i % 4, hours=i)) for i in range(12)]
+    rows += [complaint(100 + i, created=None) for i in range(2)]
+    df = complaints_df(spark, rows)
+    pruned = [r.unique_key for r in V.points_page(df, limit=limit, offset=offset).collect()]
+    full = [r.unique_key for r in V.points_page(df, limit=limit, offset=offset, prune=False).collect()]
+    assert pruned == full
+
+
+def test_pruned_page_reads_only_newest(spark):
+    from gridpulse.sources import fixtures as X
+
+    c = X.complaints_table(spark, "/root/testdata/sf0.01")
+    import contextlib, io
+
+    # ~99 rows have no date and sort first: a 50-row page needs only them ...
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        V.points_page(c, limit=50).explain(mode="formatted")
+    assert "IsNull(created_date)" in buf.getvalue() and "GreaterThanOrEqual(created_date" not in buf.getvalue()
+    # ... a 500-row page also needs the newest dated rows, down to a cutoff day
+    page = V.points_page(c, limit=500)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        page.explain(mode="formatted")
+    assert "GreaterThanOrEqual(created_date" in buf.getvalue()
