@@ -101,6 +101,14 @@ def scheduled_sync(
     def body() -> int:
         obs = Observation("sync")
         rows = normalize_sync(extract_since(extract, as_of, lookback_days))
+        # Order inside the batch (extracts carry no offsets): the newest
+        # created_date wins a repeated key, ties broken by a content hash,
+        # so the result does not depend on partitioning.
+        rows = rows.select(
+            "*",
+            F.col("created_date").alias("msg_ts"),
+            F.xxhash64(*S.RECORD_COLUMNS).alias("msg_offset"),
+        )
         table.append_batch(rows.observe(obs, F.count(F.lit(1)).alias("rows")), batch_id, ingested_at=as_of)
         return int(obs.get["rows"])
 

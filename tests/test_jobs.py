@@ -73,3 +73,17 @@ def test_reports(spark, scratch):
     counts = [int(line.rsplit(",", 1)[1]) for line in open(files[0]).read().splitlines()[1:]]
     assert counts == sorted(counts, reverse=True) and sum(counts) == complaints.count()
     assert spark.read.option("header", True).csv(p2).count() == R.grid_500m(complaints).count()
+
+
+def test_sync_repeated_key_is_deterministic(spark, scratch):
+    root = scratch("sync-dup")
+    table = ChangeLogTable(spark, f"{root}/table")
+    log = RunLog(spark, f"{root}/runs")
+    extract = messages_df(
+        spark,
+        [message(key="1", created="2024-01-29T10:00:00", lat="40.1"), message(key="1", created="2024-01-30T10:00:00", lat="40.2"),
+         message(key="1", created="2024-01-28T10:00:00", lat="40.3")],
+        meta=False,
+    ).repartition(3)
+    assert J.scheduled_sync(extract, table, log, AS_OF, batch_id=0, clock=_clock()) == 3
+    assert [(r.unique_key, r.latitude) for r in table.current_view().collect()] == [("1", 40.2)]
