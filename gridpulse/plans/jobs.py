@@ -135,6 +135,25 @@ def offline_time_job(complaints: DataFrame, write: Callable[[DataFrame], None])
     write(R.time_rollups(complaints, noise="contains_ci", require_created=False, require_coords=True))
 
 
+# Fixed value: default size of a CSV snapshot extract.
+SNAPSHOT_ROWS = 10_000
+
+
+def csv_snapshot(complaints: DataFrame, path: str, rows: int = SNAPSHOT_ROWS) -> None:
+    """Newest ``rows`` noise complaints with coordinates ('Noise%' prefix,
+    created_date descending) as a CSV snapshot: the input of the streaming
+    producer. The row count is the feature (a sized sample of the newest
+    data); it is a pruned top-k, not a sort of the table."""
+    from gridpulse.plans.serving import newest_cutoff
+
+    noisy = complaints.where(noise_rule("like_prefix") & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    cutoff = newest_cutoff(noisy.where(F.col("created_date").isNotNull()), rows)
+    if cutoff is not None:
+        noisy = noisy.where(cutoff)
+    newest = noisy.where(F.col("created_date").isNotNull()).orderBy(F.desc("created_date"), F.asc("unique_key")).limit(rows)
+    write_single_csv(newest.select(*S.BUSINESS_COLUMNS), path, sort_by=[F.desc("created_date"), F.asc("unique_key")])
+
+
 def type_counts_report(complaints: DataFrame, path: str) -> None:
     """Complaint-type counts as ONE CSV file, most frequent first."""
     write_single_csv(R.type_counts(complaints), path, sort_by=[F.desc("count"), F.asc_nulls_first("complaint_type")])

@@ -3,6 +3,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridpulse import schema as S
 from gridpulse.operators import rollups as R
@@ -87,3 +88,17 @@ def test_sync_repeated_key_is_deterministic(spark, scratch):
     ).repartition(3)
     assert J.scheduled_sync(extract, table, log, AS_OF, batch_id=0, clock=_clock()) == 3
     assert [(r.unique_key, r.latitude) for r in table.current_view().collect()] == [("1", 40.2)]
+
+
+def test_csv_snapshot_newest_rows(spark, scratch):
+    from gridpulse.sources import connectors as C
+
+    complaints = X.complaints_table(spark, SF)
+    path = scratch("snapshot")
+    J.csv_snapshot(complaints, path, rows=25)
+    back = C.read_csv(spark, path, S.MESSAGE_SCHEMA).collect()
+    want = (
+        complaints.where("complaint_type LIKE 'Noise%' AND latitude IS NOT NULL AND longitude IS NOT NULL AND created_date IS NOT NULL")
+        .orderBy(F.desc("created_date"), "unique_key").limit(25).collect()
+    )
+    assert [r.unique_key for r in back] == [r.unique_key for r in want]
