@@ -20,4 +20,8 @@ def time_bucket(bucket_type: str, ts: Column | str) -> Column:
         return day.cast("timestamp_ntz")
     if bucket_type == "week":
         return F.trunc(day, "week").cast("timestamp_ntz")
-    raise ValueError(f"bucket_type must be one of hour, day, week; got {bucket_type!r}")
+    if bucket_type == "minute":
+        return F.timestamp_add("MINUTE", F.minute(c), time_bucket("hour", c))
+    if bucket_type == "second":
+        return F.timestamp_add("SECOND", F.second(c), time_bucket("minute", c))
+    raise ValueError(f"bucket_type must be one of hour, day, week (or minute, second); got {bucket_type!r}")

@@ -119,3 +119,29 @@ def test_pruned_page_reads_only_newest(spark):
     with contextlib.redirect_stdout(buf):
         page.explain(mode="formatted")
     assert "GreaterThanOrEqual(created_date" in buf.getvalue()
+
+
+@pytest.mark.parametrize("limit,offset", [(1, 0), (7, 2), (20, 5), (60, 0)])
+def test_refined_cutoff_matches_full_sort_on_a_hot_day(spark, limit, offset):
+    # a third of the rows share one day (and many share one second): refinement must stay exact
+    rows = [complaint(i, created=BASE_TS + dt.timedelta(days=i % 3, minutes=i % 5)) for i in range(30)]
+    rows += [complaint(100 + i, created=BASE_TS + dt.timedelta(days=5)) for i in range(15)]
+    rows += [complaint(200, created=None)]
+    df = complaints_df(spark, rows)
+    V_ref = V.REFINE_ROWS
+    try:
+        V.REFINE_ROWS = 2
+        pruned = [r.unique_key for r in V.points_page(df, limit=limit, offset=offset).collect()]
+    finally:
+        V.REFINE_ROWS = V_ref
+    full = [r.unique_key for r in V.points_page(df, limit=limit, offset=offset, prune=False).collect()]
+    assert pruned == full
+
+
+def test_refinement_narrows_the_cutoff(spark):
+    rows = [complaint(i, created=BASE_TS + dt.timedelta(minutes=i)) for i in range(50)]
+    df = complaints_df(spark, rows)
+    coarse = V.newest_cutoff(df, 3)                 # one day holds all rows: cutoff at the day
+    fine = V.newest_cutoff(df, 3, refine_rows=2)     # refined to the minute of the 3rd newest row
+    assert df.where(coarse).count() == 50
+    assert df.where(fine).count() == 3
