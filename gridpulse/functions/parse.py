@@ -29,7 +29,7 @@ def iso_timestamp(c: Column) -> Column:
     suffix and subtracts the offset.
     """
     s = empty_to_null(c)
-    time_part = F.substring(s, 11, 64)  # after YYYY-MM-DD
+    time_part = F.substring(s, 11, 1 << 20)  # after YYYY-MM-DD
     zoned = time_part.rlike("[Zz+-]")
     zone = F.regexp_extract(s, _ZONE_SUFFIX, 1)
     sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))

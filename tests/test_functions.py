@@ -108,3 +108,15 @@ def test_ntz_literals_ignore_session_zone(spark):
         assert got == dt.datetime(2024, 1, 31, 0, 0, 0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_grid_bucket_non_finite_like_sql(spark):
+    import duckdb, math
+
+    vals = [float("nan"), float("inf"), float("-inf"), None, -74.0001]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+    got = [r[0] for r in df.orderBy("i").select(grid_bucket("x", 0.01)).collect()]
+    want = [duckdb.sql(f"SELECT FLOOR(CAST('{v}' AS DOUBLE) / CAST('0.01' AS DOUBLE)) * CAST('0.01' AS DOUBLE)").fetchall()[0][0]
+            if v is not None else None for v in vals]
+    assert math.isnan(got[0]) and math.isnan(want[0])
+    assert got[1:] == want[1:]
