@@ -1,8 +1,9 @@
 """Registered queries: one per operator group of the inventory.
 
 Each entry takes ``(spark, sf_dir)``, reads the driver tables under
-``sf_dir`` through the adapters and returns a lazy DataFrame over the
-whole input. ``ORACLE_SQL`` holds the DuckDB text for the same answer.
+``sf_dir`` through the adapters (landed once per session) and returns a
+DataFrame over the whole input; ``gridpulse.oracle.ORACLE_SQL`` holds the
+DuckDB text for the same answer.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from gridpulse.sources import fixtures as X
 from gridpulse.sources.store import VersionedStore
 from gridpulse.streaming import ingest as STR
 from gridpulse.streaming import producer as PUB
+from gridpulse.streaming.capture import land_chunk, offset_chunks
 
 AS_OF = S.FIXTURE_AS_OF
 
@@ -242,31 +244,6 @@ def q_stream_offsets(spark, sf_dir):
     return STR.partition_progress(_valid_changes(spark, sf_dir), updated_at=AS_OF).orderBy("consumer_name", "partition_id")
 
 
-def offset_chunks(envelopes: DataFrame, batches: int) -> list[DataFrame]:
-    """Split envelopes into ``batches`` consecutive offset ranges."""
-    lo, hi = envelopes.agg(F.min("offset"), F.max("offset")).first()
-    width = (hi - lo) // batches + 1
-    return [
-        envelopes.where((F.col("offset") >= lo + k * width) & (F.col("offset") < lo + (k + 1) * width))
-        for k in range(batches)
-    ]
-
-
-def land_chunk(chunk: DataFrame, path: str, k: int, files: int = 1) -> None:
-    """Land one offset range as ``files`` JSON files under ``chunk-<k>``."""
-    chunk.repartitionByRange(files, "offset").write.mode("overwrite").json(f"{path}/chunk-{k:05d}")
-
-
-def land_envelopes(envelopes: DataFrame, path: str, batches: int = 3, files_per_batch: int = 1) -> str:
-    """Land envelopes as ``batches`` consecutive offset ranges, written one
-    after the other. Returns the glob to stream from; read with
-    maxFilesPerTrigger = ``files_per_batch``, the file source replays the
-    ranges in arrival order, one range per micro-batch."""
-    for k, chunk in enumerate(offset_chunks(envelopes, batches)):
-        land_chunk(chunk, path, k, files_per_batch)
-    return f"{path}/chunk-*/*.json"
-
-
 REPLAY_BATCHES = 3
 REPLAY_FILES_PER_BATCH = 8
 

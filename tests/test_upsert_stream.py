@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gridpulse import schema as S
 from gridpulse.operators import ingest as I
 from gridpulse.operators.upsert import ChangeLogTable, current_records, latest_by_key
-from gridpulse.queries import land_envelopes
+from gridpulse.streaming.capture import land_envelopes
 from gridpulse.sources import fixtures as X
 from gridpulse.streaming import ingest as STR
 from helpers import message, messages_df
