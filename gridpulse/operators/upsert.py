@@ -99,6 +99,21 @@ LOG_SCHEMA = T.StructType(
 )
 _LOG_COLUMNS = tuple(f.name for f in LOG_SCHEMA.fields)
 
+# Commit records: a marker row (progress fields NULL) plus, for stream
+# batches, one progress row per source partition.
+_PROGRESS_SCHEMA = T.StructType(
+    [
+        T.StructField("consumer_name", T.StringType(), True),
+        T.StructField("topic_name", T.StringType(), True),
+        T.StructField("partition_id", T.IntegerType(), True),
+        T.StructField("last_offset", T.LongType(), True),
+        T.StructField("last_created_date", T.TimestampNTZType(), True),
+        T.StructField("last_message_at", T.TimestampNTZType(), True),
+        T.StructField("updated_at", T.TimestampNTZType(), True),
+    ]
+)
+COMMIT_SCHEMA = T.StructType(list(_PROGRESS_SCHEMA.fields) + [T.StructField("batch_id", T.LongType(), True)])
+
 
 class ChangeLogTable:
     """Change log + compacted base under one root folder."""
@@ -111,15 +126,24 @@ class ChangeLogTable:
     def batch_path(self, batch_id: int) -> str:
         return f"{self.root}/log/batch_id={batch_id}"
 
-    def commit_batch(self, batch_id: int) -> None:
-        """Make batches up to ``batch_id`` visible (written after all outputs)."""
-        marker = self.spark.createDataFrame([(int(batch_id),)], "batch_id long")
-        marker.coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
+    def commit_batch(self, batch_id: int, progress: DataFrame | None = None) -> None:
+        """Make batches up to ``batch_id`` visible; written after all outputs.
+
+        The commit record carries the source progress the batch reached (one
+        row per stream partition, plus one marker row), like a consumer that
+        commits rows and offsets together. Rewritten whole on retry.
+        """
+        marker = self.spark.createDataFrame([(None,) * (len(COMMIT_SCHEMA) - 1)], _PROGRESS_SCHEMA)
+        rows = marker if progress is None else marker.unionByName(progress.select(*_PROGRESS_SCHEMA.fieldNames()))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/batch_id={int(batch_id)}")
+
+    def commits(self) -> DataFrame:
+        return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/_commits")
 
     def committed_through(self) -> int | None:
         """Highest committed batch id (batches commit in order), or None."""
         try:
-            return self.spark.read.schema("batch_id long").parquet(f"{self.root}/_commits").agg(F.max("batch_id")).first()[0]
+            return self.commits().agg(F.max("batch_id")).first()[0]
         except AnalysisException:
             return None
 
@@ -142,10 +166,11 @@ class ChangeLogTable:
         if commit:
             self.commit_batch(batch_id)
 
-    def log(self, after_batch: int | None = None) -> DataFrame:
+    def log(self, after_batch: int | None = None, committed: int | None = -1) -> DataFrame:
         """Committed log batches (optionally only those after ``after_batch``);
-        a batch folder without its commit marker is not read."""
-        committed = self.committed_through()
+        a batch folder without its commit record is not read. ``committed``
+        may pass an already known watermark."""
+        committed = self.committed_through() if committed == -1 else committed
         if committed is None:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         df = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log").where(F.col("batch_id") <= F.lit(committed))
@@ -168,7 +193,10 @@ class ChangeLogTable:
             return view.select(*_LOG_COLUMNS)
         version, watermark = current
         base = self.base.read(version).select(*_LOG_COLUMNS)
-        tail = self.log(after_batch=watermark).select(*_LOG_COLUMNS)
+        committed = self.committed_through()
+        if committed is None or committed <= watermark:
+            return base
+        tail = self.log(after_batch=watermark, committed=committed).select(*_LOG_COLUMNS)
         return merge_latest(base, tail, broadcast_key_bytes=broadcast_key_bytes)
 
     def compact(self) -> int:

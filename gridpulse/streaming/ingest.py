@@ -6,7 +6,10 @@ rules, and written by ``foreachBatch`` into
 
 * ``<table>/log/batch_id=<id>``     valid changes (the upsert log),
 * ``<table>/rejects/batch_id=<id>`` rejected messages with reasons,
-* ``<table>/offsets/batch_id=<id>`` per-partition progress of the batch.
+* ``<table>/_commits/batch_id=<id>`` the commit record, written last: a
+  marker plus the per-partition progress the batch reached (rows and
+  offsets become visible together, like a consumer committing both in one
+  transaction).
 
 Each output directory is rewritten whole when a batch is retried, and the
 checkpoint records the batch only after ``foreachBatch`` returns, so a
@@ -178,8 +181,7 @@ class StreamIngest:
             )
             rejects.write.mode("overwrite").parquet(f"{self.table.root}/rejects/batch_id={batch_id}")
             progress = partition_progress(valid, self.consumer_name, self.topic, F.localtimestamp())
-            progress.write.mode("overwrite").parquet(f"{self.table.root}/offsets/batch_id={batch_id}")
-            self.table.commit_batch(batch_id)
+            self.table.commit_batch(batch_id, progress)
         finally:
             normalized.unpersist()
 
@@ -192,8 +194,9 @@ class StreamIngest:
         return self._committed("rejects")
 
     def offsets(self) -> DataFrame:
+        """Stream progress per partition, from the committed batches' records."""
         try:
-            return latest_offsets(self._committed("offsets"))
+            return latest_offsets(self.table.commits().where(F.col("partition_id").isNotNull()))
         except AnalysisException:
             return self.table.spark.createDataFrame([], "consumer_name string")
 
