@@ -145,3 +145,10 @@ def test_refinement_narrows_the_cutoff(spark):
     fine = V.newest_cutoff(df, 3, refine_rows=2)     # refined to the minute of the 3rd newest row
     assert df.where(coarse).count() == 50
     assert df.where(fine).count() == 3
+
+
+def test_routing_broken_rollup_goes_live(spark):
+    df = _one_cell_two_types(spark)
+    broken = spark.createDataFrame([(1,)], "unrelated int")  # a stored version without rollup columns
+    out = V.grid_summary(broken, df, V.GridQuery(min_count=2)).collect()
+    assert len(out) == 1 and out[0]["count"] == 2
