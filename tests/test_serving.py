@@ -152,3 +152,20 @@ def test_routing_broken_rollup_goes_live(spark):
     broken = spark.createDataFrame([(1,)], "unrelated int")  # a stored version without rollup columns
     out = V.grid_summary(broken, df, V.GridQuery(min_count=2)).collect()
     assert len(out) == 1 and out[0]["count"] == 2
+
+
+def test_overview_cube_equals_direct_aggregates(spark):
+    from pyspark.sql import functions as F
+    from gridpulse.sources import fixtures as X
+
+    c = X.complaints_table(spark, "/root/testdata/sf0.001")
+    flt = ComplaintFilter(start_date="2024-01-03")
+    ov = V.overview(c, flt)
+    base = c.where(V.overview_filter(flt))
+    direct = base.agg(F.count(F.lit(1)), F.count_distinct("complaint_type"), F.count_distinct("borough"),
+                      F.min("created_date"), F.max("created_date")).first()
+    assert tuple(ov.overview.first()) == tuple(direct)
+    assert sorted(map(tuple, ov.counts_by_borough.collect()), key=str) == sorted(
+        map(tuple, base.groupBy("borough").count().collect()), key=str)
+    empty = V.overview(c, ComplaintFilter(start_date="2030-01-01")).overview.first()
+    assert (empty.total_complaints, empty.complaint_types, empty.earliest_created_date) == (0, 0, None)
