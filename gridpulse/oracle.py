@@ -301,21 +301,21 @@ LIMIT 90""",
 FROM extract
 WHERE {PUBLISH_FILTER}""",
         "message_encode": with_ctes(EXTRACT_CTE)
-        + f"""SELECT msg_offset, to_json(struct_pack(unique_key := unique_key, created_date := created_date,
+        + f"""SELECT msg_offset, CAST(to_json(struct_pack(unique_key := unique_key, created_date := created_date,
   closed_date := CAST(NULL AS VARCHAR), agency := CAST(NULL AS VARCHAR), agency_name := CAST(NULL AS VARCHAR),
   complaint_type := {STRIP.format(c="complaint_type")}, descriptor := CAST(NULL AS VARCHAR),
   status := CAST(NULL AS VARCHAR), borough := CAST(NULL AS VARCHAR), city := CAST(NULL AS VARCHAR),
   incident_zip := CAST(NULL AS VARCHAR), incident_address := CAST(NULL AS VARCHAR), street_name := CAST(NULL AS VARCHAR),
   cross_street_1 := CAST(NULL AS VARCHAR), cross_street_2 := CAST(NULL AS VARCHAR), location_type := CAST(NULL AS VARCHAR),
-  latitude := latitude, longitude := longitude, source := 'csv')) AS value
+  latitude := latitude, longitude := longitude, source := 'csv')) AS VARCHAR) AS value
 FROM extract
 WHERE {PUBLISH_FILTER}""",
         "csv_stream_publish": with_ctes(EXTRACT_CTE)
-        + f"""SELECT to_json(struct_pack(unique_key := COALESCE(unique_key, ''), created_date := COALESCE(created_date, ''),
+        + f"""SELECT CAST(to_json(struct_pack(unique_key := COALESCE(unique_key, ''), created_date := COALESCE(created_date, ''),
   closed_date := '', agency := '', agency_name := '', complaint_type := {STRIP.format(c="complaint_type")},
   descriptor := '', status := '', borough := '', city := '', incident_zip := '', incident_address := '',
   street_name := '', cross_street_1 := '', cross_street_2 := '', location_type := '',
-  latitude := COALESCE(latitude, ''), longitude := COALESCE(longitude, ''), source := 'csv')) AS value
+  latitude := COALESCE(latitude, ''), longitude := COALESCE(longitude, ''), source := 'csv')) AS VARCHAR) AS value
 FROM extract
 WHERE {PUBLISH_FILTER}""",
         "normalize_stream": with_ctes(MESSAGES_CTE, PARSED_CTE, VALID_CTE)
