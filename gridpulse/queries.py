@@ -254,8 +254,8 @@ def q_stream_replay(spark, sf_dir):
     last range arrives, and the stream resumes from its checkpoint. The
     answer is the current view (compacted base merged with the log tail)."""
     root = scratch_path(spark, "stream-replay")
-    landing, files = f"{root}/landing", REPLAY_FILES_PER_BATCH
-    chunks = offset_chunks(X.to_envelopes(_messages(spark, sf_dir)), REPLAY_BATCHES)
+    landing = f"{root}/landing"
+    chunks, files = offset_chunks(X.to_envelopes(_messages(spark, sf_dir)), REPLAY_BATCHES, REPLAY_FILES_PER_BATCH)
     table = ChangeLogTable(spark, f"{root}/table")
 
     def drain() -> None:

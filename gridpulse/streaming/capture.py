@@ -2,8 +2,9 @@
 
 A replay (tests, backfills, the registered ``stream_replay`` query) needs the
 file source to deliver offset ranges in the order they arrived: each range
-is written as its own folder, one after the other, and read back with
-``maxFilesPerTrigger`` equal to the files per range.
+is written as its own folder, one after the other, with the SAME number of
+files, and read back with ``maxFilesPerTrigger`` equal to that number, so
+each micro-batch is exactly one range.
 """
 
 from __future__ import annotations
@@ -12,26 +13,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def offset_chunks(envelopes: DataFrame, batches: int) -> list[DataFrame]:
-    """Split envelopes into ``batches`` consecutive offset ranges."""
+def offset_chunks(envelopes: DataFrame, batches: int, files: int = 1) -> tuple[list[DataFrame], int]:
+    """Split envelopes into ``batches`` consecutive offset ranges.
+
+    Returns the non-empty ranges and the file count to land each with:
+    ``files``, capped by the smallest range's row count, so that every range
+    can be written as exactly that many non-empty files (range partitioning
+    on the distinct offsets).
+    """
     lo, hi = envelopes.agg(F.min("offset"), F.max("offset")).first()
+    if lo is None:
+        return [], 1
     width = (hi - lo) // batches + 1
-    return [
+    chunks = [
         envelopes.where((F.col("offset") >= lo + k * width) & (F.col("offset") < lo + (k + 1) * width))
         for k in range(batches)
     ]
+    sizes = [c.count() for c in chunks]
+    kept = [c for c, n in zip(chunks, sizes) if n > 0]
+    return kept, max(1, min([files] + [n for n in sizes if n > 0]))
 
 
 def land_chunk(chunk: DataFrame, path: str, k: int, files: int = 1) -> None:
-    """Land one offset range as ``files`` JSON files under ``chunk-<k>``."""
+    """Land one offset range as ``files`` JSON files under ``chunk-<k>``
+    (range-partitioned on the distinct offsets, so none is empty when the
+    range has at least ``files`` rows, which ``offset_chunks`` guarantees)."""
     chunk.repartitionByRange(files, "offset").write.mode("overwrite").json(f"{path}/chunk-{k:05d}")
 
 
-def land_envelopes(envelopes: DataFrame, path: str, batches: int = 3, files_per_batch: int = 1) -> str:
-    """Land envelopes as ``batches`` consecutive offset ranges, written one
-    after the other. Returns the glob to stream from; read with
-    maxFilesPerTrigger = ``files_per_batch``, the file source replays the
-    ranges in arrival order, one range per micro-batch."""
-    for k, chunk in enumerate(offset_chunks(envelopes, batches)):
-        land_chunk(chunk, path, k, files_per_batch)
-    return f"{path}/chunk-*/*.json"
+def land_envelopes(envelopes: DataFrame, path: str, batches: int = 3, files_per_batch: int = 1) -> tuple[str, int]:
+    """Land all ranges, one after the other. Returns the glob to stream from
+    and the maxFilesPerTrigger to read it with."""
+    chunks, files = offset_chunks(envelopes, batches, files_per_batch)
+    for k, chunk in enumerate(chunks):
+        land_chunk(chunk, path, k, files)
+    return f"{path}/chunk-*/*.json", files

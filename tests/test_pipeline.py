@@ -18,9 +18,9 @@ SF = "/root/testdata/sf0.001"
 def test_ingest_compact_rebuild_serve(spark, scratch):
     root = scratch("pipeline")
     table = ChangeLogTable(spark, f"{root}/table")
-    glob = land_envelopes(X.to_envelopes(X.messages_table(spark, SF)), f"{root}/landing", batches=2)
+    glob, files = land_envelopes(X.to_envelopes(X.messages_table(spark, SF)), f"{root}/landing", batches=2)
     sink = stream.StreamIngest(table)
-    stream.start_ingest(stream.read_envelope_files(spark, glob, max_files_per_trigger=1), sink, f"{root}/ckpt").awaitTermination()
+    stream.start_ingest(stream.read_envelope_files(spark, glob, max_files_per_trigger=files), sink, f"{root}/ckpt").awaitTermination()
     table.compact()
     complaints = current_records(table.current_view())
     n_keys = complaints.count()
