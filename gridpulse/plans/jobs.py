@@ -48,7 +48,9 @@ def rebuild_rollups(
     Each store gets a complete new version; readers switch only when its
     pointer is written, so they never see a partial rebuild. On failure the
     ledger records the error (cut to 1000 characters) and the error is
-    raised again; the previous versions stay published.
+    raised again; the previous versions stay published. Both rollups scan
+    ``complaints``: run it right after ``ChangeLogTable.compact()`` so the
+    current view is a plain scan of the new base, not two base+tail merges.
     """
 
     def body() -> None:

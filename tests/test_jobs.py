@@ -102,3 +102,27 @@ def test_csv_snapshot_newest_rows(spark, scratch):
         .orderBy(F.desc("created_date"), "unique_key").limit(25).collect()
     )
     assert [r.unique_key for r in back] == [r.unique_key for r in want]
+
+
+def test_offline_jobs_publish_through_store_sink(spark, scratch):
+    complaints = X.complaints_table(spark, SF)
+    grid = VersionedStore(spark, scratch("offline-grid"))
+    times = VersionedStore(spark, scratch("offline-time"))
+    J.offline_grid_job(complaints, J.store_sink(grid, partition_by="zoom_level"))
+    J.offline_time_job(complaints, J.store_sink(times, partition_by="bucket_type"))
+    want_grid = R.grid_rollups(complaints, noise="contains_ci")
+    got_grid = grid.read().select(*want_grid.columns)
+    assert got_grid.exceptAll(want_grid).count() == 0 and want_grid.exceptAll(got_grid).count() == 0
+    want_time = R.time_rollups(complaints, noise="contains_ci", require_created=False, require_coords=True)
+    got_time = times.read().select(*want_time.columns)
+    assert got_time.exceptAll(want_time).count() == 0 and want_time.exceptAll(got_time).count() == 0
+
+
+def test_json_extract_reads_as_text(spark, scratch):
+    from gridpulse.sources import connectors as C
+
+    path = scratch("json-extract")
+    rows = messages_df(spark, [message(key="007", lat="40.5000"), message(key="8", created="")], meta=False)
+    rows.write.json(path)
+    back = sorted(tuple(r) for r in C.read_text_records(spark, path, fmt="json").select("unique_key", "latitude", "created_date").collect())
+    assert back == [("007", "40.5000", "2024-01-05T10:00:00.000"), ("8", "40.5", "")]
