@@ -13,6 +13,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # serving operators checkpoint small frames per call; delete those files
+    # once the frames are garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -40,6 +43,7 @@ def cluster_conf(input_bytes: int, executor_cores_total: int, target_partition_b
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 
