@@ -6,14 +6,16 @@ comparison, so the last write wins. Here the table is
 
 * an append-only change log, one directory per micro-batch
   (``log/batch_id=<id>``, rewritten whole on retry, hence idempotent,
-  visible once its commit marker is written), plus
+  visible once its commit record ``_commits/batch_id=<id>`` is written), plus
 * an optional compacted base (a published version of the current view,
-  with the last batch it folded in as watermark).
-
-The current view is ``max_by(struct(all columns), struct(ordering))`` per
-key over base plus the log tail: a partial aggregate, so a key holding a
-third of all changes still ships one row per map task into the shuffle.
-The cost of ingesting a micro-batch follows the batch, not the table.
+  laid out by date, with the last batch it folded in as watermark).
+
+Latest-wins is ``max_by(struct(all columns), struct(ordering))`` per key: a
+partial aggregate, so a key holding a third of all changes still ships one
+row per map task into the shuffle. Without a base it runs over the log;
+with one, ``merge_latest`` resolves only the keys of the log tail and lets
+the other base rows pass a map-side anti join. The cost of ingesting a
+micro-batch follows the batch, not the table.
 """
 
 from __future__ import annotations
