@@ -1,22 +1,59 @@
-"""Corpus pipeline: stages that clean and mix the documents table."""
+"""Corpus pipeline: five stages that clean and mix the documents table.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept; all but the last return the columns of documents. ``run`` writes
+each stage's result as Parquet in the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
-from gridpulse.llm import simhash
+from gridpulse.llm import decontam, mixing, pii, simhash, toxicity
 from gridpulse.llm.common import table, written
+from gridpulse.llm.queries import PII_KEY, toxicity_model
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go. Null and empty texts have the bias of the model."""
+    return toxicity.without_toxic(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), threshold=0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the smallest id."""
-    found = simhash.near_duplicates(docs, shingle=3, distance=3)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """One document of each SimHash group stays, that of the smallest id.
+
+    Of repeated rows of that id and text one stays. Documents without an id can't
+    be named in a group and stay.
+    """
+    found = simhash.near_duplicates(docs.where("doc_id is not null"), shingle=3, distance=3)
+    keep = found.where("doc_id = component_id").select("doc_id")
+    kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window of ten words (or a shorter item) go. Empty texts stay."""
+    return decontam.without_matches(docs, table(spark, sf_dir, "benchmark"), window=10)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data in their texts get pseudonyms. Null texts stay null."""
+    return pii.pseudonymised(docs, PII_KEY)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document."""
+    return mixing.mix(docs.select("doc_id", "source", mixing.word_count("text").alias("size")))
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+STAGES = [
+    ("toxicity", toxic),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", contaminated),
+    ("pii", private),
+    ("mixing", mixed),
+]
 
+#: the classifier, the fingerprints and the draws aren't expressible in SQL; tests hold run() against brute force
 ORACLE_SQL = None
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,12 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def shared(spark: SparkSession, value):
+    """A broadcast of a value whose classes travel with it; call the result in a task."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -85,20 +92,30 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE ** 0..n modulo 2 ** 64."""
-    out = np.full(n + 1, BASE, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0..n modulo 2 ** 64, kept for the next call up to CHUNK_BYTES."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) <= n:
+        held = np.full(max(n, CHUNK_BYTES) + 1, base, dtype=np.uint64)
+        held[0] = 1
+        np.cumprod(held, out=held)
+        if n <= 2 * CHUNK_BYTES:
+            _POWERS[int(base)] = held
+    return held[: n + 1]
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of ``values[start:end]`` for each span; equal spans have equal hashes."""
     n = len(values)
-    pw = powers(n)
     prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * pw[:n], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * pw[n - starts]
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(BASE, n)[:n], out=prefix[1:])
+    h = (prefix[ends] - prefix[starts]) * powers(BASE_INVERSE, n)[starts]
     h ^= (ends - starts).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
     return mixed(h)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import mixing, simhash, urlfilter, warc
+from gridpulse.llm import decontam, mixing, parsing, pii, secrets, simhash, toxicity, urlfilter, warc
 from gridpulse.llm.common import table
 
 #: url rules of op8, as (action, host, path)
@@ -16,6 +16,8 @@ URL_RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
+#: key of the pseudonyms in the registered queries; a deployment passes its own
+PII_KEY = b"registered-queries"
 #: second 0 of the captures of op1: 2020-01-01
 FIRST_CAPTURE = 1_577_836_800
 
@@ -23,7 +25,18 @@ FIRST_CAPTURE = 1_577_836_800
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages have no capture time; their ids stand for the seconds."""
     pages = table(spark, sf_dir, "pages").withColumn("captured", F.lit(FIRST_CAPTURE) + F.coalesce("page_id", F.lit(0)))
-    return warc.capture_index(pages, min_bytes=1000)
+    index = warc.capture_index(pages, min_bytes=1000)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    items = F.array_distinct(F.transform(F.filter("matches", lambda m: m["item_id"].isNotNull()), lambda m: m["item_id"].cast("string")))
+    found = found.select("doc_id", "n_words", decontam.words_hit("matches").alias("n_hit"), items.alias("items"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def op3_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +52,39 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = secrets.fit(secrets.labelled_samples(docs, max_rows=20_000))
+    kinds = F.array(*[F.lit(k) for k in secrets.KINDS])
+
+    def listed(keep):
+        spans = F.array_sort(
+            F.transform(
+                F.filter("spans", keep),
+                lambda s: F.struct(s["start"].alias("a"), F.array_position(kinds, s["kind"]).alias("k"), s["end"].alias("b"), s["kind"].alias("kind")),
+            )
+        )
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return secrets.scan(docs, models).select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(listed(lambda s: s["kind"] != "markov"), 256).alias("base_sha256"),
+        listed(lambda s: F.lit(True)).alias("spans"),
+    )
+
+
+def op6_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, PII_KEY, counts="n_replaced")
+
+
+def op7_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.beside_next(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled urls are those that a rule decides."""
     pages = table(spark, sf_dir, "pages")
@@ -47,9 +93,58 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, model)
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learns only from ids outside fold 0 of 5."""
+    return toxicity.fit(docs, labels.where(toxicity.crc_fold(F.col("doc_id")) != 0), max_rows=20_000)
+
+
+def op9_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.crc_fold(F.col("doc_id")) == 0, F.lit(False))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_index, op3_simhash_ball, op4_pivotal_mix, op8_url_filter)
-}
+    for f in (
+        op1_warc_index, op2_suffix_decontam, op3_simhash_ball, op4_pivotal_mix, op5_markov_secrets, op6_feistel_pii,
+        op7_consistent_parsing, op8_url_filter, op9_factorization_toxicity,
+    )
+}
+
+_OP2_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS words
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+place AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS words
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, i, n FROM place JOIN win USING (n, words)),
+cover AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_OP1_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, strlen(coalesce(html, '')) AS n FROM pages),
+k AS (SELECT b, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY b)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.b) AS payload_digest,
+       CASE WHEN keep > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keep > page_id THEN keep END AS refers_to
+FROM p LEFT JOIN k ON p.b = k.b
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc_index": _OP1_SQL, "op2_suffix_decontam": _OP2_SQL}
