@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import decontam, mixing, parsing, pii, secrets, simhash, toxicity, urlfilter, warc
+from gridpulse.llm import decontam, mixing, parsing, pii, secrets, simhash, suffixdedup, toxicity, urlfilter, warc
 from gridpulse.llm.common import table
 
 #: url rules of op8, as (action, host, path)
@@ -107,11 +107,19 @@ def op9_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixdedup.without_repeats(table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+    return kept.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_index, op2_suffix_decontam, op3_simhash_ball, op4_pivotal_mix, op5_markov_secrets, op6_feistel_pii,
-        op7_consistent_parsing, op8_url_filter, op9_factorization_toxicity,
+        op7_consistent_parsing, op8_url_filter, op9_factorization_toxicity, op10_suffix_dedup,
     )
 }
 
