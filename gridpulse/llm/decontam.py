@@ -183,7 +183,7 @@ def _matches_of(docs: DataFrame, block: Block, id_type: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_words, matches) of every row: the longest verbatim matches of ``window`` words or more.
 
     A match is (item_id, doc_word, item_word, words), in words from 0; an item of
@@ -196,7 +196,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     id_type = _type(benchmark, "item_id")
     parts = []
-    blocks = benchmark_blocks(benchmark, window)
+    blocks = benchmark_blocks(benchmark, window, block_chars)
     first = next(blocks, None) or make_block([], [], window)
     second = next(blocks, None)
     if second is None:
@@ -228,9 +228,9 @@ def words_hit(column: str = "matches"):
     )
 
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, all columns, that no window of the benchmark occurs in. No shuffle."""
-    for block in benchmark_blocks(benchmark, window):
+    for block in benchmark_blocks(benchmark, window, block_chars):
         held = shared(docs.sparkSession, block)
 
         def run(batches, held=held):

@@ -76,22 +76,27 @@ def distinct_terms(texts: list[bytes], slot: np.ndarray | None = None) -> tuple[
     return key // width, key % width
 
 
-def train(doc: np.ndarray, term: np.ndarray, label: np.ndarray, rounds: int = 300) -> Model:
-    """Fits the machine to rows given as distinct (row number, hashed term) and their labels.
-
-    Terms whose log-likelihood ratio against the label's share (the G statistic)
-    reaches LEAST_GAIN are kept, ``TERMS`` at most, as chance seldom gets there. Full gradients with Adam; both classes weigh alike.
-    """
-    n, positive = len(label), max(1, int(label.sum()))
+def informative(doc: np.ndarray, term: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The terms whose log-likelihood ratio against the label's share (the G statistic) is more
+    than chance reaches among as many terms, ``TERMS`` at most."""
     in_pos = np.bincount(term, label[doc], HASHED)
     in_all = np.bincount(term, minlength=HASHED).astype(float)
-    p = positive / max(1, n)
+    p = (label.sum() + 0.5) / (len(label) + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (
-            np.nan_to_num(in_pos * np.log(in_pos / (p * in_all))) + np.nan_to_num((in_all - in_pos) * np.log((in_all - in_pos) / ((1 - p) * in_all)))
-        )
+        toxic = np.nan_to_num(in_pos * np.log(in_pos / (p * in_all)))
+        clean = np.nan_to_num((in_all - in_pos) * np.log((in_all - in_pos) / ((1 - p) * in_all)))
+    gain = 2 * (toxic + clean)
     best = np.argsort(-gain, kind="stable")[:TERMS]
-    best = best[gain[best] >= 2 * np.log(max(2, np.count_nonzero(in_all >= 2)))]
+    return best[gain[best] >= 2 * np.log(max(2, np.count_nonzero(in_all >= 2)))]
+
+
+def train(doc: np.ndarray, term: np.ndarray, label: np.ndarray, rounds: int = 300, kept: np.ndarray | None = None) -> Model:
+    """Fits the machine to rows given as distinct (row number, hashed term) and their labels.
+
+    The ``kept`` terms, by default the informative ones, have weights. Full gradients with Adam.
+    """
+    n = len(label)
+    best = informative(doc, term, label) if kept is None else kept
     row = Model(best, 0.0, best, best).slot[term].astype(np.int64)
     known = row < len(best)
     doc, row = doc[known], row[known]
@@ -135,13 +140,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     """Trains on documents with a label(doc_id, toxic), ``max_rows`` distinct ids at most.
 
     The ids of smallest hash are taken, an id of several labels by its largest;
-    null labels and ids are left out. Only ids are dealt to the tasks that read
-    the texts. With no row, or one class, scores stay at the bias (0.5 for none).
+    null labels and ids are left out; of several texts of an id the least is
+    read. Only ids are dealt to the tasks that read the texts. With no row, or one class, scores stay at the bias (0.5 for none).
     """
     picked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumnRenamed("doc_id", "of")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("text", "toxic")
+    rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).groupBy("of", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.select("text", "toxic")
 
     def bags(batches):
         for batch in sliced(batches):

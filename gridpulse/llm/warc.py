@@ -100,6 +100,8 @@ def members(stream, chunk: int = 1 << 18):
     while True:
         data = data or stream.read(chunk)
         if not data:
+            if length:
+                raise ValueError(f"the archive ends inside the record at {offset}")
             return
         out.append(z.decompress(data))
         length += len(data) - len(z.unused_data)

@@ -1,0 +1,77 @@
+import random
+import re
+
+import pytest
+
+from docs_of import docs, edge_rows
+from gridpulse.llm import mixing
+
+SIZED = "doc_id long, source string, size long, rows string, rate string"
+
+
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """sizes: source -> words. Deals by weight and reshares the excess until none is above its cap."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in sizes)
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, rest, out = set(names), share * sum(sizes.values()), {}
+    while left:
+        total = sum(w[s] for s in left)
+        over = [s for s in left if rest * w[s] / total > cap * sizes[s]]
+        if not over:
+            return out | {s: rest * w[s] / total for s in left}
+        out |= {s: cap * sizes[s] for s in over}
+        rest -= sum(cap * sizes[s] for s in over)
+        left -= set(over)
+    return out
+
+
+def sized(spark, rows):
+    return spark.createDataFrame([(*r, "x", "y") for r in rows], SIZED)
+
+
+def check(rows, got, cap=2.0):
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + (n or 0)
+    targets = brute_targets(sizes)
+    assert sorted((r["doc_id"] or -1, r["source"] or "", r["size"]) for r in got) == sorted((i or -1, s or "", n or 0) for i, s, n in rows)
+    for s, total in sizes.items():
+        of = [r for r in got if r["source"] == s]
+        assert all(r["source_size"] == total and r["target"] == pytest.approx(targets[s]) for r in of)
+        assert abs(sum(r["taken"] for r in of) - targets[s]) <= max(r["size"] for r in of) + 1e-6
+        rate = targets[s] / total if total else 0
+        assert all(r["taken"] == r["copies"] * r["size"] <= cap * r["size"] for r in of)
+        assert all(abs(r["copies"] - rate) < 1 + 1e-9 for r in of if r["size"])
+
+
+def test_targets_sizes_and_reruns(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a", "b", "ß", "Z", "hot", "hot", "hot", None]), rng.choice([0, 1, 5, 40, 300])) for i in range(900)]
+    rows += [(5000, "hot", 7)] * 40 + [(None, "a", 9), (None, None, 3), (6000, "empty", 0), (6001, "empty", None)]
+    first = mixing.mix(sized(spark, rows), fan_in=8).collect()
+    check(rows, first)
+    again = mixing.mix(sized(spark, rows).repartition(7), fan_in=8).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(first, key=key) == sorted(again, key=key)
+
+
+def test_expected_copies_follow_the_rate(spark):
+    rows = [(i, "a" if i % 4 else "b", 10 + i % 3) for i in range(400)]
+    taken = 0
+    for seed in range(6):
+        got = mixing.mix(sized(spark, rows), seed=seed).where("source = 'b' and doc_id < 200").collect()
+        taken += sum(r["copies"] for r in got) / len(got)
+    rate = brute_targets({"a": sum(r[2] for r in rows if r[1] == "a"), "b": sum(r[2] for r in rows if r[1] == "b")})["b"]
+    rate /= sum(r[2] for r in rows if r[1] == "b")
+    assert abs(taken / 6 - rate) < 0.12
+
+
+def test_edges(spark):
+    assert mixing.mix(sized(spark, [])).count() == 0
+    one = mixing.mix(sized(spark, [(1, None, 10)])).collect()
+    assert one[0]["target"] == 15.0 and one[0]["taken"] in (10, 20)
+    nothing = mixing.mix(sized(spark, [(1, "a", 0), (2, "b", None)])).collect()
+    assert all(r["taken"] == 0 and r["target"] == 0 for r in nothing)
+    rows = edge_rows("w " * 60_000)
+    counted = docs(spark, rows).select("doc_id", mixing.word_count("text").alias("n")).collect()
+    assert sorted(r["n"] for r in counted) == sorted(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows)

@@ -1,0 +1,60 @@
+import datetime as dt
+
+from docs_of import docs, edge_rows
+from gridpulse.llm import pii
+
+F = pii.Feistel(b"test")
+VALUES = {
+    "email": ["jo.doe+7@mail.example.com"],
+    "iban": ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"],
+    "card": ["4111 1111 1111 1111", "4111111111111111", "3782-822463-10005", "6011000990139424"],
+    "ssn": ["123-45-6789"],
+    "phone": ["+1 (017) 555-7713", "+49 30 1234567", "(212) 555-0100", "212-555-0100"],
+    "ipv4": ["97.51.17.173", "8.8.8.8"],
+    "date": ["2024-02-29", "29.02.2024", "12/31/1999", "2001/01/02"],
+}
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 10, 97, 1000):
+        assert sorted(F.permute(i, n, "t") for i in range(n)) == list(range(n))
+    even = sorted(F.permute(i, 50, "t", lambda x: x % 2 == 0) for i in range(0, 50, 2))
+    assert even == list(range(0, 50, 2))
+    assert [F.permute(i, 1000, "t") for i in range(9)] != [F.permute(i, 1000, "u") for i in range(9)]
+    assert [F.permute(i, 1000, "t") for i in range(9)] != [pii.Feistel(b"other").permute(i, 1000, "t") for i in range(9)]
+
+
+def test_every_kind_keeps_its_format_and_is_valid_again():
+    for kind, values in VALUES.items():
+        for v in values:
+            text, spans = pii.replace(f"é see {v}, then", F)
+            assert [(k, s, e) for k, s, e in spans] == [(kind, 6, 6 + len(v))], v
+            new = text[6 : 6 + len(v)]
+            assert new != v and [c.isdigit() for c in new] == [c.isdigit() for c in v] and text[6 + len(v) :] == ", then"
+            assert pii.pseudonym(F, kind, new) is not None, (v, new)
+
+
+def test_equal_values_stay_linked():
+    a, b = (pii.pseudonym(F, "card", v) for v in ("4111 1111 1111 1111", "4111111111111111"))
+    assert a.replace(" ", "") == b
+    a, b = (pii.pseudonym(F, "date", v) for v in ("2024-02-29", "29.02.2024"))
+    assert dt.date.fromisoformat(a) == dt.datetime.strptime(b, "%d.%m.%Y").date()
+
+
+def test_invalid_values_stay():
+    for text in ("4111111111111112", "2024-02-30", "31.13.2024", "256.1.1.1", "01.2.3.4", "000-12-3456", "DE88370400440532013000", "token=9b0b3c6a43eb78aa9", "v1.2.3.4.5", "@", "a@b"):
+        assert pii.replace(text, F) == (text, []), text
+
+
+def test_pseudonymised_edges(spark):
+    rows = edge_rows("long " * 60_000 + "8.8.8.8") + [(30, "8.8.8.8 and 8.8.8.8")]
+    frame = docs(spark, rows)
+    got = pii.pseudonymised(frame, b"k", counts="n_replaced").collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {*frame.columns, "n_replaced"}
+    by = {r["doc_id"]: r for r in got}
+    address = by[30]["text"].split()[0]
+    assert by[30]["text"] == f"{address} and {address}" and by[30]["n_replaced"] == 2 and by[5]["text"].endswith(" " + address)
+    for i, t in rows:
+        if i not in (5, 30):
+            assert by[i]["text"] == t and by[i]["n_replaced"] == 0
+    assert pii.pseudonymised(docs(spark, []), b"k").count() == 0

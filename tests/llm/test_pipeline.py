@@ -1,0 +1,76 @@
+"""The pipeline, stage by stage against plain Python, and the registered oracles, on the smallest tables."""
+
+import re
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from docs_of import docs, edge_rows
+from gridpulse.llm import pii
+from gridpulse.llm.queries import ORACLE_SQL, PII_KEY, QUERIES
+from test_decontam import brute as brute_matches
+from test_mixing import check
+from test_simhash import brute_fp, brute_groups
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def stage(spark, name, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)[name](spark, frame, SF)
+    assert name == "mixing" or got.columns == COLUMNS
+    return got.collect()
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(*COLUMNS).collect()]
+
+
+def test_stages_equal_brute_force(spark, table):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = table + [(9000, None, None, None, None), (9001, "", "en", "src0", 0), table[5]]
+    kept = stage(spark, "toxicity", rows)
+    assert {r["doc_id"] for r in kept} >= {9000, 9001}
+
+    got = stage(spark, "simhash near-dedup", rows)
+    groups = brute_groups([r[0] for r in rows], [brute_fp(r[1]) for r in rows])
+    assert sorted(r["doc_id"] for r in got) == sorted(set(groups))
+
+    got = stage(spark, "benchmark decontamination", rows)
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows if not brute_matches(r[1], items)[1])
+
+    got = stage(spark, "pii", rows)
+    f = pii.Feistel(PII_KEY)
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == sorted((r[0], pii.replace(r[1] or "", f)[0]) for r in rows)
+
+    got = stage(spark, "mixing", rows)
+    check([(r[0], r[3], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for r in rows], got)
+
+
+def test_run_and_registration(spark, table):
+    out = entry.queries()["pipeline"](spark, SF).collect()
+    assert 0 < len(out) <= len(table) and {r["doc_id"] for r in out} <= {r[0] for r in table}
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and QUERIES.keys() <= entry.queries().keys()
+
+
+def test_stages_on_edge_rows(spark):
+    frame = docs(spark, edge_rows("very long text " * 20_000))
+    for name, run in corpus_pipeline.STAGES:
+        assert run(spark, frame, SF).count() >= 7, name
+        assert run(spark, frame.limit(0), SF).count() == 0, name
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=key) == sorted(want.fetchall(), key=key)

@@ -1,0 +1,78 @@
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from docs_of import docs, edge_rows
+from gridpulse.llm import toxicity
+from gridpulse.llm.queries import toxicity_model
+
+LABELS = "doc_id long, quality int, toxic int, text string"
+
+
+def corpus(n, seed=1):
+    """Toxic only where an insult and a group meet: each by itself is in both classes."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = rng.choices([f"w{j}" for j in range(300)], k=60)
+        kind = rng.choice(["both", "insult", "group", "none"])
+        words += ["insult"] * (kind in ("both", "insult")) + ["people"] * (kind in ("both", "group"))
+        rng.shuffle(words)
+        out.append((i, " ".join(words), int(kind == "both")))
+    return out
+
+
+def bags(rows):
+    doc, term = toxicity.distinct_terms([t.encode() for _, t, _ in rows])
+    return doc, term, np.array([y for _, _, y in rows], dtype=float)
+
+
+def test_pairs_are_learned_that_no_sum_of_weights_has():
+    """XOR: toxic with exactly one of the two words, so every linear model is at chance."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(1200):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(["alpha"] * a + ["beta"] * b + rng.choices([f"w{j}" for j in range(30)], k=4)), int(a != b)))
+    doc, term, label = bags(rows[:900])
+    _, wanted = toxicity.distinct_terms([b"alpha beta"])
+    pick = np.isin(term, wanted)
+    x = toxicity.Model(np.unique(wanted), 0.0, np.zeros(len(np.unique(wanted)) + 1), np.zeros((len(np.unique(wanted)) + 1, toxicity.FACTORS)))
+    model = toxicity.train(doc[pick], term[pick], label, rounds=1500, kept=x.kept)
+    got = toxicity.scores([t.encode() for _, t, _ in rows[900:]], model, model.slot) >= 0.5
+    assert (got == np.array([y for _, _, y in rows[900:]])).mean() > 0.95
+
+
+def test_held_out_accuracy(spark):
+    rows = corpus(1500)
+    frame = docs(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y, "clash") for i, _, y in rows] + [(None, 1, 1, ""), (3, 1, None, "")], LABELS)
+    model = toxicity_model(frame, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(frame, model).collect()}
+    held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = sum((got[i] >= 0.5) == bool(rows[i][2]) for i in held)
+    assert len(got) == 1500 and right / len(held) > 0.97
+
+
+def test_labels_of_the_held_out_fold_are_never_read(spark):
+    rows = corpus(300)
+    frame = docs(spark, [(i, t) for i, t, _ in rows])
+    flipped = [(i, 1, (1 - y) if zlib.crc32(str(i).encode()) % 5 == 0 else y, "") for i, _, y in rows]
+    a = toxicity_model(frame, spark.createDataFrame([(i, 1, y, "") for i, _, y in rows], LABELS))
+    b = toxicity_model(frame.repartition(5), spark.createDataFrame(flipped, LABELS))
+    assert a.bias == b.bias and np.array_equal(a.linear, b.linear) and np.array_equal(a.kept, b.kept)
+
+
+def test_edges(spark):
+    rows = edge_rows("long words " * 40_000)
+    none = toxicity.fit(docs(spark, rows), spark.createDataFrame([], LABELS))
+    got = toxicity.scored(docs(spark, rows), none).collect()
+    assert len(got) == len(rows) and {r["score"] for r in got} == {0.5}
+    one = toxicity.fit(docs(spark, rows), spark.createDataFrame([(4, 1, 0, ""), (6, 1, 0, "")], LABELS))
+    assert all(r["score"] < 0.5 for r in toxicity.scored(docs(spark, rows), one).collect())
+    assert toxicity.scored(docs(spark, []), one).count() == 0
+    assert toxicity.without_toxic(docs(spark, rows), one).count() == len(rows)
+    folds = spark.createDataFrame([(7,), (None,)], "i long").select(toxicity.crc_fold(F.col("i")).alias("f")).collect()
+    assert folds[0]["f"] == zlib.crc32(b"7") % 5 and folds[1]["f"] is None
