@@ -10,18 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridpulse.functions.parse import strip_blanks
+
 # The patterns the rules test for.
 NOISE_PREFIX_PATTERN = "Noise%"
 NOISE_WORD = "Noise"
 NOISE_WORD_LOWER = "noise"
 
-# Leading/trailing whitespace as Python's str.strip() sees it for ASCII text.
-_STRIP_PATTERN = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
 
 def py_strip(c: Column) -> Column:
-    """``str.strip()``: removes tabs and newlines too, unlike SQL ``trim``."""
-    return F.regexp_replace(c, _STRIP_PATTERN, "")
+    """``str.strip()``: removes tabs, newlines and no-break spaces too, unlike SQL ``trim``."""
+    return strip_blanks(c)
 
 
 def _ilike_prefix(c: Column) -> Column:

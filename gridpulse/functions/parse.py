@@ -13,31 +13,53 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A zone suffix after the time of day: Z, or +hh / +hhmm / +hh:mm (or -).
-_ZONE_SUFFIX = r"(?<=[0-9])([Zz]|[+-][0-9]{2}(?::?[0-9]{2})?)$"
+# The common form, which one cast parses: a date, or a date and a time with seconds.
+_PLAIN = r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$"
+# Dates 2024-01-05 or 20240105; any separator; times hh[:mm[:ss[.fff]]] or hhmm[ss[.fff]]; zones Z, +hh[[:]mm].
+_ISO = (
+    r"^(\d{4}-\d{2}-\d{2}|\d{8})"
+    r"(?:[^\d](\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{4}|\d{6}(?:[.,]\d+)?)"
+    r"(Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?)?$"
+)
+_BLANK = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+_NUMBER = (
+    r"^[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?$"
+    r"|^[+-]?(?i:inf|infinity|nan)$"
+)
 
 
 def empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def strip_blanks(c: Column) -> Column:
+    """Without leading and trailing blanks of any kind, no-break spaces too."""
+    return F.regexp_replace(c, f"^{_BLANK}+|{_BLANK}+$", "")
+
+
 def iso_timestamp(c: Column) -> Column:
     """ISO-8601 text -> TIMESTAMP_NTZ in UTC wall time; '' and junk -> NULL.
 
-    Text without a zone suffix (the common case) costs one cast; only text
-    whose time part carries Z/+/- runs the regex path, which strips the
-    suffix and subtracts the offset.
+    Anchored: text around the date, a year or month alone, one-digit fields, zone
+    names and a lower-case z are junk. Extended and compact dates, with or without
+    a time and a numeric zone, are read; ISO week dates (2024-W01-1) are not.
+    Text of the common form costs one cast; the other forms are brought to it first.
     """
     s = empty_to_null(c)
-    time_part = F.substring(s, 11, 1 << 20)  # after YYYY-MM-DD
-    zoned = time_part.rlike("[Zz+-]")
-    zone = F.regexp_extract(s, _ZONE_SUFFIX, 1)
+    date = F.regexp_replace(F.regexp_extract(s, _ISO, 1), "-", "")
+    clock = F.regexp_replace(F.regexp_replace(F.regexp_extract(s, _ISO, 2), ":", ""), ",", ".")
+    zone = F.regexp_replace(F.regexp_extract(s, _ISO, 3), ":", "")
+    field = lambda text, at: F.when(F.length(text) >= at + 1, F.substring(text, at, 2)).otherwise(F.lit("00"))
+    wall = F.concat(
+        F.substring(date, 1, 4), F.lit("-"), F.substring(date, 5, 2), F.lit("-"), F.substring(date, 7, 2), F.lit(" "),
+        field(clock, 1), F.lit(":"), field(clock, 3), F.lit(":"), field(clock, 5), F.substring(clock, 7, 7),
+    )
     sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    hours = F.coalesce(F.substring(zone, 2, 2).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.substring(F.regexp_replace(zone, ":", ""), 4, 2).try_cast("int"), F.lit(0))
-    wall = F.regexp_replace(s, _ZONE_SUFFIX, "").try_cast("timestamp_ntz")
-    shifted = F.timestamp_add("MINUTE", -sign * (hours * 60 + minutes), wall)
-    return F.when(zoned, shifted).otherwise(s.try_cast("timestamp_ntz"))
+    minutes = 60 * F.coalesce(F.substring(zone, 2, 2).try_cast("int"), F.lit(0)) + F.coalesce(
+        F.substring(zone, 4, 2).try_cast("int"), F.lit(0)
+    )
+    shifted = F.timestamp_add("MINUTE", -sign * minutes, wall.try_cast("timestamp_ntz"))
+    return F.when(s.rlike(_PLAIN), s.try_cast("timestamp_ntz")).when(s.rlike(_ISO), shifted)
 
 
 def ntz_lit(value: _dt.datetime) -> Column:
@@ -53,8 +75,13 @@ def ntz_lit(value: _dt.datetime) -> Column:
 
 
 def text_to_double(c: Column) -> Column:
-    """Decimal text -> double; '' -> NULL; junk -> NULL (callers decide skip/fail)."""
-    return empty_to_null(c).try_cast("double")
+    """Decimal text -> double; '' -> NULL; junk -> NULL (callers decide skip/fail).
+
+    Blanks around the number, digit groups (1_000), exponents, inf and nan are
+    read; type suffixes (40.5d) and hexadecimal text are junk.
+    """
+    s = strip_blanks(empty_to_null(c))
+    return F.when(s.rlike(_NUMBER), F.regexp_replace(s, "_", "").try_cast("double"))
 
 
 def parse_iso_param(value: str | None) -> _dt.datetime | None:

@@ -27,37 +27,58 @@ from gridpulse.functions import ntz_lit
 RUNNING, SUCCESS, FAILED = "running", "success", "failed"
 
 
+# Statuses as numbers, so that the fold keeps fixed-width buffers (hash aggregation, no sort of the events).
+_CODES = (RUNNING, SUCCESS, FAILED)
+
+
 def fold_runs(events: DataFrame, with_rows: bool = True) -> DataFrame:
-    """One ledger row per job that has ever been started, in job order."""
+    """One ledger row per job that has ever been started, in job order.
+
+    Only the error text has no fixed width: it is looked up by the sequence of
+    each job's last event, for the few jobs of the ledger.
+    """
     seq, at, status = F.col("run_seq"), F.col("event_at"), F.col("status")
-    started = status == RUNNING
-    finished = status != RUNNING
-    succeeded = status == SUCCESS
+    code = F.array_position(F.array(*[F.lit(s) for s in _CODES]), status).cast("int")
+    started, finished, succeeded = status == RUNNING, status != RUNNING, status == SUCCESS
+    fin, ok = F.when(finished, seq), F.when(succeeded, seq)
     agg = events.groupBy("job_name").agg(
         F.min(F.when(started, seq)).alias("first_start"),
         F.max_by(at, F.when(started, seq)).alias("last_started_at"),
-        F.max_by(F.struct(at.alias("at"), seq.alias("seq"), F.col("rows_processed").alias("rows")), F.when(finished, seq)).alias("fin"),
-        F.max_by(F.struct(at.alias("at"), seq.alias("seq")), F.when(succeeded, seq)).alias("ok"),
-        F.max_by(F.struct(status.alias("status"), F.col("error").alias("error"), at.alias("at")), seq).alias("last"),
+        F.max(fin).alias("fin_seq"),
+        F.max_by(at, fin).alias("fin_at"),
+        F.max_by(F.col("rows_processed"), fin).alias("fin_rows"),
+        F.max(ok).alias("ok_seq"),
+        F.max_by(at, ok).alias("ok_at"),
+        F.max(seq).alias("last_seq"),
+        F.max_by(at, seq).alias("last_at"),
+        F.max_by(code, seq).alias("last_code"),
     )
-    after_start = lambda s: F.col(f"{s}.seq") > F.col("first_start")
+    agg = agg.where(F.col("first_start").isNotNull())
+    texts = events.where(F.col("error").isNotNull()).select(F.col("job_name").alias("of"), seq.alias("of_seq"), "error")
+    last = agg.join(texts, (F.col("job_name") == F.col("of")) & (F.col("last_seq") == F.col("of_seq")), "left")
+    after_start = lambda s: F.col(f"{s}_seq") > F.col("first_start")
     cols = [
         "job_name",
         "last_started_at",
-        F.when(after_start("fin"), F.col("fin.at")).alias("last_finished_at"),
-        F.when(after_start("ok"), F.col("ok.at")).alias("last_successful_at"),
-        F.col("last.status").alias("last_status"),
-        F.col("last.error").alias("last_error"),
+        F.when(after_start("fin"), F.col("fin_at")).alias("last_finished_at"),
+        F.when(after_start("ok"), F.col("ok_at")).alias("last_successful_at"),
+        F.element_at(F.array(*[F.lit(s) for s in _CODES]), F.col("last_code")).alias("last_status"),
+        F.col("error").alias("last_error"),
     ]
     if with_rows:
-        cols.append(F.coalesce(F.when(after_start("fin"), F.col("fin.rows")), F.lit(0)).cast("int").alias("rows_processed"))
-    cols.append(F.col("last.at").alias("updated_at"))
-    return agg.where(F.col("first_start").isNotNull()).select(*cols).orderBy("job_name")
+        cols.append(F.coalesce(F.when(after_start("fin"), F.col("fin_rows")), F.lit(0)).cast("int").alias("rows_processed"))
+    cols.append(F.col("last_at").alias("updated_at"))
+    return last.select(*cols).orderBy("job_name")
+
+
+def gate_threshold(as_of: _dt.datetime, interval_days: int = S.SYNC_INTERVAL_DAYS) -> _dt.datetime:
+    """A job whose last success is not after this is due."""
+    return as_of - _dt.timedelta(days=interval_days)
 
 
 def gate(ledger: DataFrame, as_of: _dt.datetime, interval_days: int = S.SYNC_INTERVAL_DAYS) -> DataFrame:
     """Every job with its gate: due if never succeeded or last success <= as_of - interval."""
-    threshold = ntz_lit(as_of - _dt.timedelta(days=interval_days))
+    threshold = ntz_lit(gate_threshold(as_of, interval_days))
     last = F.col("last_successful_at")
     return ledger.select("job_name", "last_successful_at", (last.isNull() | (last <= threshold)).alias("due"))
 
@@ -68,8 +89,8 @@ def due_jobs(ledger: DataFrame, as_of: _dt.datetime, interval_days: int = S.SYNC
 
 
 def should_run(last_successful_at: _dt.datetime | None, as_of: _dt.datetime, interval_days: int = S.SYNC_INTERVAL_DAYS) -> bool:
-    """Scalar form of the gate, for a single job."""
-    return last_successful_at is None or last_successful_at <= as_of - _dt.timedelta(days=interval_days)
+    """The gate for a single job's last success."""
+    return last_successful_at is None or last_successful_at <= gate_threshold(as_of, interval_days)
 
 
 class RunLog:
@@ -117,7 +138,7 @@ class RunLog:
         self,
         job_name: str,
         body: Callable[[], int | None],
-        clock: Callable[[], _dt.datetime] = _dt.datetime.now,
+        clock: Callable[[], _dt.datetime] = lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
     ) -> int | None:
         """Mark started, run ``body``; mark success (with its row count) or
         failed (with the error text cut to 1000 characters) and re-raise."""

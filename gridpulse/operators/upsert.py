@@ -2,13 +2,20 @@
 
 The reference upserts on ``unique_key``: insert, else overwrite every
 column (a newer NULL overwrites an older value) with no timestamp
-comparison, so the last write wins. Here the table is
+comparison, so the last write wins. Several writers (the stream consumer, the
+scheduled sync) upsert one table. Here the table is
 
-* an append-only change log, one directory per micro-batch
-  (``log/batch_id=<id>``, rewritten whole on retry, hence idempotent,
-  visible once its commit record ``_commits/batch_id=<id>`` is written), plus
-* an optional compacted base (a published version of the current view,
-  laid out by date, with the last batch it folded in as watermark).
+* an append-only change log, one folder per writer and batch
+  (``log/writer=<w>/batch_id=<n>``), visible once its commit record
+  ``_commits/writer=<w>/batch_id=<n>`` is written; a batch that is committed is
+  never written again, so a retry changes nothing that readers see, plus
+* an optional compacted base (a published version of the current view, laid
+  out by date), which stores the exact set of (writer, batch) folded into it.
+
+Readers take exactly the committed pairs that the base has not folded. Changes
+are ordered by the sequence that their commit got, then by offset: within a
+partition a later offset wins whatever its message time, as the reference
+keeps the order of arrival there.
 
 Latest-wins is ``max_by(struct(all columns), struct(ordering))`` per key: a
 partial aggregate, so a key holding a third of all changes still ships one
@@ -21,7 +28,7 @@ micro-batch follows the batch, not the table.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Callable
+import time
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +39,8 @@ from gridpulse import schema as S
 from gridpulse.functions import ntz_lit
 from gridpulse.sources.store import VersionedStore
 
-# Total order of changes: later batch, then message time, partition, offset.
-ORDER_COLUMNS = ("batch_id", "msg_ts", "partition_id", "msg_offset")
+# Total order of changes: later commit, then offset; the rest makes it total.
+ORDER_COLUMNS = ("commit_seq", "writer", "batch_id", "msg_offset", "partition_id", "msg_ts")
 
 
 def latest_by_key(
@@ -42,7 +49,7 @@ def latest_by_key(
     order_cols: tuple[str, ...] = ORDER_COLUMNS,
     value_cols: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """One row per key: the values of the greatest ``order_cols`` tuple.
+    """One row per key: the values of the greatest tuple of those ``order_cols`` that there are.
 
     All value columns travel in one struct, so a row's columns stay
     together and a NULL in the newest change wins.
@@ -51,7 +58,7 @@ def latest_by_key(
         value_cols = tuple(c for c in changes.columns if c != key)
     return (
         changes.groupBy(key)
-        .agg(F.max_by(F.struct(*value_cols), F.struct(*order_cols)).alias("_latest"))
+        .agg(F.max_by(F.struct(*value_cols), F.struct(*[c for c in order_cols if c in changes.columns])).alias("_latest"))
         .select(key, *[F.col(f"_latest.{c}").alias(c) for c in value_cols])
     )
 
@@ -66,7 +73,6 @@ def merge_latest(
     key: str = "unique_key",
     order_cols: tuple[str, ...] = ORDER_COLUMNS,
     broadcast_key_bytes: int = BROADCAST_KEY_BYTES,
-    arrange: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Current view of a compacted ``base`` (one row per key) plus newer changes.
 
@@ -76,22 +82,19 @@ def merge_latest(
     through a map-side anti join (no shuffle of the base), and only the tail
     plus the touched base rows are shuffled into ``max_by``. Otherwise the
     whole union is merged by key, which shuffles the base too.
-    ``arrange`` (e.g. a date layout for compaction) is applied to the rows
-    that are placed anew: the changed keys, or everything on the full path.
     """
-    arrange = arrange or (lambda df: df)
     value_cols = tuple(c for c in base.columns if c != key)
     keys = tail.select(key).distinct()
-    n_keys, key_bytes = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(key)), F.lit(0))).first()
+    n_keys, key_bytes = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
     if n_keys == 0:
         return base
     # per-key overhead of a broadcast hash relation, on top of the key bytes
     if key_bytes + 64 * n_keys > broadcast_key_bytes:
-        return arrange(latest_by_key(base.unionByName(tail), key, order_cols, value_cols).select(*base.columns))
+        return latest_by_key(base.unionByName(tail), key, order_cols, value_cols).select(*base.columns)
     touched = F.broadcast(keys)
     unchanged = base.join(touched, key, "left_anti")
     changed = latest_by_key(base.join(touched, key, "left_semi").unionByName(tail), key, order_cols, value_cols)
-    return unchanged.unionByName(arrange(changed.select(*base.columns)))
+    return unchanged.unionByName(changed.select(*base.columns))
 
 
 def date_layout(df: DataFrame, col: str = "created_date", key: str = "unique_key") -> DataFrame:
@@ -108,10 +111,14 @@ LOG_SCHEMA = T.StructType(
         T.StructField("msg_ts", T.TimestampNTZType(), True),
         *[f for f in S.COMPLAINT_SCHEMA.fields if f.name in S.RECORD_COLUMNS],
         T.StructField("ingested_at", T.TimestampNTZType(), True),
+        T.StructField("writer", T.StringType(), True),
         T.StructField("batch_id", T.LongType(), True),
     ]
 )
-_LOG_COLUMNS = tuple(f.name for f in LOG_SCHEMA.fields)
+# Rows of the view and the base also carry the sequence of their commit.
+VIEW_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField("commit_seq", T.LongType(), True)])
+_VIEW_COLUMNS = tuple(VIEW_SCHEMA.fieldNames())
+_PAIR = ("writer", "batch_id")
 
 # Commit records: a marker row (progress fields NULL) plus, for stream
 # batches, one progress row per source partition.
@@ -126,7 +133,16 @@ _PROGRESS_SCHEMA = T.StructType(
         T.StructField("updated_at", T.TimestampNTZType(), True),
     ]
 )
-COMMIT_SCHEMA = T.StructType(list(_PROGRESS_SCHEMA.fields) + [T.StructField("batch_id", T.LongType(), True)])
+COMMIT_SCHEMA = T.StructType(
+    [
+        *_PROGRESS_SCHEMA.fields,
+        T.StructField("commit_seq", T.LongType(), True),
+        T.StructField("writer", T.StringType(), True),
+        T.StructField("batch_id", T.LongType(), True),
+    ]
+)
+_FOLDED_SCHEMA = T.StructType([LOG_SCHEMA["writer"], LOG_SCHEMA["batch_id"]])
+DEFAULT_WRITER = "default"
 
 
 class ChangeLogTable:
@@ -135,96 +151,143 @@ class ChangeLogTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.base = VersionedStore(spark, f"{self.root}/base", LOG_SCHEMA)
+        self.base = VersionedStore(spark, f"{self.root}/base", VIEW_SCHEMA)
+
+    def batch_path(self, batch_id: int, writer: str = DEFAULT_WRITER) -> str:
+        return f"{self.root}/log/writer={writer}/batch_id={int(batch_id)}"
 
-    def batch_path(self, batch_id: int) -> str:
-        return f"{self.root}/log/batch_id={batch_id}"
+    def _commit_path(self, batch_id: int, writer: str) -> str:
+        return f"{self.root}/_commits/writer={writer}/batch_id={int(batch_id)}"
 
-    def commit_batch(self, batch_id: int, progress: DataFrame | None = None) -> None:
-        """Make batches up to ``batch_id`` visible; written after all outputs.
+    def is_committed(self, batch_id: int, writer: str = DEFAULT_WRITER) -> bool:
+        try:
+            return bool(self.spark.read.schema(COMMIT_SCHEMA).parquet(self._commit_path(batch_id, writer)).take(1))
+        except AnalysisException:
+            return False
+
+    def batch_rows(self, batch_id: int, writer: str = DEFAULT_WRITER) -> int:
+        """Rows of a written batch."""
+        return self.spark.read.schema(LOG_SCHEMA).parquet(self.batch_path(batch_id, writer)).count()
+
+    def commit_batch(self, batch_id: int, progress: DataFrame | None = None, writer: str = DEFAULT_WRITER) -> None:
+        """Make one written batch of a writer visible; call it after all its outputs.
 
         The commit record carries the source progress the batch reached (one
         row per stream partition, plus one marker row), like a consumer that
-        commits rows and offsets together. Rewritten whole on retry.
+        commits rows and offsets together, and the commit's sequence: the wall
+        clock in nanoseconds, above every sequence committed before. A batch
+        that is committed already keeps its record.
         """
-        marker = self.spark.createDataFrame([(None,) * (len(COMMIT_SCHEMA) - 1)], _PROGRESS_SCHEMA)
+        if self.is_committed(batch_id, writer):
+            return
+        top = None if (known := self.commits()) is None else known.agg(F.max("commit_seq")).first()[0]
+        seq = max(time.time_ns(), (top or 0) + 1)
+        marker = self.spark.createDataFrame([(None,) * len(_PROGRESS_SCHEMA)], _PROGRESS_SCHEMA)
         rows = marker if progress is None else marker.unionByName(progress.select(*_PROGRESS_SCHEMA.fieldNames()))
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/batch_id={int(batch_id)}")
-
-    def commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/_commits")
+        rows = rows.withColumn("commit_seq", F.lit(seq).cast("long"))
+        rows.coalesce(1).write.mode("overwrite").parquet(self._commit_path(batch_id, writer))
 
-    def committed_through(self) -> int | None:
-        """Highest committed batch id (batches commit in order), or None."""
+    def commits(self) -> DataFrame | None:
+        """All commit records, or None before the first."""
         try:
-            return self.commits().agg(F.max("batch_id")).first()[0]
+            return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/_commits")
         except AnalysisException:
             return None
 
     def append_batch(
-        self, changes: DataFrame, batch_id: int, ingested_at: _dt.datetime | None = None, commit: bool = True
-    ) -> None:
-        """Write one micro-batch of normalised changes (idempotent per id).
-
-        With ``commit`` the batch becomes visible at once; a caller with more
-        outputs per batch commits after writing all of them."""
-        stamp = ntz_lit(ingested_at) if ingested_at else F.localtimestamp()
+        self,
+        changes: DataFrame,
+        batch_id: int,
+        ingested_at: _dt.datetime | None = None,
+        commit: bool = True,
+        writer: str = DEFAULT_WRITER,
+    ) -> bool:
+        """Write one batch of normalised changes of a writer; False if it is committed already.
+
+        Ids count per writer. With ``commit`` the batch becomes visible at once;
+        a caller with more outputs per batch commits after writing all of them."""
+        if self.is_committed(batch_id, writer):
+            return False
+        stamp = ntz_lit(ingested_at or _dt.datetime.now(_dt.timezone.utc))
         present = set(changes.columns)
         cols = [
             F.col(c) if c in present else F.lit(None).cast(LOG_SCHEMA[c].dataType).alias(c)
-            for c in _LOG_COLUMNS
-            if c not in ("ingested_at", "batch_id")
+            for c in LOG_SCHEMA.fieldNames()
+            if c not in ("ingested_at", *_PAIR)
         ]
         out = changes.select(*cols, stamp.alias("ingested_at"))
-        out.write.mode("overwrite").parquet(self.batch_path(batch_id))
+        out.write.mode("overwrite").parquet(self.batch_path(batch_id, writer))
         if commit:
-            self.commit_batch(batch_id)
-
-    def log(self, after_batch: int | None = None, committed: int | None = -1) -> DataFrame:
-        """Committed log batches (optionally only those after ``after_batch``);
-        a batch folder without its commit record is not read. ``committed``
-        may pass an already known watermark."""
-        committed = self.committed_through() if committed == -1 else committed
-        if committed is None:
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        df = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log").where(F.col("batch_id") <= F.lit(committed))
-        return df if after_batch is None else df.where(F.col("batch_id") > F.lit(after_batch))
+            self.commit_batch(batch_id, writer=writer)
+        return True
+
+    def _folded(self, version: int) -> DataFrame:
+        return self.spark.read.schema(_FOLDED_SCHEMA).parquet(f"{self.root}/base_folded/v={version}")
+
+    def _pairs(self, version: int | None) -> DataFrame:
+        """(writer, batch_id, commit_seq) of the committed batches that base ``version`` has not folded."""
+        commits = self.commits()
+        if commits is None:
+            return self.spark.createDataFrame([], VIEW_SCHEMA).select(*_PAIR, "commit_seq")
+        pairs = commits.groupBy(*_PAIR).agg(F.max("commit_seq").alias("commit_seq"))
+        return pairs if version is None else pairs.join(self._folded(version), list(_PAIR), "left_anti")
+
+    def _rows_of(self, pairs: DataFrame) -> DataFrame:
+        """The log rows of exactly these batches."""
+        try:
+            log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log")
+        except AnalysisException:
+            return self.spark.createDataFrame([], VIEW_SCHEMA)
+        return log.join(pairs, list(_PAIR)).select(*_VIEW_COLUMNS)
+
+    def log(self) -> DataFrame:
+        """All committed log rows; a batch folder without its commit record is not read."""
+        return self._rows_of(self._pairs(None))
 
     def changes(self) -> DataFrame:
-        """Base rows plus every log batch after the base's watermark."""
+        """Base rows plus the rows of every committed batch that the base has not folded."""
         current = self.base.latest()
         if current is None:
             return self.log()
-        version, watermark = current
-        return self.base.read(version).unionByName(self.log(after_batch=watermark))
+        return self.base.read(current[0]).select(*_VIEW_COLUMNS).unionByName(self._rows_of(self._pairs(current[0])))
 
-    def current_view(
-        self, broadcast_key_bytes: int = BROADCAST_KEY_BYTES, arrange: Callable[[DataFrame], DataFrame] | None = None
-    ) -> DataFrame:
+    def _view(self, version: int | None, pairs: DataFrame, broadcast_key_bytes: int) -> DataFrame:
+        if version is None:
+            return latest_by_key(self._rows_of(pairs), value_cols=tuple(c for c in _VIEW_COLUMNS if c != "unique_key")).select(*_VIEW_COLUMNS)
+        base = self.base.read(version).select(*_VIEW_COLUMNS)
+        if not pairs.take(1):
+            return base
+        return merge_latest(base, self._rows_of(pairs), broadcast_key_bytes=broadcast_key_bytes)
+
+    def current_view(self, broadcast_key_bytes: int = BROADCAST_KEY_BYTES) -> DataFrame:
         """Latest row per key: the log alone, or the compacted base merged
-        with the log tail after its watermark (see ``merge_latest``)."""
+        with the batches it has not folded (see ``merge_latest``)."""
         current = self.base.latest()
-        if current is None:
-            view = latest_by_key(self.log(), value_cols=tuple(c for c in _LOG_COLUMNS if c != "unique_key"))
-            view = view.select(*_LOG_COLUMNS)
-            return arrange(view) if arrange else view
-        version, watermark = current
-        base = self.base.read(version).select(*_LOG_COLUMNS)
-        committed = self.committed_through()
-        if committed is None or committed <= watermark:
-            return base
-        tail = self.log(after_batch=watermark, committed=committed).select(*_LOG_COLUMNS)
-        return merge_latest(base, tail, broadcast_key_bytes=broadcast_key_bytes, arrange=arrange)
-
-    def compact(self) -> int:
-        """Fold the log into a new published base version, laid out by date:
-        rows placed anew are range-partitioned by (created_date, key); base
-        rows of untouched keys keep their files' date ranges."""
-        top = self.committed_through()
-        if top is None:
-            current = self.base.latest()
-            return current[0] if current else 0
-        return self.base.publish(self.current_view(arrange=date_layout), watermark=int(top))
+        version = None if current is None else current[0]
+        return self._view(version, self._pairs(version), broadcast_key_bytes)
+
+    def compact(self, broadcast_key_bytes: int = BROADCAST_KEY_BYTES) -> int:
+        """Fold the committed batches into a new published base version.
+
+        The set of batches is fixed first and stored beside the version, then
+        the version is published: a batch committed meanwhile, by any writer, is
+        not in the set and stays in the tail. All rows are laid out anew by date.
+        """
+        current = self.base.latest()
+        version = None if current is None else current[0]
+        found = self._pairs(version).collect()  # one small row for each batch since the last compaction
+        if not found:
+            return version or 0
+        pairs = self.spark.createDataFrame(found, _PAIRS_SCHEMA)
+        folded = pairs.select(*_PAIR) if version is None else pairs.select(*_PAIR).unionByName(self._folded(version))
+        new = self.base.next_version()
+        folded.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/base_folded/v={new}")
+        self.base.write_version(date_layout(self._view(version, pairs, broadcast_key_bytes)), new)
+        self.base.point(new)
+        return new
+
+
+_PAIRS_SCHEMA = T.StructType([*_FOLDED_SCHEMA.fields, VIEW_SCHEMA["commit_seq"]])
 
 
 def current_records(view: DataFrame) -> DataFrame:

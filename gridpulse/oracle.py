@@ -1,4 +1,4 @@
-"""DuckDB SQL for the correctness gate: the reference's own SQL, re-expressed.
+"""DuckDB SQL for the correctness gate, written from the rules of SURVEY section 2.
 
 Only the driver tables are registered on the DuckDB side, so each query
 starts from the same adapters as ``gridpulse.sources.fixtures`` written as
@@ -15,7 +15,8 @@ COMPLAINTS_CTE = """complaints AS (
     'NYPD' AS agency,
     'New York City Police Department' AS agency_name,
     CASE event_type WHEN 'click' THEN 'Noise - Residential' WHEN 'view' THEN 'Noise - Street/Sidewalk'
-      WHEN 'purchase' THEN 'Noise - Commercial' WHEN 'signup' THEN 'noise - vehicle' ELSE 'Illegal Parking' END AS complaint_type,
+      WHEN 'purchase' THEN 'Noise - Commercial' WHEN 'signup' THEN 'noise - vehicle'
+      ELSE CONCAT('Illegal Parking ', CAST(event_id % 8 AS VARCHAR)) END AS complaint_type,
     CASE WHEN event_id % 3 = 0 THEN 'Loud Music/Party' WHEN event_id % 3 = 1 THEN 'Banging/Pounding' ELSE NULL END AS descriptor,
     CASE WHEN event_id % 5 = 0 THEN 'In Progress' ELSE 'Closed' END AS status,
     CASE user_id % 6 WHEN 0 THEN 'BRONX' WHEN 1 THEN 'BROOKLYN' WHEN 2 THEN 'MANHATTAN' WHEN 3 THEN 'QUEENS'
@@ -35,27 +36,49 @@ COMPLAINTS_CTE = """complaints AS (
 
 
 def _message_cte(name: str, junk: bool) -> str:
-    date_junk = "WHEN event_id % 61 = 0 THEN 'not-a-date' " if junk else ""
-    lat_junk = "WHEN event_id % 53 = 0 THEN 'abc' " if junk else ""
+    """Text fields of the messages, and beside each parsed field what its text means (NULL: junk or none)."""
+    date_junk = """WHEN event_id % 61 = 0 THEN 'not-a-date' WHEN event_id % 83 = 0 THEN CONCAT('2024-1-', day)
+      WHEN event_id % 79 = 0 THEN CONCAT('2024-01-', day, 'T10:00:00 UTC') """ if junk else ""
+    date_none = "event_id % 61 = 0 OR event_id % 83 = 0 OR event_id % 79 = 0 OR " if junk else ""
+    closed_junk = "WHEN event_id % 91 = 0 THEN '2024-13-01' " if junk else ""
+    closed_none = "WHEN event_id % 91 = 0 THEN NULL " if junk else ""
+    lat_junk = "WHEN event_id % 53 = 0 THEN 'abc' WHEN event_id % 71 = 0 THEN '40.5d' " if junk else ""
+    lat_none = "event_id % 53 = 0 OR event_id % 71 = 0 OR " if junk else ""
+    lon_junk = "WHEN event_id % 103 = 0 THEN '0x1p3' " if junk else ""
+    lon_none = "event_id % 103 = 0 OR " if junk else ""
     return f"""{name} AS (
   SELECT event_id AS msg_offset, CAST(user_id % 3 AS INTEGER) AS partition_id, ts AS msg_ts,
     CASE WHEN event_id % 307 = 0 THEN NULL ELSE CAST(event_id % 700 AS VARCHAR) END AS unique_key,
     CASE {date_junk}WHEN event_id % 67 = 0 THEN ''
-      ELSE CONCAT('2024-01-', LPAD(CAST(1 + event_id % 28 AS VARCHAR), 2, '0'), 'T10:00:00.000') END AS created_date,
+      WHEN event_id % 41 = 0 THEN CONCAT('2024-01-', day, 'T10:00:00.000+02:00')
+      WHEN event_id % 43 = 0 THEN CONCAT('202401', day) WHEN event_id % 47 = 0 THEN CONCAT('2024-01-', day, 'T10:00:00Z')
+      ELSE CONCAT('2024-01-', day, 'T10:00:00.000') END AS created_date,
+    CASE WHEN {date_none}event_id % 67 = 0 THEN NULL
+      ELSE CAST(CONCAT('2024-01-', day) AS TIMESTAMP) + CASE WHEN event_id % 41 = 0 THEN INTERVAL 8 HOUR
+        WHEN event_id % 43 = 0 THEN INTERVAL 0 HOUR ELSE INTERVAL 10 HOUR END END AS created_ts,
+    CASE {closed_junk}WHEN event_id % 7 = 0 THEN CONCAT('2024-02-', day) END AS closed_date,
+    CASE {closed_none}WHEN event_id % 7 = 0 THEN CAST(CONCAT('2024-02-', day) AS TIMESTAMP) END AS closed_ts,
     CASE event_type WHEN 'click' THEN 'Noise - Residential' WHEN 'view' THEN ' Noise - Street/Sidewalk '
-      WHEN 'purchase' THEN 'Noise - Commercial' WHEN 'signup' THEN 'noise - vehicle' ELSE 'Illegal Parking' END AS complaint_type,
-    CASE {lat_junk}WHEN event_id % 59 = 0 THEN ''
-      ELSE CONCAT('40.', LPAD(CAST((event_id * 7919) % 1000 + 4774 AS VARCHAR), 4, '0')) END AS latitude,
-    CASE WHEN event_id % 73 = 0 THEN NULL ELSE CONCAT('-74.', LPAD(CAST((user_id * 6421) % 1000 AS VARCHAR), 4, '0')) END AS longitude
-  FROM events)"""
+      WHEN 'purchase' THEN 'Noise - Commercial' WHEN 'signup' THEN 'noise - vehicle'
+      ELSE CONCAT('Illegal Parking ', CAST(event_id % 8 AS VARCHAR)) END AS complaint_type,
+    CASE WHEN event_id % 4 = 0 THEN ' Loud "Music", party' END AS descriptor,
+    CASE {lat_junk}WHEN event_id % 59 = 0 THEN '' WHEN event_id % 31 = 0 THEN CONCAT(' ', lat_text, ' ') ELSE lat_text END AS latitude,
+    CASE WHEN {lat_none}event_id % 59 = 0 THEN NULL ELSE CAST(lat_text AS DOUBLE) END AS lat,
+    CASE {lon_junk}WHEN event_id % 73 = 0 THEN NULL ELSE lon_text END AS longitude,
+    CASE WHEN {lon_none}event_id % 73 = 0 THEN NULL ELSE CAST(lon_text AS DOUBLE) END AS lon
+  FROM (SELECT *, LPAD(CAST(1 + event_id % 28 AS VARCHAR), 2, '0') AS day,
+      CONCAT('40.', LPAD(CAST((event_id * 7919) % 1000 + 4774 AS VARCHAR), 4, '0')) AS lat_text,
+      CONCAT('-74.', LPAD(CAST((user_id * 6421) % 1000 AS VARCHAR), 4, '0')) AS lon_text
+    FROM events))"""
 
 
 MESSAGES_CTE = _message_cte("messages", junk=True)
 EXTRACT_CTE = _message_cte("extract", junk=False)
 
 RUNS_CTE = """runs AS (
-  SELECT CONCAT('job_', CAST(user_id % 7 AS VARCHAR)) AS job_name, event_id AS run_seq, ts AS event_at,
-    CASE WHEN event_type IN ('click','view') THEN 'running' WHEN event_type IN ('purchase','signup') THEN 'success'
+  SELECT CONCAT('job_', CAST(user_id % 7 AS VARCHAR)) AS job_name, event_id AS run_seq,
+    CASE WHEN user_id % 7 >= 5 THEN ts - INTERVAL 60 DAY ELSE ts END AS event_at,
+    CASE WHEN event_type IN ('click','view') THEN 'running' WHEN event_type IN ('purchase','signup') AND user_id % 7 <> 4 THEN 'success'
       ELSE 'failed' END AS status,
     CASE WHEN event_type = 'error' THEN CONCAT('err ', props) ELSE NULL END AS error,
     CASE WHEN event_type IN ('click','view') THEN CAST(NULL AS INTEGER) ELSE CAST(event_id % 1000 AS INTEGER) END AS rows_processed
@@ -68,25 +91,28 @@ _ZOOMS = ((10, "0.02"), (12, "0.01"), (14, "0.0045"))
 G45 = "CAST('0.0045' AS DOUBLE)"
 
 
-def _grid_level(zoom: int, size: str, noise: str, refreshed: bool) -> str:
-    g = f"CAST('{size}' AS DOUBLE)"
-    refreshed_col = f",\n    {AS_OF} AS refreshed_at" if refreshed else ""
-    return f"""  SELECT CAST({zoom} AS INTEGER) AS zoom_level, {g} AS grid_size_degrees, borough, complaint_type,
-    FLOOR(latitude / {g}) * {g} AS lat_bucket, FLOOR(longitude / {g}) * {g} AS lon_bucket,
-    AVG(latitude) AS center_lat, AVG(longitude) AS center_lon, COUNT(*) AS complaint_count,
-    MIN(created_date) AS earliest_created_date, MAX(created_date) AS latest_created_date{refreshed_col}
-  FROM complaints
-  WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND {noise}
-  GROUP BY borough, complaint_type, FLOOR(latitude / {g}) * {g}, FLOOR(longitude / {g}) * {g}"""
+LEVELS_CTE = "levels AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT CAST({z} AS INTEGER) AS zoom_level, CAST('{g}' AS DOUBLE) AS g" for z, g in _ZOOMS
+) + ")"
 
 
-GRID_ROLLUPS_CTE = "grid_rollups AS (\n" + "\n  UNION ALL\n".join(
-    _grid_level(z, g, "complaint_type ILIKE 'Noise%'", True) for z, g in _ZOOMS
-) + ")"
+def _grid(noise: str, refreshed: bool) -> str:
+    """Every noise complaint with a place counts once on each level, in the cell its coordinates fall in."""
+    refreshed_col = f", {AS_OF} AS refreshed_at" if refreshed else ""
+    return f"""SELECT zoom_level, g AS grid_size_degrees, borough, complaint_type, i * g AS lat_bucket, j * g AS lon_bucket,
+    list_avg(lats) AS center_lat, list_avg(lons) AS center_lon, CAST(len(lats) AS BIGINT) AS complaint_count,
+    earliest_created_date, latest_created_date{refreshed_col}
+  FROM (
+    SELECT zoom_level, g, borough, complaint_type, FLOOR(latitude / g) AS i, FLOOR(longitude / g) AS j,
+      list(latitude) AS lats, list(longitude) AS lons,
+      MIN(created_date) AS earliest_created_date, MAX(created_date) AS latest_created_date
+    FROM complaints CROSS JOIN levels
+    WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND {noise}
+    GROUP BY ALL)"""
 
-GRID_ROLLUPS_OFFLINE_SQL = "\n  UNION ALL\n".join(
-    _grid_level(z, g, "contains(lower(trim(complaint_type)), 'noise')", False) for z, g in _ZOOMS
-)
+
+GRID_ROLLUPS_CTE = LEVELS_CTE + f",\ngrid_rollups AS (\n  {_grid("complaint_type ILIKE 'Noise%'", True)})"
+GRID_ROLLUPS_OFFLINE_SQL = _grid("contains(lower(trim(complaint_type)), 'noise')", False)
 
 
 def _time_level(bucket: str, where: str, refreshed: bool) -> str:
@@ -149,10 +175,10 @@ LIMIT 5000""",
     "points_finite": with_ctes(COMPLAINTS_CTE)
     + f"""SELECT * FROM (
 {POINT_SELECT}
-WHERE {COORDS} AND {VIEWPORT_BBOX}
+WHERE {COORDS}
 {POINT_ORDER}
 LIMIT 250) AS page
-WHERE isfinite(lat) AND isfinite(lon)""",
+WHERE CAST(unique_key AS BIGINT) % 10 > 2""",
     "noise_rules": with_ctes(MESSAGES_CTE)
     + r"""SELECT complaint_type, COUNT(*) AS n_rows,
   complaint_type ILIKE 'Noise%' AS ilike_prefix,
@@ -162,23 +188,18 @@ WHERE isfinite(lat) AND isfinite(lon)""",
 FROM messages
 GROUP BY complaint_type""",
     "grid_rollups": with_ctes(COMPLAINTS_CTE, GRID_ROLLUPS_CTE) + "SELECT * FROM grid_rollups",
-    "grid_rollups_offline": with_ctes(COMPLAINTS_CTE) + GRID_ROLLUPS_OFFLINE_SQL,
+    "grid_rollups_offline": with_ctes(COMPLAINTS_CTE, LEVELS_CTE) + GRID_ROLLUPS_OFFLINE_SQL,
     "grid_serving": with_ctes(COMPLAINTS_CTE, GRID_ROLLUPS_CTE)
     + f"""{GRID_SELECT}
 WHERE zoom_level = 12 AND complaint_count >= 2 AND {VIEWPORT_CENTRE_BBOX}
 ORDER BY complaint_count DESC""",
-    "grid_live": with_ctes(
-        COMPLAINTS_CTE,
-        f"""bucketed AS (
-  SELECT FLOOR(latitude / {G45}) * {G45} AS lat_bucket, FLOOR(longitude / {G45}) * {G45} AS lon_bucket, latitude, longitude
-  FROM complaints WHERE {COORDS} AND borough = 'QUEENS')""",
-    )
-    + """SELECT AVG(latitude) AS lat, AVG(longitude) AS lon, COUNT(*) AS count, lat_bucket, lon_bucket,
-  CAST(NULL AS INTEGER) AS zoom_level, CAST(NULL AS TIMESTAMP) AS latest_created_date
-FROM bucketed
-GROUP BY lat_bucket, lon_bucket
-HAVING COUNT(*) >= 2
-ORDER BY count DESC""",
+    "grid_live": with_ctes(COMPLAINTS_CTE)
+    + f"""SELECT list_avg(lats) AS lat, list_avg(lons) AS lon, CAST(len(lats) AS BIGINT) AS count,
+  i * {G45} AS lat_bucket, j * {G45} AS lon_bucket, CAST(NULL AS INTEGER) AS zoom_level, CAST(NULL AS TIMESTAMP) AS latest_created_date
+FROM (
+  SELECT FLOOR(latitude / {G45}) AS i, FLOOR(longitude / {G45}) AS j, list(latitude) AS lats, list(longitude) AS lons
+  FROM complaints WHERE borough = 'QUEENS' AND {COORDS} GROUP BY ALL)
+WHERE len(lats) >= 2""",
     "grid_500m": with_ctes(COMPLAINTS_CTE)
     + f"""SELECT FLOOR(latitude / {G45}) * {G45} AS lat_bucket, FLOOR(longitude / {G45}) * {G45} AS lon_bucket,
   COUNT(*) AS complaint_count, AVG(latitude) AS center_lat, AVG(longitude) AS center_lon
@@ -229,42 +250,40 @@ PUBLISH_FILTER = (
     " AND unique_key IS NOT NULL AND unique_key <> '' AND latitude IS NOT NULL AND latitude <> ''"
     " AND longitude IS NOT NULL AND longitude <> ''"
 )
-NULL_TEXT = ("agency", "agency_name", "descriptor", "status", "borough", "city", "incident_zip", "incident_address",
+NULL_TEXT = ("agency", "agency_name", "status", "borough", "city", "incident_zip", "incident_address",
              "street_name", "cross_street_1", "cross_street_2", "location_type")
 
 
-def _record_select(created: str, complaint_type: str, lat: str, lon: str, source: str) -> str:
+def _record_select(complaint_type: str, source: str) -> str:
     nulls = {c: f"CAST(NULL AS VARCHAR) AS {c}" for c in NULL_TEXT}
     cols = [
         "unique_key",
-        f"{created} AS created_date",
-        "CAST(NULL AS TIMESTAMP) AS closed_date",
+        "created_ts AS created_date",
+        "closed_ts AS closed_date",
         nulls["agency"],
         nulls["agency_name"],
         f"{complaint_type} AS complaint_type",
+        "descriptor",
         *[nulls[c] for c in NULL_TEXT[2:]],
-        f"{lat} AS latitude",
-        f"{lon} AS longitude",
+        "lat AS latitude",
+        "lon AS longitude",
         f"{source} AS source",
     ]
     return ",\n  ".join(cols)
 
 
-PARSED_CTE = """parsed AS (
-  SELECT *, TRY_CAST(NULLIF(created_date, '') AS TIMESTAMP) AS created_ts,
-    TRY_CAST(NULLIF(latitude, '') AS DOUBLE) AS lat, TRY_CAST(NULLIF(longitude, '') AS DOUBLE) AS lon
-  FROM messages)"""
 REASON = """CASE WHEN unique_key IS NULL THEN 'missing_key'
     WHEN created_date IS NOT NULL AND created_date <> '' AND created_ts IS NULL THEN 'bad_created_date'
+    WHEN closed_date IS NOT NULL AND closed_date <> '' AND closed_ts IS NULL THEN 'bad_closed_date'
     WHEN latitude IS NOT NULL AND latitude <> '' AND lat IS NULL THEN 'bad_latitude'
     WHEN longitude IS NOT NULL AND longitude <> '' AND lon IS NULL THEN 'bad_longitude' END"""
 VALID_CTE = f"""valid AS (
   SELECT msg_offset, partition_id, msg_ts,
-  {_record_select("created_ts", "complaint_type", "lat", "lon", "'kafka'")}
-  FROM parsed WHERE ({REASON}) IS NULL)"""
+  {_record_select("complaint_type", "'kafka'")}
+  FROM messages WHERE ({REASON}) IS NULL)"""
 RECORD_COLS_SQL = """unique_key, created_date, closed_date, agency, agency_name, complaint_type, descriptor, status, borough,
   city, incident_zip, incident_address, street_name, cross_street_1, cross_street_2, location_type, latitude, longitude, source"""
-UPSERT_SQL = with_ctes(MESSAGES_CTE, PARSED_CTE, VALID_CTE) + f"""SELECT {RECORD_COLS_SQL}
+UPSERT_SQL = with_ctes(MESSAGES_CTE, VALID_CTE) + f"""SELECT {RECORD_COLS_SQL}
 FROM valid
 QUALIFY ROW_NUMBER() OVER (PARTITION BY unique_key ORDER BY msg_offset DESC) = 1"""
 
@@ -296,14 +315,13 @@ ORDER BY bucket_start DESC NULLS FIRST, borough NULLS FIRST, complaint_type NULL
 LIMIT 90""",
         "csv_roundtrip": with_ctes(COMPLAINTS_CTE, GRID_ROLLUPS_CTE) + "SELECT * FROM grid_rollups",
         "normalize_sync": with_ctes(EXTRACT_CTE)
-        + f"""SELECT {_record_select("CAST(NULLIF(created_date, '') AS TIMESTAMP)", STRIP.format(c="complaint_type"),
-                                   "CAST(latitude AS DOUBLE)", "CAST(longitude AS DOUBLE)", "'socrata'")}
+        + f"""SELECT {_record_select(STRIP.format(c="complaint_type"), "'socrata'")}
 FROM extract
 WHERE {PUBLISH_FILTER}""",
         "message_encode": with_ctes(EXTRACT_CTE)
         + f"""SELECT msg_offset, CAST(to_json(struct_pack(unique_key := unique_key, created_date := created_date,
-  closed_date := CAST(NULL AS VARCHAR), agency := CAST(NULL AS VARCHAR), agency_name := CAST(NULL AS VARCHAR),
-  complaint_type := {STRIP.format(c="complaint_type")}, descriptor := CAST(NULL AS VARCHAR),
+  closed_date := closed_date, agency := CAST(NULL AS VARCHAR), agency_name := CAST(NULL AS VARCHAR),
+  complaint_type := {STRIP.format(c="complaint_type")}, descriptor := descriptor,
   status := CAST(NULL AS VARCHAR), borough := CAST(NULL AS VARCHAR), city := CAST(NULL AS VARCHAR),
   incident_zip := CAST(NULL AS VARCHAR), incident_address := CAST(NULL AS VARCHAR), street_name := CAST(NULL AS VARCHAR),
   cross_street_1 := CAST(NULL AS VARCHAR), cross_street_2 := CAST(NULL AS VARCHAR), location_type := CAST(NULL AS VARCHAR),
@@ -312,22 +330,22 @@ FROM extract
 WHERE {PUBLISH_FILTER}""",
         "csv_stream_publish": with_ctes(EXTRACT_CTE)
         + f"""SELECT CAST(to_json(struct_pack(unique_key := COALESCE(unique_key, ''), created_date := COALESCE(created_date, ''),
-  closed_date := '', agency := '', agency_name := '', complaint_type := {STRIP.format(c="complaint_type")},
-  descriptor := '', status := '', borough := '', city := '', incident_zip := '', incident_address := '',
+  closed_date := COALESCE(closed_date, ''), agency := '', agency_name := '', complaint_type := {STRIP.format(c="complaint_type")},
+  descriptor := COALESCE(descriptor, ''), status := '', borough := '', city := '', incident_zip := '', incident_address := '',
   street_name := '', cross_street_1 := '', cross_street_2 := '', location_type := '',
   latitude := COALESCE(latitude, ''), longitude := COALESCE(longitude, ''), source := 'csv')) AS VARCHAR) AS value
 FROM extract
 WHERE {PUBLISH_FILTER}""",
-        "normalize_stream": with_ctes(MESSAGES_CTE, PARSED_CTE, VALID_CTE)
+        "normalize_stream": with_ctes(MESSAGES_CTE, VALID_CTE)
         + f"SELECT msg_offset, partition_id, {RECORD_COLS_SQL} FROM valid",
-        "stream_rejects": with_ctes(MESSAGES_CTE, PARSED_CTE)
-        + f"""SELECT msg_offset, partition_id, unique_key, created_date, CAST(NULL AS VARCHAR) AS closed_date, latitude, longitude,
+        "stream_rejects": with_ctes(MESSAGES_CTE)
+        + f"""SELECT msg_offset, partition_id, unique_key, created_date, closed_date, latitude, longitude,
   {REASON} AS reject_reason
-FROM parsed
+FROM messages
 WHERE ({REASON}) IS NOT NULL""",
         "upsert_latest": UPSERT_SQL,
         "stream_replay": UPSERT_SQL,
-        "stream_offsets": with_ctes(MESSAGES_CTE, PARSED_CTE, VALID_CTE)
+        "stream_offsets": with_ctes(MESSAGES_CTE, VALID_CTE)
         + f"""SELECT 'noise-complaints-postgres' AS consumer_name, 'noise-complaints' AS topic_name, partition_id,
   msg_offset AS last_offset, created_date AS last_created_date, msg_ts AS last_message_at, {AS_OF} AS updated_at
 FROM valid
@@ -338,5 +356,24 @@ ORDER BY consumer_name, partition_id""",
         + """SELECT job_name, last_successful_at,
   (last_successful_at IS NULL OR last_successful_at <= TIMESTAMP '2024-01-26 00:00:00') AS due
 FROM ledger""",
+        "aggregate_ledger": with_ctes(RUNS_CTE, LEDGER_CTE) + "SELECT * EXCLUDE (rows_processed) FROM ledger ORDER BY job_name",
+        "sync_upsert": with_ctes(EXTRACT_CTE)
+        + f"""SELECT unique_key, MIN(created_ts) AS created_date, 'socrata' AS source,
+  CAST(SUM(COUNT(*)) OVER () AS INTEGER) AS rows_processed
+FROM extract
+WHERE {PUBLISH_FILTER} AND complaint_type LIKE 'Noise%' AND created_ts >= TIMESTAMP '2024-01-11 00:00:00'
+GROUP BY unique_key""",
+        "rebuild_serve": with_ctes(COMPLAINTS_CTE, GRID_ROLLUPS_CTE, TIME_ROLLUPS_CTE)
+        + """SELECT 'grid' AS store, CAST(zoom_level AS VARCHAR) AS level, COUNT(*) AS cells,
+  CAST(SUM(complaint_count) AS BIGINT) AS complaints, 'success' AS last_status
+FROM grid_rollups GROUP BY zoom_level
+UNION ALL
+SELECT 'time', bucket_type, COUNT(*), CAST(SUM(complaint_count) AS BIGINT), 'success' FROM time_rollups GROUP BY bucket_type""",
+        "csv_snapshot": with_ctes(COMPLAINTS_CTE)
+        + f"""SELECT {RECORD_LIST}
+FROM complaints
+WHERE complaint_type LIKE 'Noise%' AND {COORDS}
+ORDER BY created_date DESC NULLS FIRST, unique_key
+LIMIT 10000""",
     }
 )

@@ -1,6 +1,6 @@
 """Batch jobs: the units a scheduler runs, composed from the operators.
 
-* ``rebuild_rollups``   canonical grid + time rollups, published atomically,
+* ``rebuild_rollups``   canonical grid + time rollups, published by one pointer,
                         recorded in the run ledger (started / success / failed);
 * ``scheduled_sync``    interval gate -> lookback extract -> strict
                         normalisation -> one upsert batch, rows counted in the
@@ -18,7 +18,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse import schema as S
@@ -28,43 +28,59 @@ from gridpulse.operators.ingest import normalize_sync
 from gridpulse.operators.ledger import RunLog, should_run
 from gridpulse.operators.upsert import ChangeLogTable
 from gridpulse.sources.connectors import JdbcConfig, read_csv, write_csv, write_jdbc, write_single_csv
-from gridpulse.sources.store import VersionedStore
+from gridpulse.sources.store import VersionedStore, publish_together
 
 # Job names in the ledgers.
 REBUILD_JOB = "postgres_aggregate_rebuild"
 SYNC_JOB = "socrata_noise_sync"
 
 
+def utc_now() -> _dt.datetime:
+    """The UTC wall clock, zone-less like all stored times."""
+    return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+
+
+def rollup_stores(spark: SparkSession, root: str) -> tuple[VersionedStore, VersionedStore]:
+    """The grid and the time store under ``root``, published by one pointer."""
+    return (
+        VersionedStore(spark, f"{root.rstrip('/')}/grid", S.GRID_ROLLUP_SCHEMA, pointer_root=root),
+        VersionedStore(spark, f"{root.rstrip('/')}/time", S.TIME_ROLLUP_SCHEMA, pointer_root=root),
+    )
+
+
+# How the rollups lie in their stores: partition column, then the columns files are ranged and sorted by.
+GRID_LAYOUT = ("zoom_level", ["lat_bucket", "lon_bucket"])
+TIME_LAYOUT = ("bucket_type", ["bucket_start", "borough", "complaint_type"])
+
+
 def rebuild_rollups(
     complaints: DataFrame,
     grid_store: VersionedStore,
     time_store: VersionedStore,
     run_log: RunLog,
     as_of: _dt.datetime,
-    clock: Callable[[], _dt.datetime] = _dt.datetime.now,
-) -> tuple[int, int]:
-    """Rebuild both rollups from the current view and publish them.
-
-    Each store gets a complete new version; readers switch only when its
-    pointer is written, so they never see a partial rebuild. On failure the
-    ledger records the error (cut to 1000 characters) and the error is
-    raised again; the previous versions stay published. Both rollups scan
+    clock: Callable[[], _dt.datetime] = utc_now,
+) -> int:
+    """Rebuild both rollups from the current view and publish them as one.
+
+    Both versions are written first; then one pointer row names them, so
+    readers see either both new ones or both old ones. On failure the ledger
+    records the error (cut to 1000 characters) and the error is raised again;
+    the previous version of both stays published. Both rollups scan
     ``complaints``: run it right after ``ChangeLogTable.compact()`` so the
     current view is a plain scan of the new base, not two base+tail merges.
+    Returns the version.
     """
 
     def body() -> None:
         grid = R.grid_rollups(complaints, refreshed_at=as_of)
         times = R.time_rollups(complaints, refreshed_at=as_of)
-        versions.append(
-            grid_store.publish(grid, partition_by="zoom_level", sort_within=["lat_bucket", "lon_bucket"], published_at=as_of)
-        )
-        versions.append(time_store.publish(times, partition_by="bucket_type", sort_within=["bucket_start"], published_at=as_of))
-        return None
+        outputs = [(grid_store, grid, *GRID_LAYOUT), (time_store, times, *TIME_LAYOUT)]
+        versions.append(publish_together(outputs, published_at=as_of))
 
     versions: list[int] = []
     run_log.run(REBUILD_JOB, body, clock=clock)
-    return versions[0], versions[1]
+    return versions[0]
 
 
 def extract_since(extract: DataFrame, as_of: _dt.datetime, days: int = S.LOOKBACK_DAYS) -> DataFrame:
@@ -86,9 +102,10 @@ def scheduled_sync(
     as_of: _dt.datetime,
     batch_id: int,
     *,
+    writer: str = SYNC_JOB,
     interval_days: int = S.SYNC_INTERVAL_DAYS,
     lookback_days: int = S.LOOKBACK_DAYS,
-    clock: Callable[[], _dt.datetime] = _dt.datetime.now,
+    clock: Callable[[], _dt.datetime] = utc_now,
 ) -> int | None:
     """Run the sync if due; returns rows upserted, or None when skipped.
 
@@ -103,15 +120,17 @@ def scheduled_sync(
     def body() -> int:
         obs = Observation("sync")
         rows = normalize_sync(extract_since(extract, as_of, lookback_days))
-        # Order inside the batch (extracts carry no offsets): the newest
-        # created_date wins a repeated key, ties broken by a content hash,
-        # so the result does not depend on partitioning.
+        # Rows of an extract are upserted newest first, so of a repeated key the
+        # OLDEST created_date is written last and stays (SURVEY, decided orders).
+        # Equal dates are ordered by a content hash, whatever the partitions.
+        newest_first = -1000 * F.timestamp_diff("MICROSECOND", ntz_lit(_dt.datetime(1970, 1, 1)), F.col("created_date"))
         rows = rows.select(
             "*",
             F.col("created_date").alias("msg_ts"),
-            F.xxhash64(*S.RECORD_COLUMNS).alias("msg_offset"),
+            (newest_first + F.pmod(F.xxhash64(*S.RECORD_COLUMNS), F.lit(1000))).alias("msg_offset"),
         )
-        table.append_batch(rows.observe(obs, F.count(F.lit(1)).alias("rows")), batch_id, ingested_at=as_of)
+        if not table.append_batch(rows.observe(obs, F.count(F.lit(1)).alias("rows")), batch_id, ingested_at=as_of, writer=writer):
+            return table.batch_rows(batch_id, writer)
         return int(obs.get["rows"])
 
     return run_log.run(SYNC_JOB, body, clock=clock)
@@ -146,14 +165,22 @@ def csv_snapshot(complaints: DataFrame, path: str, rows: int = SNAPSHOT_ROWS) ->
     created_date descending) as a CSV snapshot: the input of the streaming
     producer. The row count is the feature (a sized sample of the newest
     data); it is a pruned top-k, not a sort of the table."""
+    write_single_csv(newest_noise(complaints, rows), path, sort_by=_newest())
+
+
+def _newest() -> list:
+    return [F.desc_nulls_first("created_date"), F.asc("unique_key")]
+
+
+def newest_noise(complaints: DataFrame, rows: int = SNAPSHOT_ROWS) -> DataFrame:
+    """The rows of a snapshot; rows without a date come first, as in a DESC order."""
     from gridpulse.plans.serving import newest_cutoff
 
     noisy = complaints.where(noise_rule("like_prefix") & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    cutoff = newest_cutoff(noisy.where(F.col("created_date").isNotNull()), rows)
+    cutoff = newest_cutoff(noisy, rows)
     if cutoff is not None:
         noisy = noisy.where(cutoff)
-    newest = noisy.where(F.col("created_date").isNotNull()).orderBy(F.desc("created_date"), F.asc("unique_key")).limit(rows)
-    write_single_csv(newest.select(*S.BUSINESS_COLUMNS), path, sort_by=[F.desc("created_date"), F.asc("unique_key")])
+    return noisy.orderBy(*_newest()).limit(rows).select(*S.BUSINESS_COLUMNS)
 
 
 def type_counts_report(complaints: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridpulse import schema as S
 from gridpulse.functions import noise_rule
@@ -20,14 +21,14 @@ from gridpulse.operators.filters import ComplaintFilter, coords_present, lookbac
 from gridpulse.operators import ingest as I
 from gridpulse.operators import ledger as L
 from gridpulse.operators.upsert import ChangeLogTable, current_records, latest_by_key
+from gridpulse.plans import jobs as J
 from gridpulse.plans import serving as V
 from gridpulse.session import scratch_path
 from gridpulse.sources import connectors as C
 from gridpulse.sources import fixtures as X
-from gridpulse.sources.store import VersionedStore
+from gridpulse.sources.store import VersionedStore, publish_together
 from gridpulse.streaming import ingest as STR
 from gridpulse.streaming import producer as PUB
-from gridpulse.streaming.capture import land_chunk, offset_chunks
 
 AS_OF = S.FIXTURE_AS_OF
 
@@ -44,6 +45,21 @@ def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract_table(spark, sf_dir)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _stored_rollups(spark: SparkSession, sf_dir: str) -> tuple[VersionedStore, VersionedStore]:
+    """The published rollups of ``sf_dir``, rebuilt once per session, as a nightly job would."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _stored:
+        root = scratch_path(spark, "rollups")
+        grid, times = J.rollup_stores(spark, root)
+        outputs = [(grid, _grid_rollups(spark, sf_dir), *J.GRID_LAYOUT), (times, _time_rollups(spark, sf_dir), *J.TIME_LAYOUT)]
+        publish_together(outputs, published_at=AS_OF)
+        _stored[key] = root
+    return J.rollup_stores(spark, _stored[key])
+
+
 def _grid_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.grid_rollups(_complaints(spark, sf_dir), refreshed_at=AS_OF)
 
@@ -77,8 +93,12 @@ def q_points_bbox(spark, sf_dir):
 
 
 def q_points_finite(spark, sf_dir):
-    vp = V.viewport(None, _complaints(spark, sf_dir), zoom_level=15)
-    return V.finite_points(vp.points)
+    """Some points of the page are NaN or infinite; the map can't place them."""
+    k = F.col("unique_key").cast("long") % 10
+    lat = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).otherwise(F.col("latitude"))
+    lon = F.when(k == 2, F.lit(float("-inf"))).otherwise(F.col("longitude"))
+    odd = _complaints(spark, sf_dir).where(coords_present()).withColumns({"latitude": lat, "longitude": lon})
+    return V.finite_points(V.points_page(odd, limit=S.UI_POINTS_LIMIT))
 
 
 def q_noise_rules(spark, sf_dir):
@@ -115,7 +135,7 @@ def q_grid_rollups_offline(spark, sf_dir):
 
 
 def q_grid_serving(spark, sf_dir):
-    return V.grid_from_rollups(_grid_rollups(spark, sf_dir), SERVING_QUERY)
+    return V.grid_from_rollups(_stored_rollups(spark, sf_dir)[0].read(), SERVING_QUERY)
 
 
 def q_grid_live(spark, sf_dir):
@@ -127,12 +147,12 @@ def q_grid_500m(spark, sf_dir):
 
 
 def q_density_classes(spark, sf_dir):
-    cells = V.grid_from_rollups(_grid_rollups(spark, sf_dir), V.GridQuery(zoom_level=12, min_count=1))
+    cells = V.grid_from_rollups(_stored_rollups(spark, sf_dir)[0].read(), V.GridQuery(zoom_level=12, min_count=1))
     return V.density_classes(cells)
 
 
 def q_viewport_counts(spark, sf_dir):
-    vp = V.viewport(_grid_rollups(spark, sf_dir), _complaints(spark, sf_dir), zoom_level=15)
+    vp = V.viewport(_stored_rollups(spark, sf_dir)[0].resolver(), _complaints(spark, sf_dir), zoom_level=15)
     return V.viewport_counts(vp)
 
 
@@ -191,8 +211,7 @@ def q_grid_summary(spark, sf_dir):
     store = VersionedStore(spark, scratch_path(spark, "grid-rollups"), S.GRID_ROLLUP_SCHEMA)
     store.publish(
         _grid_rollups(spark, sf_dir),
-        partition_by="zoom_level",
-        sort_within=["lat_bucket", "lon_bucket"],
+        *J.GRID_LAYOUT,
         published_at=AS_OF,
     )
     return V.grid_summary(store.resolver(), _complaints(spark, sf_dir), SUMMARY_QUERY)
@@ -200,10 +219,35 @@ def q_grid_summary(spark, sf_dir):
 
 def q_timeseries_day(spark, sf_dir):
     store = VersionedStore(spark, scratch_path(spark, "time-rollups"), S.TIME_ROLLUP_SCHEMA)
-    store.publish(_time_rollups(spark, sf_dir), partition_by="bucket_type", sort_within=["bucket_start"], published_at=AS_OF)
+    store.publish(_time_rollups(spark, sf_dir), *J.TIME_LAYOUT, published_at=AS_OF)
     return V.timeseries(store.read(), "day", borough="brooklyn", limit=90)
 
 
+def q_rebuild_serve(spark, sf_dir):
+    """The nightly job: both rollups rebuilt and published as one, recorded in the ledger; what the stores then serve."""
+    root = scratch_path(spark, "rebuild")
+    grid, times = J.rollup_stores(spark, f"{root}/rollups")
+    runs = L.RunLog(spark, f"{root}/runs")
+    J.rebuild_rollups(_complaints(spark, sf_dir), grid, times, runs, as_of=AS_OF)
+    status = runs.ledger(with_rows=False).where(F.col("job_name") == J.REBUILD_JOB).select("last_status")
+
+    def level(store: VersionedStore, name: str, column: str) -> DataFrame:
+        return store.read().groupBy(F.lit(name).alias("store"), F.col(column).cast("string").alias("level")).agg(
+            F.count(F.lit(1)).alias("cells"), F.sum("complaint_count").alias("complaints")
+        )
+
+    levels = level(grid, "grid", "zoom_level").unionByName(level(times, "time", "bucket_type"))
+    return levels.withColumn("last_status", status.scalar())
+
+
+def q_csv_snapshot(spark, sf_dir):
+    """The sized snapshot of the newest rows, written as one CSV file and read back."""
+    path = scratch_path(spark, "csv-snapshot")
+    J.csv_snapshot(_complaints(spark, sf_dir), path)
+    fields = [S.COMPLAINT_SCHEMA[c] for c in S.BUSINESS_COLUMNS]
+    return C.read_csv(spark, path, T.StructType(fields))
+
+
 def q_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "csv-rollups")
     C.write_csv(_grid_rollups(spark, sf_dir), path)
@@ -244,31 +288,43 @@ def q_stream_offsets(spark, sf_dir):
     return STR.partition_progress(_valid_changes(spark, sf_dir), updated_at=AS_OF).orderBy("consumer_name", "partition_id")
 
 
-REPLAY_BATCHES = 3
-REPLAY_FILES_PER_BATCH = 8
+REPLAY_RANGES = 3
 
 
 def q_stream_replay(spark, sf_dir):
-    """Replay a captured topic through the consumer stream, with a restart:
-    the first ranges are streamed, the log is compacted into a base, the
-    last range arrives, and the stream resumes from its checkpoint. The
-    answer is the current view (compacted base merged with the log tail)."""
+    """Replay a captured topic through the consumer stream, which stops after
+    each range and resumes from its checkpoint; before the last range the log
+    is compacted into a base. The answer is the current view (compacted base
+    merged with the log tail)."""
     root = scratch_path(spark, "stream-replay")
-    landing = f"{root}/landing"
-    chunks, files = offset_chunks(X.to_envelopes(_messages(spark, sf_dir)), REPLAY_BATCHES, REPLAY_FILES_PER_BATCH)
     table = ChangeLogTable(spark, f"{root}/table")
-
-    def drain() -> None:
-        stream = STR.read_envelope_files(spark, f"{landing}/chunk-*/*.json", max_files_per_trigger=files)
+    ranges = X.offset_ranges(X.to_envelopes(_messages(spark, sf_dir)), REPLAY_RANGES)
+    for k, envelopes in enumerate(ranges):
+        if k == len(ranges) - 1:
+            table.compact()
+        X.land_range(envelopes, f"{root}/landing", k)
+        stream = STR.read_envelope_files(spark, f"{root}/landing/range-*/*.json")
         STR.start_ingest(stream, STR.StreamIngest(table), f"{root}/checkpoint").awaitTermination()
+    return current_records(table.current_view())
 
-    for k, chunk in enumerate(chunks[:-1]):
-        land_chunk(chunk, landing, k, files)
-    drain()
+
+def q_sync_upsert(spark, sf_dir):
+    """The scheduled sync as a whole: gate, lookback extract, strict parse, one upsert
+    batch, row count and ledger; then a compaction and a retried batch, which change
+    nothing. Of rows with equal key and date which one stays is not defined, so
+    only what they share is returned, with the run's recorded row count."""
+    root = scratch_path(spark, "sync")
+    table, runs = ChangeLogTable(spark, f"{root}/table"), L.RunLog(spark, f"{root}/runs")
+    extract = _extract(spark, sf_dir)
+    J.scheduled_sync(extract, table, runs, AS_OF, batch_id=0, lookback_days=SYNC_LOOKBACK, clock=lambda: AS_OF)
     table.compact()
-    land_chunk(chunks[-1], landing, len(chunks) - 1, files)
-    drain()
-    return current_records(table.current_view())
+    J.scheduled_sync(extract, table, runs, AS_OF, batch_id=0, interval_days=0, lookback_days=SYNC_LOOKBACK, clock=lambda: AS_OF)
+    counted = runs.ledger().where(F.col("job_name") == J.SYNC_JOB).select("rows_processed")
+    return current_records(table.current_view()).select("unique_key", "created_date", "source", counted.scalar().alias("rows_processed"))
+
+
+# wide enough that the fixtures' extract repeats keys
+SYNC_LOOKBACK = 20
 
 
 def q_csv_stream_publish(spark, sf_dir):
@@ -292,6 +348,11 @@ def q_run_ledger(spark, sf_dir):
     return L.fold_runs(_runs(spark, sf_dir))
 
 
+def q_aggregate_ledger(spark, sf_dir):
+    """The aggregate jobs' listing: the same fold, without row counts."""
+    return L.fold_runs(_runs(spark, sf_dir), with_rows=False)
+
+
 def q_due_jobs(spark, sf_dir):
     return L.gate(L.fold_runs(_runs(spark, sf_dir)), AS_OF, S.SYNC_INTERVAL_DAYS)
 
@@ -330,4 +391,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_offsets": q_stream_offsets,
     "run_ledger": q_run_ledger,
     "due_jobs": q_due_jobs,
+    "sync_upsert": q_sync_upsert,
+    "rebuild_serve": q_rebuild_serve,
+    "csv_snapshot": q_csv_snapshot,
+    "aggregate_ledger": q_aggregate_ledger,
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -68,9 +67,9 @@ def create_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local runs and tests) is a folder of our
-    own set, so that ``DataFrame.checkpoint()`` and our versioned outputs have
-    a home.
+    Only a local master may leave it unset: then a folder beside the warehouse is
+    set, once a session. On a cluster an unset folder is an error, because a
+    machine-local one would be empty for the other executors.
     """
     root = None
     try:
@@ -80,14 +79,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="gridpulse-ckpt-")
-        try:
-            spark.sparkContext.setCheckpointDir(root)
-        except Exception:
-            spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{uuid.uuid4().hex[:12]}"
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused folder under the checkpoint root."""
-    return f"{checkpoint_root(spark)}/gridpulse/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never reused folder under the checkpoint root, deleted when the session ends."""
+    path = f"{checkpoint_root(spark)}/gridpulse/{name}-{uuid.uuid4().hex[:12]}"
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    except AttributeError:  # Spark Connect has no gateway: the folder's owner cleans up
+        pass
+    return path

@@ -26,27 +26,41 @@ from gridpulse.operators.filters import coords_present
 # Zone-less timestamps are written with microseconds (the default keeps millis).
 NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+# RFC 4180: a quote inside a quoted field is doubled; blanks belong to the field.
+RFC_4180 = {
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "timestampNTZFormat": NTZ_FORMAT,
+}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multi_line: bool = False
+) -> DataFrame:
+    """RFC-4180 text. ``multi_line`` reads quoted line breaks; it makes every
+    file one task, so leave it off where fields hold none."""
     return (
         spark.read.schema(schema)
+        .options(**RFC_4180)
         .option("header", header)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
-        .option("timestampNTZFormat", NTZ_FORMAT)
         .csv(path)
     )
 
 
-def read_text_records(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_text_records(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Landed extract / CSV snapshot: all business columns as text."""
     if fmt == "json":
         return spark.read.schema(S.MESSAGE_SCHEMA).json(path)
-    return read_csv(spark, path, S.MESSAGE_SCHEMA)
+    return read_csv(spark, path, S.MESSAGE_SCHEMA, multi_line=multi_line)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Multi-part CSV with header (one file per task)."""
-    df.write.mode(mode).option("header", True).option("timestampNTZFormat", NTZ_FORMAT).csv(path)
+    df.write.mode(mode).options(**RFC_4180).option("header", True).csv(path)
 
 
 def write_single_csv(df: DataFrame, path: str, sort_by: list | None = None, mode: str = "overwrite") -> None:
@@ -56,7 +70,7 @@ def write_single_csv(df: DataFrame, path: str, sort_by: list | None = None, mode
     one = df.repartition(1)
     if sort_by:
         one = one.sortWithinPartitions(*sort_by)
-    one.write.mode(mode).option("header", True).option("timestampNTZFormat", NTZ_FORMAT).csv(path)
+    one.write.mode(mode).options(**RFC_4180).option("header", True).csv(path)
 
 
 # ---------------------------------------------------------------------------

@@ -26,14 +26,14 @@ def _null(type_name: str = "string") -> Column:
 
 
 def _complaint_type(event_type: Column, *, padded_view: bool) -> Column:
-    # Event type -> complaint type of the fixtures.
+    # Event type -> complaint type of the fixtures (the last of eight kinds).
     view = " Noise - Street/Sidewalk " if padded_view else "Noise - Street/Sidewalk"
     return (
         F.when(event_type == "click", "Noise - Residential")
         .when(event_type == "view", view)
         .when(event_type == "purchase", "Noise - Commercial")
         .when(event_type == "signup", "noise - vehicle")
-        .otherwise("Illegal Parking")
+        .otherwise(F.concat(F.lit("Illegal Parking "), (F.col("event_id") % 8).cast("string")))
     )
 
 
@@ -81,21 +81,39 @@ def complaints_from_events(events: DataFrame, as_of: _dt.datetime = S.FIXTURE_AS
 def _message_fields(events: DataFrame, *, junk: bool) -> DataFrame:
     eid, uid = F.col("event_id"), F.col("user_id")
     day = F.lpad((F.lit(1) + eid % 28).cast("string"), 2, "0")
-    good_date = F.concat(F.lit("2024-01-"), day, F.lit("T10:00:00.000"))
+    ymd = F.concat(F.lit("2024-01-"), day)
+    good_date = (
+        F.when(eid % 41 == 0, F.concat(ymd, F.lit("T10:00:00.000+02:00")))
+        .when(eid % 43 == 0, F.concat(F.lit("202401"), day))
+        .when(eid % 47 == 0, F.concat(ymd, F.lit("T10:00:00Z")))
+        .otherwise(F.concat(ymd, F.lit("T10:00:00.000")))
+    )
     good_lat = F.concat(F.lit("40."), F.lpad(((eid * 7919) % 1000 + 4774).cast("string"), 4, "0"))
+    good_lat = F.when(eid % 31 == 0, F.concat(F.lit(" "), good_lat, F.lit(" "))).otherwise(good_lat)
     created = F.when(eid % 67 == 0, F.lit("")).otherwise(good_date)
+    closed = F.when(eid % 7 == 0, F.concat(F.lit("2024-02-"), day))
     lat = F.when(eid % 59 == 0, F.lit("")).otherwise(good_lat)
+    lon = F.when(eid % 73 == 0, _null()).otherwise(
+        F.concat(F.lit("-74."), F.lpad(((uid * 6421) % 1000).cast("string"), 4, "0"))
+    )
     if junk:
-        created = F.when(eid % 61 == 0, F.lit("not-a-date")).otherwise(created)
-        lat = F.when(eid % 53 == 0, F.lit("abc")).otherwise(lat)
+        created = (
+            F.when(eid % 61 == 0, F.lit("not-a-date"))
+            .when(eid % 83 == 0, F.concat(F.lit("2024-1-"), day))
+            .when(eid % 79 == 0, F.concat(ymd, F.lit("T10:00:00 UTC")))
+            .otherwise(created)
+        )
+        closed = F.when(eid % 91 == 0, F.lit("2024-13-01")).otherwise(closed)
+        lat = F.when(eid % 53 == 0, F.lit("abc")).when(eid % 71 == 0, F.lit("40.5d")).otherwise(lat)
+        lon = F.when(eid % 103 == 0, F.lit("0x1p3")).otherwise(lon)
     values = {
         "unique_key": F.when(eid % 307 == 0, _null()).otherwise((eid % 700).cast("string")),
         "created_date": created,
+        "closed_date": closed,
         "complaint_type": _complaint_type(F.col("event_type"), padded_view=True),
+        "descriptor": F.when(eid % 4 == 0, F.lit(' Loud "Music", party')),
         "latitude": lat,
-        "longitude": F.when(eid % 73 == 0, _null()).otherwise(
-            F.concat(F.lit("-74."), F.lpad(((uid * 6421) % 1000).cast("string"), 4, "0"))
-        ),
+        "longitude": lon,
     }
     return events.select(
         eid.alias("msg_offset"),
@@ -117,15 +135,17 @@ def extract_from_events(events: DataFrame) -> DataFrame:
 
 
 def runs_from_events(events: DataFrame) -> DataFrame:
-    """Run events of seven jobs (running / success / failed)."""
-    et = F.col("event_type")
+    """Run events of seven jobs (running / success / failed); job 4 never succeeds, 5 and 6 ran long ago."""
+    et, job = F.col("event_type"), F.col("user_id") % 7
     status = (
-        F.when(et.isin("click", "view"), "running").when(et.isin("purchase", "signup"), "success").otherwise("failed")
+        F.when(et.isin("click", "view"), "running")
+        .when(et.isin("purchase", "signup") & (job != 4), "success")
+        .otherwise("failed")
     )
     return events.select(
         F.concat(F.lit("job_"), (F.col("user_id") % 7).cast("string")).alias("job_name"),
         F.col("event_id").alias("run_seq"),
-        F.col("ts").alias("event_at"),
+        F.when(job >= 5, F.timestamp_add("DAY", F.lit(-60), F.col("ts"))).otherwise(F.col("ts")).alias("event_at"),
         status.alias("status"),
         F.when(et == "error", F.concat(F.lit("err "), F.col("props"))).otherwise(_null()).alias("error"),
         F.when(status == "running", _null("int"))
@@ -163,11 +183,12 @@ def _session_key(spark: SparkSession) -> str:
         return str(id(spark))
 
 
-def _parallelism(spark: SparkSession) -> int:
-    try:
-        return max(1, spark.sparkContext.defaultParallelism)
-    except Exception:  # Spark Connect: no SparkContext
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+#: rows of ``events`` that one landed file holds
+ROWS_PER_FILE = 25_000
+
+
+def _files_for(spark: SparkSession, sf_dir: str) -> int:
+    return -(-max(1, read_events(spark, sf_dir).count()) // ROWS_PER_FILE)
 
 
 def _landed_table(
@@ -181,7 +202,7 @@ def _landed_table(
         path = _landed.get(key)
         if path is None:
             path = scratch_path(spark, f"{name}-table")
-            files = _parallelism(spark)
+            files = _files_for(spark, sf_dir)
             # range-partitioned on the sort column: disjoint ranges per file, so
             # min/max statistics skip whole files for range predicates; the
             # unique tie-break lets a value held by a third of all rows span
@@ -217,3 +238,23 @@ def extract_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run-event log, landed once per session."""
     return _landed_table(spark, sf_dir, "runs", runs_from_events, "run_seq", "job_name", S.RUN_EVENT_SCHEMA)
+
+
+# ---------------------------------------------------------------------------
+# Arrival of a captured topic
+# ---------------------------------------------------------------------------
+
+
+def offset_ranges(envelopes: DataFrame, n: int) -> list[DataFrame]:
+    """Envelopes in ``n`` consecutive offset ranges (some may be empty)."""
+    lo, hi = envelopes.agg(F.min("offset"), F.max("offset")).first()
+    if lo is None:
+        return []
+    width = (hi - lo) // n + 1
+    return [envelopes.where((F.col("offset") >= lo + k * width) & (F.col("offset") < lo + (k + 1) * width)) for k in range(n)]
+
+
+def land_range(envelopes: DataFrame, path: str, k: int) -> None:
+    """One range as JSON files, as many as its partitions: a stream that is drained
+    after each range reads exactly that range in its next micro-batch."""
+    envelopes.write.mode("overwrite").json(f"{path}/range-{k:05d}")

@@ -29,67 +29,113 @@ _POINTER_SCHEMA = T.StructType(
 
 
 class VersionedStore:
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None):
+    """One dataset. Stores that share a ``pointer_root`` are published together by
+    ``publish_together``: one pointer row names the same version of all of them."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None, pointer_root: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
+        self.pointer_root = (pointer_root or root).rstrip("/")
 
     # -- pointers -----------------------------------------------------------
-    def _pointers(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_POINTER_SCHEMA).parquet(f"{self.root}/_published")
-        except AnalysisException:
-            return None
-
     def latest(self) -> tuple[int, int | None] | None:
         """(version, watermark) of the newest published version, or None."""
-        ptr = self._pointers()
-        if ptr is None:
+        try:
+            ptr = self.spark.read.schema(_POINTER_SCHEMA).parquet(f"{self.pointer_root}/_published")
+        except AnalysisException:
             return None
         row = ptr.agg(F.max_by(F.struct("version", "watermark"), "version").alias("p")).first()
         if row is None or row["p"] is None:
             return None
         return int(row["p"]["version"]), row["p"]["watermark"]
 
+    def next_version(self) -> int:
+        current = self.latest()
+        return 1 if current is None else current[0] + 1
+
     def version_path(self, version: int) -> str:
         return f"{self.root}/v={version}"
 
     # -- write / read -------------------------------------------------------
+    def write_version(self, df: DataFrame, version: int, partition_by: str | None = None, range_by: list[str] | None = None) -> None:
+        """Write a version without publishing it.
+
+        ``range_by`` deals the rows out by ranges of these columns and sorts them
+        so inside each file; a partition column comes first there, because the
+        partitioned writer keeps only a sort that begins with it.
+        """
+        out = df
+        if range_by:
+            columns = [*([partition_by] if partition_by and partition_by not in range_by else []), *range_by]
+            out = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+        writer = out.write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
+        writer.parquet(self.version_path(version))
+
+    def point(self, version: int, published_at: _dt.datetime | None = None, watermark: int | None = None) -> None:
+        """Make a written version the newest."""
+        pointer = self.spark.createDataFrame([(version, published_at, watermark)], _POINTER_SCHEMA)
+        pointer.coalesce(1).write.mode("append").parquet(f"{self.pointer_root}/_published")
+
     def publish(
         self,
         df: DataFrame,
-        partition_by: str | list[str] | None = None,
-        sort_within: list[str] | None = None,
+        partition_by: str | None = None,
+        range_by: list[str] | None = None,
         published_at: _dt.datetime | None = None,
         watermark: int | None = None,
     ) -> int:
         """Write a full new version, then publish it. Returns the version."""
-        current = self.latest()
-        version = 1 if current is None else current[0] + 1
-        out = df.sortWithinPartitions(*sort_within) if sort_within else df
-        writer = out.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
-        writer.parquet(self.version_path(version))
-        pointer = self.spark.createDataFrame([(version, published_at, watermark)], _POINTER_SCHEMA)
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/_published")
+        version = self.next_version()
+        self.write_version(df, version, partition_by, range_by)
+        self.point(version, published_at, watermark)
         return version
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Newest published version (or a given one); raises RollupUnavailable."""
+        """Newest published version (or a given one).
+
+        Raises RollupUnavailable when there is none, or when its files lack a
+        column of the schema or hold it in another type.
+        """
         if version is None:
             current = self.latest()
             if current is None:
                 raise RollupUnavailable(f"no published version under {self.root}")
             version = current[0]
-        reader = self.spark.read
-        if self.schema is not None:
-            reader = reader.schema(self.schema)
+        path = self.version_path(version)
         try:
-            return reader.parquet(self.version_path(version))
+            if self.schema is None:
+                return self.spark.read.parquet(path)
+            stored = {f.name: f.dataType for f in self.spark.read.parquet(path).schema.fields}
         except AnalysisException as exc:
             raise RollupUnavailable(str(exc)) from exc
+        wrong = [f.name for f in self.schema.fields if type(stored.get(f.name)) is not type(f.dataType)]
+        if wrong:
+            raise RollupUnavailable(f"version {version} under {self.root} does not hold {', '.join(wrong)} as expected")
+        return self.spark.read.schema(self.schema).parquet(path)
 
     def resolver(self):
         """A callable for routing: returns the newest frame or raises."""
         return lambda: self.read()
+
+
+def publish_together(
+    outputs: list[tuple[VersionedStore, DataFrame, str | None, list[str] | None]],
+    published_at: _dt.datetime | None = None,
+) -> int:
+    """Write one new version of several stores, then ONE pointer row for all.
+
+    outputs: (store, frame, partition column, range columns). A failure before
+    the pointer leaves the previous version of every store published.
+    """
+    roots = {store.pointer_root for store, *_ in outputs}
+    if len(roots) != 1:
+        raise ValueError("stores published together share one pointer_root")
+    first = outputs[0][0]
+    version = first.next_version()
+    for store, frame, partition_by, range_by in outputs:
+        store.write_version(frame, version, partition_by, range_by)
+    first.point(version, published_at)
+    return version

@@ -4,23 +4,26 @@ Source: a Kafka topic or landed JSON envelope files (replay). Each
 micro-batch is decoded with ``from_json``, normalised with the consumer
 rules, and written by ``foreachBatch`` into
 
-* ``<table>/log/batch_id=<id>``     valid changes (the upsert log),
-* ``<table>/rejects/batch_id=<id>`` rejected messages with reasons,
-* ``<table>/_commits/batch_id=<id>`` the commit record, written last: a
-  marker plus the per-partition progress the batch reached (rows and
+* ``<table>/log/writer=<w>/batch_id=<id>``     valid changes (the upsert log),
+* ``<table>/rejects/writer=<w>/batch_id=<id>`` rejected messages with reasons,
+* ``<table>/_commits/writer=<w>/batch_id=<id>`` the commit record, written last:
+  a marker plus the per-partition progress the batch reached (rows and
   offsets become visible together, like a consumer committing both in one
   transaction).
 
-Each output directory is rewritten whole when a batch is retried, and the
-checkpoint records the batch only after ``foreachBatch`` returns, so a
-replay after a lost executor or driver changes nothing (at-least-once
-delivery, idempotent sink). There is no watermark: late records are just
+The writer is one checkpoint folder: batch ids count from zero in each, so a
+stream restarted with a new checkpoint is a new writer and overwrites nothing.
+A batch that failed before its commit is written whole again; one that is
+committed is skipped, and the checkpoint records the batch only after
+``foreachBatch`` returns, so a replay after a lost executor or driver changes
+nothing (at-least-once delivery, idempotent sink). There is no watermark: late records are just
 newer changes, and rollups are rebuilt from the current view.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +34,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gridpulse import schema as S
 from gridpulse.functions import ntz_lit
 from gridpulse.operators.ingest import RAW_REJECT_COLUMNS, REJECT_COLUMN, normalize_stream
-from gridpulse.operators.upsert import ChangeLogTable
+from gridpulse.operators.upsert import COMMIT_SCHEMA, ChangeLogTable
 
 ENVELOPE_SCHEMA = T.StructType(
     [
@@ -125,32 +128,33 @@ def partition_progress(
 ) -> DataFrame:
     """Per partition: last offset of a VALID message and that message's
     created_date (not the max); skipped messages do not advance it."""
-    stamp = updated_at if isinstance(updated_at, Column) else (
-        ntz_lit(updated_at) if updated_at else F.localtimestamp()
-    )
-    last = F.max_by(F.struct("msg_offset", "created_date", "msg_ts"), "msg_offset")
+    stamp = updated_at if isinstance(updated_at, Column) else ntz_lit(updated_at or _dt.datetime.now(_dt.timezone.utc))
+    offset = F.col("msg_offset")
     return (
         valid.groupBy("partition_id")
-        .agg(last.alias("_last"))
+        .agg(
+            F.max(offset).alias("last_offset"),
+            F.max_by("created_date", offset).alias("last_created_date"),
+            F.max_by("msg_ts", offset).alias("last_message_at"),
+        )
         .select(
             F.lit(consumer_name).alias("consumer_name"),
             F.lit(topic).alias("topic_name"),
             F.col("partition_id").cast("int").alias("partition_id"),
-            F.col("_last.msg_offset").alias("last_offset"),
-            F.col("_last.created_date").alias("last_created_date"),
-            F.col("_last.msg_ts").alias("last_message_at"),
+            "last_offset",
+            "last_created_date",
+            "last_message_at",
             stamp.alias("updated_at"),
         )
     )
 
 
 def latest_offsets(batch_offsets: DataFrame) -> DataFrame:
-    """Fold per-batch progress rows into one row per (consumer, topic, partition)."""
+    """Fold per-batch progress rows into one row per (consumer, topic, partition): the last commit's."""
     cols = ["last_offset", "last_created_date", "last_message_at", "updated_at"]
     return (
         batch_offsets.groupBy("consumer_name", "topic_name", "partition_id")
-        .agg(F.max_by(F.struct(*cols), F.struct("batch_id", "last_offset")).alias("_p"))
-        .select("consumer_name", "topic_name", "partition_id", *[F.col(f"_p.{c}").alias(c) for c in cols])
+        .agg(*[F.max_by(c, "commit_seq").alias(c) for c in cols])
         .orderBy("consumer_name", "partition_id")
     )
 
@@ -158,12 +162,17 @@ def latest_offsets(batch_offsets: DataFrame) -> DataFrame:
 class StreamIngest:
     """foreachBatch sink writing the three outputs of one micro-batch."""
 
-    def __init__(self, table: ChangeLogTable, consumer_name: str = S.CONSUMER_NAME, topic: str = S.TOPIC):
+    def __init__(
+        self, table: ChangeLogTable, consumer_name: str = S.CONSUMER_NAME, topic: str = S.TOPIC, writer: str | None = None
+    ):
         self.table = table
         self.consumer_name = consumer_name
         self.topic = topic
+        self.writer = writer or consumer_name
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.table.is_committed(batch_id, self.writer):
+            return
         # Parse each message once: the normalised batch (typed values, reject
         # reason, and the raw text the rejects report) is cached, and the
         # three outputs are filters over the cache.
@@ -175,30 +184,43 @@ class StreamIngest:
         try:
             reason = F.col(REJECT_COLUMN)
             valid = normalized.where(reason.isNull()).drop(REJECT_COLUMN, *[f"raw_{c}" for c in RAW_REJECT_COLUMNS])
-            self.table.append_batch(valid, batch_id, commit=False)
+            self.table.append_batch(valid, batch_id, commit=False, writer=self.writer)
             rejects = normalized.where(reason.isNotNull()).select(
                 *_META, *[F.col(f"raw_{c}").alias(c) for c in RAW_REJECT_COLUMNS], REJECT_COLUMN
             )
-            rejects.write.mode("overwrite").parquet(f"{self.table.root}/rejects/batch_id={batch_id}")
-            progress = partition_progress(valid, self.consumer_name, self.topic, F.localtimestamp())
-            self.table.commit_batch(batch_id, progress)
+            rejects.write.mode("overwrite").parquet(f"{self.table.root}/rejects/writer={self.writer}/batch_id={batch_id}")
+            self.table.commit_batch(batch_id, partition_progress(valid, self.consumer_name, self.topic), writer=self.writer)
         finally:
             normalized.unpersist()
 
-    def _committed(self, name: str) -> DataFrame:
-        top = self.table.committed_through()
-        df = self.table.spark.read.parquet(f"{self.table.root}/{name}")
-        return df.where(F.col("batch_id") <= F.lit(-1 if top is None else top))
-
     def rejects(self) -> DataFrame:
-        return self._committed("rejects")
+        """Rejected messages of the committed batches, of all writers."""
+        rejects = self.table.spark.read.parquet(f"{self.table.root}/rejects")
+        commits = self.table.commits()
+        if commits is None:
+            return rejects.limit(0)
+        return rejects.join(commits.select("writer", "batch_id").distinct(), ["writer", "batch_id"], "left_semi")
 
     def offsets(self) -> DataFrame:
         """Stream progress per partition, from the committed batches' records."""
-        try:
-            return latest_offsets(self.table.commits().where(F.col("partition_id").isNotNull()))
-        except AnalysisException:
-            return self.table.spark.createDataFrame([], "consumer_name string")
+        commits = self.table.commits()
+        if commits is None:
+            commits = self.table.spark.createDataFrame([], COMMIT_SCHEMA)
+        return latest_offsets(commits.where(F.col("partition_id").isNotNull()))
+
+
+def checkpoint_writer(spark: SparkSession, checkpoint_location: str, consumer_name: str) -> str:
+    """A name for the batches of one checkpoint folder, kept in that folder."""
+    path = f"{checkpoint_location.rstrip('/')}/_writer"
+    try:
+        row = spark.read.schema("value string").text(path).first()
+        if row is not None:
+            return row[0]
+    except AnalysisException:
+        pass
+    name = f"{consumer_name}-{uuid.uuid4().hex[:12]}"
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return name
 
 
 def start_ingest(
@@ -208,7 +230,11 @@ def start_ingest(
     available_now: bool = True,
     processing_time: str | None = None,
 ) -> StreamingQuery:
-    """Run the ingest stream; ``available_now`` drains what is there and stops."""
+    """Run the ingest stream; ``available_now`` drains what is there and stops.
+
+    The sink writes as the writer of this checkpoint folder.
+    """
+    sink.writer = checkpoint_writer(sink.table.spark, checkpoint_location, sink.consumer_name)
     writer = envelopes.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridpulse import schema as S
 from gridpulse.operators.ingest import encode_messages
+from gridpulse.sources.connectors import RFC_4180
 
 
 def as_csv_text(rows: DataFrame) -> DataFrame:
@@ -24,9 +25,14 @@ def as_csv_text(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in S.BUSINESS_COLUMNS], "source")
 
 
-def read_csv_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """CSV snapshot files as a stream of text records (explicit schema, header)."""
-    reader = spark.readStream.schema(S.MESSAGE_SCHEMA).option("header", True)
+def read_csv_stream(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV snapshot files as a stream of text records (RFC 4180, explicit schema, header).
+
+    ``multi_line`` reads quoted line breaks; it makes every file one task.
+    """
+    reader = spark.readStream.schema(S.MESSAGE_SCHEMA).options(**RFC_4180).option("header", True).option("multiLine", multi_line)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return as_csv_text(reader.csv(path))

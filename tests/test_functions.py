@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from gridpulse.functions import grid_bucket, iso_timestamp, noise_rule, parse_iso_param, text_to_double, time_bucket
+from gridpulse.functions import grid_bucket, iso_timestamp, noise_rule, parse_iso_param, py_strip, text_to_double, time_bucket
 
 
 def test_noise_rules_edge_table(spark):
@@ -89,6 +89,36 @@ def test_text_to_double(spark):
     assert got == [1.5, None, None, 40.4774, None]
 
 
+def test_iso_timestamp_is_strict(spark):
+    bad = [
+        "2024", "2024-01", "2024-1-5", "+2024-01-05", " 2024-01-05", "2024-01-05 ", "2024-01-05T10:00:00 UTC",
+        "2024-01-05 10:00:00 America/New_York", "2024-01-05T10:00:00z", "2024-13-01", "2024-02-30", "2024-01-05T25:00:00",
+        "2024-01-05T10:00:00+25:00", "2024-01-05T", "2024-01-05T1:00", "2024-W01-1",
+    ]
+    good = {
+        "20240105": dt.datetime(2024, 1, 5), "2024-01-05T10": dt.datetime(2024, 1, 5, 10), "2024-01-05T10:30": dt.datetime(2024, 1, 5, 10, 30),
+        "20240105T103001Z": dt.datetime(2024, 1, 5, 10, 30, 1), "2024-01-05T10:00:00.5+01": dt.datetime(2024, 1, 5, 9, 0, 0, 500000),
+        "2024-01-05 10:00:00,123456789": dt.datetime(2024, 1, 5, 10, 0, 0, 123456), "2024-01-05T10:00:00.000001": dt.datetime(2024, 1, 5, 10, 0, 0, 1),
+        "2024-01-01T00:30:00+0100": dt.datetime(2023, 12, 31, 23, 30),
+    }
+    df = spark.createDataFrame([(x,) for x in [*bad, *good]], "s string")
+    got = {r.s: r.t for r in df.select("s", iso_timestamp(F.col("s")).alias("t")).collect()}
+    assert {x: got[x] for x in bad} == dict.fromkeys(bad) and {x: got[x] for x in good} == good
+
+
+def test_text_to_double_is_strict(spark):
+    bad = ["40.5d", "40.5f", "0x1p3", "1__0", "_1", "1_", "1 0", "--1", "e5", "."]
+    good = {"1_0.5": 10.5, "\u00a040.5\u2003": 40.5, "\t-7.\n": -7.0, ".5": 0.5, "1e3": 1000.0, "+inf": float("inf"), "Infinity": float("inf")}
+    df = spark.createDataFrame([(x,) for x in [*bad, *good, "NaN"]], "s string")
+    got = {r.s: r.x for r in df.select("s", text_to_double(F.col("s")).alias("x")).collect()}
+    assert {x: got[x] for x in bad} == dict.fromkeys(bad) and {x: got[x] for x in good} == good and got["NaN"] != got["NaN"]
+
+
+def test_strip_takes_every_blank(spark):
+    df = spark.createDataFrame([("\u00a0\u2003 Noise \u3000\x1c\x85",)], "s string")
+    assert df.select(py_strip(F.col("s"))).first()[0] == "Noise"
+
+
 def test_parse_iso_param():
     assert parse_iso_param("") is None
     assert parse_iso_param(None) is None

@@ -27,16 +27,51 @@ def _clock():
 def test_rebuild_publishes_and_records(spark, scratch):
     root = scratch("rebuild")
     complaints = X.complaints_table(spark, SF)
-    grid = VersionedStore(spark, f"{root}/grid", S.GRID_ROLLUP_SCHEMA)
-    times = VersionedStore(spark, f"{root}/time", S.TIME_ROLLUP_SCHEMA)
+    grid, times = J.rollup_stores(spark, f"{root}/rollups")
     log = RunLog(spark, f"{root}/runs")
-    assert J.rebuild_rollups(complaints, grid, times, log, AS_OF, clock=_clock()) == (1, 1)
+    assert J.rebuild_rollups(complaints, grid, times, log, AS_OF, clock=_clock()) == 1
     row = log.ledger(with_rows=False).first()
     assert row.job_name == J.REBUILD_JOB and row.last_status == "success"
     served = V.grid_summary(grid.resolver(), complaints, V.GridQuery(zoom_level=12))
     assert served.count() == grid.read().where("zoom_level = 12").count()
 
 
+def test_failed_rebuild_publishes_neither_rollup(spark, scratch, monkeypatch):
+    root = scratch("rebuild-fail")
+    complaints = X.complaints_table(spark, SF)
+    grid, times = J.rollup_stores(spark, f"{root}/rollups")
+    log = RunLog(spark, f"{root}/runs")
+    J.rebuild_rollups(complaints, grid, times, log, AS_OF, clock=_clock())
+    monkeypatch.setattr(times, "write_version", lambda *a: (_ for _ in ()).throw(OSError("disk full")))
+    with pytest.raises(OSError):
+        J.rebuild_rollups(complaints, grid, times, log, AS_OF, clock=_clock())
+    assert grid.latest()[0] == times.latest()[0] == 1
+    assert log.ledger(with_rows=False).first().last_status == "failed"
+    with pytest.raises(ValueError):
+        J.publish_together([(grid, complaints, None, None), (VersionedStore(spark, f"{root}/other"), complaints, None, None)])
+
+
+def test_stored_cells_lie_in_disjoint_sorted_ranges(spark, scratch):
+    grid, _ = J.rollup_stores(spark, scratch("layout"))
+    cells = spark.range(6000).select(
+        (F.lit(10) + 2 * (F.col("id") % 3)).cast("int").alias("zoom_level"), (F.col("id") * 7919 % 6000 / 100).alias("lat_bucket"),
+        (F.col("id") * 31 % 600 / 10).alias("lon_bucket"),
+    )
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        grid.write_version(cells, 1, *J.GRID_LAYOUT)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    files = {}
+    for r in spark.read.parquet(grid.version_path(1)).withColumn("f", F.input_file_name()).collect():
+        files.setdefault((r.zoom_level, r.f), []).append((r.lat_bucket, r.lon_bucket))
+    assert len(files) > 3
+    spans = sorted((z, rows[0], rows[-1]) for (z, _), rows in files.items())
+    assert all(rows == sorted(rows) for rows in files.values())
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]) if a[0] == b[0])
+
+
 def test_scheduled_sync_gate_and_rows(spark, scratch):
     root = scratch("sync")
     table = ChangeLogTable(spark, f"{root}/table")
@@ -76,7 +111,7 @@ def test_reports(spark, scratch):
     assert spark.read.option("header", True).csv(p2).count() == R.grid_500m(complaints).count()
 
 
-def test_sync_repeated_key_is_deterministic(spark, scratch):
+def test_sync_repeated_key_keeps_the_oldest_row(spark, scratch):
     root = scratch("sync-dup")
     table = ChangeLogTable(spark, f"{root}/table")
     log = RunLog(spark, f"{root}/runs")
@@ -87,7 +122,11 @@ def test_sync_repeated_key_is_deterministic(spark, scratch):
         meta=False,
     ).repartition(3)
     assert J.scheduled_sync(extract, table, log, AS_OF, batch_id=0, clock=_clock()) == 3
-    assert [(r.unique_key, r.latitude) for r in table.current_view().collect()] == [("1", 40.2)]
+    assert [(r.unique_key, r.latitude) for r in table.current_view().collect()] == [("1", 40.3)]
+    # a retried batch is not written again
+    later = AS_OF + dt.timedelta(hours=1)
+    assert J.scheduled_sync(extract, table, log, later, batch_id=0, interval_days=0, clock=_clock()) == 3
+    assert table.log().count() == 3
 
 
 def test_csv_snapshot_newest_rows(spark, scratch):
@@ -98,8 +137,8 @@ def test_csv_snapshot_newest_rows(spark, scratch):
     J.csv_snapshot(complaints, path, rows=25)
     back = C.read_csv(spark, path, S.MESSAGE_SCHEMA).collect()
     want = (
-        complaints.where("complaint_type LIKE 'Noise%' AND latitude IS NOT NULL AND longitude IS NOT NULL AND created_date IS NOT NULL")
-        .orderBy(F.desc("created_date"), "unique_key").limit(25).collect()
+        complaints.where("complaint_type LIKE 'Noise%' AND latitude IS NOT NULL AND longitude IS NOT NULL")
+        .orderBy(F.desc_nulls_first("created_date"), "unique_key").limit(25).collect()
     )
     assert [r.unique_key for r in back] == [r.unique_key for r in want]
 

@@ -60,6 +60,13 @@ def test_run_log_wraps_a_job(spark, scratch):
     assert r.last_status == "failed" and len(r.last_error) == 1000 and r.last_successful_at == T0 + dt.timedelta(minutes=1)
 
 
+def test_version_without_a_column_is_unavailable(spark, scratch):
+    store = VersionedStore(spark, scratch("schema"), S.GRID_ROLLUP_SCHEMA)
+    store.publish(spark.createDataFrame([(10, 0.02, "QUEENS")], "zoom_level int, grid_size_degrees double, borough string"))
+    with pytest.raises(RollupUnavailable, match="complaint_count"):
+        store.read()
+
+
 def test_half_written_version_is_not_read(spark, scratch):
     store = VersionedStore(spark, scratch("store"))
     with pytest.raises(RollupUnavailable):

@@ -2,15 +2,12 @@
 
 import datetime as dt
 
-from gridpulse import schema as S
 from gridpulse.operators.filters import ComplaintFilter
 from gridpulse.operators.ledger import RunLog
 from gridpulse.operators.upsert import ChangeLogTable, current_records
 from gridpulse.plans import jobs, serving as V
 from gridpulse.sources import fixtures as X
-from gridpulse.sources.store import VersionedStore
 from gridpulse.streaming import ingest as stream
-from gridpulse.streaming.capture import land_envelopes
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,16 +15,17 @@ SF = "/root/testdata/sf0.001"
 def test_ingest_compact_rebuild_serve(spark, scratch):
     root = scratch("pipeline")
     table = ChangeLogTable(spark, f"{root}/table")
-    glob, files = land_envelopes(X.to_envelopes(X.messages_table(spark, SF)), f"{root}/landing", batches=2)
     sink = stream.StreamIngest(table)
-    stream.start_ingest(stream.read_envelope_files(spark, glob, max_files_per_trigger=files), sink, f"{root}/ckpt").awaitTermination()
+    for k, envelopes in enumerate(X.offset_ranges(X.to_envelopes(X.messages_table(spark, SF)), 2)):
+        X.land_range(envelopes, f"{root}/landing", k)
+        files = stream.read_envelope_files(spark, f"{root}/landing/range-*/*.json")
+        stream.start_ingest(files, sink, f"{root}/ckpt").awaitTermination()
     table.compact()
     complaints = current_records(table.current_view())
     n_keys = complaints.count()
     assert n_keys == complaints.select("unique_key").distinct().count() > 0
 
-    grid = VersionedStore(spark, f"{root}/grid", S.GRID_ROLLUP_SCHEMA)
-    times = VersionedStore(spark, f"{root}/time", S.TIME_ROLLUP_SCHEMA)
+    grid, times = jobs.rollup_stores(spark, f"{root}/rollups")
     jobs.rebuild_rollups(complaints, grid, times, RunLog(spark, f"{root}/runs"), as_of=dt.datetime(2024, 1, 31))
 
     cells = V.grid_summary(grid.resolver(), complaints, V.GridQuery(ComplaintFilter(borough="queens"), zoom_level=12))

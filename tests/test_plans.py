@@ -6,10 +6,8 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
-from gridpulse import schema as S
+from gridpulse.queries import QUERIES
 from gridpulse.operators import rollups as R
-from gridpulse.operators.upsert import latest_by_key
 from gridpulse.sources import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +25,7 @@ def _tree(text: str) -> str:
 
 
 def test_grid_rollup_one_scan_partial_agg_one_shuffle(spark):
-    p = plan(E.queries()["grid_rollups"](spark, SF))
+    p = plan(QUERIES["grid_rollups"](spark, SF))
     tree = _tree(p)
     assert tree.count("Scan parquet") == 1
     assert tree.count("Exchange") == 1
@@ -35,43 +33,54 @@ def test_grid_rollup_one_scan_partial_agg_one_shuffle(spark):
 
 
 def test_time_rollup_one_scan_one_shuffle(spark):
-    tree = _tree(plan(E.queries()["time_rollups"](spark, SF)))
+    tree = _tree(plan(QUERIES["time_rollups"](spark, SF)))
     assert tree.count("Scan parquet") == 1 and tree.count("Exchange") == 1
 
 
 def test_upsert_pre_aggregates_hot_keys(spark):
-    p = plan(E.queries()["upsert_latest"](spark, SF))
+    p = plan(QUERIES["upsert_latest"](spark, SF))
     assert "partial_max_by" in p
     assert "Window" not in p
 
 
 def test_published_rollup_read_prunes_partitions(spark):
-    p = plan(E.queries()["grid_summary"](spark, SF))
+    p = plan(QUERIES["grid_summary"](spark, SF))
     assert "PartitionFilters: [isnotnull(zoom_level" in p and "(zoom_level#" in p
     assert "EqualTo(borough,BROOKLYN)" in p
 
 
 def test_filters_reach_the_scan(spark):
-    p = plan(E.queries()["points_filtered"](spark, SF))
+    p = plan(QUERIES["points_filtered"](spark, SF))
     assert "EqualTo(borough,QUEENS)" in p and "GreaterThanOrEqual(created_date" in p
     read_schema = [line for line in p.splitlines() if line.startswith("ReadSchema")][0]
     assert "agency_name" not in read_schema and "ingested_at" not in read_schema
 
 
 def test_points_page_is_bounded_top_k(spark):
-    p = plan(E.queries()["points_page"](spark, SF))
+    p = plan(QUERIES["points_page"](spark, SF))
     assert "TakeOrderedAndProject" in p and "Arguments: 600" in p
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_cartesian_or_unpartitioned_window(spark, key):
-    if key in ("stream_replay", "csv_roundtrip", "grid_summary", "timeseries_day"):
-        pytest.skip("writes data; covered elsewhere")
-    p = plan(E.queries()[key](spark, SF))
+    p = plan(QUERIES[key](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "Window" not in p  # no window at all, so never one over a single partition
 
 
+@pytest.mark.parametrize("key", ["stream_offsets", "run_ledger", "aggregate_ledger", "due_jobs"])
+def test_folds_never_sort_all_events(spark, key):
+    p = plan(QUERIES[key](spark, SF))
+    assert "SortAggregate" not in p and "HashAggregate" in p
+
+
+def test_map_queries_read_the_stored_rollups(spark):
+    for key in ("grid_serving", "density_classes"):
+        p = plan(QUERIES[key](spark, SF))
+        assert "Generate" not in p, key
+    assert "PartitionFilters: [isnotnull(zoom_level" in plan(QUERIES["grid_serving"](spark, SF))
+
+
 def test_hot_cell_still_pre_aggregated(spark):
     # one cell holds a third of all rows: the partial aggregate collapses it per task
     c = X.complaints_table(spark, SF)

@@ -121,30 +121,34 @@ def test_pruned_page_reads_only_newest(spark):
     assert "GreaterThanOrEqual(created_date" in buf.getvalue()
 
 
-@pytest.mark.parametrize("limit,offset", [(1, 0), (7, 2), (20, 5), (60, 0)])
-def test_refined_cutoff_matches_full_sort_on_a_hot_day(spark, limit, offset):
-    # a third of the rows share one day (and many share one second): refinement must stay exact
-    rows = [complaint(i, created=BASE_TS + dt.timedelta(days=i % 3, minutes=i % 5)) for i in range(30)]
-    rows += [complaint(100 + i, created=BASE_TS + dt.timedelta(days=5)) for i in range(15)]
-    rows += [complaint(200, created=None)]
+@pytest.mark.parametrize("limit,offset", [(5, 0), (7, 20), (50, 10)])
+def test_page_on_a_hot_day_equals_the_full_sort(spark, limit, offset):
+    rows = [complaint(i, created=BASE_TS - dt.timedelta(days=i % 3 and i)) for i in range(60)] + [complaint(900, created=None)]
     df = complaints_df(spark, rows)
-    V_ref = V.REFINE_ROWS
-    try:
-        V.REFINE_ROWS = 2
-        pruned = [r.unique_key for r in V.points_page(df, limit=limit, offset=offset).collect()]
-    finally:
-        V.REFINE_ROWS = V_ref
-    full = [r.unique_key for r in V.points_page(df, limit=limit, offset=offset, prune=False).collect()]
-    assert pruned == full
+    pruned = [r.unique_key for r in V.points_page(df, limit=limit, offset=offset).collect()]
+    assert pruned == [r.unique_key for r in V.points_page(df, limit=limit, offset=offset, prune=False).collect()]
 
 
-def test_refinement_narrows_the_cutoff(spark):
-    rows = [complaint(i, created=BASE_TS + dt.timedelta(minutes=i)) for i in range(50)]
-    df = complaints_df(spark, rows)
-    coarse = V.newest_cutoff(df, 3)                 # one day holds all rows: cutoff at the day
-    fine = V.newest_cutoff(df, 3, refine_rows=2)     # refined to the minute of the 3rd newest row
-    assert df.where(coarse).count() == 50
-    assert df.where(fine).count() == 3
+def test_cutoff_collects_no_more_days_than_rows_needed(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = complaints_df(spark, [complaint(i, created=BASE_TS - dt.timedelta(days=i)) for i in range(80)])
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    cutoff = V.newest_cutoff(df, 3)
+    assert [len(x) for x in seen] == [3] and df.where(cutoff).count() == 3
+    assert V.newest_cutoff(df, 1000) is None
+
+
+def test_stored_version_without_counts_goes_live(spark, scratch):
+    from gridpulse import schema as S
+    from gridpulse.sources.store import VersionedStore
+
+    df = _one_cell_two_types(spark)
+    store = VersionedStore(spark, scratch("broken"), S.GRID_ROLLUP_SCHEMA)
+    store.publish(spark.createDataFrame([(14, "QUEENS")], "zoom_level int, borough string"))
+    out = V.grid_summary(store.resolver(), df, V.GridQuery(min_count=2)).collect()
+    assert len(out) == 1 and out[0]["count"] == 2
 
 
 def test_routing_broken_rollup_goes_live(spark):

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from gridpulse import schema as S
 from gridpulse.operators import ingest as I
 from gridpulse.operators.upsert import ChangeLogTable, current_records, latest_by_key
-from gridpulse.streaming.capture import land_envelopes
 from gridpulse.sources import fixtures as X
 from gridpulse.streaming import ingest as STR
 from helpers import message, messages_df
@@ -13,6 +12,17 @@ from helpers import message, messages_df
 SF = "/root/testdata/sf0.001"
 
 
+def _drain(spark, root, sink, checkpoint="ckpt"):
+    files = STR.read_envelope_files(spark, f"{root}/landing/range-*/*.json")
+    STR.start_ingest(files, sink, f"{root}/{checkpoint}").awaitTermination()
+
+
+def _replay(spark, msgs, root, sink, ranges=3):
+    for k, envelopes in enumerate(X.offset_ranges(X.to_envelopes(msgs), ranges)):
+        X.land_range(envelopes, f"{root}/landing", k)
+        _drain(spark, root, sink)
+
+
 def _valid(spark, rows):
     norm = I.normalize_stream(messages_df(spark, rows), keep=("msg_offset", "partition_id", "msg_ts"))
     return I.valid_rows(norm)
@@ -33,23 +43,21 @@ def test_change_log_batches_replay_and_compaction(spark, scratch):
     table.append_batch(b1, 1)
     view = {r.unique_key: r.latitude for r in table.current_view().collect()}
     assert view == {"a": 40.3, "b": 40.2}
-    table.append_batch(b1, 1)  # a retried batch rewrites its own folder: unchanged
+    assert not table.append_batch(b1, 1)  # a committed batch is not written again
     assert {r.unique_key: r.latitude for r in table.current_view().collect()} == view
     table.compact()
     table.append_batch(_valid(spark, [message(key="b", lat="40.9")]), 2)
     assert {r.unique_key: r.latitude for r in table.current_view().collect()} == {"a": 40.3, "b": 40.9}
-    # changes = compacted base (2 keys) + only the log batches after its watermark (batch 2)
+    # changes = compacted base (2 keys) + only the batch that it has not folded
     assert table.changes().count() == 3
 
 
 def test_streaming_equals_batch_upsert(spark, scratch):
     root = scratch("replay")
     msgs = X.messages_from_events(X.read_events(spark, SF))
-    glob, files = land_envelopes(X.to_envelopes(msgs), f"{root}/landing", batches=3, files_per_batch=4)
     table = ChangeLogTable(spark, f"{root}/table")
     sink = STR.StreamIngest(table)
-    q = STR.start_ingest(STR.read_envelope_files(spark, glob, max_files_per_trigger=files), sink, f"{root}/ckpt")
-    q.awaitTermination()
+    _replay(spark, msgs, root, sink)
     streamed = current_records(table.current_view())
     valid = I.valid_rows(I.normalize_stream(msgs, keep=("msg_offset", "partition_id", "msg_ts")))
     batch = latest_by_key(valid.withColumn("batch_id", F.lit(0).cast("long")), value_cols=S.RECORD_COLUMNS[1:])
@@ -62,8 +70,7 @@ def test_streaming_equals_batch_upsert(spark, scratch):
     offs = sink.offsets().collect()
     assert len(offs) == 3 and all(r.consumer_name == S.CONSUMER_NAME for r in offs)
     # a second run over the same checkpoint processes nothing new
-    q2 = STR.start_ingest(STR.read_envelope_files(spark, glob, max_files_per_trigger=files), sink, f"{root}/ckpt")
-    q2.awaitTermination()
+    _drain(spark, root, sink)
     assert table.log().select("batch_id").distinct().count() == 3
 
 
@@ -148,15 +155,65 @@ def test_compaction_lays_out_base_by_date(spark, scratch):
 
 
 def test_replay_with_tiny_ranges_keeps_arrival_order(spark, scratch):
-    # 2 rows per range but 8 files asked for: the file count is capped so that
-    # each micro-batch is still exactly one range
     root = scratch("tiny-replay")
-    rows = [message(key="k", lat=f"40.{i}") for i in range(1, 7)]
-    msgs = messages_df(spark, rows)
-    glob, files = land_envelopes(X.to_envelopes(msgs), f"{root}/landing", batches=3, files_per_batch=8)
-    assert files == 2
+    msgs = messages_df(spark, [message(key="k", lat=f"40.{i}") for i in range(1, 7)])
     table = ChangeLogTable(spark, f"{root}/table")
-    STR.start_ingest(STR.read_envelope_files(spark, glob, max_files_per_trigger=files), STR.StreamIngest(table),
-                     f"{root}/ckpt").awaitTermination()
+    _replay(spark, msgs, root, STR.StreamIngest(table))
     assert [(r.unique_key, r.latitude) for r in table.current_view().collect()] == [("k", 40.6)]
     assert table.log().select("batch_id").distinct().count() == 3
+
+
+def test_two_writers_lose_nothing(spark, scratch):
+    """Stream, sync, compaction, further stream batches; equal ids of two writers; a late commit of a low id."""
+    table = ChangeLogTable(spark, scratch("writers"))
+    table.append_batch(_valid(spark, [message(key="a")]), 0, writer="stream")
+    table.append_batch(_valid(spark, [message(key="b")]), 1000, writer="sync")
+    table.append_batch(_valid(spark, [message(key="e")]), 0, writer="sync")
+    table.compact()
+    table.append_batch(_valid(spark, [message(key="c")]), 1, writer="stream")
+    assert sorted(r.unique_key for r in table.current_view().collect()) == ["a", "b", "c", "e"]
+    table.compact()
+    table.append_batch(_valid(spark, [message(key="c", lat="41.0"), message(key="d")]), 2, writer="stream")
+    for bound in (0, 1 << 28):
+        view = {r.unique_key: r.latitude for r in table.current_view(bound).collect()}
+        assert sorted(view) == ["a", "b", "c", "d", "e"] and view["c"] == 41.0
+    assert sorted(r.unique_key for r in table.changes().collect()) == ["a", "b", "c", "c", "d", "e"]
+
+
+def test_restarted_checkpoint_loses_nothing(spark, scratch):
+    root = scratch("restart")
+    table = ChangeLogTable(spark, f"{root}/table")
+    sink = STR.StreamIngest(table)
+    first = messages_df(spark, [message(key=k) for k in "ab"])
+    X.land_range(X.to_envelopes(first), f"{root}/landing", 0)
+    _drain(spark, root, sink)
+    table.compact()
+    later = messages_df(spark, [message(key="c")]).withColumn("msg_offset", F.lit(9).cast("long"))
+    X.land_range(X.to_envelopes(later), f"{root}/landing", 1)
+    _drain(spark, root, sink, checkpoint="new-ckpt")  # ids count from 0 again
+    assert sorted(r.unique_key for r in table.current_view().collect()) == ["a", "b", "c"]
+    assert table.commits().select("writer").distinct().count() == 2
+
+
+def test_retry_of_a_committed_batch_keeps_what_readers_see(spark, scratch):
+    table = ChangeLogTable(spark, scratch("retry"))
+    table.append_batch(_valid(spark, [message(key="a", lat="40.1")]), 0)
+    assert not table.append_batch(_valid(spark, [message(key="a", lat="49.9")]), 0)
+    table.commit_batch(0)
+    assert [(r.unique_key, r.latitude) for r in table.current_view().collect()] == [("a", 40.1)]
+
+
+def test_later_offset_wins_over_a_later_message_time(spark):
+    """Decided order: within a partition the order of arrival, as the reference has it."""
+    t = dt.datetime(2024, 1, 5)
+    rows = [message(key="k", lat="40.1", msg_ts=t + dt.timedelta(hours=1)), message(key="k", lat="40.2", msg_ts=t)]
+    out = latest_by_key(_valid(spark, rows).withColumn("batch_id", F.lit(0).cast("long"))).first()
+    assert out.latitude == 40.2
+
+
+def test_offsets_without_commits_have_the_progress_columns(spark, scratch):
+    sink = STR.StreamIngest(ChangeLogTable(spark, scratch("none")))
+    assert sink.offsets().columns == [
+        "consumer_name", "topic_name", "partition_id", "last_offset", "last_created_date", "last_message_at", "updated_at",
+    ]
+    assert sink.offsets().count() == 0
