@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridpulse.llm.common import ALNUM, Words, as_bytes, shared, sliced, text_or_empty
 
 WINDOW = 10
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_CHARS = 4 << 20
 MATCHES = "array<struct<item_id:{id},doc_word:int,item_word:int,words:int>>"
 

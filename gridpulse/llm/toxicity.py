@@ -165,13 +165,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
             all_terms.append(lists.flatten().to_numpy())
         label = np.concatenate([*labels, np.empty(0, dtype=np.int32)]).astype(float)
         size = np.concatenate([*sizes, np.empty(0, dtype=np.int64)])
-        term = np.concatenate([*all_terms, np.empty(0, dtype=np.int32)]).astype(np.int64)
+        term = np.concatenate([*all_terms, np.empty(0, dtype=np.int32)])
+        del all_terms
+        doc = np.repeat(np.arange(len(label), dtype=np.int32), size)
+        kept = informative(doc, term, label)
+        known = np.isin(term, kept)
+        doc, term = doc[known], term[known].astype(np.int64)
+        size = np.bincount(doc, minlength=len(label))
         # bags come in any order: sort the rows by what is in them, so that reruns agree
         start = np.cumsum(size) - size
         order = sorted(range(len(label)), key=lambda i: (label[i], term[start[i] : start[i] + size[i]].tobytes()))
         doc = np.repeat(np.arange(len(order)), size[order])
         term = np.concatenate([np.empty(0, dtype=np.int64), *[term[start[i] : start[i] + size[i]] for i in order]])
-        got = train(doc, term, label[order])
+        got = train(doc, term, label[order], kept=kept)
         out = io.BytesIO()
         np.savez(out, kept=got.kept, bias=got.bias, linear=got.linear, factors=got.factors)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
