@@ -29,6 +29,8 @@ ASSIGN_MIN, ACCESS_MIN = 6, 20
 #: symbols of the models: letters, digits, signs; all others are one; the first is the start
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 N_SYMBOLS = len(SYMBOLS) + 2
+#: a noncharacter; a value that holds one is read as two
+BREAK = "\U0010ffff"
 MARGIN = 0.5
 
 
@@ -65,6 +67,16 @@ def transitions(value: str) -> np.ndarray:
     return np.concatenate([[0], s[:-1]]) * N_SYMBOLS + s
 
 
+def steps_of(values: list[str | None]) -> np.ndarray:
+    """How often each step occurs in the values, taken as one row of symbols that the start symbol parts."""
+    codes = np.frombuffer(BREAK.join(v or "" for v in values).encode("utf-32-le"), dtype="<u4")
+    s = np.where(codes == ord(BREAK), 0, _SYMBOL[np.minimum(codes, 128)])
+    if not len(s):
+        return np.zeros(N_SYMBOLS * N_SYMBOLS, dtype=np.int64)
+    before = np.concatenate([[0], s[:-1]])
+    return np.bincount((before * N_SYMBOLS + s)[s > 0], minlength=N_SYMBOLS * N_SYMBOLS)
+
+
 @dataclass
 class Models:
     """Log-likelihood ratio, random against ordinary, of every step."""
@@ -87,19 +99,27 @@ def fit(samples: DataFrame, smoothing: float = 0.5) -> Models:
     def count(batches):
         sums = np.zeros((2, N_SYMBOLS * N_SYMBOLS), dtype=np.int64)
         for batch in batches:
-            for value, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if value:
-                    np.add.at(sums[int(label)], transitions(value), 1)
+            label = batch.column(1).to_numpy()
+            for of in (0, 1):
+                sums[of] += steps_of(batch.column(0).filter(pa.array(label == of)).to_pylist())
         label, step = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(label, pa.int32()), pa.array(step, pa.int32()), pa.array(sums[label, step])], names=["label", "step", "n"]
         )
 
     rows = samples.where("random in (0, 1)").select("value", F.col("random").cast("int"))
-    counts = np.full((2, N_SYMBOLS, N_SYMBOLS), smoothing)
+    counts = np.zeros((2, N_SYMBOLS, N_SYMBOLS))
     for r in rows.mapInArrow(count, "label int, step int, n long").groupBy("label", "step").agg(F.sum("n").alias("n")).collect():
         counts[r["label"], r["step"] // N_SYMBOLS, r["step"] % N_SYMBOLS] += r["n"]
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    return from_counts(counts, smoothing)
+
+
+def from_counts(counts: np.ndarray, smoothing: float = 0.5) -> Models:
+    """Models of counted steps (label, before, symbol); rare steps lean on how common the symbol is."""
+    single = counts.sum(axis=1, keepdims=True) + smoothing
+    single /= single.sum(axis=2, keepdims=True)
+    mass = smoothing * N_SYMBOLS
+    logs = np.log((counts + mass * single) / (counts.sum(axis=2, keepdims=True) + mass))
     return Models((logs[1] - logs[0]).ravel())
 
 

@@ -1,5 +1,7 @@
+import builtins
 import random
 import re
+import sys
 
 from docs_of import docs, edge_rows
 from gridpulse.llm import secrets
@@ -21,8 +23,7 @@ def brute_base(text):
 def models(spark):
     rng = random.Random(1)
     rows = [("".join(rng.choices(ALPHABET, k=40)), 1) for _ in range(300)]
-    names = ["getUserName", "parse_header", "document", "window", "configuration", "value2", "http_server", "reader", "Bibliothek"]
-    rows += [("".join(rng.choices(names, k=2)), 0) for _ in range(300)] + [(None, 1), ("", 0)]
+    rows += [(name, 0) for name in (*dir(builtins), *sys.stdlib_module_names)] + [(None, 1), ("", 0)]
     return secrets.fit(spark.createDataFrame(rows, "value string, random int"))
 
 
@@ -38,7 +39,7 @@ def test_models_part_random_strings_from_identifiers(spark):
     m = models(spark)
     rng = random.Random(3)
     random_ones = ["".join(rng.choices(ALPHABET, k=24)) for _ in range(200)]
-    ordinary = ["parse_header_configuration", "documentReaderWindowName", "httpServerValueReader"]
+    ordinary = ["parse_header_configuration", "document_reader_window", "html_server_value_reader", "StreamReaderError"]
     assert sum(m.score(x) > secrets.MARGIN for x in random_ones) >= 196
     assert not any(m.score(x) > secrets.MARGIN for x in ordinary) and m.score("") == 0.0
 
