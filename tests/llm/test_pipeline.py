@@ -60,7 +60,8 @@ def test_run_and_registration(spark, table):
 def test_stages_on_edge_rows(spark):
     frame = docs(spark, edge_rows("very long text " * 20_000))
     for name, run in corpus_pipeline.STAGES:
-        assert run(spark, frame, SF).count() >= 7, name
+        # the three texts without words are one group, and the repeated row is one document
+        assert run(spark, frame, SF).count() == (6 if name == "simhash near-dedup" else 9), name
         assert run(spark, frame.limit(0), SF).count() == 0, name
 
 
