@@ -22,6 +22,7 @@ _ISO = (
     r"(Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d)?)?)?$"
 )
 _BLANK = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+_PLAIN_NUMBER = r"^-?\d{1,15}(?:\.\d{1,15})?$"  # the common form: one test and one cast
 _NUMBER = (
     r"^[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?$"
     r"|^[+-]?(?i:inf|infinity|nan)$"
@@ -80,8 +81,10 @@ def text_to_double(c: Column) -> Column:
     Blanks around the number, digit groups (1_000), exponents, inf and nan are
     read; type suffixes (40.5d) and hexadecimal text are junk.
     """
-    s = strip_blanks(empty_to_null(c))
-    return F.when(s.rlike(_NUMBER), F.regexp_replace(s, "_", "").try_cast("double"))
+    plain = empty_to_null(c)
+    s = strip_blanks(plain)
+    other = F.when(s.rlike(_NUMBER), F.regexp_replace(s, "_", "").try_cast("double"))
+    return F.when(plain.rlike(_PLAIN_NUMBER), plain.try_cast("double")).otherwise(other)
 
 
 def parse_iso_param(value: str | None) -> _dt.datetime | None:
