@@ -3,11 +3,14 @@
 A document is the set of its hashed terms: words, and their first 4, 5 and 6
 bytes as stems. The score is logistic in the weights of the terms and in the
 inner products of the factors of every pair of terms, so a pair can weigh more,
-or less, than its terms by themselves.
+or less, than its terms by themselves. Every term of the labelled sample has a
+weight and factors: the fit starts from the terms that tell something by
+themselves and goes on over all of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 from dataclasses import dataclass
 
@@ -36,8 +39,8 @@ class Model:
 
     @property
     def slot(self) -> np.ndarray:
-        """The row of every hashed term."""
-        out = np.full(HASHED, len(self.kept), dtype=np.int32)
+        """The row of every hashed term; one entry more, so that the largest is always the row of zeros."""
+        out = np.full(HASHED + 1, len(self.kept), dtype=np.int32)
         out[self.kept] = np.arange(len(self.kept))
         return out
 
@@ -97,9 +100,9 @@ def train(doc: np.ndarray, term: np.ndarray, label: np.ndarray, rounds: int = 30
     """
     n = len(label)
     best = informative(doc, term, label) if kept is None else kept
-    row = Model(best, 0.0, best, best).slot[term].astype(np.int64)
+    row = Model(best, 0.0, best, best).slot[term]
     known = row < len(best)
-    doc, row = doc[known], row[known]
+    doc, row = doc[known], row[known].astype(np.int64)
     m = len(best) + 1
     rng = np.random.default_rng(SEED)
     x = np.concatenate([np.zeros(1 + m), rng.normal(0, 0.05, m * FACTORS)])
@@ -131,6 +134,60 @@ def train(doc: np.ndarray, term: np.ndarray, label: np.ndarray, rounds: int = 30
     return model(x)
 
 
+def train_all(doc: np.ndarray, term: np.ndarray, label: np.ndarray, epochs: int = 4, least: int = 400, rows: int = 256) -> Model:
+    """Fits weights and factors of every term that occurs, to rows as ``train`` takes them, sorted by row number.
+
+    Starts from ``train`` over the informative terms, all others at zero weight
+    and small factors, and is drawn back to that start: a term moves as far as
+    its rows, alone or in pairs, explain what the start doesn't. AdaGrad over
+    ``rows`` rows at a time, for ``epochs`` passes and ``least`` steps at least.
+    """
+    start, n = train(doc, term, label), len(label)
+    if not len(term):
+        return start
+    kept = np.unique(term)
+    m = len(kept)
+    row = Model(kept, 0.0, kept, kept).slot[term]
+    size = np.bincount(doc, minlength=n)
+    first = np.cumsum(size) - size
+    rng = np.random.default_rng(SEED)
+    x = np.zeros((1 + FACTORS, m), dtype=np.float32)
+    at = np.searchsorted(kept, start.kept)
+    x[0, at], x[1:, at] = start.linear[:-1], start.factors[:-1].T
+    centre, bias = x.copy(), start.bias
+    fresh = np.ones(m, dtype=bool)
+    fresh[at] = False
+    x[1:, fresh] = rng.normal(0, 0.1 / np.sqrt(max(1.0, size.mean())), (FACTORS, m))[:, fresh]
+    squares, bias_squares = np.full_like(x, 1e-3), 1e-3
+    rate, pull = [0.02] + [0.05] * FACTORS, np.float32(3 / n)
+    queue = np.empty(0, dtype=np.int64)
+    for _ in range(max(least, epochs * -(-n // rows))):
+        if len(queue) < min(rows, n):
+            queue = np.concatenate([queue, rng.permutation(n)])
+        pick, queue = queue[:rows], queue[rows:]
+        b, count = len(pick), size[pick]
+        of = np.repeat(np.arange(b), count)
+        r = row[np.arange(len(of)) + (first[pick] - np.cumsum(count) + count)[of]]
+        score = bias + np.bincount(of, x[0, r], b)
+        held = []
+        for f in range(1, 1 + FACTORS):
+            v = x[f, r]
+            total = np.bincount(of, v, b)
+            score += 0.5 * (total**2 - np.bincount(of, v * v, b))
+            held.append((v, total))
+        err = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - label[pick]) / b
+        per = err[of]
+        for k in range(1 + FACTORS):
+            by = per if k == 0 else per * (held[k - 1][1][of] - held[k - 1][0])
+            grad = np.bincount(r, by, m).astype(np.float32) + pull * (x[k] - centre[k])
+            squares[k] += grad * grad
+            x[k] -= np.float32(rate[k]) * grad / np.sqrt(squares[k])
+        bias_squares += err.sum() ** 2
+        bias -= rate[0] * err.sum() / np.sqrt(bias_squares)
+    x = np.concatenate([x, np.zeros((1 + FACTORS, 1), dtype=np.float32)], axis=1)
+    return Model(kept, float(bias), x[0], np.ascontiguousarray(x[1:].T))
+
+
 def crc_fold(of: Column, folds: int = 5) -> Column:
     """crc32 of the value as text, modulo ``folds``; null has none."""
     return F.crc32(of.cast("string")) % folds
@@ -167,17 +224,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
         size = np.concatenate([*sizes, np.empty(0, dtype=np.int64)])
         term = np.concatenate([*all_terms, np.empty(0, dtype=np.int32)])
         del all_terms
-        doc = np.repeat(np.arange(len(label), dtype=np.int32), size)
-        kept = informative(doc, term, label)
-        known = np.isin(term, kept)
-        doc, term = doc[known], term[known].astype(np.int64)
-        size = np.bincount(doc, minlength=len(label))
         # bags come in any order: sort the rows by what is in them, so that reruns agree
         start = np.cumsum(size) - size
-        order = sorted(range(len(label)), key=lambda i: (label[i], term[start[i] : start[i] + size[i]].tobytes()))
-        doc = np.repeat(np.arange(len(order)), size[order])
-        term = np.concatenate([np.empty(0, dtype=np.int64), *[term[start[i] : start[i] + size[i]] for i in order]])
-        got = train(doc, term, label[order], kept=kept)
+        bag = [term[a : a + k] for a, k in zip(start, size, strict=True)]
+        order = sorted(range(len(label)), key=lambda i: (label[i], hashlib.blake2b(bag[i]).digest()))
+        term = np.concatenate([np.empty(0, dtype=np.int32), *[bag[i] for i in order]])
+        del bag
+        doc = np.repeat(np.arange(len(order), dtype=np.int32), size[order])
+        got = train_all(doc, term, label[order])
         out = io.BytesIO()
         np.savez(out, kept=got.kept, bias=got.bias, linear=got.linear, factors=got.factors)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])

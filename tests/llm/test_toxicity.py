@@ -45,6 +45,21 @@ def test_pairs_are_learned_that_no_sum_of_weights_has():
     assert (got == np.array([y for _, _, y in rows[900:]])).mean() > 0.95
 
 
+def test_a_pair_of_terms_that_tell_nothing_alone_is_learned_by_fit(spark):
+    """XOR again, through fit(), which has to find the two words by itself."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(1200):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(["alpha"] * a + ["beta"] * b + rng.choices([f"w{j}" for j in range(30)], k=4)), int(a != b)))
+    labels = spark.createDataFrame([(i, 1, y, "") for i, _, y in rows[:900]], LABELS)
+    model = toxicity.fit(docs(spark, [(i, t) for i, t, _ in rows[:900]]), labels)
+    doc, term, _ = bags(rows[:900])
+    assert np.array_equal(model.kept, np.unique(term))
+    got = toxicity.scores([t.encode() for _, t, _ in rows[900:]], model, model.slot) >= 0.5
+    assert (got == np.array([y for _, _, y in rows[900:]])).mean() > 0.95
+
+
 def test_held_out_accuracy(spark):
     rows = corpus(1500)
     frame = docs(spark, [(i, t) for i, t, _ in rows])
