@@ -23,6 +23,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: a sign repeated is scored once: rules and padding tell nothing
+SIGNS = re.compile(r"([+/_=-])\1+")
 IDENTIFIER = re.compile(r"[^\W_]{4,}")
 ASSIGN_MIN, ACCESS_MIN = 6, 20
 
@@ -154,6 +156,8 @@ def all_spans(text: str, models: Models, margin: float = MARGIN) -> list[tuple[i
     """(start, kind, end) of pattern matches and of further random tokens, by start and then kind.
 
     Characters that a pattern covers are not scored again: a token is cut there.
+    Of a token of 16 characters or more the models alone decide, whether it holds
+    digits or not; one of signs only is a rule or a line, not a string.
     """
     base = base_spans(text)
     out = [(s, k, e) for s, k, e, _ in base]
@@ -163,7 +167,7 @@ def all_spans(text: str, models: Models, margin: float = MARGIN) -> list[tuple[i
             pieces = [x for a, b in pieces for x in ([(a, b)] if e <= a or s >= b else [(a, s), (e, b)])]
         for a, b in pieces:
             value = text[a:b]
-            if b - a >= 16 and any(c.isdigit() for c in value) and models.score(value) > margin:
+            if b - a >= 16 and any(c.isalnum() for c in value) and models.score(SIGNS.sub(r"\1", value)) > margin:
                 out.append((a, "markov", b))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 

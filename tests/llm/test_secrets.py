@@ -56,6 +56,16 @@ def test_scan_edges(spark):
     assert secrets.scan(docs(spark, []), models(spark)).count() == 0
 
 
+def test_letters_alone_are_scored_and_lines_of_signs_are_not(spark):
+    rng = random.Random(4)
+    keys = ["".join(rng.choices(ALPHABET[:52], k=24)) for _ in range(100)]
+    ordinary = ["internationalization", "document_reader_window", "-" * 40, "=" * 16, "Chapter" + "-" * 30, "_" * 16 + "/" * 16]
+    m = models(spark)
+    got = secrets.scan(docs(spark, [(i, f"see {k} there") for i, k in enumerate(keys)]), m).collect()
+    assert sum([tuple(s) for s in r["spans"]] == [("markov", 4, 28)] for r in got) >= 95
+    assert all(secrets.all_spans(f"see {x} there", m) == [] for x in ordinary)
+
+
 def test_models_without_samples_are_uniform(spark):
     m = secrets.fit(secrets.labelled_samples(docs(spark, [])))
     assert m.score("anything") == 0.0
