@@ -5,7 +5,8 @@ IPv4 addresses, dates and e-mail addresses are found and validated. Each is
 replaced by a keyed permutation of its own format: a Feistel network over the
 digits (or the days, or the letters), walked along its cycle until the result is
 valid again. Equal values get equal pseudonyms in all documents, separators and
-lengths stay, and check digits are made anew.
+lengths stay, and check digits are made anew. Decimal digits of other scripts
+count as digits and are replaced by digits of their script.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+import sys
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +37,8 @@ NUMBERS = {
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)",
 }
 NUMBER = re.compile(r"(?<![\w.+-])(?=[+(\d]|[A-Z]{2}\d\d)(?:" + "|".join(f"(?P<{k}>{p})" for k, p in NUMBERS.items()) + ")")
+OTHER_DIGIT = re.compile(r"(?![0-9])\d")
+TO_ASCII = {i: str(unicodedata.decimal(chr(i))) for i in range(128, sys.maxunicode + 1) if chr(i).isdecimal()}
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # 1900 to 2099
 
 
@@ -173,8 +178,24 @@ def pseudonym(f: Feistel, kind: str, value: str) -> str | None:
     return dt.date.fromordinal(FIRST_DAY + f.permute(day.toordinal() - FIRST_DAY, DAYS, "date")).strftime(form)
 
 
+def _in_kind(old: str, new: str) -> str:
+    """The new value of as many characters, its digits in the script of the old one's at their place."""
+    return "".join(chr(ord(a) - int(a) + int(b)) if ord(a) in TO_ASCII else b for a, b in zip(old, new, strict=True))
+
+
 def replace(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what was replaced, in the old text."""
+    if not text.isascii() and OTHER_DIGIT.search(text):
+        new, spans = _replace(text.translate(TO_ASCII), f)
+        out, at = [], 0
+        for _, start, end in spans:  # lengths stay
+            out += [text[at:start], _in_kind(text[start:end], new[start:end])]
+            at = end
+        return "".join([*out, text[at:]]), spans
+    return _replace(text, f)
+
+
+def _replace(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
     found = []
     if "@" in text:
         for m in EMAIL.finditer(text):

@@ -34,6 +34,20 @@ def test_every_kind_keeps_its_format_and_is_valid_again():
             assert pii.pseudonym(F, kind, new) is not None, (v, new)
 
 
+def test_digits_of_other_scripts():
+    for zero in ("\u0660", "\u0966", "\uff10", "\U0001d7ce"):
+        for kind, values in VALUES.items():
+            for v in values:
+                other = "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in v)
+                plain, spans = pii.replace(f"see {v}, then", F)
+                text, other_spans = pii.replace(f"see {other}, then", F)
+                assert other_spans == spans and text.translate(pii.TO_ASCII) == plain, other
+                assert [c in "0123456789" for c in text] == [c in "0123456789" for c in f"see {other}, then"]
+        for shape in ("4111111111111112", "000-12-3456", "2024-02-30", "256.1.1.1"):
+            text = "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in shape) + " \u0663"
+            assert pii.replace(text, F) == (text, [])
+
+
 def test_equal_values_stay_linked():
     a, b = (pii.pseudonym(F, "card", v) for v in ("4111 1111 1111 1111", "4111111111111111"))
     assert a.replace(" ", "") == b
