@@ -203,12 +203,17 @@ def _replace(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
                 found.append((m.start(), m.end(), "email", new))
     emails, pos = list(found), 0
     while m := NUMBER.search(text, pos):
-        new = pseudonym(f, m.lastgroup, m[0])
-        if new is None or any(s < m.end() and m.start() < e for s, e, _, _ in emails):
+        value = m[0]
+        new = pseudonym(f, m.lastgroup, value)
+        while new is None and m.lastgroup == "iban" and " " in value:  # its last groups may be words that follow
+            value = value.rpartition(" ")[0]
+            new = pseudonym(f, "iban", value)
+        end = m.start() + len(value)
+        if new is None or any(s < end and m.start() < e for s, e, _, _ in emails):
             pos = m.start() + 1  # another kind may begin inside
             continue
-        found.append((m.start(), m.end(), m.lastgroup, new))
-        pos = m.end()
+        found.append((m.start(), end, m.lastgroup, new))
+        pos = end
     out, at = [], 0
     for start, end, _, new in sorted(found):
         out += [text[at:start], new]

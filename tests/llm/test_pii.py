@@ -48,6 +48,16 @@ def test_digits_of_other_scripts():
             assert pii.replace(text, F) == (text, [])
 
 
+def test_a_spaced_iban_ends_before_the_words_that_follow():
+    iban = "ES91 2100 0418 4502 0005 1332"
+    for after in (" THE", " 2024", " A", " THIS IBAN OF MINE", " 12"):
+        text, spans = pii.replace(f"see {iban}{after}, then", F)
+        assert spans == [("iban", 4, 4 + len(iban))], after
+        assert text[4 : 4 + len(iban)] == pii.pseudonym(F, "iban", iban) and text.endswith(f"{after}, then")
+    wrong = "ES92 2100 0418 4502 0005 1332 THE"
+    assert pii.replace(wrong, F) == (wrong, [])
+
+
 def test_equal_values_stay_linked():
     a, b = (pii.pseudonym(F, "card", v) for v in ("4111 1111 1111 1111", "4111111111111111"))
     assert a.replace(" ", "") == b
