@@ -3,9 +3,9 @@
 Two fingerprints within distance r have a point between them within r / 2 of
 both. Every fingerprint emits all variants of itself within half the radius;
 fingerprints that share a variant are candidates and are verified by their
-distance. The default radius of 3 is odd: one third of the bits is masked in
-turn, so that the odd differing bit falls under a mask at least once and the
-other two meet at variants of one flip. That is 3 x 44 = 132 variants a
+distance. The default radius of 3 is odd: 22 of the bits are masked in turn, so
+that the odd differing bit falls under a mask at least once and the other two
+meet at variants of one flip. That is 3 x 43 = 129 variants a
 fingerprint instead of the 2,081 of a ball of radius 2, and no link is lost.
 """
 
@@ -128,11 +128,12 @@ def _signed(x: int) -> int:
 def variants(nodes: DataFrame, distance: int) -> DataFrame:
     """(key, fp): each fingerprint at every variant within half the distance.
 
-    Odd distances: the fingerprint is turned so that one third of its bits
-    after the other lies lowest; these are masked and hold the number of the turn.
+    Odd distances: the fingerprint is turned so that the bits from 0, 21 and 42 on
+    lie lowest in turn; 22 are masked, so that every bit is under a mask at least
+    once, and hold the number of the turn.
     """
     half = distance // 2
-    low = 21 if distance % 2 else 0
+    low = 22 if distance % 2 else 0
     flips = F.array(*[F.lit(_signed(x)) for x in ball(64, half, low)])
     if not low:
         return nodes.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp")

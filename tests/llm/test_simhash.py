@@ -62,6 +62,13 @@ def test_ball_links_lose_none(spark):
         assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+def test_every_single_bit_is_linked_at_distance_one(spark):
+    fp = random.Random(7).getrandbits(64)
+    for bit in (*range(0, 63, 9), 20, 21, 41, 42, 62, 63):
+        links = simhash.ball_links(spark.createDataFrame([(simhash._signed(f),) for f in (fp, fp ^ 1 << bit)], "fp long"), 1)
+        assert links.count() == 1, bit
+
+
 def test_one_large_group_of_near_fingerprints():
     rng = np.random.default_rng(5)
     fps = np.unique(np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)))
