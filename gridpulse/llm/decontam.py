@@ -10,6 +10,7 @@ once more as text. The benchmark is read in blocks of a bounded size.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +203,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_c
     if second is None:
         return _matches_of(rows.withColumn("key", F.lit("")), first, id_type).drop("key")
     keyed = rows.withColumn("key", F.sha2("text", 256))
-    for block in (first, second, *blocks):
+    for block in chain((first, second), blocks):
         parts.append(_matches_of(keyed, block, id_type).dropDuplicates(["doc_id", "key"]))
     both = parts[0]
     for p in parts[1:]:

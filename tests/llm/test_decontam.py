@@ -1,5 +1,7 @@
+import gc
 import random
 import re
+import weakref
 
 import numpy as np
 import pytest
@@ -60,6 +62,22 @@ def test_matches_equal_brute_force(spark, block_chars):
     assert kept[0].asDict().keys() == docs(spark, rows[:1]).first().asDict().keys()
 
 
+def test_blocks_are_not_held_together_on_the_driver(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"word{i} and more", "x") for i in range(8)], BENCH)
+    made, most, real = [], [], decontam.make_block
+
+    def counted(*args):
+        gc.collect()
+        most.append(sum(r() is not None for r in made))
+        block = real(*args)
+        made.append(weakref.ref(block))
+        return block
+
+    monkeypatch.setattr(decontam, "make_block", counted)
+    got = decontam.matches(docs(spark, [(1, "word5 and more")]), bench, block_chars=1).first()["matches"]
+    assert [m["item_id"] for m in got] == [5] and len(made) == 8 and max(most) <= 3
+
+
 def test_longest_match_and_place(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     bench = spark.createDataFrame([(1, "start " + passage + " end", "x")], BENCH)
