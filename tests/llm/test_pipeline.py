@@ -51,6 +51,14 @@ def test_stages_equal_brute_force(spark, table):
     check([(r[0], r[3], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for r in rows], got)
 
 
+def test_documents_without_an_id_are_deduplicated_too(spark):
+    long = [" ".join(f"{c}{i}" for i in range(300)) for c in "abc"]
+    texts = [(None, long[0]), (None, long[0]), (None, long[1]), (7, long[1]), (None, long[2]), (None, long[2] + " end"), (None, None), (None, "")]
+    got = stage(spark, "simhash near-dedup", [(i, t, "en", "a", None) for i, t in texts])
+    groups = {(r["doc_id"], (r["text"] or "")[:2]) for r in got}
+    assert len(got) == len(groups) == 4 and groups == {(None, "a0"), (7, "b0"), (None, "c0"), (None, "")}
+
+
 def test_run_and_registration(spark, table):
     out = entry.queries()["pipeline"](spark, SF).collect()
     assert 0 < len(out) <= len(table) and {r["doc_id"] for r in out} <= {r[0] for r in table}
