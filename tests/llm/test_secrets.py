@@ -44,6 +44,19 @@ def test_models_part_random_strings_from_identifiers(spark):
     assert not any(m.score(x) > secrets.MARGIN for x in ordinary) and m.score("") == 0.0
 
 
+def test_camel_case_identifiers_are_ordinary(spark):
+    """The training words and identifiers of before, beside the new ones."""
+    rng = random.Random(1)
+    names = ["getUserName", "parse_header", "document", "window", "configuration", "value2", "http_server", "reader", "Bibliothek"]
+    rows = [("".join(rng.choices(ALPHABET, k=40)), 1) for _ in range(300)]
+    old = [("".join(rng.choices(names, k=2)), 0) for _ in range(300)]
+    new = [(name, 0) for name in (*dir(builtins), *sys.stdlib_module_names)]
+    m = secrets.fit(spark.createDataFrame(rows + old + new, "value string, random int"))
+    ordinary = ["parse_header_configuration", "documentReaderWindowName", "httpServerValueReader", "httpServerValueReader2"]
+    assert [x for x in ordinary if m.score(x) > secrets.MARGIN] == []
+    assert all(secrets.all_spans(f"see {x} there", m) == [] for x in ordinary)
+
+
 def test_scan_edges(spark):
     secret = "Zk9fQ2xV7bTn4RwY8sLd3Hg1"
     rows = edge_rows("long words " * 40_000 + secret) + [(30, f"é token = {secret} and {secret}")]
