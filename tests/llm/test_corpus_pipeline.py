@@ -62,7 +62,7 @@ def test_documents_without_an_id_are_deduplicated_too(spark):
 def test_run_and_registration(spark, table):
     out = entry.queries()["pipeline"](spark, SF).collect()
     assert 0 < len(out) <= len(table) and {r["doc_id"] for r in out} <= {r[0] for r in table}
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and QUERIES.keys() <= entry.queries().keys()
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and QUERIES.keys() <= entry.queries().keys()
 
 
 def test_stages_on_edge_rows(spark):
