@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.common import ascii_lower, written
+from gridpulse.session import scratch_path
 
 FEATURES = 1 << 16
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -29,11 +30,12 @@ def path_of(url: Column) -> Column:
 
 
 def _grams(column: Column, n: int, mark: str) -> Column:
-    s = F.concat(F.lit("^"), column, F.lit("$"))
-    return F.when(
-        F.length(s) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.concat(F.lit(mark), F.substring(s, i, F.lit(n)))),
-    ).otherwise(F.array().cast("array<string>"))
+    """Each run of n characters, with a mark; the work grows with the length, not its square."""
+    characters = F.split(F.concat(F.lit("^"), column, F.lit("$")), "")
+    grams = F.transform(characters, lambda c: F.concat(F.lit(mark), c))
+    for k in range(1, n):  # the shorter array is filled up with nulls, which make no gram
+        grams = F.zip_with(grams, F.slice(characters, F.lit(1 + k), F.size(characters)), lambda a, b: F.concat(a, b))
+    return F.filter(grams, lambda g: g.isNotNull())
 
 
 def featured(df: DataFrame) -> DataFrame:
@@ -72,7 +74,10 @@ def fit(labelled: DataFrame, max_rows: int = 20_000) -> LogisticRegressionModel
     if len(classes) < 2:
         return "block" if classes == [1.0] else "allow"
     lr = LogisticRegression(featuresCol="features", labelCol="blocked", maxIter=40, regParam=1e-3)
-    return lr.fit(featured(rows).coalesce(1))
+    # a fitted model holds its training summary and so the session, which tasks can't take; a loaded one doesn't
+    path = scratch_path(rows.sparkSession, "url-model")
+    lr.fit(featured(rows).coalesce(1)).save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: LogisticRegressionModel | str) -> DataFrame:

@@ -1,4 +1,8 @@
 import re
+import time
+
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from gridpulse.llm import urlfilter
 from gridpulse.llm.queries import URL_RULES
@@ -50,3 +54,23 @@ def test_one_class_and_empty_tables(spark):
     assert urlfilter.fit(empty.selectExpr("host", "path", "1 as blocked")) == "allow"
     one = spark.createDataFrame([("h", "/p", 1), ("h", "/p", 1), ("g", "/", None)], "host string, path string, blocked int")
     assert urlfilter.fit(one) == "block"
+
+
+def test_scores_after_an_observation_in_the_session(spark):
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    known = spark.createDataFrame([(f"h{i}.org", "/spam" if i % 2 else "/news", i % 2) for i in range(40)], "host string, path string, blocked int")
+    model = urlfilter.fit(known)
+    got = urlfilter.judge(spark.createDataFrame([(1, "http://x.org/spam", "", "", "")], PAGES), [], model)
+    assert got.select("verdict").first()[0] == "block"
+
+
+def test_grams_of_a_url_of_a_megabyte(spark):
+    rows = spark.createDataFrame([("h", "/" + "aé😀b" * 250_000), ("", ""), ("x", "/")], "host string, path string")
+    urlfilter.featured(rows.limit(0)).collect()  # compiled before the clock starts
+    began = time.time()
+    got = urlfilter.featured(rows).collect()
+    assert time.time() - began < 10 and all(r["features"].numNonzeros() > 0 for r in got)
+    grams = spark.createDataFrame([("aé😀b",), ("",)], "s string").select(urlfilter._grams(F.col("s"), 3, "m:")).collect()
+    assert [r[0] for r in grams] == [["m:^aé", "m:aé😀", "m:é😀b", "m:😀b$"], []]
