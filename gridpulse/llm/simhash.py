@@ -229,3 +229,26 @@ def near_duplicates(
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(best, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, distance: int = 3
+) -> DataFrame:
+    """The rows of docs, all columns, one of each group of ``near_duplicates``.
+
+    Rows are told apart by id and text, so that texts of one id may be in several
+    groups. The row of the smallest id stays, rows without an id come after all
+    ids; of equal ids a text before a null one, then the smaller SHA-256 of the
+    text. Of rows with equal id and text one stays. An empty table stays empty.
+    """
+    row_id, text = F.col(id_column), F.col(text_column).cast("string")
+    key = F.struct(
+        row_id.isNull().alias("nameless"),
+        row_id.alias("id"),
+        text.isNull().alias("missing"),
+        F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"),
+    )
+    keyed = docs.withColumn("_near_key", key)
+    found = near_duplicates(keyed, "_near_key", text_column, shingle, distance)
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_near_key")).distinct()
+    return keyed.join(keep, "_near_key", "left_semi").dropDuplicates(["_near_key"]).select(docs.columns)

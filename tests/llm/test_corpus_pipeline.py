@@ -1,5 +1,6 @@
 """The pipeline, stage by stage against plain Python, and the registered oracles, on the smallest tables."""
 
+import hashlib
 import re
 
 import duckdb
@@ -59,6 +60,19 @@ def test_documents_without_an_id_are_deduplicated_too(spark):
     assert len(got) == len(groups) == 4 and groups == {(None, "a0"), (7, "b0"), (None, "c0"), (None, "")}
 
 
+def test_near_duplicates_are_rows_not_ids(spark):
+    """Against brute force over rows: ids with several texts, repeated rows, null ids, null and empty texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(300)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (3, b + " end"), (8, c), (8, c), (8, c + " end"), (None, c), (None, "alone in the table"), (None, "alone in the table")]
+    rows += [(1, None), (1, ""), (None, None), (2, " ")]
+    got = stage(spark, "simhash near-dedup", [(i, t, "en", "a", None) for i, t in rows])
+    fps = [brute_fp(t) for _, t in rows]
+    groups = brute_groups(list(range(len(rows))), fps)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is None, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    want = {min((r for r, g in zip(rows, groups, strict=True) if g == k), key=order) for k in groups}
+    assert len(got) == len(want) == 5 and {(r["doc_id"], r["text"]) for r in got} == want
+
+
 def test_run_and_registration(spark, table):
     out = entry.queries()["pipeline"](spark, SF).collect()
     assert 0 < len(out) <= len(table) and {r["doc_id"] for r in out} <= {r[0] for r in table}
@@ -76,7 +90,7 @@ def test_stages_on_edge_rows(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, SF)
