@@ -11,7 +11,6 @@ from gridpulse.llm import decontam, mixing, pii, simhash, toxicity
 from gridpulse.llm.common import table, written
 from gridpulse.llm.queries import PII_KEY, toxicity_model
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,24 +19,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the smallest id.
-
-    Of repeated rows of that id and text one stays. Documents without an id come
-    after all ids, by the SHA-256 of their text, in a key that only this stage has.
-    """
-    nameless = F.col("doc_id").isNull()
-    key = F.struct(
-        nameless.alias("nameless"),
-        F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"),
-        F.when(nameless, F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise("").alias("of_text"),
-    )
-    keyed = docs.withColumn("_near_key", key)
-    found = simhash.near_duplicates(keyed, id_column="_near_key", shingle=3, distance=3)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_near_key"))
-    kept = keyed.join(keep, "_near_key", "left_semi")
-    # a null and an empty text of no id have one key
-    kept = kept.withColumn("_near_text", F.when(nameless, F.coalesce("text", F.lit(""))).otherwise(F.col("text")))
-    return kept.dropDuplicates(["doc_id", "_near_text"]).select(docs.columns)
+    """One document of each SimHash group stays, that of the smallest id; texts of one id are told apart."""
+    return simhash.one_of_each(docs, shingle=3, distance=3)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
