@@ -27,7 +27,7 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 ROUNDS = 8
 
 # formats (fixed values)
-EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9_%+-][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
+EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
 NUMBERS = {
     "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?!\w)",
     "card": r"(?:\d{13,19}|\d{4}(?P<by>[ -])\d{4}(?P=by)\d{4}(?P=by)\d{4}|\d{4}(?P<by6>[ -])\d{6}(?P=by6)\d{5})(?!\w|[.-]\d)",
@@ -201,7 +201,7 @@ def _replace(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
         for m in EMAIL.finditer(text):
             if (new := pseudonym(f, "email", m[0])) is not None:
                 found.append((m.start(), m.end(), "email", new))
-    emails, pos = list(found), 0
+    emails, at_email, pos = list(found), 0, 0  # addresses and numbers ascend: one sweep over both
     while m := NUMBER.search(text, pos):
         value = m[0]
         new = pseudonym(f, m.lastgroup, value)
@@ -209,7 +209,9 @@ def _replace(text: str, f: Feistel) -> tuple[str, list[tuple[str, int, int]]]:
             value = value.rpartition(" ")[0]
             new = pseudonym(f, "iban", value)
         end = m.start() + len(value)
-        if new is None or any(s < end and m.start() < e for s, e, _, _ in emails):
+        while at_email < len(emails) and emails[at_email][1] <= m.start():
+            at_email += 1
+        if new is None or (at_email < len(emails) and emails[at_email][0] < end):
             pos = m.start() + 1  # another kind may begin inside
             continue
         found.append((m.start(), end, m.lastgroup, new))

@@ -161,14 +161,26 @@ def all_spans(text: str, models: Models, margin: float = MARGIN) -> list[tuple[i
     """
     base = base_spans(text)
     out = [(s, k, e) for s, k, e, _ in base]
+    covered: list[list[int]] = []
+    for s, e in sorted((s, e) for s, _, e, _ in base):
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    at = 0  # tokens and covered ranges ascend: one sweep over both
     for m in TOKEN.finditer(text):
-        pieces = [(m.start(), m.end())]
-        for s, _, e, _ in base:
-            pieces = [x for a, b in pieces for x in ([(a, b)] if e <= a or s >= b else [(a, s), (e, b)])]
-        for a, b in pieces:
-            value = text[a:b]
-            if b - a >= 16 and any(c.isalnum() for c in value) and models.score(SIGNS.sub(r"\1", value)) > margin:
-                out.append((a, "markov", b))
+        a, end = m.span()
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        k = at
+        while a < end:
+            s, e = covered[k] if k < len(covered) and covered[k][0] < end else (end, end)
+            k += 1
+            if s - a >= 16:
+                value = text[a:s]
+                if any(c.isalnum() for c in value) and models.score(SIGNS.sub(r"\1", value)) > margin:
+                    out.append((a, "markov", s))
+            a = max(a, e)
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
