@@ -4,8 +4,9 @@ A text is normalised, cut into characters, and an agenda of adjacent symbol pair
 merges the pair of the best score first, of equal scores the leftmost, until no
 pair is a piece. Where no piece of the vocabulary holds a space after another
 character, no merge crosses the start of a run of spaces; the text is cut there
-and each distinct chunk goes through the agenda once a task. Each Arrow batch is
-checked against the sentencepiece library, text by text.
+and each distinct chunk goes through the agenda once a task: the agendas of all
+new short chunks of an Arrow batch side by side in numpy, those of long chunks as
+heaps. Each batch is checked against the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 import struct
 from array import array
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ BPE = 2
 SPACE = "▁"
 
 #: distinct chunks whose ids a task keeps before it starts anew
-CHUNKS_KEPT = 500_000
-#: characters up to which the agenda of a chunk is a list
+CHUNKS_KEPT = 800_000
+#: text bytes whose new chunks go through their agendas at once
+SLICE_BYTES = 4 << 20
+#: characters up to which the agendas of chunks are kept side by side
 SHORT = 40
 
 
@@ -59,23 +62,47 @@ def _fields(buf: bytes):
         yield key >> 3, value
 
 
-class _Known(dict):
-    """Ids of each chunk seen, as int32 bytes; a new chunk goes through the agenda."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = self[chunk] = self.encode(chunk)
-        return got
+class _Pairs:
+    """Pieces by the ids of their two halves: an open-addressed table that numpy looks up in bulk."""
+
+    SHIFT = 21  # ids, of pieces or of characters without one, are below 2 ** 21
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, piece: np.ndarray):
+        self.bits = max(4, int(4 * len(piece)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.pieces = np.zeros(1 << self.bits, dtype=np.int64)
+        key = left << self.SHIFT | right
+        slot = self._slot(key)
+        while len(key):
+            free = self.keys[slot] < 0
+            taken, first = np.unique(np.where(free, slot, -1), return_index=True)
+            first = first[taken >= 0]
+            self.keys[slot[first]], self.pieces[slot[first]] = key[first], piece[first]
+            rest = np.ones(len(key), dtype=bool)
+            rest[first] = False
+            key, piece, slot = key[rest], piece[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece of each pair, or -1."""
+        key = left << self.SHIFT | right
+        slot, out = self._slot(key), np.full(len(key), -1, dtype=np.int64)
+        todo = np.arange(len(key))
+        while len(todo):
+            held = self.keys[slot]
+            hit = held == key[todo]
+            out[todo[hit]] = self.pieces[slot[hit]]
+            on = ~hit & (held >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
 
 
 class Vocabulary:
     """A merge-type vocabulary read from the bytes of a model file."""
 
     def __init__(self, model: bytes):
-        self.model = model
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces, kind, rules = [], None, {}
         for number, value in _fields(model):
@@ -86,6 +113,7 @@ class Vocabulary:
                 kind = dict(_fields(value)).get(3, 1)
             elif number == 3:
                 rules = dict(_fields(value))
+        self.names = [p for p, *_ in pieces]
         if kind != BPE:
             raise ValueError("the model isn't of merge type (BPE)")
         if any(t == USER_DEFINED for *_, t in pieces):
@@ -97,12 +125,24 @@ class Vocabulary:
         self.cost = {p: -s for p, s, t in pieces if t in (NORMAL, UNUSED)}
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, UNUSED)}
         self.unused = {p for p, _, t in pieces if t == UNUSED}
-        self.halves: dict[str, tuple[str, str]] = {}
         self.unknown = next(i for i, (*_, t) in enumerate(pieces) if t == UNKNOWN)
         self.byte = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         whole = any(SPACE in p.lstrip(SPACE) for p in self.cost)
         self.chunks = (lambda s: [s]) if whole else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.known = _Known(self._ids_of)
+        #: the library can be asked about a chunk by itself
+        self.by_chunk = not whole and self.plain and bool(self.byte)
+        #: ids of each chunk seen, as int32 bytes, and the chunks that the library encodes otherwise
+        self.known: dict[str, bytes] = {}
+        self.wrong: set[str] = set()
+        symbol = {chr(i): len(pieces) + i for i in {ord(c) for p in self.id for c in p}} | self.id
+        halves = [(symbol[p[:k]], symbol[p[k:]], i) for p, i in self.id.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        self.pairs = _Pairs(*np.array(halves or np.empty((0, 3)), dtype=np.int64).reshape(-1, 3).T.copy())
+        self.costs = np.array([-s for _, s, _ in pieces])
+        #: the id of each character, beyond all pieces for one that is no piece
+        self.character = np.arange(len(pieces), len(pieces) + 0x110000)
+        for p in self.id:
+            if len(p) == 1:
+                self.character[ord(p)] = self.id[p]
         self.surface = [self._surface(p, t) for p, _, t in pieces]
         self.is_byte = np.array([t == BYTE for *_, t in pieces])
 
@@ -121,66 +161,102 @@ class Vocabulary:
             return self.library.normalize(text)
         return self.prefix + text.replace(" ", SPACE) if text else ""
 
-    def symbols(self, chunk: str) -> list[str]:
-        """The pieces of a chunk after all merges of the agenda."""
-        symbol = self._merged_in_list(chunk) if len(chunk) <= SHORT else self._merged_in_heap(chunk)
-        if not self.unused:
-            return symbol
-        out, todo = [], symbol[::-1]
-        while todo:  # an unused piece is only a step to others: the halves it was last made of stand for it
-            s = todo.pop()
-            if s in self.unused and s in self.halves:
-                todo += reversed(self.halves[s])
-            else:
-                out.append(s)
+    def learn(self, chunks: list[str], check: bool = False) -> None:
+        """Put distinct chunks through their agendas; with ``check`` the library encodes them as well."""
+        short = [c for c in chunks if len(c) <= SHORT] if not self.unused else []
+        self.known.update(zip(short, self._side_by_side(short), strict=True))
+        for c in chunks:
+            if c not in self.known:
+                self.known[c] = self._bytes_of(self.symbols(c))
+        if check:
+            # as a text, a chunk has its spaces back but for the one that the library puts first; that one alone is no text
+            asked = [c for c in chunks if c != self.prefix]
+            said = self.library.encode([c.removeprefix(self.prefix).replace(SPACE, " ") for c in asked], num_threads=1)
+            self.wrong.update(c for c, ids in zip(asked, said, strict=True) if array("i", ids).tobytes() != self.known[c])
+
+    def _side_by_side(self, chunks: list[str]) -> list[bytes]:
+        """The ids of short chunks: in each round, the best pair of every chunk's agenda merges."""
+        if not chunks:
+            return []
+        size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        symbol = self.character[np.frombuffer("".join(chunks).encode("utf-32-le"), dtype="<u4")]
+        chunk = np.repeat(np.arange(len(chunks)), size)
+
+        def costs_at(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Cost and piece of the pair of each symbol i and the next, infinite and -1 for none."""
+            i = np.minimum(i, len(symbol) - 1)
+            after = np.minimum(i + 1, len(symbol) - 1)
+            piece = self.pairs.find(symbol[i], symbol[after])
+            piece[(chunk[i] != chunk[after]) | (i == after)] = -1
+            return np.where(piece >= 0, self.costs[piece], np.inf), piece
+
+        done_chunk, done_symbol = [], []
+        cost, piece = costs_at(np.arange(len(symbol)))
+        while len(symbol):
+            first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            best = np.minimum.reduceat(cost, first)
+            length = np.diff(np.append(first, len(symbol)))
+            over = np.repeat(np.isinf(best), length)  # chunks without a pair left are done
+            at = np.flatnonzero((cost == np.repeat(best, length)) & ~over)
+            at = at[np.concatenate([[True], chunk[at[1:]] != chunk[at[:-1]]])] if len(at) else at  # the leftmost of equals
+            done_chunk.append(chunk[over])
+            done_symbol.append(symbol[over])
+            symbol[at] = piece[at]
+            stays = ~over
+            stays[at + 1] = False
+            new = (np.cumsum(stays) - 1)[at]
+            symbol, chunk, cost, piece = symbol[stays], chunk[stays], cost[stays], piece[stays]
+            if len(new):
+                mark = np.zeros(len(symbol), dtype=bool)
+                mark[new] = mark[np.maximum(new - 1, 0)] = True
+                changed = np.flatnonzero(mark)
+                cost[changed], piece[changed] = costs_at(changed)
+        chunk, symbol = np.concatenate(done_chunk), np.concatenate(done_symbol)
+        order = np.argsort(chunk, kind="stable")
+        ids = symbol[order].astype(np.int32)
+        ends = np.cumsum(np.bincount(chunk, minlength=len(chunks)))
+        raw = ids.tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for k in np.unique(chunk[order][ids >= len(self.costs)]).tolist():  # characters that are no pieces
+            out[k] = self._bytes_of([self.piece_of(i) for i in np.frombuffer(out[k], dtype=np.int32).tolist()])
         return out
 
-    def _merged(self, left: str, right: str) -> str:
-        both = left + right
-        if both in self.unused:
-            self.halves[both] = left, right
-        return both
-
-    def _merged_in_list(self, chunk: str) -> list[str]:
-        """The agenda of a short chunk: the cost of each adjacent pair, in a list beside the symbols."""
-        cost, none = self.cost.get, float("inf")
-        symbol = list(chunk)
-        agenda = [cost(a + b, none) for a, b in pairwise(symbol)]
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
-            i = agenda.index(best)
-            symbol[i : i + 2] = [self._merged(symbol[i], symbol[i + 1]) if self.unused else symbol[i] + symbol[i + 1]]
-            del agenda[i]
-            if i:
-                agenda[i - 1] = cost(symbol[i - 1] + symbol[i], none)
-            if i < len(agenda):
-                agenda[i] = cost(symbol[i] + symbol[i + 1], none)
-        return symbol
-
-    def _merged_in_heap(self, chunk: str) -> list[str]:
-        """The agenda of a long chunk: a heap of (cost, left symbol, right symbol, characters of both)."""
+    def piece_of(self, i: int) -> str:
+        return self.names[i] if i < len(self.names) else chr(i - len(self.names))
+
+    def symbols(self, chunk: str) -> list[str]:
+        """The pieces of a chunk after all merges of its agenda, a heap of (cost, left symbol, right symbol, characters of both)."""
         n, cost = len(chunk), self.cost
         symbol, before, after = list(chunk), list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(cost[pair], i, i + 1, 2) for i in range(n - 1) if (pair := chunk[i : i + 2]) in cost]
         heapify(agenda)
+        halves: dict[str, tuple[str, str]] = {}
         while agenda:
             _, a, b, size = heappop(agenda)
-            if not symbol[a] or not symbol[b] or len(symbol[a]) + len(symbol[b]) != size:
+            left, right = symbol[a], symbol[b]
+            if not left or not right or len(left) + len(right) != size:
                 continue  # one of the two has merged meanwhile
-            symbol[a], symbol[b] = self._merged(symbol[a], symbol[b]), ""
+            symbol[a], symbol[b] = left + right, ""
+            if symbol[a] in self.unused:
+                halves[symbol[a]] = left, right
             after[a] = after[b]
             if after[a] >= 0:
                 before[after[a]] = a
             for x, y in ((before[a], a), (a, after[a])):
                 if x >= 0 and y >= 0 and (both := symbol[x] + symbol[y]) in cost:
                     heappush(agenda, (cost[both], x, y, len(both)))
-        return [s for s in symbol if s]
+        out, todo = [], [s for s in reversed(symbol) if s]
+        while todo:  # an unused piece is only a step to others: the halves it was made of stand for it
+            s = todo.pop()
+            if s in halves:
+                todo += reversed(halves[s])
+            else:
+                out.append(s)
+        return out
 
-    def _ids_of(self, chunk: str) -> bytes:
+    def _bytes_of(self, symbols: list[str]) -> bytes:
         ids = []
-        for s in self.symbols(chunk):
+        for s in symbols:
             if s in self.id:
                 ids.append(self.id[s])
             elif self.byte:
@@ -189,33 +265,41 @@ class Vocabulary:
                 ids.append(self.unknown)
         return array("i", ids).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, int32; an empty text has none."""
+    def encode(self, texts: list[str], check: bool = False) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, int32, none for an empty one; and whether the library, if asked, agrees on all its chunks."""
         if len(self.known) > CHUNKS_KEPT:
             self.known.clear()
-        ids = np.frombuffer(b"".join(map(self.known.__getitem__, self.chunks(self.normalised(text)))), dtype=np.int32)
-        if not self.byte:  # neighbouring unknown characters are one id
-            again = np.zeros(len(ids), dtype=bool)
-            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
-            ids = ids[~again]
-        return ids
+        chunked = [self.chunks(self.normalised(t)) for t in texts]
+        self.learn(list(set(chain.from_iterable(chunked)) - self.known.keys()), check)
+        out = []
+        for chunks in chunked:
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), dtype=np.int32)
+            if not self.byte:  # neighbouring unknown characters are one id
+                again = np.zeros(len(ids), dtype=bool)
+                again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+                ids = ids[~again]
+            out.append(ids)
+        return out, [not self.wrong or self.wrong.isdisjoint(chunks) for chunks in chunked]
 
     # -- decoding -------------------------------------------------------------
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: pieces with spaces, byte pieces by runs, the space that encoding put first left out."""
         listed = ids.tolist()
-        raw = b"".join(map(self.surface.__getitem__, listed))
-        first = next((i for i in listed if self.surface[i]), None)
-        drop = (bool(self.prefix) or self.trims) and first is not None and self.surface[first][:1] == b" "
-        drop = drop and first != self.unknown and not self.is_byte[first]
+        start, lead = 0, b""
+        if self.prefix or self.trims:
+            while start < len(listed) and not lead and listed[start] != self.unknown and not self.is_byte[listed[start]]:
+                lead = self.surface[listed[start]]
+                start += 1
+                if lead[:1] == b" ":
+                    lead = lead[1:]
+                    if not self.trims:
+                        break  # only one space is left out, and all leading ones where the model trims
+        raw = lead + b"".join(map(self.surface.__getitem__, listed[start:] if start else listed))
         try:
-            text = raw.decode()
+            return raw.decode()
         except UnicodeDecodeError:
-            text = self._decode_runs(listed)
-        if not drop:
-            return text
-        return text.lstrip(" ") if self.trims else text[1:]
+            return lead.decode() + self._decode_runs(listed[start:])
 
     def _decode_runs(self, ids: list[int]) -> str:
         """As ``decode``, where bytes of a run aren't UTF-8: each such byte becomes U+FFFD."""
@@ -241,30 +325,37 @@ class Vocabulary:
 
 
 def encoded(
-    docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text", check: bool = True
+    docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text", check: str | None = "chunks"
 ) -> DataFrame:
     """(doc_id, ids array<int>, decoded string, agrees boolean) of every row, without begin and end ids.
 
-    ``agrees``: the library gives the same ids for the text and the same text for
-    the ids (null without ``check``). Null texts are empty ones: no ids, an empty
-    decoded text. Repeated rows each get a row, null ids stay null, other columns
-    are not read, an empty table gives an empty one. Only the distinct chunks of a
-    task are held beside one slice of texts; a very long text is a slice of its own.
+    ``agrees``: the sentencepiece library decodes the ids to the same text, and
+    encodes to the same ids: each distinct chunk of the task when it first comes
+    up (``check="chunks"``, where the model has no rules that need the whole text), or
+    each text as a whole (``check="texts"``); null without a check. Null texts are
+    empty ones: no ids, an empty decoded text. Repeated rows each get a row, null
+    ids stay null, other columns are not read, an empty table gives an empty one.
+    Only the distinct chunks of a task are held beside one slice of texts; a very
+    long text is a slice of its own.
     """
     schema = f"doc_id {docs.schema[id_column].dataType.simpleString()}, ids array<int>, decoded string, agrees boolean"
     held = shared(docs.sparkSession, model)
 
     def run(batches):
         vocabulary = Vocabulary(held())
-        for batch in sliced(batches):
+        library = vocabulary.library
+        by_chunk = check == "chunks" and vocabulary.by_chunk
+        for batch in sliced(batches, max_bytes=SLICE_BYTES):
             texts = batch.column("text").to_pylist()
-            ids = [vocabulary.encode(t) for t in texts]
+            ids, agrees = vocabulary.encode(texts, check=by_chunk)
             decoded = [vocabulary.decode(i) for i in ids]
-            agrees = [None] * len(texts)
-            if check:
-                listed = vocabulary.library.encode(texts, num_threads=1)
-                said = vocabulary.library.decode(listed, num_threads=1)
-                agrees = [i.tolist() == x and d == s for i, d, x, s in zip(ids, decoded, listed, said, strict=True)]
+            if check is None:
+                agrees = [None] * len(texts)
+            else:
+                listed = [i.tolist() for i in ids]
+                if not by_chunk:
+                    agrees = [a == b for a, b in zip(listed, library.encode(texts, num_threads=1), strict=True)]
+                agrees = [a and d == s for a, d, s in zip(agrees, decoded, library.decode(listed, num_threads=1), strict=True)]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, dtype=np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays(
