@@ -23,8 +23,9 @@ MIN_DOCS = 30
 SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
-#: (source, term) counts that a task adds up in Python before it hands them on
-COUNTS_KEPT = 200_000
+#: (source, term) counts that a task adds up before it hands them on
+COUNTS_KEPT = 500_000
+ROWS_A_BATCH = 20_000
 #: (source, term) entries that one comparison group holds
 GROUP_ENTRIES = 50_000
 
@@ -47,26 +48,51 @@ def collapsed(docs: DataFrame) -> DataFrame:
     return texts.join(copies, ["lang", "h"]).select("lang", "text", "sources")
 
 
+def _grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts by the keys (the last one first), and where its groups of equal keys start."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([np.diff(k[order]) != 0 for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
+def _lists(starts: np.ndarray, size: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, size).astype(np.int32)), values)
+
+
+PARTIAL = "lang string, term string, docs long, sources array<string>, counts array<long>"
+
+
 def term_counts(texts: DataFrame) -> DataFrame:
-    """collapsed texts -> (lang, source, term, count, docs): weighted occurrences and document frequency."""
-
-    def flush(held):
-        columns = {"lang": [], "source": [], "term": [], "count": [], "docs": []}
-        for (lang, source), (counts, docs) in held.items():
-            columns["lang"] += [lang] * len(counts)
-            columns["source"] += [source] * len(counts)
-            columns["term"] += counts.keys()
-            columns["count"] += counts.values()
-            columns["docs"] += [docs[t] for t in counts]
-        held.clear()
-        terms = pa.array(columns["term"], pa.binary()).cast(pa.string())
-        whole = [pa.array(columns["lang"], pa.string()), pa.array(columns["source"], pa.string()), terms]
-        whole += [pa.array(columns[c], pa.int64()) for c in ("count", "docs")]
-        for a in range(0, len(terms), 50_000):
-            yield pa.RecordBatch.from_arrays([c.slice(a, 50_000) for c in whole], names=list(columns))
+    """collapsed texts -> (lang, term, docs, sources, counts), some rows a term: each task's weighted occurrences.
+
+    ``docs`` is the part's weighted document frequency, counts[i] the occurrences in sources[i].
+    """
+
+    def flush(counts, docs):
+        groups = list(counts.items())
+        sizes = [len(c) for _, c in groups]
+        langs = pa.array([lang for (lang, _), _ in groups], pa.string()).dictionary_encode()
+        lang = np.repeat(langs.indices.to_numpy(), sizes)
+        source = np.repeat(np.arange(len(groups)), sizes)
+        names = pa.array([name for (_, name), _ in groups], pa.string())
+        term = pa.array([t for _, c in groups for t in c], pa.binary()).dictionary_encode()
+        count = np.fromiter((n for _, c in groups for n in c.values()), dtype=np.int64, count=sum(sizes))
+        code = term.indices.to_numpy()
+        order, first = _grouped([code, lang])
+        terms = term.dictionary.take(pa.array(code[order][first]))
+        of = langs.dictionary.take(pa.array(lang[order][first]))
+        seen = [docs[x][t] for x, t in zip(of.to_pylist(), terms.to_pylist(), strict=True)]
+        columns = [of, terms.cast(pa.string()), pa.array(seen, pa.int64())]
+        columns += [_lists(first, len(order), names.take(pa.array(source[order]))), _lists(first, len(order), pa.array(count[order]))]
+        counts.clear()
+        docs.clear()
+        for a in range(0, len(first), ROWS_A_BATCH):
+            yield pa.RecordBatch.from_arrays([c.slice(a, ROWS_A_BATCH) for c in columns], names=["lang", "term", "docs", "sources", "counts"])
 
     def run(batches):
-        held: dict = {}
+        counts: dict[tuple[str, str], Counter] = {}
+        docs: dict[str, Counter] = {}
         size = 0
         for batch in sliced(batches):
             langs, sources = batch.column("lang").to_pylist(), batch.column("sources").to_pylist()
@@ -74,27 +100,81 @@ def term_counts(texts: DataFrame) -> DataFrame:
                 found = TERM.findall(text.lower())  # of bytes: only A-Z
                 if not found:
                     continue
-                counts = Counter(found)
+                own = Counter(found)
+                seen = docs.setdefault(lang, Counter())
+                many = sum(copy["n"] for copy in copies)
+                if many == 1:
+                    seen.update(own.keys())
+                else:
+                    seen.update(dict.fromkeys(own, many))
                 for copy in copies:
-                    total, docs = held.setdefault((lang, copy["source"]), (Counter(), Counter()))
+                    total = counts.setdefault((lang, copy["source"]), Counter())
                     size -= len(total)
-                    n = copy["n"]
-                    if n == 1:
-                        total.update(found)
-                        docs.update(counts.keys())
-                    else:
-                        for term, count in counts.items():
-                            total[term] += n * count
-                            docs[term] += n
+                    total.update(found if copy["n"] == 1 else {t: copy["n"] * c for t, c in own.items()})
                     size += len(total)
                 if size > COUNTS_KEPT:
-                    yield from flush(held)
+                    yield from flush(counts, docs)
                     size = 0
-        if held:
-            yield from flush(held)
+        if counts:
+            yield from flush(counts, docs)
+
+    return texts.mapInArrow(run, PARTIAL)
+
+
+def kept_terms(partial: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term, lang_count, counts of (source, count)) of the terms in ``min_docs`` documents or more.
+
+    A term's rows lie side by side in one task, which adds them up as they stream
+    by: at any time it holds one batch and the sums of the last term so far.
+    """
+    entry = pa.struct([("source", pa.string()), ("count", pa.int64())])
+
+    def run(batches):
+        carried = None
+
+        def merged(rows: pa.Table, last: bool):
+            """One row a term, and the last term's apart, as more of it may follow."""
+            lang, term = (rows.column(c).combine_chunks() for c in ("lang", "term"))
+            new = np.ones(len(rows), dtype=bool)
+            for c in (lang, term):
+                new[1:] &= pa.compute.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            new[1:] = ~new[1:]
+            first = np.flatnonzero(new)
+            docs = np.add.reduceat(rows.column("docs").to_numpy(), first)
+            sources, counts = (rows.column(c).combine_chunks() for c in ("sources", "counts"))
+            group = np.repeat(np.cumsum(new) - 1, sources.value_lengths().to_numpy(zero_copy_only=False))
+            names = sources.flatten().dictionary_encode()
+            order, begin = _grouped([names.indices.to_numpy(), group])
+            total = np.add.reduceat(counts.flatten().to_numpy()[order], begin)
+            name = names.dictionary.take(pa.array(names.indices.to_numpy()[order][begin]))
+            starts = np.flatnonzero(np.diff(group[order][begin], prepend=-1))
+            out = pa.Table.from_arrays(
+                [lang.take(pa.array(first)), term.take(pa.array(first)), pa.array(docs), _lists(starts, len(begin), name), _lists(starts, len(begin), pa.array(total))],
+                names=["lang", "term", "docs", "sources", "counts"],
+            )
+            return (out, None) if last else (out.slice(0, len(out) - 1), out.slice(len(out) - 1))
+
+        def result(rows: pa.Table):
+            rows = rows.filter(pa.compute.greater_equal(rows.column("docs"), min_docs)).combine_chunks()
+            if len(rows):
+                sources, counts = (rows.column(c).combine_chunks() for c in ("sources", "counts"))
+                starts = np.cumsum([0, *sources.value_lengths().to_numpy(zero_copy_only=False)])[:-1]
+                values = counts.flatten().to_numpy()
+                pairs = pa.StructArray.from_arrays([sources.flatten(), pa.array(values)], fields=list(entry))
+                columns = [rows.column("lang"), rows.column("term"), pa.array(np.add.reduceat(values, starts)), _lists(starts, len(values), pairs)]
+                yield from pa.Table.from_arrays(columns, names=["lang", "term", "lang_count", "counts"]).to_batches(ROWS_A_BATCH)
+
+        plain = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch]).cast(plain)
+                done, carried = merged(rows if carried is None else pa.concat_tables([carried, rows]), last=False)
+                yield from result(done)
+        if carried is not None:
+            yield from result(merged(carried, last=True)[0])
 
-    rows = texts.mapInArrow(run, "lang string, source string, term string, count long, docs long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    rows = partial.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return rows.mapInArrow(run, "lang string, term string, lang_count long, counts array<struct<source:string,count:long>>")
 
 
 def _share(count, total: int, terms: int) -> int:
@@ -157,11 +237,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
     in UTF-8, a language of one source has no pairs, an empty table gives an empty
     one. Counts are exact up to 2 ** 63.
     """
-    counts = term_counts(collapsed(docs))
-    by_term = counts.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("count").alias("lang_count"), F.collect_list(F.struct("source", "count")).alias("counts")
-    )
-    kept, _ = written(by_term.where(F.col("docs") >= min_docs).select("lang", "term", "lang_count", "counts"), "divergence-terms")
+    kept, _ = written(kept_terms(term_counts(collapsed(docs)), min_docs), "divergence-terms")
     totals = kept.select("lang", F.explode("counts").alias("c")).groupBy("lang", F.col("c.source").alias("source"))
     totals = totals.agg(F.sum("c.count").alias("total"))
     sized = kept.groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("lang_count").alias("lang_total"), F.sum(F.size("counts")).alias("entries"))
@@ -184,6 +260,10 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
         names = [x["source"] for x in lang["sources"]]
         entries = zip(*(left.column(c).to_pylist() for c in ("term", "lang_count", "counts")), strict=True)
         sums, over = _compared(names, [x["total"] for x in lang["sources"]], lang["n_terms"], lang["lang_total"], entries, lang["group"] == 0)
+        # a term is in one group, so the first of each source are among the first of its groups
+        over.sort(key=lambda x: (x[0], -x[2], x[1].encode()))
+        at = [0, *(i + 1 for i in range(len(over) - 1) if over[i][0] != over[i + 1][0])]
+        over = [x for a, b in zip(at, [*at[1:], len(over)], strict=True) for x in over[a : min(b, a + top_terms)]]
         a, b = np.nonzero(~np.eye(len(names), dtype=bool))
         out = {
             "source": [names[i] for i in a] + [names[i] for i, *_ in over],
