@@ -16,6 +16,7 @@ from __future__ import annotations
 import datetime as _dt
 import time
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from gridpulse import schema as S
 from gridpulse.functions import ntz_lit
 
+T = TypeVar("T")
+
 RUNNING, SUCCESS, FAILED = "running", "success", "failed"
 
 
@@ -150,3 +153,9 @@ class RunLog:
             raise
         self.record(job_name, SUCCESS, clock(), rows_processed=rows)
         return rows
+
+    def run_for(self, job_name: str, body: Callable[[], T], **options) -> T:
+        """``run`` for a body whose result isn't a row count; returns that result."""
+        results: list[T] = []
+        self.run(job_name, lambda: results.append(body()), **options)
+        return results[0]

@@ -17,7 +17,7 @@ are ordered by the sequence that their commit got, then by offset: within a
 partition a later offset wins whatever its message time, as the reference
 keeps the order of arrival there.
 
-Latest-wins is ``max_by(struct(all columns), struct(ordering))`` per key: a
+Latest-wins is ``max(struct(ordering, all columns))`` per key: a
 partial aggregate, so a key holding a third of all changes still ships one
 row per map task into the shuffle. Without a base it runs over the log;
 with one, ``merge_latest`` resolves only the keys of the log tail and lets
@@ -31,13 +31,13 @@ import datetime as _dt
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse import schema as S
 from gridpulse.functions import ntz_lit
-from gridpulse.sources.store import VersionedStore
+from gridpulse.sources.store import BucketedStore, VersionedStore
 
 # Total order of changes: later commit, then offset; the rest makes it total.
 ORDER_COLUMNS = ("commit_seq", "writer", "batch_id", "msg_offset", "partition_id", "msg_ts")
@@ -51,18 +51,25 @@ def latest_by_key(
 ) -> DataFrame:
     """One row per key: the values of the greatest tuple of those ``order_cols`` that there are.
 
-    All value columns travel in one struct, so a row's columns stay
-    together and a NULL in the newest change wins.
+    Order and values travel in one struct whose greatest is kept, so a row's
+    columns stay together, a NULL in the newest change wins, and changes that agree
+    in every order column are told apart by their values, whatever the partitions.
     """
     if value_cols is None:
         value_cols = tuple(c for c in changes.columns if c != key)
     return (
         changes.groupBy(key)
-        .agg(F.max_by(F.struct(*value_cols), F.struct(*[c for c in order_cols if c in changes.columns])).alias("_latest"))
+        .agg(F.max(change_struct(changes, order_cols, value_cols)).alias("_latest"))
         .select(key, *[F.col(f"_latest.{c}").alias(c) for c in value_cols])
     )
 
 
+def change_struct(changes: DataFrame, order_cols: tuple[str, ...], value_cols: tuple[str, ...]) -> Column:
+    """A change as one comparable value: those ``order_cols`` that there are, then the values."""
+    order = [c for c in order_cols if c in changes.columns]
+    return F.struct(*order, *[c for c in value_cols if c not in order])
+
+
 # A tail's distinct keys are broadcast only below this many bytes (measured).
 BROADCAST_KEY_BYTES = 256 << 20
 
@@ -80,7 +87,7 @@ def merge_latest(
     first (count and total key bytes, one small job); if it fits under
     ``broadcast_key_bytes`` it is broadcast, base rows of untouched keys pass
     through a map-side anti join (no shuffle of the base), and only the tail
-    plus the touched base rows are shuffled into ``max_by``. Otherwise the
+    plus the touched base rows are shuffled into the ``max``. Otherwise the
     whole union is merged by key, which shuffles the base too.
     """
     value_cols = tuple(c for c in base.columns if c != key)
@@ -97,6 +104,20 @@ def merge_latest(
     return unchanged.unionByName(changed.select(*base.columns))
 
 
+def merge_bucketed(
+    base: DataFrame, tail: DataFrame, key: str = "unique_key", order_cols: tuple[str, ...] = ORDER_COLUMNS
+) -> DataFrame:
+    """``merge_latest`` for a base in buckets of the key: only the tail is shuffled, to the base's buckets.
+
+    Base and tail meet in a full join by key, where the greater change stays.
+    """
+    value_cols = tuple(c for c in base.columns if c != key)
+    newest = tail.groupBy(key).agg(F.max(change_struct(tail, order_cols, value_cols)).alias("_tail"))
+    held = base.select(key, change_struct(base, order_cols, value_cols).alias("_base"))
+    met = held.join(newest, key, "full_outer").select(key, F.greatest("_base", "_tail").alias("_latest"))
+    return met.select(*[key if c == key else F.col(f"_latest.{c}").alias(c) for c in base.columns])
+
+
 def date_layout(df: DataFrame, col: str = "created_date", key: str = "unique_key") -> DataFrame:
     """Range-partition and sort by (date, key): files cover disjoint date
     ranges (min/max skipping for date filters and newest-first pages), and the
@@ -146,12 +167,20 @@ DEFAULT_WRITER = "default"
 
 
 class ChangeLogTable:
-    """Change log + compacted base under one root folder."""
+    """Change log + compacted base under one root folder.
 
-    def __init__(self, spark: SparkSession, root: str):
+    The base is laid out by date, for date-bounded reads, or with ``key_buckets``
+    in that many buckets of the key, for tables whose batches touch so many keys
+    that their set can't be broadcast: base and tail then meet without a shuffle of
+    the base. A table keeps the layout it was made with.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key_buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.base = VersionedStore(spark, f"{self.root}/base", VIEW_SCHEMA)
+        self.key_buckets = key_buckets
+        base = f"{self.root}/base"
+        self.base = BucketedStore(spark, base, VIEW_SCHEMA, "unique_key", key_buckets) if key_buckets else VersionedStore(spark, base, VIEW_SCHEMA)
 
     def batch_path(self, batch_id: int, writer: str = DEFAULT_WRITER) -> str:
         return f"{self.root}/log/writer={writer}/batch_id={int(batch_id)}"
@@ -240,6 +269,10 @@ class ChangeLogTable:
             return self.spark.createDataFrame([], VIEW_SCHEMA)
         return log.join(pairs, list(_PAIR)).select(*_VIEW_COLUMNS)
 
+    def rows_of(self, pairs: DataFrame) -> DataFrame:
+        """The log rows of exactly these batches (writer, batch_id, commit_seq)."""
+        return self._rows_of(pairs)
+
     def log(self) -> DataFrame:
         """All committed log rows; a batch folder without its commit record is not read."""
         return self._rows_of(self._pairs(None))
@@ -257,6 +290,8 @@ class ChangeLogTable:
         base = self.base.read(version).select(*_VIEW_COLUMNS)
         if not pairs.take(1):
             return base
+        if self.key_buckets:
+            return merge_bucketed(base, self._rows_of(pairs))
         return merge_latest(base, self._rows_of(pairs), broadcast_key_bytes=broadcast_key_bytes)
 
     def current_view(self, broadcast_key_bytes: int = BROADCAST_KEY_BYTES) -> DataFrame:
@@ -266,12 +301,31 @@ class ChangeLogTable:
         version = None if current is None else current[0]
         return self._view(version, self._pairs(version), broadcast_key_bytes)
 
+    def _base_within(self, pairs: DataFrame) -> int | None:
+        """The newest base version whose batches are all among ``pairs``."""
+        for version in self.base.versions():
+            if not self._folded(version).join(pairs, list(_PAIR), "left_anti").take(1):
+                return version
+        return None
+
+    def changes_of(self, pairs: DataFrame) -> DataFrame:
+        """Changes that give the view as of exactly these batches: a base within them, and the log rows of the others."""
+        version = self._base_within(pairs)
+        if version is None:
+            return self._rows_of(pairs)
+        rest = pairs.join(self._folded(version), list(_PAIR), "left_anti")
+        return self.base.read(version).select(*_VIEW_COLUMNS).unionByName(self._rows_of(rest))
+
+    def committed(self) -> DataFrame:
+        """(writer, batch_id, commit_seq) of all committed batches."""
+        return self._pairs(None)
+
     def compact(self, broadcast_key_bytes: int = BROADCAST_KEY_BYTES) -> int:
         """Fold the committed batches into a new published base version.
 
         The set of batches is fixed first and stored beside the version, then
         the version is published: a batch committed meanwhile, by any writer, is
-        not in the set and stays in the tail. All rows are laid out anew by date.
+        not in the set and stays in the tail. All rows are laid out anew, by date or key.
         """
         current = self.base.latest()
         version = None if current is None else current[0]
@@ -280,9 +334,14 @@ class ChangeLogTable:
             return version or 0
         pairs = self.spark.createDataFrame(found, _PAIRS_SCHEMA)
         folded = pairs.select(*_PAIR) if version is None else pairs.select(*_PAIR).unionByName(self._folded(version))
-        new = self.base.next_version()
+        new = self.base.claim_version()
         folded.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/base_folded/v={new}")
-        self.base.write_version(date_layout(self._view(version, pairs, broadcast_key_bytes)), new)
+        view = self._view(version, pairs, broadcast_key_bytes)
+        if not self.key_buckets:
+            view = date_layout(view)
+        elif version is None:  # a merge with a bucketed base is dealt out by its buckets already
+            view = view.repartition(self.key_buckets, "unique_key")
+        self.base.write_version(view, new)
         self.base.point(new)
         return new
 

@@ -28,8 +28,10 @@ COMPLAINTS_CTE = """complaints AS (
     CAST(NULL AS VARCHAR) AS cross_street_1,
     CAST(NULL AS VARCHAR) AS cross_street_2,
     'Street/Sidewalk' AS location_type,
-    CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(331591 + (event_id * 7919) % 820 AS DOUBLE) / CAST(8192 AS DOUBLE) END AS latitude,
-    CASE WHEN event_id % 89 = 0 THEN NULL ELSE CAST(-608330 + (user_id * 6421 + event_id * 31) % 820 AS DOUBLE) / CAST(8192 AS DOUBLE) END AS longitude,
+    CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 83 = 0 THEN CAST(4048 + event_id % 10 AS DOUBLE) / CAST(100 AS DOUBLE)
+      ELSE CAST(404774321 + (event_id * 7919) % 820 * 1221 AS DOUBLE) / CAST(10000000 AS DOUBLE) END AS latitude,
+    CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 79 = 0 THEN CAST(-7425 + event_id % 10 AS DOUBLE) / CAST(100 AS DOUBLE)
+      ELSE CAST(-742590123 + (user_id * 6421 + event_id * 31) % 820 * 1221 AS DOUBLE) / CAST(10000000 AS DOUBLE) END AS longitude,
     'csv' AS source,
     TIMESTAMP '2024-01-31 00:00:00' AS ingested_at
   FROM events)"""
@@ -91,27 +93,44 @@ _ZOOMS = ((10, "0.02"), (12, "0.01"), (14, "0.0045"))
 G45 = "CAST('0.0045' AS DOUBLE)"
 
 
-LEVELS_CTE = "levels AS (\n  " + "\n  UNION ALL ".join(
-    f"SELECT CAST({z} AS INTEGER) AS zoom_level, CAST('{g}' AS DOUBLE) AS g" for z, g in _ZOOMS
-) + ")"
 
 
-def _grid(noise: str, refreshed: bool) -> str:
-    """Every noise complaint with a place counts once on each level, in the cell its coordinates fall in."""
+def _mean(column: str) -> str:
+    """The mean, rounded once, from a sum that no order of the rows changes.
+
+    Doubles of this size are whole multiples of 2 ** -69, so their sum is exact in
+    HUGEINT; AVG of doubles rounds after each row. The quotient's upper digits are
+    exact as a double and the lower ones are rounded into it.
+    """
+    total, n, unit = f"SUM(CAST({column} * CAST(590295810358705651712 AS DOUBLE) AS HUGEINT))", f"COUNT({column})", 2**26
+    rest = f"(({total} % {n} + {n}) % {n})"
+    mean = f"(({total} - {rest}) // {n})"
+    low = f"(({mean} % {unit} + {unit}) % {unit})"
+    high = f"(({mean} - {low}) // {unit})"
+    return (
+        f"CASE WHEN {n} > 0 THEN CAST({high} AS DOUBLE) / CAST(8796093022208 AS DOUBLE)"
+        f" + CAST({low} AS DOUBLE) / CAST(590295810358705651712 AS DOUBLE) END"
+    )
+
+
+def _grid_level(zoom: int, size: str, noise: str, refreshed: bool) -> str:
+    """Every noise complaint with a place counts once in the cell its coordinates fall in."""
     refreshed_col = f", {AS_OF} AS refreshed_at" if refreshed else ""
-    return f"""SELECT zoom_level, g AS grid_size_degrees, borough, complaint_type, i * g AS lat_bucket, j * g AS lon_bucket,
-    list_avg(lats) AS center_lat, list_avg(lons) AS center_lon, CAST(len(lats) AS BIGINT) AS complaint_count,
-    earliest_created_date, latest_created_date{refreshed_col}
-  FROM (
-    SELECT zoom_level, g, borough, complaint_type, FLOOR(latitude / g) AS i, FLOOR(longitude / g) AS j,
-      list(latitude) AS lats, list(longitude) AS lons,
-      MIN(created_date) AS earliest_created_date, MAX(created_date) AS latest_created_date
-    FROM complaints CROSS JOIN levels
-    WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND {noise}
-    GROUP BY ALL)"""
-
-
-GRID_ROLLUPS_CTE = LEVELS_CTE + f",\ngrid_rollups AS (\n  {_grid("complaint_type ILIKE 'Noise%'", True)})"
+    g = f"CAST('{size}' AS DOUBLE)"
+    return f"""SELECT CAST({zoom} AS INTEGER) AS zoom_level, {g} AS grid_size_degrees, borough, complaint_type,
+    FLOOR(latitude / {g}) * {g} AS lat_bucket, FLOOR(longitude / {g}) * {g} AS lon_bucket,
+    {_mean("latitude")} AS center_lat, {_mean("longitude")} AS center_lon, COUNT(*) AS complaint_count,
+    MIN(created_date) AS earliest_created_date, MAX(created_date) AS latest_created_date{refreshed_col}
+  FROM complaints
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND {noise}
+  GROUP BY borough, complaint_type, lat_bucket, lon_bucket"""
+
+
+def _grid(noise: str, refreshed: bool) -> str:
+    return "\n  UNION ALL\n  ".join(_grid_level(z, g, noise, refreshed) for z, g in _ZOOMS)
+
+
+GRID_ROLLUPS_CTE = f"grid_rollups AS (\n  {_grid("complaint_type ILIKE 'Noise%'", True)})"
 GRID_ROLLUPS_OFFLINE_SQL = _grid("contains(lower(trim(complaint_type)), 'noise')", False)
 
 
@@ -172,6 +191,8 @@ LIMIT 5000""",
 WHERE {COORDS} AND latitude >= {_d(40.5)} AND latitude <= {_d(40.55)} AND longitude >= {_d(-74.23)}
 {POINT_ORDER}
 LIMIT 5000""",
+    "points_deep": with_ctes(COMPLAINTS_CTE)
+    + f"{POINT_SELECT}\nWHERE {COORDS}\n{POINT_ORDER}\nLIMIT 400 OFFSET 600",
     "points_finite": with_ctes(COMPLAINTS_CTE)
     + f"""SELECT * FROM (
 {POINT_SELECT}
@@ -188,21 +209,22 @@ WHERE CAST(unique_key AS BIGINT) % 10 > 2""",
 FROM messages
 GROUP BY complaint_type""",
     "grid_rollups": with_ctes(COMPLAINTS_CTE, GRID_ROLLUPS_CTE) + "SELECT * FROM grid_rollups",
-    "grid_rollups_offline": with_ctes(COMPLAINTS_CTE, LEVELS_CTE) + GRID_ROLLUPS_OFFLINE_SQL,
+    "grid_rollups_offline": with_ctes(COMPLAINTS_CTE) + GRID_ROLLUPS_OFFLINE_SQL,
     "grid_serving": with_ctes(COMPLAINTS_CTE, GRID_ROLLUPS_CTE)
     + f"""{GRID_SELECT}
 WHERE zoom_level = 12 AND complaint_count >= 2 AND {VIEWPORT_CENTRE_BBOX}
 ORDER BY complaint_count DESC""",
     "grid_live": with_ctes(COMPLAINTS_CTE)
-    + f"""SELECT list_avg(lats) AS lat, list_avg(lons) AS lon, CAST(len(lats) AS BIGINT) AS count,
-  i * {G45} AS lat_bucket, j * {G45} AS lon_bucket, CAST(NULL AS INTEGER) AS zoom_level, CAST(NULL AS TIMESTAMP) AS latest_created_date
-FROM (
-  SELECT FLOOR(latitude / {G45}) AS i, FLOOR(longitude / {G45}) AS j, list(latitude) AS lats, list(longitude) AS lons
-  FROM complaints WHERE borough = 'QUEENS' AND {COORDS} GROUP BY ALL)
-WHERE len(lats) >= 2""",
+    + f"""SELECT {_mean("latitude")} AS lat, {_mean("longitude")} AS lon, COUNT(*) AS count,
+  FLOOR(latitude / {G45}) * {G45} AS lat_bucket, FLOOR(longitude / {G45}) * {G45} AS lon_bucket,
+  CAST(NULL AS INTEGER) AS zoom_level, CAST(NULL AS TIMESTAMP) AS latest_created_date
+FROM complaints
+WHERE borough = 'QUEENS' AND {COORDS}
+GROUP BY lat_bucket, lon_bucket
+HAVING COUNT(*) >= 2""",
     "grid_500m": with_ctes(COMPLAINTS_CTE)
     + f"""SELECT FLOOR(latitude / {G45}) * {G45} AS lat_bucket, FLOOR(longitude / {G45}) * {G45} AS lon_bucket,
-  COUNT(*) AS complaint_count, AVG(latitude) AS center_lat, AVG(longitude) AS center_lon
+  COUNT(*) AS complaint_count, {_mean("latitude")} AS center_lat, {_mean("longitude")} AS center_lon
 FROM complaints
 GROUP BY 1, 2""",
     "time_rollups": with_ctes(COMPLAINTS_CTE, TIME_ROLLUPS_CTE) + "SELECT * FROM time_rollups",
@@ -242,6 +264,8 @@ WHERE complaint_type LIKE 'Noise%' AND {COORDS} AND created_date >= TIMESTAMP '2
 ORDER BY created_date DESC NULLS FIRST, unique_key""",
 }
 
+ORACLE_SQL["points_by_place"] = ORACLE_SQL["points_bbox"]
+
 # --- ingest, upsert, offsets, ledger ------------------------------------------
 
 STRIP = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -283,9 +307,10 @@ VALID_CTE = f"""valid AS (
   FROM messages WHERE ({REASON}) IS NULL)"""
 RECORD_COLS_SQL = """unique_key, created_date, closed_date, agency, agency_name, complaint_type, descriptor, status, borough,
   city, incident_zip, incident_address, street_name, cross_street_1, cross_street_2, location_type, latitude, longitude, source"""
-UPSERT_SQL = with_ctes(MESSAGES_CTE, VALID_CTE) + f"""SELECT {RECORD_COLS_SQL}
+UPSERT_LATEST = f"""SELECT {RECORD_COLS_SQL}
 FROM valid
 QUALIFY ROW_NUMBER() OVER (PARTITION BY unique_key ORDER BY msg_offset DESC) = 1"""
+UPSERT_SQL = with_ctes(MESSAGES_CTE, VALID_CTE) + UPSERT_LATEST
 
 _LAST = "QUALIFY ROW_NUMBER() OVER (PARTITION BY job_name ORDER BY run_seq DESC) = 1"
 LEDGER_CTE = f"""firsts AS (SELECT job_name, MIN(run_seq) AS first_start FROM runs WHERE status = 'running' GROUP BY job_name),
@@ -344,6 +369,7 @@ WHERE {PUBLISH_FILTER}""",
 FROM messages
 WHERE ({REASON}) IS NOT NULL""",
         "upsert_latest": UPSERT_SQL,
+        "upsert_bucketed": UPSERT_SQL,
         "stream_replay": UPSERT_SQL,
         "stream_offsets": with_ctes(MESSAGES_CTE, VALID_CTE)
         + f"""SELECT 'noise-complaints-postgres' AS consumer_name, 'noise-complaints' AS topic_name, partition_id,
@@ -358,17 +384,24 @@ ORDER BY consumer_name, partition_id""",
 FROM ledger""",
         "aggregate_ledger": with_ctes(RUNS_CTE, LEDGER_CTE) + "SELECT * EXCLUDE (rows_processed) FROM ledger ORDER BY job_name",
         "sync_upsert": with_ctes(EXTRACT_CTE)
-        + f"""SELECT unique_key, MIN(created_ts) AS created_date, 'socrata' AS source,
-  CAST(SUM(COUNT(*)) OVER () AS INTEGER) AS rows_processed
+        + f"""SELECT {_record_select(STRIP.format(c="complaint_type"), "'socrata'")},
+  CAST(COUNT(*) OVER () AS INTEGER) AS rows_processed
 FROM extract
 WHERE {PUBLISH_FILTER} AND complaint_type LIKE 'Noise%' AND created_ts >= TIMESTAMP '2024-01-11 00:00:00'
-GROUP BY unique_key""",
+QUALIFY ROW_NUMBER() OVER (PARTITION BY unique_key ORDER BY created_ts, closed_ts DESC NULLS LAST,
+  {STRIP.format(c="complaint_type")} DESC NULLS LAST, descriptor DESC NULLS LAST, lat DESC NULLS LAST, lon DESC NULLS LAST) = 1""",
         "rebuild_serve": with_ctes(COMPLAINTS_CTE, GRID_ROLLUPS_CTE, TIME_ROLLUPS_CTE)
         + """SELECT 'grid' AS store, CAST(zoom_level AS VARCHAR) AS level, COUNT(*) AS cells,
   CAST(SUM(complaint_count) AS BIGINT) AS complaints, 'success' AS last_status
 FROM grid_rollups GROUP BY zoom_level
 UNION ALL
 SELECT 'time', bucket_type, COUNT(*), CAST(SUM(complaint_count) AS BIGINT), 'success' FROM time_rollups GROUP BY bucket_type""",
+        "rollup_refresh": with_ctes(MESSAGES_CTE, VALID_CTE, f"complaints AS (\n{UPSERT_LATEST})", GRID_ROLLUPS_CTE, TIME_ROLLUPS_CTE)
+        + """SELECT 'grid' AS store, CAST(zoom_level AS VARCHAR) AS level, borough, complaint_type, lat_bucket, lon_bucket,
+  CAST(NULL AS TIMESTAMP) AS bucket_start, complaint_count, center_lat, center_lon, earliest_created_date, latest_created_date
+FROM grid_rollups
+UNION ALL
+SELECT 'time', bucket_type, borough, complaint_type, NULL, NULL, bucket_start, complaint_count, NULL, NULL, NULL, NULL FROM time_rollups""",
         "csv_snapshot": with_ctes(COMPLAINTS_CTE)
         + f"""SELECT {RECORD_LIST}
 FROM complaints

@@ -1,7 +1,7 @@
 """Batch jobs: the units a scheduler runs, composed from the operators.
 
-* ``rebuild_rollups``   canonical grid + time rollups, published by one pointer,
-                        recorded in the run ledger (started / success / failed);
+* ``rebuild_rollups``   canonical grid + time rollups from one scan, published by one
+                        pointer, recorded in the run ledger (started / success / failed);
 * ``scheduled_sync``    interval gate -> lookback extract -> strict
                         normalisation -> one upsert batch, rows counted in the
                         same pass (``observe``), recorded in the ledger;
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse import schema as S
-from gridpulse.functions import iso_timestamp, noise_rule, ntz_lit
+from gridpulse.functions import iso_timestamp, noise_rule, ntz_lit, place_code
 from gridpulse.operators import rollups as R
 from gridpulse.operators.ingest import normalize_sync
 from gridpulse.operators.ledger import RunLog, should_run
@@ -63,24 +63,60 @@ def rebuild_rollups(
 ) -> int:
     """Rebuild both rollups from the current view and publish them as one.
 
-    Both versions are written first; then one pointer row names them, so
-    readers see either both new ones or both old ones. On failure the ledger
-    records the error (cut to 1000 characters) and the error is raised again;
-    the previous version of both stays published. Both rollups scan
-    ``complaints``: run it right after ``ChangeLogTable.compact()`` so the
-    current view is a plain scan of the new base, not two base+tail merges.
-    Returns the version.
+    One scan and one shuffle of ``complaints`` give the state of both
+    (``rollup_state``), which is written first; grid and time rollup are then split
+    from what was written. One pointer row names all three, so readers see either
+    the new ones or the old ones, and jobs that rebuild at the same time each
+    publish a whole version of their own. On failure the ledger records the error
+    (cut to 1000 characters) and the error is raised again; the previous version
+    stays published. Returns the version.
     """
+    return run_log.run_for(REBUILD_JOB, lambda: publish_rollups(R.rollup_state(complaints), grid_store, time_store, as_of), clock=clock)
 
-    def body() -> None:
-        grid = R.grid_rollups(complaints, refreshed_at=as_of)
-        times = R.time_rollups(complaints, refreshed_at=as_of)
-        outputs = [(grid_store, grid, *GRID_LAYOUT), (time_store, times, *TIME_LAYOUT)]
-        versions.append(publish_together(outputs, published_at=as_of))
 
-    versions: list[int] = []
-    run_log.run(REBUILD_JOB, body, clock=clock)
-    return versions[0]
+def rollup_state_store(grid_store: VersionedStore) -> VersionedStore:
+    """The store of the mergeable form of both rollups, beside the grid store."""
+    root = grid_store.pointer_root
+    return VersionedStore(grid_store.spark, f"{root}/state", S.ROLLUP_STATE_SCHEMA, pointer_root=root)
+
+
+def publish_rollups(
+    state: DataFrame,
+    grid_store: VersionedStore,
+    time_store: VersionedStore,
+    as_of: _dt.datetime,
+    before_pointer: Callable[[int], None] | None = None,
+) -> int:
+    """Write the state, split grid and time rollup from what was written, and publish the three as one."""
+    states = rollup_state_store(grid_store)
+
+    def split_off(of: Callable[[DataFrame, _dt.datetime], DataFrame]) -> Callable[[int], DataFrame]:
+        return lambda version: of(states.spark.read.schema(S.ROLLUP_STATE_SCHEMA).parquet(states.version_path(version)), as_of)
+
+    outputs = [
+        (states, state, "kind", None),
+        (grid_store, split_off(R.grid_of_state), *GRID_LAYOUT),
+        (time_store, split_off(R.time_of_state), *TIME_LAYOUT),
+    ]
+    return publish_together(outputs, published_at=as_of, before_pointer=before_pointer)
+
+
+POINTS_LAYOUT = ("_period", "place_code", "created_date", "unique_key")
+
+
+def publish_points(complaints: DataFrame, store: VersionedStore, as_of: _dt.datetime, period: str = "month") -> int:
+    """Publish the complaints laid out for map boxes: by month (or ``year``, ``week``), in it by place code.
+
+    Files hold disjoint ranges of (period, code) and are sorted inside, so the code
+    intervals of a box skip files and row groups, and date bounds skip whole
+    periods. Rows without a place have no code and lie first in their period.
+    """
+    laid = complaints.withColumns({"place_code": place_code(), "_period": F.trunc(F.to_date("created_date"), period)})
+    version = store.claim_version()
+    ranged = laid.repartitionByRange(*POINTS_LAYOUT).sortWithinPartitions(*POINTS_LAYOUT)
+    store.write_version(ranged.drop("_period"), version)
+    store.point(version, as_of)
+    return version
 
 
 def extract_since(extract: DataFrame, as_of: _dt.datetime, days: int = S.LOOKBACK_DAYS) -> DataFrame:
@@ -122,13 +158,9 @@ def scheduled_sync(
         rows = normalize_sync(extract_since(extract, as_of, lookback_days))
         # Rows of an extract are upserted newest first, so of a repeated key the
         # OLDEST created_date is written last and stays (SURVEY, decided orders).
-        # Equal dates are ordered by a content hash, whatever the partitions.
-        newest_first = -1000 * F.timestamp_diff("MICROSECOND", ntz_lit(_dt.datetime(1970, 1, 1)), F.col("created_date"))
-        rows = rows.select(
-            "*",
-            F.col("created_date").alias("msg_ts"),
-            (newest_first + F.pmod(F.xxhash64(*S.RECORD_COLUMNS), F.lit(1000))).alias("msg_offset"),
-        )
+        # Of equal dates the greatest values stay, whatever the partitions.
+        newest_first = -F.timestamp_diff("MICROSECOND", ntz_lit(_dt.datetime(1970, 1, 1)), F.col("created_date"))
+        rows = rows.select("*", F.col("created_date").alias("msg_ts"), newest_first.alias("msg_offset"))
         if not table.append_batch(rows.observe(obs, F.count(F.lit(1)).alias("rows")), batch_id, ingested_at=as_of, writer=writer):
             return table.batch_rows(batch_id, writer)
         return int(obs.get["rows"])

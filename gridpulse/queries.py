@@ -22,6 +22,7 @@ from gridpulse.operators import ingest as I
 from gridpulse.operators import ledger as L
 from gridpulse.operators.upsert import ChangeLogTable, current_records, latest_by_key
 from gridpulse.plans import jobs as J
+from gridpulse.plans import refresh as U
 from gridpulse.plans import serving as V
 from gridpulse.session import scratch_path
 from gridpulse.sources import connectors as C
@@ -92,6 +93,26 @@ def q_points_bbox(spark, sf_dir):
     return V.points_page(_complaints(spark, sf_dir), BBOX_FILTER, limit=5000)
 
 
+DEEP_OFFSET, DEEP_LIMIT = 600, 200
+
+
+def q_points_deep(spark, sf_dir):
+    """A deep page, bracketed by counts, and the page behind its last row."""
+    complaints = _complaints(spark, sf_dir)
+    page = V.points_page(complaints, ComplaintFilter(), limit=DEEP_LIMIT, offset=DEEP_OFFSET, bracket_rows=50)
+    last = page.select("created_date", "unique_key").collect()[-1:]  # a client seeks with the last row it was sent
+    if not last:
+        return page
+    return page.unionByName(V.points_after(complaints, last[0]["created_date"], last[0]["unique_key"], limit=DEEP_LIMIT))
+
+
+def q_points_by_place(spark, sf_dir):
+    """The box of ``points_bbox`` from a table laid out by place codes."""
+    store = VersionedStore(spark, scratch_path(spark, "points"))
+    J.publish_points(_complaints(spark, sf_dir), store, AS_OF)
+    return V.points_page(store.read(), BBOX_FILTER, limit=5000)
+
+
 def q_points_finite(spark, sf_dir):
     """Some points of the page are NaN or infinite; the map can't place them."""
     k = F.col("unique_key").cast("long") % 10
@@ -240,6 +261,31 @@ def q_rebuild_serve(spark, sf_dir):
     return levels.withColumn("last_status", status.scalar())
 
 
+REFRESH_BATCHES = 3
+
+
+def q_rollup_refresh(spark, sf_dir):
+    """The messages arrive in ranges of offsets; the rollups are built after the first and then only
+    brought up to date, across a compaction. Both published rollups, whole."""
+    root = scratch_path(spark, "refresh")
+    table, runs = ChangeLogTable(spark, f"{root}/table"), L.RunLog(spark, f"{root}/runs")
+    grid, times = J.rollup_stores(spark, f"{root}/rollups")
+    changes = _valid_changes(spark, sf_dir)
+    ranges = X.ranges_of(changes, "msg_offset", REFRESH_BATCHES)
+    for k, batch in enumerate(ranges):
+        table.append_batch(batch, k, ingested_at=AS_OF, writer="replay")
+        if k == 1:
+            table.compact()
+        U.refresh_rollups(table, grid, times, runs, AS_OF)
+    cells = grid.read().select(
+        F.lit("grid").alias("store"), F.col("zoom_level").cast("string").alias("level"), "borough", "complaint_type", "lat_bucket", "lon_bucket",
+        F.lit(None).cast("timestamp_ntz").alias("bucket_start"), "complaint_count", "center_lat", "center_lon", "earliest_created_date", "latest_created_date",
+    )
+    buckets = times.read().withColumns({"store": F.lit("time"), "level": F.col("bucket_type")})
+    missing = [c for c in cells.columns if c not in buckets.columns]
+    return cells.unionByName(buckets.select(*[F.lit(None).cast(cells.schema[c].dataType).alias(c) if c in missing else c for c in cells.columns]))
+
+
 def q_csv_snapshot(spark, sf_dir):
     """The sized snapshot of the newest rows, written as one CSV file and read back."""
     path = scratch_path(spark, "csv-snapshot")
@@ -284,6 +330,20 @@ def q_upsert_latest(spark, sf_dir):
     return latest_by_key(changes, value_cols=S.RECORD_COLUMNS[1:]).select(*S.RECORD_COLUMNS)
 
 
+KEY_BUCKETS = 8
+
+
+def q_upsert_bucketed(spark, sf_dir):
+    """The messages in ranges of offsets, compacted after the first two into a base in buckets of the key; the
+    last range meets it there. The current view, as ``upsert_latest`` gives it from the changes alone."""
+    table = ChangeLogTable(spark, scratch_path(spark, "bucketed"), key_buckets=KEY_BUCKETS)
+    for k, batch in enumerate(X.ranges_of(_valid_changes(spark, sf_dir), "msg_offset", REFRESH_BATCHES)):
+        if k:
+            table.compact()
+        table.append_batch(batch, k, ingested_at=AS_OF, writer="replay")
+    return current_records(table.current_view())
+
+
 def q_stream_offsets(spark, sf_dir):
     return STR.partition_progress(_valid_changes(spark, sf_dir), updated_at=AS_OF).orderBy("consumer_name", "partition_id")
 
@@ -311,8 +371,7 @@ def q_stream_replay(spark, sf_dir):
 def q_sync_upsert(spark, sf_dir):
     """The scheduled sync as a whole: gate, lookback extract, strict parse, one upsert
     batch, row count and ledger; then a compaction and a retried batch, which change
-    nothing. Of rows with equal key and date which one stays is not defined, so
-    only what they share is returned, with the run's recorded row count."""
+    nothing. The rows that stay, with the run's recorded row count."""
     root = scratch_path(spark, "sync")
     table, runs = ChangeLogTable(spark, f"{root}/table"), L.RunLog(spark, f"{root}/runs")
     extract = _extract(spark, sf_dir)
@@ -320,7 +379,7 @@ def q_sync_upsert(spark, sf_dir):
     table.compact()
     J.scheduled_sync(extract, table, runs, AS_OF, batch_id=0, interval_days=0, lookback_days=SYNC_LOOKBACK, clock=lambda: AS_OF)
     counted = runs.ledger().where(F.col("job_name") == J.SYNC_JOB).select("rows_processed")
-    return current_records(table.current_view()).select("unique_key", "created_date", "source", counted.scalar().alias("rows_processed"))
+    return current_records(table.current_view()).select("*", counted.scalar().alias("rows_processed"))
 
 
 # wide enough that the fixtures' extract repeats keys
@@ -361,6 +420,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "points_page": q_points_page,
     "points_filtered": q_points_filtered,
     "points_bbox": q_points_bbox,
+    "points_deep": q_points_deep,
+    "points_by_place": q_points_by_place,
     "points_finite": q_points_finite,
     "noise_rules": q_noise_rules,
     "grid_rollups": q_grid_rollups,
@@ -386,6 +447,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_rejects": q_stream_rejects,
     "message_encode": q_message_encode,
     "upsert_latest": q_upsert_latest,
+    "upsert_bucketed": q_upsert_bucketed,
     "stream_replay": q_stream_replay,
     "csv_stream_publish": q_csv_stream_publish,
     "stream_offsets": q_stream_offsets,
@@ -393,6 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "due_jobs": q_due_jobs,
     "sync_upsert": q_sync_upsert,
     "rebuild_serve": q_rebuild_serve,
+    "rollup_refresh": q_rollup_refresh,
     "csv_snapshot": q_csv_snapshot,
     "aggregate_ledger": q_aggregate_ledger,
 }

@@ -121,6 +121,24 @@ GRID_ROLLUP_SCHEMA = T.StructType(
     ]
 )
 
+# The mergeable form of both rollups: group keys, count, exact sums of the coordinates, date range.
+ROLLUP_STATE_SCHEMA = T.StructType(
+    [
+        T.StructField("kind", STR, False),
+        *[T.StructField(f.name, f.dataType, True) for f in GRID_ROLLUP_SCHEMA.fields[:6]],
+        T.StructField("bucket_type", STR, True),
+        T.StructField("bucket_start", NTZ, True),
+        T.StructField("complaint_count", T.LongType(), False),
+        *[
+            T.StructField(f"{c}_{part}", DBL if part == "odd" else T.LongType(), True)
+            for c in ("lat", "lon")
+            for part in ("hi", "mid", "lo", "odd")
+        ],
+        T.StructField("earliest_created_date", NTZ, True),
+        T.StructField("latest_created_date", NTZ, True),
+    ]
+)
+
 TIME_ROLLUP_SCHEMA = T.StructType(
     [
         T.StructField("bucket_type", STR, False),

@@ -2,8 +2,8 @@
 
 The reference ships no data; these derive complaint-shaped inputs from
 ``events`` row by row (every event row becomes one record; nothing is
-sampled or dropped here). Coordinates are multiples of 1/8192 so sums,
-and therefore averages, are exact in any summation order.
+sampled or dropped here). Coordinates are ordinary decimals such as 40.4774321,
+whose sums as doubles would depend on their order; some lie on cell edges.
 """
 
 from __future__ import annotations
@@ -52,8 +52,11 @@ def _borough(user_id: Column) -> Column:
 def complaints_from_events(events: DataFrame, as_of: _dt.datetime = S.FIXTURE_AS_OF) -> DataFrame:
     """Typed complaint records (the current-view table shape)."""
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
-    lat = (F.lit(331591) + (eid * 7919) % 820).cast("double") / F.lit(8192.0)
-    lon = (F.lit(-608330) + (uid * 6421 + eid * 31) % 820).cast("double") / F.lit(8192.0)
+    lat = (F.lit(404774321) + (eid * 7919) % 820 * 1221).cast("double") / F.lit(1e7)
+    lon = (F.lit(-742590123) + (uid * 6421 + eid * 31) % 820 * 1221).cast("double") / F.lit(1e7)
+    # on the edges of the cells of 0.01 degrees
+    lat = F.when(eid % 83 == 0, (F.lit(4048) + eid % 10).cast("double") / F.lit(100.0)).otherwise(lat)
+    lon = F.when(eid % 79 == 0, (F.lit(-7425) + eid % 10).cast("double") / F.lit(100.0)).otherwise(lon)
     return events.select(
         eid.cast("string").alias("unique_key"),
         F.when(eid % 101 == 0, _null("timestamp_ntz")).otherwise(ts).alias("created_date"),
@@ -245,13 +248,18 @@ def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def offset_ranges(envelopes: DataFrame, n: int) -> list[DataFrame]:
-    """Envelopes in ``n`` consecutive offset ranges (some may be empty)."""
-    lo, hi = envelopes.agg(F.min("offset"), F.max("offset")).first()
+def ranges_of(rows: DataFrame, column: str, n: int) -> list[DataFrame]:
+    """Rows in ``n`` consecutive ranges of a whole-number column (some may be empty)."""
+    lo, hi = rows.agg(F.min(column), F.max(column)).first()
     if lo is None:
         return []
     width = (hi - lo) // n + 1
-    return [envelopes.where((F.col("offset") >= lo + k * width) & (F.col("offset") < lo + (k + 1) * width)) for k in range(n)]
+    return [rows.where((F.col(column) >= lo + k * width) & (F.col(column) < lo + (k + 1) * width)) for k in range(n)]
+
+
+def offset_ranges(envelopes: DataFrame, n: int) -> list[DataFrame]:
+    """Envelopes in ``n`` consecutive offset ranges."""
+    return ranges_of(envelopes, "offset", n)
 
 
 def land_range(envelopes: DataFrame, path: str, k: int) -> None:

@@ -1,0 +1,154 @@
+"""Deep pages against plain slices, and boxes on a table laid out by place."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridpulse import schema as S
+from gridpulse.functions import morton, place_code, place_predicate
+from gridpulse.operators.filters import ComplaintFilter
+from gridpulse.plans import jobs as J
+from gridpulse.plans import serving as V
+from gridpulse.plans.paging import behind, rank_bracket
+from gridpulse.sources import fixtures as X
+from gridpulse.sources.store import VersionedStore
+from helpers import BASE_TS, complaint, complaints_df
+
+SF = "/root/testdata/sf0.001"
+
+
+def _in_order(rows):
+    """created_date descending, NULLs first; then the key in UTF-8."""
+    micros = lambda d: (d - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    return sorted(rows, key=lambda r: (r[0] is not None, -micros(r[0]) if r[0] else 0, r[1].encode()))
+
+
+def _mixed(rng, n):
+    rows = []
+    for i in range(n):
+        when = rng.choice([None, BASE_TS, BASE_TS + dt.timedelta(microseconds=rng.randrange(3)), dt.datetime(rng.randint(1, 9999), 12, 31, 23, 59, 59, 999999),
+                           BASE_TS - dt.timedelta(days=rng.randrange(900), seconds=rng.randrange(86400))])
+        rows.append((when, rng.choice(["", "a", "é", "k", "k😀"]) + str(i)))
+    return rows
+
+
+@pytest.mark.parametrize("bound", [1, 7, 60])
+def test_brackets_hold_the_wanted_row(spark, bound):
+    rows = _mixed(random.Random(bound), 400)
+    df = spark.createDataFrame(rows, "created_date timestamp_ntz, unique_key string")
+    ordered = _in_order(rows)
+    for offset in (0, 1, 37, 111, 250, 398, 399, 400, 5000):
+        keep, rest = rank_bracket(df, offset, bound)
+        kept = _in_order([tuple(r) for r in df.where(keep).collect()])
+        assert kept[rest:] == ordered[offset:], offset
+        assert rest < bound or not kept
+
+
+def test_many_rows_of_one_time_and_key(spark):
+    rows = [(BASE_TS, "same")] * 90 + [(BASE_TS, "other")] * 3 + [(None, "same")] * 40
+    df = spark.createDataFrame(rows, "created_date timestamp_ntz, unique_key string")
+    ordered = _in_order(rows)
+    for offset in (0, 39, 40, 43, 100, 132):
+        keep, rest = rank_bracket(df, offset, 5)
+        assert _in_order([tuple(r) for r in df.where(keep).collect()])[rest:] == ordered[offset:]
+
+
+def test_page_at_a_million(spark):
+    """Rows in the final order stay bounded: bracket plus page."""
+    n = 1_100_000
+    c = spark.range(n).select(
+        F.format_string("%07d", F.col("id") * 7919 % n).alias("unique_key"),
+        F.timestamp_add("SECOND", F.floor(F.col("id") / 3).cast("int"), F.lit("2020-01-01").cast("timestamp_ntz")).alias("created_date"),
+        F.lit(40.7).alias("latitude"), F.lit(-73.9).alias("longitude"),
+        *[F.lit(None).cast("string").alias(x) for x in S.BUSINESS_COLUMNS if x not in ("unique_key", "created_date", "closed_date", "latitude", "longitude")],
+        F.lit(None).cast("timestamp_ntz").alias("closed_date"),
+    )
+    page = V.points_page(c, limit=50, offset=1_000_000, bracket_rows=2_000)
+    plan = page._jdf.queryExecution().optimizedPlan().toString()
+    limits = [int(line.split("Limit ")[1].split()[0].strip("()")) for line in plan.splitlines() if "Limit " in line]
+    offsets = [int(line.split("Offset ")[1].split()[0].strip("()")) for line in plan.splitlines() if "Offset " in line]
+    assert max(limits + offsets) <= 2_050, plan
+    keys = sorted(((-(i // 3), f"{i * 7919 % n:07d}") for i in range(n)))[1_000_000:1_000_050]
+    assert [r.unique_key for r in page.collect()] == [k for _, k in keys]
+
+
+def test_pages_by_seeking_equal_pages_by_offset(spark):
+    c = X.complaints_table(spark, SF)
+    flt, seen, last = ComplaintFilter(borough="queens"), [], None
+    for k in range(4):
+        page = (V.points_page(c, flt, limit=30) if k == 0 else V.points_after(c, *last, flt, limit=30)).collect()
+        assert page == V.points_page(c, flt, limit=30, offset=30 * k, bracket_rows=10).collect()
+        seen += page
+        last = (page[-1].created_date, page[-1].unique_key)
+    assert len({r.unique_key for r in seen}) == len(seen) == 120
+    assert c.where(behind(None, "")).count() == c.count()
+
+
+# --- place codes -----------------------------------------------------------------
+
+
+def test_codes_interleave_the_cells(spark):
+    pts = [(40.7, -73.9), (0.0, 0.0), (-90.0, -180.0), (90.0, 180.0), (1000.0, -1000.0), (float("nan"), 0.0), (float("inf"), float("-inf")), (None, 1.0), (1.0, None)]
+    got = [r[0] for r in spark.createDataFrame(pts, "latitude double, longitude double").select(place_code()).collect()]
+    top = (1 << morton.BITS) - 1
+    want = [morton._interleaved(morton._cell(a, 0), morton._cell(b, 1)) for a, b in pts[:5]]
+    assert got[:5] == want and got[5] == morton._interleaved(top, morton._cell(0.0, 1))
+    assert got[6] == morton._interleaved(top, 0) and got[7:] == [None, None]
+
+
+@pytest.mark.parametrize("most", [4, 32])
+def test_intervals_hold_every_point_of_the_box(most):
+    rng = random.Random(most)
+    for _ in range(60):
+        s, w = rng.uniform(-90, 89), rng.uniform(-180, 179)
+        box = (s, s + rng.choice([0, 0.01, 0.4, 20]), w, w + rng.choice([0, 0.02, 0.5, 40]))
+        spans = morton.box_intervals(box, most)
+        assert 0 < len(spans) <= most and all(a <= b for a, b in spans) and all(x[1] + 1 < y[0] for x, y in zip(spans, spans[1:], strict=False))
+        for _ in range(50):
+            code = morton._interleaved(morton._cell(rng.uniform(*box[:2]), 0), morton._cell(rng.uniform(*box[2:]), 1))
+            assert any(a <= code <= b for a, b in spans)
+    assert morton.box_intervals((2, 1, 0, 1)) == []
+    assert sum(b - a + 1 for a, b in morton.box_intervals((40.0, 41.0, -74.0, -73.0), 64)) < 3 * 364 * 182
+
+
+def test_open_and_odd_boxes_lose_no_row(spark):
+    nan, inf = float("nan"), float("inf")
+    c = complaints_df(spark, [complaint(i, lat=a, lon=b) for i, (a, b) in enumerate(
+        [(40.7, -73.9), (nan, -73.9), (inf, 0.0), (95.0, 200.0), (-95.0, -200.0), (None, 1.0), (0.0, nan)])])
+    laid = c.withColumn("place_code", place_code())
+    for bounds in ({"min_lat": 40.0}, {"max_lat": 41.0}, {"min_lon": -74.0}, {"max_lon": 0.0}, {"min_lat": 94.0, "max_lon": 201.0}, {"min_lat": 41.0, "max_lat": 40.0}, {"min_lat": 0}):
+        flt = ComplaintFilter(**bounds)
+        keys = lambda df: sorted(r.unique_key for r in V.points_page(df, flt).collect())  # noqa: E731, B023
+        assert keys(laid) == keys(c), bounds
+
+
+def test_intervals_are_pushed_and_skip_files(spark, scratch):
+    store = VersionedStore(spark, scratch("by-place"))
+    rng = random.Random(9)
+    rows = [complaint(i, lat=rng.uniform(40, 41), lon=rng.uniform(-74, -73), created=BASE_TS + dt.timedelta(days=rng.randrange(60))) for i in range(3000)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        J.publish_points(complaints_df(spark, rows), store, BASE_TS)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    flt = ComplaintFilter(min_lat=40.2, max_lat=40.3, min_lon=-73.6, max_lon=-73.5)
+    box = (40.2, 40.3, -73.6, -73.5)
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = V.points_page(store.read(), flt, prune=False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    pushed = plan.split("PushedFilters: [")[1]
+    assert "GreaterThanOrEqual(place_code," in pushed and "LessThanOrEqual(place_code," in pushed
+    files = store.read().withColumn("f", F.input_file_name()).groupBy("f").agg(F.min("place_code").alias("a"), F.max("place_code").alias("b")).collect()
+    met = [f for f in files if any(x <= f.b and f.a <= y for x, y in morton.box_intervals(box))]
+    assert len(files) >= 20 and len(met) <= len(files) // 3
+    want = {r["unique_key"] for r in rows if 40.2 <= r["latitude"] <= 40.3 and -73.6 <= r["longitude"] <= -73.5}
+    assert {r.unique_key for r in V.points_page(store.read(), flt).collect()} == want
+    assert store.read().where(place_predicate(*box)).count() >= len(want)

@@ -6,8 +6,9 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from gridpulse.queries import QUERIES
+from gridpulse.queries import QUERIES, SUMMARY_QUERY, _stored_rollups
 from gridpulse.operators import rollups as R
+from gridpulse.plans import serving as V
 from gridpulse.sources import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -39,12 +40,13 @@ def test_time_rollup_one_scan_one_shuffle(spark):
 
 def test_upsert_pre_aggregates_hot_keys(spark):
     p = plan(QUERIES["upsert_latest"](spark, SF))
-    assert "partial_max_by" in p
+    assert "partial_max(struct(" in p
     assert "Window" not in p
 
 
 def test_published_rollup_read_prunes_partitions(spark):
-    p = plan(QUERIES["grid_summary"](spark, SF))
+    store = _stored_rollups(spark, SF)[0]
+    p = plan(V.grid_summary(store.resolver(), X.complaints_table(spark, SF), SUMMARY_QUERY, checked=False))
     assert "PartitionFilters: [isnotnull(zoom_level" in p and "(zoom_level#" in p
     assert "EqualTo(borough,BROOKLYN)" in p
 

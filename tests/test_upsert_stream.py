@@ -7,7 +7,7 @@ from gridpulse.operators import ingest as I
 from gridpulse.operators.upsert import ChangeLogTable, current_records, latest_by_key
 from gridpulse.sources import fixtures as X
 from gridpulse.streaming import ingest as STR
-from helpers import message, messages_df
+from helpers import complaint, complaints_df, message, messages_df
 
 SF = "/root/testdata/sf0.001"
 
@@ -217,3 +217,46 @@ def test_offsets_without_commits_have_the_progress_columns(spark, scratch):
         "consumer_name", "topic_name", "partition_id", "last_offset", "last_created_date", "last_message_at", "updated_at",
     ]
     assert sink.offsets().count() == 0
+
+
+# --- a base in buckets of the key ----------------------------------------------
+
+
+def _keyed(spark, keys, **extra):
+    return complaints_df(spark, [complaint(k, **extra) for k in keys]).drop("ingested_at")
+
+
+def test_bucketed_base_meets_the_tail_without_a_shuffle_of_its_own(spark, scratch):
+    table = ChangeLogTable(spark, scratch("bucketed"), key_buckets=6)
+    table.append_batch(_keyed(spark, range(200)), 0)
+    assert table.compact() == 1
+    table.append_batch(_keyed(spark, range(150, 260), borough=None), 1)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = table.current_view()._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    join = plan.index("SortMergeJoin")
+    left, right = plan[join:].split("Exchange hashpartitioning(unique_key", 1)  # the base comes first, the tail is dealt to its buckets
+    assert "Exchange" not in left and "Bucketed: true" in left and "SelectedBucketsCount: 6 out of 6" in left
+    assert right.startswith("#") and ", 6)" in right.splitlines()[0]
+    rows = {r.unique_key: r.borough for r in table.current_view().collect()}
+    assert rows == {str(k): None if k >= 150 else "QUEENS" for k in range(260)}
+
+
+def test_bucketed_base_equals_the_date_layout_over_batches(spark, scratch):
+    by_key, by_date = ChangeLogTable(spark, scratch("by-key"), key_buckets=3), ChangeLogTable(spark, scratch("by-date"))
+    for k in range(4):
+        batch = _keyed(spark, range(10 * k, 10 * k + 25), ctype=f"Noise {k}")
+        for table in (by_key, by_date):
+            table.append_batch(batch, k)
+            if k % 2:
+                table.compact()
+    got, want = (sorted(map(str, current_records(t.current_view()).collect())) for t in (by_key, by_date))
+    assert got == want
+    files = by_key.base.read().inputFiles()
+    assert len(files) <= 3
+    # another session knows nothing of the table and registers it from its files
+    spark.sql(f"DROP TABLE {by_key.base._table(by_key.base.latest()[0])}")
+    assert ChangeLogTable(spark, by_key.root, key_buckets=3).current_view().count() == 55
