@@ -1,6 +1,7 @@
 import gc
 import random
 import re
+import time
 import weakref
 
 import numpy as np
@@ -91,3 +92,72 @@ def test_empty_tables(spark):
     assert len(got) == 9 and not any(r["matches"] for r in got)
     assert decontam.matches(docs(spark, []), none).count() == 0
     assert decontam.without_matches(docs(spark, edge_rows("x")), none).count() == 9
+
+
+def longest_matches(text, items):
+    """For each place of a window, the longest match that begins there; those that aren't the rest of the one before."""
+    w, rows = words(text), [words(t) for _, t in items]
+    best = []
+    for p in range(len(w)):
+        n = 0
+        for x in rows:
+            for q in range(len(x)):
+                k = 0
+                while p + k < len(w) and q + k < len(x) and w[p + k] == x[q + k]:
+                    k += 1
+                n = max(n, k)
+        best.append(n if n >= 10 else 0)
+    return {(p, n) for p, n in enumerate(best) if n and (p == 0 or best[p - 1] == 0 or n >= best[p - 1])}
+
+
+def test_longest_matches_equal_brute_force():
+    rng = random.Random(8)
+    for trial in range(12):
+        vocabulary = ["a", "b"] if trial % 2 else ["a", "b", "c", "d"]
+        items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([12, 20, 40])))) for i in range(5)]
+        texts = []
+        for _ in range(4):
+            parts = []
+            for _ in range(4):
+                t = words(rng.choice(items)[1])
+                a = rng.randrange(len(t))
+                parts += [*t[a : a + rng.randint(1, 30)], *rng.choices([*vocabulary, "x"], k=rng.randint(0, 3))]
+            texts.append(" ".join(parts))
+        block = decontam.make_block([i for i, _ in items], [t.encode() for _, t in items])
+        _, found = decontam.search([t.encode() for t in texts], block)
+        for text, matches in zip(texts, found, strict=True):
+            w = words(text)
+            for i, p, q, n in matches:
+                assert w[p : p + n] == words(items[i][1])[q : q + n]
+            want = longest_matches(text, items)
+            assert want <= {(p, n) for _, p, _, n in matches}
+            assert {i for i, *_ in matches} == brute(text, items)[2]
+            assert len(matches) <= len(want) + len(items)
+
+
+def test_one_word_very_often_against_long_items():
+    items = [(i, "word " * 1000) for i in range(3)]
+    block = decontam.make_block([i for i, _ in items], [t.encode() for _, t in items])
+    began = time.process_time()
+    count, found = decontam.search([b"word " * 200_000], block)
+    assert time.process_time() - began < 6 and count[0] == 200_000
+    assert {m[0] for m in found[0]} == {0, 1, 2} and max(m[3] for m in found[0]) == 1000
+
+
+def test_a_passage_of_all_items_costs_its_items_once():
+    passage = " ".join(f"p{i}" for i in range(200))
+    items = [(i, f"{passage} own{i} text{i}") for i in range(500)]
+    block = decontam.make_block([i for i, _ in items], [t.encode() for _, t in items])
+    _, found = decontam.search([passage.encode()] * 20, block)
+    assert all({m[0] for m in f} == set(range(500)) and len(f) <= 501 for f in found)
+
+
+def test_words_of_equal_hashes_are_told_apart(monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(12))
+    other = passage.replace("w5", "q5")
+    real = decontam.Words.hashes
+    # the hash of q5 is that of w5
+    monkeypatch.setattr(decontam.Words, "hashes", lambda self: np.array([int.from_bytes(self.join(i, i + 1).replace(b"q", b"w"), "big") for i in range(len(self.start))], dtype=np.uint64))
+    block = decontam.make_block([1], [passage.encode()])
+    _, found = decontam.search([passage.encode(), other.encode(), (other + " " + passage).encode()], block)
+    assert [[m[1:] for m in f] for f in found] == [[(0, 0, 12)], [], [(12, 0, 12)]] and real
