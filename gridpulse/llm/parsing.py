@@ -13,13 +13,14 @@ coarsest that has enough phrases and the two below it.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import BASE, BASE_INVERSE, CHUNK_BYTES, as_bytes, mixed, powers, shared, sliced, text_or_empty
+from gridpulse.llm.common import BASE, BASE_INVERSE, CHUNK_BYTES, as_bytes, drop, mixed, powers, shared, sliced, text_or_empty, written
 
 #: a level is fine enough with so many phrases; a sketch keeps so many of the least
 #: names of the two highest levels, and fewer of the third
@@ -148,8 +149,40 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 # each document beside the next one
 # ---------------------------------------------------------------------------
 
-RANGE_BYTES = 1 << 20
-MAX_RANGES = 10_000
+#: text that one range holds; with more text than MAX_RANGES such ranges, ranges grow so that their bounds stay broadcast
+RANGE_BYTES = 16 << 20
+MAX_RANGES = 1 << 20
+#: characters by which texts of one id are ordered, before their SHA-256
+HEAD = 64
+KEY = ["doc_id", "head", "digest"]
+
+
+def _with_key(rows: DataFrame) -> DataFrame:
+    """Adds what orders texts of one id: the text's head and its SHA-256."""
+    return rows.withColumns({"head": F.substring("text", 1, HEAD), "digest": F.unhex(F.sha2("text", 256))})
+
+
+def _first_of_ranges(rows: DataFrame) -> pa.Table:
+    """The key of the first row of each range, in order: ranges hold about equal bytes of text."""
+    keys, path = written(_with_key(rows).select(*KEY, F.octet_length("text").alias("size")), "parsing-keys")
+    total, n = keys.agg(F.sum("size"), F.count(F.lit(1))).first()
+    if not n:
+        return keys.select(*KEY).limit(0).toArrow()
+    width = max(RANGE_BYTES, total // MAX_RANGES, 1)
+    spread = keys.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("at", F.monotonically_increasing_id())
+    spread, spread_path = written(spread, "parsing-order")
+    spread = spread.withColumn("part", F.shiftright("at", 33))
+    part = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition: where its bytes begin
+    sizes = spread.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect()
+    begins = np.cumsum([0, *(r["size"] for r in sizes)])[:-1]
+    starts = rows.sparkSession.createDataFrame([(r["part"], int(b)) for r, b in zip(sizes, begins, strict=True)], "part long, begin long")
+    placed = spread.join(starts, "part").withColumn("before", F.col("begin") + F.coalesce(F.sum("size").over(part), F.lit(0)))
+    firsts = placed.groupBy(F.expr(f"before div {width}").alias("range")).agg(F.min(F.struct(*KEY)).alias("k"))
+    cuts = firsts.select("k.*").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "head", "digest").toArrow()
+    for p in (path, spread_path):
+        drop(rows.sparkSession, p)
+    return cuts
 
 
 def in_order(docs: DataFrame, use, schema: str) -> DataFrame:
@@ -157,59 +190,61 @@ def in_order(docs: DataFrame, use, schema: str) -> DataFrame:
 
     ``use`` gets, for each run of neighbouring rows, [(doc_id, text), ...] whose
     last row belongs to the next run; the row after the last is the first again.
-    Null ids come first; equal ids are ordered by their texts. Texts are dealt
-    once, to ranges cut at ids of the table; the first rows of a range go to the
-    range before it as well. Tasks hold about CHUNK_BYTES of text.
+    Null ids come first; equal ids are ordered by the first 64 characters of their
+    texts and then by their SHA-256. Ranges hold about equal bytes: their bounds
+    come from the sizes of all rows, so that many rows of one id, or without an id,
+    are split as well; only rows equal in id and text stay together, and stream.
+    Texts are dealt once; the first row of a range goes to the range before it as
+    well. Tasks hold about CHUNK_BYTES of text.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    total = docs.agg(F.sum(F.octet_length(text_or_empty())), F.min("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    if total[1] is None and not total[2]:
+    cuts = _first_of_ranges(rows)
+    if not len(cuts):
         return rows.limit(0).mapInArrow(lambda batches: iter(()), schema)
-    n = min(MAX_RANGES, max(1, (total[0] or 0) // RANGE_BYTES))
-    cuts: list[int] = []
-    if n > 1 and total[1] is not None:
-        shares = F.array(*[F.lit(i / n) for i in range(1, n)])
-        cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 10 * n)).first()[0]) - {total[1]})
-    held = shared(docs.sparkSession, (cuts, None if total[2] else total[1]))
+    keys = list(zip(*(cuts.column(c).to_pylist() for c in KEY), strict=True))
+    edges = [(i, head.encode(), bytes(digest)) for i, head, digest in keys[1:]]
+    n_null = sum(i is None for i, *_ in edges)
+    held = shared(spark, (n_null, np.array([i for i, *_ in edges[n_null:]], dtype=np.int64), [e[1:] for e in edges]))
 
     def deal(batches):
-        cuts, least = held()
-        edges = np.array(cuts, dtype=np.int64)
+        n_null, ids, rest = held()
         for batch in batches:
-            ids = batch.column("doc_id")
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            value = ids.fill_null(-(1 << 63)).to_numpy()
-            part = np.where(known, np.searchsorted(edges, value, side="right"), 0)
-            yield with_part(batch, part, False)
-            first = np.isin(value, edges) & known  # the first rows of their range
-            opens = (~known) if least is None else (known & (value == least))
-            for mask, where in ((first, part - 1), (opens, np.full(len(part), len(edges)))):
-                if mask.any():
-                    yield with_part(batch.filter(pa.array(mask)), where[mask], True)
-
-    def with_part(batch, part, guard):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.int32()), pa.array(np.full(len(part), guard)), *batch.columns], names=["part", "guard", "doc_id", "text"]
-        )
+            of = batch.column("doc_id")
+            known = of.is_valid().to_numpy(zero_copy_only=False)
+            value = of.fill_null(0).to_numpy()
+            low = np.where(known, n_null + np.searchsorted(ids, value, side="left"), 0)
+            high = np.where(known, n_null + np.searchsorted(ids, value, side="right"), n_null)
+            part = high.copy()
+            heads, digests = batch.column("head"), batch.column("digest")
+            for i in np.flatnonzero(high > low).tolist():  # ids at which a range begins: the texts decide
+                part[i] = bisect_right(rest, (heads[i].as_py().encode(), digests[i].as_py()), int(low[i]), int(high[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], names=["part", *batch.schema.names])
 
     def run(batches):
-        pending, size, part, over = [], 0, None, False
+        pending, size, part = [], 0, None
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("part", "guard", "doc_id", "text")]
             for p, guard, i, text in zip(*columns, strict=True):
                 if p != part:
-                    pending, size, part, over = [], 0, p, False
-                if over:
-                    continue  # further rows of the guard's id
+                    pending, size, part = [], 0, p
                 pending.append((i, text))
                 size += len(text)
                 if guard or size >= CHUNK_BYTES:
                     if len(pending) > 1:
                         yield from use(pending)
-                    pending, size, over = pending[-1:], 0, guard
-
-    dealt = rows.mapInArrow(deal, "part int, guard boolean, doc_id long, text string").repartition("part")
-    return dealt.sortWithinPartitions("part", "guard", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, schema)
+                    pending, size = pending[-1:], 0
+
+    dealt = _with_key(rows).mapInArrow(deal, "part int, doc_id long, text string, head string, digest binary")
+    # each range's first row, once more for the range before it
+    first = spark.createDataFrame([(i, (k - 1) % len(keys), h, bytes(d)) for k, (i, h, d) in enumerate(keys)], "f_id long, part int, f_head string, f_digest binary")
+    near = rows.join(F.broadcast(first.select("f_id").distinct()), F.col("doc_id").eqNullSafe(F.col("f_id")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("head") == F.col("f_head")) & (F.col("digest") == F.col("f_digest"))
+    guards = _with_key(near).join(F.broadcast(first), same).groupBy("part", *KEY).agg(F.first("text").alias("text"))
+    names = ["part", "guard", "doc_id", "text", "head", "digest"]
+    both = dealt.withColumn("guard", F.lit(False)).select(names).unionByName(guards.withColumn("guard", F.lit(True)).select(names))
+    laid = both.repartition("part").sortWithinPartitions("part", "guard", F.col("doc_id").asc_nulls_first(), "head", "digest")
+    return laid.select("part", "guard", "doc_id", "text").mapInArrow(run, schema)
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
