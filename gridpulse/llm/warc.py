@@ -2,13 +2,14 @@
 
 Pages are written as gzip-per-record WARC files; equal payloads are stored once
 and revisited by the others. Each archive, read back, gives a locally sorted run
-of captures. The runs are dealt out by ranges of (url key, timestamp, id), and
-each range merges its k run segments with a loser tree: partition after
-partition, the result is globally ordered.
+of captures. The runs are dealt out by ranges of (url key, timestamp, id, place in
+the archives), and each range merges its k run segments with a loser tree:
+partition after partition, the result is globally ordered.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import uuid
 import zlib
@@ -24,7 +25,12 @@ from gridpulse.session import scratch_path
 #: an archive is closed beyond either
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 32 << 20, 50_000
 RANGE_ROWS = 20_000
-ORDER = ["url_key", "captured", "page_id"]
+#: captures that agree in key, time and id follow one another as they lie in the archives
+ORDER = ["url_key", "captured", "page_id", "run", "record_offset"]
+#: where archives can be written: what Arrow's file systems reach from every task
+SCHEMES = ("file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss")
+_EPOCH, _LAST = dt.datetime(1970, 1, 1), 253_402_300_799  # 9999-12-31T23:59:59Z
+_FIRST = -62_135_596_800  # 0001-01-01T00:00:00Z
 CAPTURE = (
     "run string, url_key string, captured long, page_id long, url string, record_type string, refers_to long, "
     "payload_digest string, payload_bytes long, record_offset long, record_bytes long"
@@ -50,6 +56,11 @@ def _plain_text(value: str) -> str:
     return "".join([*out, rest])
 
 
+def _date(seconds: int) -> str:
+    """A capture time as the format wants it; one outside of the years 1 to 9999 is moved to their end."""
+    return (_EPOCH + dt.timedelta(seconds=min(max(seconds, _FIRST), _LAST))).isoformat() + "Z"
+
+
 def record(page_id, url, captured, payload: bytes, digest: str, size: int, refers_to, revisit: bool) -> bytes:
     """One WARC record. A revisit holds the HTTP head alone; its Content-Length is the full payload's."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -57,13 +68,19 @@ def record(page_id, url, captured, payload: bytes, digest: str, size: int, refer
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_header_text(url)}")
-    head += [f"WARC-Date: {captured}", f"WARC-Payload-Digest: sha1:{digest}"]
+    # the exact seconds in a field of our own, as dates end with the year 9999
+    head += [f"WARC-Date: {_date(captured)}", f"Capture-Seconds: {captured}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _seconds(date: str) -> int:
+    """The seconds of a WARC-Date, which may have fractions (cut)."""
+    return int((dt.datetime.fromisoformat(date.removesuffix("Z")[:19]) - _EPOCH).total_seconds())
+
+
 def _id(urn: str):
     number = urn.strip("<>").rpartition(":")[2]
     return int(number) if number else None
@@ -83,7 +100,7 @@ def parse(data: bytes) -> dict:
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
     url = fields.get("WARC-Target-URI")
     return {
-        "captured": int(fields["WARC-Date"]),
+        "captured": int(fields["Capture-Seconds"]) if "Capture-Seconds" in fields else _seconds(fields["WARC-Date"]),
         "page_id": _id(fields["WARC-Record-ID"]),
         "url": None if url is None else _plain_text(url),
         "record_type": kind,
@@ -149,8 +166,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000) -> Data
     """Writes the archives; returns their manifest (path, records, bytes), a written table.
 
     A task that is run again writes files of new names; only those of the task
-    that counted are in the manifest.
+    that counted are in the manifest. The folder is written by the tasks through
+    Arrow's file systems, which know the schemes of ``SCHEMES`` with the settings
+    of the machines; another scheme is refused before any work.
     """
+    scheme = folder.partition("://")[0] if "://" in folder else "file" if folder.startswith(("/", "file:")) else ""
+    if scheme not in SCHEMES:
+        raise ValueError(f"archives can be written to {', '.join(SCHEMES)}; got {folder}")
 
     def run(batches):
         store, root = pafs.FileSystem.from_uri(folder)
@@ -210,7 +232,7 @@ CAPTURE_ARROW = pa.schema(
 
 def _order(row: dict):
     """Null ids first, as Spark sorts."""
-    return row["url_key"].encode(), row["captured"], row["page_id"] is not None, row["page_id"] or 0
+    return row["url_key"].encode(), row["captured"], row["page_id"] is not None, row["page_id"] or 0, row["run"].encode(), row["record_offset"]
 
 
 # ---------------------------------------------------------------------------
@@ -257,19 +279,19 @@ def loser_tree(runs: list[list], key):
 def merge_runs(captures: DataFrame, rows: int) -> DataFrame:
     """Captures of all runs in global order: ranges of about RANGE_ROWS rows, merged by loser tree.
 
-    A url key that holds many captures spans several ranges by timestamp and id.
+    A url key that holds many captures spans several ranges by timestamp and id, and
+    captures that agree in these by their place in the archives.
     """
 
     def run(batches):
-        runs, last = [], None
+        runs: dict[str, list] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                if row["run"] != last:
-                    runs.append([])
-                    last = row["run"]
-                runs[-1].append(row)
+                runs.setdefault(row["run"], []).append(row)
+        for rows_of_run in runs.values():  # in order already, but where an archive was read in pieces
+            rows_of_run.sort(key=_order)
         merged = []
-        for row in loser_tree(runs, _order):
+        for row in loser_tree(list(runs.values()), _order):
             merged.append(row)
             if len(merged) == 5000:
                 yield pa.RecordBatch.from_pylist(merged, schema=CAPTURE_ARROW)
@@ -277,8 +299,7 @@ def merge_runs(captures: DataFrame, rows: int) -> DataFrame:
         if merged:
             yield pa.RecordBatch.from_pylist(merged, schema=CAPTURE_ARROW)
 
-    ranges = captures.repartitionByRange(max(1, -(-rows // RANGE_ROWS)), *ORDER)
-    return ranges.sortWithinPartitions("run", *ORDER).mapInArrow(run, CAPTURE)
+    return captures.repartitionByRange(max(1, -(-rows // RANGE_ROWS)), *ORDER).mapInArrow(run, CAPTURE)
 
 
 def capture_index(pages: DataFrame, min_bytes: int = 1000, folder: str | None = None) -> DataFrame:
