@@ -4,7 +4,9 @@ Every suffix of 200 bytes or more is dealt out by the least hash among the
 32-byte strings at its start (its anchor), so suffixes with 200 equal bytes meet
 in one bucket. Neighbouring suffixes of one anchor travel together as a segment;
 equal segments are one class, counted before the shuffle. Segments whose anchor
-hash occurs once in the corpus can't repeat and stay behind. In each bucket the
+hash occurs once in the corpus can't repeat and stay behind. A bucket too large for
+one task is cut again by finer anchors, one near each end of the 200 bytes, then by
+ones further inside, until every part fits. In each bucket, of whatever round, the
 suffixes are sorted by the difference-cover algorithm: sampled triples are sorted
 and named, the names are sorted by recursion, the remaining suffixes are merged
 in, and neighbours in that order are compared over 200 bytes.
@@ -12,19 +14,24 @@ in, and neighbours in that order are compared over 200 bytes.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import as_bytes, drop, mixed, powers, shared, sliced, span_hashes, written
+from gridpulse.llm.common import as_bytes, drop, mixed, shared, sliced, span_hashes, written
 
 MIN_BYTES = 200
 ANCHOR = 32
-#: bits of the filter of repeated anchor hashes: 16 MB whatever the input; a full filter costs time, not results
-FILTER_BITS = 1 << 27
-#: text that one suffix array holds; a bucket of more is settled window by window
+#: bits of the filter of repeated anchor hashes: 16 for each, within these bounds (2 to 256 MB); a fuller filter costs
+#: time, not results
+FILTER_BITS = (1 << 24, 1 << 31)
+#: text that one suffix array holds; a bucket of more is cut by finer anchors
 BUCKET_BYTES = 1 << 20
+#: places that a finer anchor is chosen from, and how much further inside those of the next round lie
+FINE_PLACES, FINE_STEP = 9, 40
 #: longer texts are cut into pieces that overlap, so that a pass holds bounded arrays
 PIECE_BYTES = 4 << 20
 
@@ -138,25 +145,21 @@ class Segments:
         self.hash = gram[anchor[head]]
         self.length = length
 
-    def classes(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of the contents of the picked segments."""
+    def classes(self, pick: np.ndarray) -> np.ndarray:
+        """The 128-bit BLAKE2b of the bytes of each picked segment, as two numbers."""
         a, b = self.start[pick], self.start[pick] + self.own[pick] + self.length - 1
-        return span_hashes(self.buf, a, b), _second_hashes(self.buf, a, b)
-
+        return _digests(self.buf, a, b)
 
-_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-_SECOND_INVERSE = np.uint64(pow(int(_SECOND), -1, 1 << 64))
 
+def _digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    raw = memoryview(buf)
+    found = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, dtype="<i8").reshape(-1, 2)
 
-def _second_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash independent of span_hashes: another base, and bytes by another table."""
-    n = len(buf)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buf] * powers(_SECOND, n)[:n], out=prefix[1:])
-    return mixed((prefix[end] - prefix[start]) * powers(_SECOND_INVERSE, n)[start] + (end - start).astype(np.uint64))
 
-
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _first_of_each(classes: np.ndarray) -> np.ndarray:
+    """An index of each distinct class."""
+    return np.unique(np.ascontiguousarray(classes).view("V16").ravel(), return_index=True)[1]
 
 
 def passes(texts: list[bytes], length: int):
@@ -192,8 +195,11 @@ def anchor_counts(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("data").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def repeated_filter(counts: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of fixed size of the hashes that occur twice or more; others may fall in by chance."""
+def repeated_filter(counts: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A bitmap of the hashes that occur twice or more, 16 bits for each by default; others may fall in by chance."""
+    if bits is None:
+        least, most = FILTER_BITS
+        bits = min(most, max(least, 1 << (16 * counts.where("n > 1").count()).bit_length()))
     words = bits >> 18  # a row has 2 ** 18 bits
     cell = F.pmod(F.col("h"), F.lit(bits))
     cells = counts.where("n > 1").select((cell / (1 << 18)).cast("int").alias("part"), (cell % (1 << 18)).cast("int").alias("bit"))
@@ -233,17 +239,16 @@ def segments(rows: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
                     yield rows_of(batch, s, row, offset, pick)
 
     def rows_of(batch, s, row, offset, pick):
-        c1, c2 = s.classes(pick)
-        _, first = np.unique(c1, return_index=True)
+        classes = s.classes(pick)
         body: list[bytes | None] = [None] * len(pick)
-        for j in first.tolist():
+        for j in _first_of_each(classes).tolist():
             a = int(s.start[pick[j]])
             body[j] = s.buf[a : a + int(s.own[pick[j]]) + length - 1].tobytes()
         text = s.text[pick]
         of = pa.array(row[text])
         return pa.RecordBatch.from_arrays(
             [
-                _long(c1), _long(c2), batch.column("k1").take(of), batch.column("k2").take(of),
+                _long(classes[:, 0]), _long(classes[:, 1]), batch.column("k1").take(of), batch.column("k2").take(of),
                 pa.array(s.start[pick] - s.origin[text] + offset[text], pa.int64()), _long(s.hash[pick]), pa.array(s.own[pick], pa.int32()),
                 pa.array(body, pa.binary()),
             ],
@@ -263,8 +268,8 @@ RUNS = "array<struct<a:int,b:int>>"
 def sorted_buckets(classes: DataFrame, length: int) -> DataFrame:
     """(c1, c2, runs): for each class the runs of its owned positions that start repeated strings.
 
-    classes(c1, c2, h, own, body, n). A class that occurs twice is all repeated;
-    those that share a bucket with others are sorted together, whole buckets at a time.
+    classes(c1, c2, h, own, body, n). A class that occurs twice is all repeated, as
+    equal digests of 128 bits are equal bytes; those that share a bucket with others are sorted together, whole buckets at a time.
     """
     fields = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
@@ -297,44 +302,132 @@ def sorted_buckets(classes: DataFrame, length: int) -> DataFrame:
     return classes.repartition("h").sortWithinPartitions("h").mapInArrow(run, f"c1 long, c2 long, runs {RUNS}")
 
 
-def split_buckets(classes: DataFrame, length: int) -> DataFrame:
-    """The same for the classes of buckets too large for one task: their positions are dealt out
-    by two hashes of their own ``length`` bytes, and counted."""
+class FineSegments:
+    """The owned positions of class bodies, cut where their finer anchors change.
+
+    ``h`` holds each position's hash of its bucket and of the least 32-byte strings
+    among a few places near both ends of its ``length`` bytes, further inside with
+    each round; equal strings have equal ones. Where the places would meet, it is
+    the hash of all ``length`` bytes, and each position is a segment: then only equal
+    strings share a bucket, so the rounds end.
+    """
+
+    def __init__(self, bodies: list[bytes], bucket: np.ndarray, length: int, round_: int):
+        size = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
+        self.buf = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+        self.origin = np.cumsum(size) - size
+        self.length = length
+        windows = size - length + 1
+        at = _ranges(self.origin, windows)
+        text = np.repeat(np.arange(len(bodies)), windows)
+        width, inside = length - ANCHOR + 1, round_ * FINE_STEP
+        places = min(FINE_PLACES, width)
+        whole = 2 * (inside + places) > width
+        if whole:
+            key = span_hashes(self.buf, at, at + length)
+        else:
+            first = np.arange(len(self.buf) - ANCHOR + 1)
+            gram = span_hashes(self.buf, first, first + ANCHOR)
+            least = np.lib.stride_tricks.sliding_window_view(gram, places).min(axis=1)
+            key = mixed(least[at + inside] * np.uint64(0xFF51AFD7ED558CCD) + least[at + width - places - inside])
+        key = mixed(key ^ bucket[text].view(np.uint64))
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = whole | (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+        head = np.flatnonzero(new)
+        self.text, self.start, self.hash = text[head], at[head], key[head]
+        self.own = np.diff(np.append(head, len(at)))
+
+
+def _fine_passes(batches, length: int, round_: int):
+    """(batch, its fine segments) for batches of classes."""
+    for batch in sliced(batches, "body", 1 << 18):
+        yield batch, FineSegments(as_bytes(batch.column("body")), batch.column("h").to_numpy(), length, round_)
+
+
+def fine_counts(classes: DataFrame, length: int, round_: int) -> DataFrame:
+    """(h, n): how often each finer anchor occurs, copies of a class counted."""
+
+    def run(batches):
+        for batch, s in _fine_passes(batches, length, round_):
+            h, at = np.unique(s.hash, return_inverse=True)
+            n = np.zeros(len(h), dtype=np.int64)
+            np.add.at(n, at, batch.column("n").to_numpy()[s.text])
+            yield pa.RecordBatch.from_arrays([_long(h), _long(n)], names=["h", "n"])
+
+    return classes.select("h", "body", "n").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def fine_segments(classes: DataFrame, bitmap: np.ndarray, length: int, round_: int) -> DataFrame:
+    """Of each class (p1, p2) the segments that may repeat: class (c1, c2), first owned position, copies, h, own, body."""
+    held = shared(classes.sparkSession, bitmap)
+    bits = len(bitmap) * 8
 
     def run(batches):
-        for batch in sliced(batches, "body", 1 << 18):
-            data, own = as_bytes(batch.column("body")), batch.column("own").to_numpy()
-            size = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
-            buf = np.frombuffer(b"".join(data), dtype=np.uint8)
-            a = _ranges(np.cumsum(size) - size, own)
-            of = np.repeat(np.arange(len(data)), own)
+        bitmap = held()
+        for batch, s in _fine_passes(batches, length, round_):
+            cell = (s.hash.view(np.int64) % bits).astype(np.int64)
+            pick = np.flatnonzero((bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
+            if not len(pick):
+                continue
+            a, b = s.start[pick], s.start[pick] + s.own[pick] + length - 1
+            digest = _digests(s.buf, a, b)
+            body: list[bytes | None] = [None] * len(pick)
+            for j in _first_of_each(digest).tolist():
+                body[j] = s.buf[a[j] : b[j]].tobytes()
+            of = pa.array(s.text[pick])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("c1").take(pa.array(of)), batch.column("c2").take(pa.array(of)), batch.column("n").take(pa.array(of)),
-                    pa.array(a - (np.cumsum(size) - size)[of], pa.int32()), _long(span_hashes(buf, a, a + length)), _long(_second_hashes(buf, a, a + length)),
+                    batch.column("c1").take(of), batch.column("c2").take(of), pa.array(a - s.origin[s.text[pick]], pa.int32()),
+                    batch.column("n").take(of), _long(digest[:, 0]), _long(digest[:, 1]), _long(s.hash[pick]), pa.array(s.own[pick], pa.int32()),
+                    pa.array(body, pa.binary()),
                 ],
-                names=["c1", "c2", "n", "a", "w1", "w2"],
+                names=["p1", "p2", "start", "n", "c1", "c2", "h", "own", "body"],
             )
 
-    places = classes.mapInArrow(run, "c1 long, c2 long, n long, a int, w1 long, w2 long")
-    again = places.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("w1", "w2")
-    hit = places.join(again, ["w1", "w2"], "left_semi")
-    runs = F.transform(F.array_sort(F.collect_list("a")), lambda a: F.struct(a.alias("a"), (a + 1).alias("b")))
-    return hit.groupBy("c1", "c2").agg(runs.alias("runs"))
+    return classes.mapInArrow(run, "p1 long, p2 long, start int, n long, c1 long, c2 long, h long, own int, body binary")
+
+
+def _classes_of(found: DataFrame, copies) -> DataFrame:
+    """(c1, c2, h, own, body, n) of the classes of segments."""
+    return found.groupBy("c1", "c2").agg(
+        F.first("h").alias("h"), F.first("own").alias("own"), F.first("body", ignorenulls=True).alias("body"), copies.alias("n")
+    )
+
+
+def bucket_runs(classes: DataFrame, length: int, bucket_bytes: int, round_: int = 0) -> DataFrame:
+    """(c1, c2, runs) of classes(c1, c2, h, own, body, n), a written table, as ``sorted_buckets`` gives them.
+
+    Buckets of more than ``bucket_bytes`` are cut by the finer anchors of the round,
+    their parts sorted in the same way, and the runs put together again.
+    """
+    spark = classes.sparkSession
+    large = classes.groupBy("h").agg(F.sum(F.octet_length("body")).alias("size"), F.count(F.lit(1)).alias("n"))
+    large, _ = written(large.where((F.col("size") > bucket_bytes) & (F.col("n") > 1)).select("h"), "large-buckets")
+    if not large.take(1):
+        return sorted_buckets(classes, length)
+    small = sorted_buckets(classes.join(large, "h", "left_anti"), length)
+    rest, rest_path = written(classes.join(large, "h", "left_semi"), f"large-classes-{round_}")
+    counts, counts_path = written(fine_counts(rest, length, round_), f"fine-counts-{round_}")
+    bitmap = repeated_filter(counts)
+    found, _ = written(fine_segments(rest, bitmap, length, round_), f"fine-segments-{round_}")
+    for p in (rest_path, counts_path):
+        drop(spark, p)
+    parts, _ = written(_classes_of(found, F.sum("n")), f"fine-classes-{round_}")
+    runs = bucket_runs(parts, length, bucket_bytes, round_ + 1)
+    of = found.select("c1", "c2", "p1", "p2", "start").join(runs, ["c1", "c2"]).select("p1", "p2", "start", F.explode("runs").alias("r"))
+    span = F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b"))
+    whole = of.groupBy(F.col("p1").alias("c1"), F.col("p2").alias("c2")).agg(F.array_sort(F.collect_set(span)).alias("runs"))
+    return small.unionByName(whole)
 
 
 def repeated_spans(rows: DataFrame, length: int = MIN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """keyed rows -> (k1, k2, spans): byte spans (a, b) that repeated strings cover, not yet joined."""
-    bitmap = repeated_filter(anchor_counts(rows, length))
+    counts, counts_path = written(anchor_counts(rows, length), "anchor-counts")
+    bitmap = repeated_filter(counts)
+    drop(rows.sparkSession, counts_path)
     found, _ = written(segments(rows, bitmap, length), "segments")
-    classes = found.groupBy("c1", "c2").agg(
-        F.first("h").alias("h"), F.first("own").alias("own"), F.first("body", ignorenulls=True).alias("body"), F.count(F.lit(1)).alias("n")
-    )
-    classes, path = written(classes, "segment-classes")
-    large = classes.groupBy("h").agg(F.sum(F.octet_length("body")).alias("size")).where(F.col("size") > bucket_bytes).select("h")
-    runs = sorted_buckets(classes.join(large, "h", "left_anti"), length)
-    runs = runs.unionByName(split_buckets(classes.join(large, "h", "left_semi"), length))
-    runs, _ = written(runs, "segment-runs")
+    classes, path = written(_classes_of(found, F.count(F.lit(1))), "segment-classes")
+    runs, _ = written(bucket_runs(classes, length, bucket_bytes), "segment-runs")
     drop(rows.sparkSession, path)
     spans = found.select("c1", "c2", "k1", "k2", "start").join(runs, ["c1", "c2"]).select("k1", "k2", "start", F.explode("runs").alias("r"))
     span = F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b") - 1 + length).alias("b"))

@@ -53,6 +53,28 @@ def test_removal_equals_brute_force(spark, bucket_bytes):
         assert bytes(r["kept"]) == b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def test_large_buckets_go_through_the_difference_cover(spark, monkeypatch):
+    """A line in very many different surroundings, periodic texts, windows that agree at both ends."""
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    line, head, tail = some(150), some(90), some(90)
+    every = [(i, some(rng.randint(20, 120)) + line + some(rng.randint(20, 120))) for i in range(40)]
+    every += [(100 + i, head + some(20) + tail) for i in range(30)] + [(200, "y" * 700), (201, "y" * 450), (202, "xyz" * 200), (203, "xyz" * 150)]
+    every += [(300, every[0][1]), (301, every[45][1] + some(40))]
+    rounds, sorted_bytes = [], []
+    cut, settle = suffixdedup.fine_segments, suffixdedup.sorted_buckets
+    monkeypatch.setattr(suffixdedup, "fine_segments", lambda *a: rounds.append(a[-1]) or cut(*a))
+
+    def counted(classes, length):
+        sorted_bytes.append(classes.selectExpr("coalesce(sum(octet_length(body)), 0)").first()[0])
+        return settle(classes, length)
+
+    monkeypatch.setattr(suffixdedup, "sorted_buckets", counted)
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in suffixdedup.without_repeats(docs(spark, every), 200, 400).collect()}
+    assert got == dict(zip([r[0] for r in every], brute([t for _, t in every], 200), strict=True))
+    assert rounds[:2] == [0, 1] and len(rounds) <= 3 and sum(sorted_bytes) > 0
+
+
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "PIECE_BYTES", 700)
     rng = random.Random(3)
