@@ -71,6 +71,6 @@ def test_grams_of_a_url_of_a_megabyte(spark):
     urlfilter.featured(rows.limit(0)).collect()  # compiled before the clock starts
     began = time.time()
     got = urlfilter.featured(rows).collect()
-    assert time.time() - began < 10 and all(r["features"].numNonzeros() > 0 for r in got)
+    assert time.time() - began < 10 and [r["features"].numNonzeros() > 0 for r in got] == [True, False, True]  # "^$" has no gram
     grams = spark.createDataFrame([("aé😀b",), ("",)], "s string").select(urlfilter._grams(F.col("s"), 3, "m:")).collect()
     assert [r[0] for r in grams] == [["m:^aé", "m:aé😀", "m:é😀b", "m:😀b$"], []]
