@@ -95,7 +95,7 @@ def parse_iso_param(value: str | None) -> _dt.datetime | None:
     if not value:
         return None
     try:
-        parsed = _dt.datetime.fromisoformat(value.replace("Z", "+00:00"))
+        parsed = _dt.datetime.fromisoformat(value)
     except ValueError as exc:
         raise ValueError(f"Invalid datetime: {value}") from exc
     if parsed.tzinfo is not None:

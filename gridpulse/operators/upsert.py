@@ -180,7 +180,11 @@ class ChangeLogTable:
         self.root = root.rstrip("/")
         self.key_buckets = key_buckets
         base = f"{self.root}/base"
-        self.base = BucketedStore(spark, base, VIEW_SCHEMA, "unique_key", key_buckets) if key_buckets else VersionedStore(spark, base, VIEW_SCHEMA)
+        self.base = (
+            BucketedStore(spark, base, VIEW_SCHEMA, "unique_key", key_buckets)
+            if key_buckets
+            else VersionedStore(spark, base, VIEW_SCHEMA, count_files=False)
+        )
 
     def batch_path(self, batch_id: int, writer: str = DEFAULT_WRITER) -> str:
         return f"{self.root}/log/writer={writer}/batch_id={int(batch_id)}"

@@ -73,10 +73,17 @@ def _files_of(spark: SparkSession, path: str) -> tuple[int, int]:
 
 class VersionedStore:
     """One dataset. Stores that share a ``pointer_root`` are published together by
-    ``publish_together``: one pointer row names the same version of all of them."""
+    ``publish_together``: one pointer row names the same version of all of them.
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None, pointer_root: str | None = None):
+    ``count_files``: the files are listed at publication and at each read, for
+    readers that have another answer; without it a version of very many files is
+    listed by Spark alone."""
+
+    def __init__(
+        self, spark: SparkSession, root: str, schema: T.StructType | None = None, pointer_root: str | None = None, count_files: bool = True
+    ):
         self.spark = spark
+        self.count_files = count_files
         self.root = root.rstrip("/")
         self.schema = schema
         self.pointer_root = (pointer_root or root).rstrip("/")
@@ -140,7 +147,7 @@ class VersionedStore:
         self, version: int, published_at: _dt.datetime | None = None, watermark: int | None = None, together: list[VersionedStore] | None = None
     ) -> None:
         """Make a written version of this store, and of those published together with it, the newest."""
-        stored = together or [self]
+        stored = [s for s in together or [self] if s.count_files]
         files = {f"{s.name}/{what}": n for s in stored for what, n in zip(("files", "bytes"), _files_of(self.spark, s.version_path(version)), strict=True)}
         pointer = self.spark.createDataFrame([(version, published_at, watermark, files)], _POINTER_SCHEMA)
         pointer.coalesce(1).write.mode("append").parquet(f"{self.pointer_root}/_published")
@@ -187,7 +194,8 @@ class VersionedStore:
                 raise RollupUnavailable(f"no published version under {self.root}")
             version = int(row["version"])
         path = self.version_path(version)
-        self._check_files(version, None if row is None else row["files"])
+        if self.count_files:
+            self._check_files(version, None if row is None else row["files"])
         try:
             if self.schema is None:
                 return self.spark.read.parquet(path)
@@ -212,7 +220,7 @@ class BucketedStore(VersionedStore):
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int):
-        super().__init__(spark, root, schema)
+        super().__init__(spark, root, schema, count_files=False)
         self.key, self.buckets = key, buckets
 
     def _table(self, version: int) -> str:
