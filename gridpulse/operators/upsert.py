@@ -30,6 +30,7 @@ from __future__ import annotations
 import datetime as _dt
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 from gridpulse import schema as S
 from gridpulse.functions import ntz_lit
-from gridpulse.sources.store import BucketedStore, VersionedStore
+from gridpulse.sources.store import BucketedStore, VersionedStore, claim_sequence, files_of
 
 # Total order of changes: later commit, then offset; the rest makes it total.
 ORDER_COLUMNS = ("commit_seq", "writer", "batch_id", "msg_offset", "partition_id", "msg_ts")
@@ -193,10 +194,13 @@ class ChangeLogTable:
         return f"{self.root}/_commits/writer={writer}/batch_id={int(batch_id)}"
 
     def is_committed(self, batch_id: int, writer: str = DEFAULT_WRITER) -> bool:
+        """A batch's commit record has been written; asks the file system, runs no job."""
         try:
-            return bool(self.spark.read.schema(COMMIT_SCHEMA).parquet(self._commit_path(batch_id, writer)).take(1))
-        except AnalysisException:
-            return False
+            return files_of(self.spark, self._commit_path(batch_id, writer))[0] > 0
+        except Py4JJavaError as error:
+            if "FileNotFound" in error.java_exception.getClass().getName():
+                return False
+            raise
 
     def batch_rows(self, batch_id: int, writer: str = DEFAULT_WRITER) -> int:
         """Rows of a written batch."""
@@ -208,13 +212,12 @@ class ChangeLogTable:
         The commit record carries the source progress the batch reached (one
         row per stream partition, plus one marker row), like a consumer that
         commits rows and offsets together, and the commit's sequence: the wall
-        clock in nanoseconds, above every sequence committed before. A batch
-        that is committed already keeps its record.
+        clock in nanoseconds, above every sequence claimed before and no other
+        writer's. A batch that is committed already keeps its record.
         """
         if self.is_committed(batch_id, writer):
             return
-        top = None if (known := self.commits()) is None else known.agg(F.max("commit_seq")).first()[0]
-        seq = max(time.time_ns(), (top or 0) + 1)
+        seq = claim_sequence(self.spark, f"{self.root}/_sequence", time.time_ns())
         marker = self.spark.createDataFrame([(None,) * len(_PROGRESS_SCHEMA)], _PROGRESS_SCHEMA)
         rows = marker if progress is None else marker.unionByName(progress.select(*_PROGRESS_SCHEMA.fieldNames()))
         rows = rows.withColumn("commit_seq", F.lit(seq).cast("long"))

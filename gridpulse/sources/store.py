@@ -59,7 +59,7 @@ def create_exclusively(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def _files_of(spark: SparkSession, path: str) -> tuple[int, int]:
+def files_of(spark: SparkSession, path: str) -> tuple[int, int]:
     """Number and bytes of the data files below a folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
@@ -71,6 +71,23 @@ def _files_of(spark: SparkSession, path: str) -> tuple[int, int]:
     return number, size
 
 
+def claim_sequence(spark: SparkSession, folder: str, least: int) -> int:
+    """A number that no other caller gets, at least ``least`` and above all claimed in this folder before.
+
+    The folder keeps the greatest claim alone, so its listing stays short.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    claims = {int(p.getName()): p for p in held if p.getName().isdigit()}
+    number = max(least, max(claims, default=0) + 1)
+    while not create_exclusively(spark, f"{folder}/{number:020d}"):
+        number += 1
+    for p in claims.values():
+        fs.delete(p, False)
+    return number
+
+
 class VersionedStore:
     """One dataset. Stores that share a ``pointer_root`` are published together by
     ``publish_together``: one pointer row names the same version of all of them.
@@ -148,7 +165,7 @@ class VersionedStore:
     ) -> None:
         """Make a written version of this store, and of those published together with it, the newest."""
         stored = [s for s in together or [self] if s.count_files]
-        files = {f"{s.name}/{what}": n for s in stored for what, n in zip(("files", "bytes"), _files_of(self.spark, s.version_path(version)), strict=True)}
+        files = {f"{s.name}/{what}": n for s in stored for what, n in zip(("files", "bytes"), files_of(self.spark, s.version_path(version)), strict=True)}
         pointer = self.spark.createDataFrame([(version, published_at, watermark, files)], _POINTER_SCHEMA)
         pointer.coalesce(1).write.mode("append").parquet(f"{self.pointer_root}/_published")
 
@@ -162,7 +179,7 @@ class VersionedStore:
         if not said or f"{self.name}/files" not in said:
             return  # published without a count
         try:
-            number, size = _files_of(self.spark, self.version_path(version))
+            number, size = files_of(self.spark, self.version_path(version))
         except Py4JJavaError as error:
             raise RollupUnavailable(f"version {version} under {self.root} can't be listed") from error
         if (number, size) != (said[f"{self.name}/files"], said[f"{self.name}/bytes"]):

@@ -17,7 +17,7 @@ from gridpulse.plans import refresh as U
 from gridpulse.plans import serving as V
 from gridpulse.plans.serving import RollupUnavailable
 from gridpulse.sources import fixtures as X
-from gridpulse.sources.store import VersionedStore, create_exclusively
+from gridpulse.sources.store import VersionedStore, claim_sequence, create_exclusively
 from helpers import complaint, complaints_df
 
 SF = "/root/testdata/sf0.001"
@@ -127,6 +127,21 @@ def test_a_number_is_claimed_once(spark, scratch):
     assert not create_exclusively(spark, f"{root}/_claims/v=3")
 
 
+def test_commit_sequences_are_unique_and_ascend(spark, scratch):
+    folder = scratch("sequence")
+    assert claim_sequence(spark, folder, 10) == 10
+    assert [claim_sequence(spark, folder, 5) for _ in range(3)] == [11, 12, 13]
+    got = []
+    threads = [threading.Thread(target=lambda: got.append(claim_sequence(spark, folder, 100))) for _ in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(set(got)) == 6 and min(got) == 100
+    assert claim_sequence(spark, folder, 0) == max(got) + 1
+    assert len([f for f in os.listdir(folder.removeprefix("file:")) if not f.startswith(".")]) <= 6  # older claims go
+
+
 def test_interleaved_rebuilds_leave_a_whole_version_each(spark, scratch):
     table, grid, times, log = _setup(spark, scratch("two-rebuilds"))
     few = complaints_df(spark, [complaint(i) for i in range(5)])
