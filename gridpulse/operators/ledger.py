@@ -125,8 +125,9 @@ class RunLog:
             raise ValueError(f"status must be running, success or failed; got {status!r}")
         error = None if error is None else error[: S.ERROR_TEXT_MAX]
         seq = self._next_seq() if run_seq is None else int(run_seq)
-        row = [(job_name, seq, at, status, error, rows_processed)]
-        self.spark.createDataFrame(row, S.RUN_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        values = (F.lit(job_name), F.lit(seq), ntz_lit(at), F.lit(status), F.lit(error), F.lit(rows_processed))
+        row = self.spark.range(1, numPartitions=1).select(*[v.cast(f.dataType).alias(f.name) for v, f in zip(values, S.RUN_EVENT_SCHEMA, strict=True)])
+        row.write.mode("append").parquet(self.path)
 
     def events(self) -> DataFrame:
         try:

@@ -218,7 +218,7 @@ class ChangeLogTable:
         if self.is_committed(batch_id, writer):
             return
         seq = claim_sequence(self.spark, f"{self.root}/_sequence", time.time_ns())
-        marker = self.spark.createDataFrame([(None,) * len(_PROGRESS_SCHEMA)], _PROGRESS_SCHEMA)
+        marker = self.spark.range(1, numPartitions=1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in _PROGRESS_SCHEMA])
         rows = marker if progress is None else marker.unionByName(progress.select(*_PROGRESS_SCHEMA.fieldNames()))
         rows = rows.withColumn("commit_seq", F.lit(seq).cast("long"))
         rows.coalesce(1).write.mode("overwrite").parquet(self._commit_path(batch_id, writer))

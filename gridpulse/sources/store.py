@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridpulse.functions import ntz_lit
 from gridpulse.plans.serving import RollupUnavailable
 
 _POINTER_SCHEMA = T.StructType(
@@ -166,8 +167,11 @@ class VersionedStore:
         """Make a written version of this store, and of those published together with it, the newest."""
         stored = [s for s in together or [self] if s.count_files]
         files = {f"{s.name}/{what}": n for s in stored for what, n in zip(("files", "bytes"), files_of(self.spark, s.version_path(version)), strict=True)}
-        pointer = self.spark.createDataFrame([(version, published_at, watermark, files)], _POINTER_SCHEMA)
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.pointer_root}/_published")
+        counts = F.create_map(*[F.lit(x) for pair in files.items() for x in pair]) if files else F.lit(None)
+        values = (F.lit(version), F.lit(None) if published_at is None else ntz_lit(published_at), F.lit(watermark), counts)
+        # one row of literals: no Python worker for it
+        pointer = self.spark.range(1, numPartitions=1).select(*[v.cast(f.dataType).alias(f.name) for v, f in zip(values, _POINTER_SCHEMA, strict=True)])
+        pointer.write.mode("append").parquet(f"{self.pointer_root}/_published")
 
     @property
     def name(self) -> str:
