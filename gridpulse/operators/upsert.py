@@ -274,7 +274,8 @@ class ChangeLogTable:
             log = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log")
         except AnalysisException:
             return self.spark.createDataFrame([], VIEW_SCHEMA)
-        return log.join(pairs, list(_PAIR)).select(*_VIEW_COLUMNS)
+        # the pairs go to the log's scans: dealt out by pair, all rows of a batch would meet in one task
+        return log.join(F.broadcast(pairs), list(_PAIR)).select(*_VIEW_COLUMNS)
 
     def rows_of(self, pairs: DataFrame) -> DataFrame:
         """The log rows of exactly these batches (writer, batch_id, commit_seq)."""

@@ -199,7 +199,7 @@ class StreamIngest:
         commits = self.table.commits()
         if commits is None:
             return rejects.limit(0)
-        return rejects.join(commits.select("writer", "batch_id").distinct(), ["writer", "batch_id"], "left_semi")
+        return rejects.join(F.broadcast(commits.select("writer", "batch_id").distinct()), ["writer", "batch_id"], "left_semi")
 
     def offsets(self) -> DataFrame:
         """Stream progress per partition, from the committed batches' records."""

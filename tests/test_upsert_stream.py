@@ -1,9 +1,11 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridpulse import schema as S
 from gridpulse.operators import ingest as I
+from gridpulse.operators import upsert
 from gridpulse.operators.upsert import ChangeLogTable, current_records, latest_by_key
 from gridpulse.sources import fixtures as X
 from gridpulse.streaming import ingest as STR
@@ -260,3 +262,20 @@ def test_bucketed_base_equals_the_date_layout_over_batches(spark, scratch):
     # another session knows nothing of the table and registers it from its files
     spark.sql(f"DROP TABLE {by_key.base._table(by_key.base.latest()[0])}")
     assert ChangeLogTable(spark, by_key.root, key_buckets=3).current_view().count() == 55
+
+
+# --- the work of one task ---------------------------------------------------------
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_rows_of_one_batch_stay_in_the_tasks_that_scan_them(spark, scratch, threshold):
+    table = ChangeLogTable(spark, scratch("one-batch"))
+    table.append_batch(_keyed(spark, range(400)).repartition(4), 0)
+    pairs = spark.createDataFrame(table.committed().collect(), upsert._PAIRS_SCHEMA)  # as compact() passes them
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        counts = [r["count"] for r in table.rows_of(pairs).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sum(counts) == 400 and max(counts) < 400
