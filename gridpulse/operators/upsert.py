@@ -71,6 +71,10 @@ def change_struct(changes: DataFrame, order_cols: tuple[str, ...], value_cols: t
     return F.struct(*order, *[c for c in value_cols if c not in order])
 
 
+# Files of the log and of a base by date hold at most so many rows. Spark packs files into tasks by their compressed
+# bytes, at least 4 MB a file, so that a task of 128 MB reads at most 32 of them, however well the rows compress.
+ROWS_PER_FILE = 50_000
+
 # A tail's distinct keys are broadcast only below this many bytes (measured).
 BROADCAST_KEY_BYTES = 256 << 20
 
@@ -184,7 +188,7 @@ class ChangeLogTable:
         self.base = (
             BucketedStore(spark, base, VIEW_SCHEMA, "unique_key", key_buckets)
             if key_buckets
-            else VersionedStore(spark, base, VIEW_SCHEMA, count_files=False)
+            else VersionedStore(spark, base, VIEW_SCHEMA, count_files=False, rows_per_file=ROWS_PER_FILE)
         )
 
     def batch_path(self, batch_id: int, writer: str = DEFAULT_WRITER) -> str:
@@ -252,7 +256,7 @@ class ChangeLogTable:
             if c not in ("ingested_at", *_PAIR)
         ]
         out = changes.select(*cols, stamp.alias("ingested_at"))
-        out.write.mode("overwrite").parquet(self.batch_path(batch_id, writer))
+        out.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(self.batch_path(batch_id, writer))
         if commit:
             self.commit_batch(batch_id, writer=writer)
         return True

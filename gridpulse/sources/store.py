@@ -95,13 +95,20 @@ class VersionedStore:
 
     ``count_files``: the files are listed at publication and at each read, for
     readers that have another answer; without it a version of very many files is
-    listed by Spark alone."""
+    listed by Spark alone. ``rows_per_file``: no file holds more rows."""
 
     def __init__(
-        self, spark: SparkSession, root: str, schema: T.StructType | None = None, pointer_root: str | None = None, count_files: bool = True
+        self,
+        spark: SparkSession,
+        root: str,
+        schema: T.StructType | None = None,
+        pointer_root: str | None = None,
+        count_files: bool = True,
+        rows_per_file: int | None = None,
     ):
         self.spark = spark
         self.count_files = count_files
+        self.rows_per_file = rows_per_file
         self.root = root.rstrip("/")
         self.schema = schema
         self.pointer_root = (pointer_root or root).rstrip("/")
@@ -157,6 +164,8 @@ class VersionedStore:
             columns = [*([partition_by] if partition_by and partition_by not in range_by else []), *range_by]
             out = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
         writer = out.write.mode("overwrite")
+        if self.rows_per_file:
+            writer = writer.option("maxRecordsPerFile", self.rows_per_file)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.version_path(version))

@@ -279,3 +279,14 @@ def test_rows_of_one_batch_stay_in_the_tasks_that_scan_them(spark, scratch, thre
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert sum(counts) == 400 and max(counts) < 400
+
+
+def test_log_and_base_files_hold_few_rows(spark, scratch, monkeypatch):
+    monkeypatch.setattr(upsert, "ROWS_PER_FILE", 25)
+    table = ChangeLogTable(spark, scratch("few-rows"))
+    table.append_batch(_keyed(spark, range(200)).coalesce(1), 0)
+    assert len(spark.read.parquet(table.batch_path(0)).inputFiles()) == 8
+    table.compact()
+    held = table.base.read().groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in held) == 200 and max(r["count"] for r in held) <= 25
+    assert {r.unique_key for r in table.current_view().collect()} == {str(k) for k in range(200)}
