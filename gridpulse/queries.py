@@ -331,12 +331,20 @@ def q_upsert_latest(spark, sf_dir):
 
 
 KEY_BUCKETS = 8
+#: messages for one bucket: a bucket is one task's work
+ROWS_PER_BUCKET = 500_000
+
+
+def key_buckets(rows: int) -> int:
+    """Buckets of the key for a table of at most ``rows`` keys."""
+    return max(KEY_BUCKETS, -(-rows // ROWS_PER_BUCKET))
 
 
 def q_upsert_bucketed(spark, sf_dir):
     """The messages in ranges of offsets, compacted after the first two into a base in buckets of the key; the
     last range meets it there. The current view, as ``upsert_latest`` gives it from the changes alone."""
-    table = ChangeLogTable(spark, scratch_path(spark, "bucketed"), key_buckets=KEY_BUCKETS)
+    buckets = key_buckets(_messages(spark, sf_dir).count())
+    table = ChangeLogTable(spark, scratch_path(spark, "bucketed"), key_buckets=buckets)
     for k, batch in enumerate(X.ranges_of(_valid_changes(spark, sf_dir), "msg_offset", REFRESH_BATCHES)):
         if k:
             table.compact()

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from gridpulse import queries
 from gridpulse import schema as S
 from gridpulse.operators import ingest as I
 from gridpulse.operators import upsert
@@ -290,3 +291,19 @@ def test_log_and_base_files_hold_few_rows(spark, scratch, monkeypatch):
     held = table.base.read().groupBy(F.input_file_name()).count().collect()
     assert sum(r["count"] for r in held) == 200 and max(r["count"] for r in held) <= 25
     assert {r.unique_key for r in table.current_view().collect()} == {str(k) for k in range(200)}
+
+
+def test_buckets_of_the_key_grow_with_the_messages(spark, monkeypatch):
+    made = []
+
+    class Noted(ChangeLogTable):
+        def __init__(self, spark, root, key_buckets=None):
+            made.append(key_buckets)
+            super().__init__(spark, root, key_buckets)
+
+    monkeypatch.setattr(queries, "ChangeLogTable", Noted)
+    monkeypatch.setattr(queries, "ROWS_PER_BUCKET", 100)
+    monkeypatch.setattr(queries, "_messages", lambda *_: messages_df(spark, [message(key=str(k)) for k in range(1000)]))
+    assert {r.unique_key for r in queries.q_upsert_bucketed(spark, SF).collect()} == {str(k) for k in range(1000)}
+    assert made == [10]
+    assert queries.key_buckets(3) == queries.KEY_BUCKETS
